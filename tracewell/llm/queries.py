@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, sharding, token_counts
+from . import exact_dedup, line_dedup, mixing, order_minhash, sharding, token_counts
 from .common import read
 
 
@@ -37,7 +37,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op6_exact_dedup, op7_line_dedup, op9_mixing)}
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op6_exact_dedup, op7_line_dedup, op9_mixing, op10_order_minhash)}
 
 ORACLES = {
     "op6_exact_dedup": """
