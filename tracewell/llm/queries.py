@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, order_minhash, sharding, token_counts
+from . import exact_dedup, kneser_ney, line_dedup, mixing, order_minhash, pii, sharding, token_counts
 from .common import read
 
 
@@ -41,7 +41,17 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op6_exact_dedup, op7_line_dedup, op9_mixing, op10_order_minhash)}
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows = kneser_ney.classify(docs, read(spark, sf_dir, "labels"), columns=("doc_id", "lang"))
+    return rows.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_score").alias("score"), F.col("_threshold").alias("threshold"), F.col("_keep").alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op4_personal_data, op6_exact_dedup, op7_line_dedup, op8_quality, op9_mixing, op10_order_minhash)}
 
 ORACLES = {
     "op6_exact_dedup": """
