@@ -1,0 +1,29 @@
+"""Connected components by contraction, on tables in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) for every end of ``edges`` (a, b): the root is the least id of the component.
+
+    Each round every vertex moves to the least of itself and its neighbours, and
+    edges are redrawn between where their ends moved, until none is left. Tables are
+    written each round, so joins read plain tables and a vertex with many edges can
+    be split among tasks; nothing but an emptiness test comes to the driver.
+    """
+    edges = written(edges.where("a <> b").distinct(), "edges")
+    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    at = written(ends.select("id", F.col("id").alias("root")), "roots")
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        moved = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("was"), F.least("a", "least").alias("now")), "moved")
+        over = edges.join(moved, F.col("a") == F.col("was")).select(F.col("now").alias("a"), "b")
+        over = over.join(moved, F.col("b") == F.col("was")).select("a", F.col("now").alias("b"))
+        at = written(at.join(moved, F.col("root") == F.col("was"), "left").select("id", F.coalesce("now", "root").alias("root")), "roots")
+        edges = written(over.where("a <> b").distinct(), "edges")
+    return at

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, kneser_ney, line_dedup, mixing, order_minhash, pii, sharding, token_counts
+from . import chosen_path, exact_dedup, kneser_ney, line_dedup, mixing, order_minhash, packing, pii, sharding, token_counts
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
@@ -51,7 +59,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_score").alias("score"), F.col("_threshold").alias("threshold"), F.col("_keep").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op4_personal_data, op6_exact_dedup, op7_line_dedup, op8_quality, op9_mixing, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_packing, op4_personal_data, op5_jaccard_join, op6_exact_dedup, op7_line_dedup, op8_quality, op9_mixing, op10_order_minhash)}
 
 ORACLES = {
     "op6_exact_dedup": """
