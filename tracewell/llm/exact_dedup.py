@@ -70,7 +70,7 @@ def owner_starts(owners: int) -> np.ndarray:
 def _fingerprint(owners: int, id_type: pa.DataType):
     starts = owner_starts(owners)
 
-    def part(ids: list, shas: list, fps: list, name: int) -> Iterator[pa.RecordBatch]:
+    def part(ids: list, hashes: list, shas: list, fps: list, name: int) -> Iterator[pa.RecordBatch]:
         fp = np.array(fps, np.int64)
         distinct, place, times = np.unique(fp, return_inverse=True, return_counts=True)
         owner = np.searchsorted(starts, distinct, side="right") - 1
@@ -78,30 +78,31 @@ def _fingerprint(owners: int, id_type: pa.DataType):
         none = lambda kind, n: pa.nulls(n, kind)
         n = len(fps)
         yield _batch(
-            [pa.array([0] * n, pa.int32()), pa.array([name] * n, pa.int64()), pa.array(owner[place], pa.int32()), pa.array(range(n), pa.int32()), pa.chunked_array(ids, id_type).combine_chunks(), pa.array(shas, pa.string()), pa.array((np.arange(len(distinct)) - first[owner])[place], pa.int32()), pa.array(times[place] > 1), none(pa.binary(), n)]
+            [pa.array([0] * n, pa.int32()), pa.array([name] * n, pa.int64()), pa.array(owner[place], pa.int32()), pa.array(range(n), pa.int32()), pa.chunked_array(ids, id_type).combine_chunks(), pa.array(shas, pa.string()), pa.array((np.arange(len(distinct)) - first[owner])[place], pa.int32()), pa.array(times[place] > 1), none(pa.binary(), n), pa.chunked_array(hashes, pa.int64()).combine_chunks()]
         )
         codes = [(o, rice_encode(distinct[a:b], int(starts[o]), int(starts[o + 1] - starts[o]))) for o, (a, b) in enumerate(zip(first, first[1:], strict=False)) if b > a]
         n = len(codes)
-        yield _batch([pa.array([1] * n, pa.int32()), pa.array([name] * n, pa.int64()), pa.array([o for o, _ in codes], pa.int32()), none(pa.int32(), n), none(id_type, n), none(pa.string(), n), none(pa.int32(), n), none(pa.bool_(), n), pa.array([c for _, c in codes], pa.binary())])
+        yield _batch([pa.array([1] * n, pa.int32()), pa.array([name] * n, pa.int64()), pa.array([o for o, _ in codes], pa.int32()), none(pa.int32(), n), none(id_type, n), none(pa.string(), n), none(pa.int32(), n), none(pa.bool_(), n), pa.array([c for _, c in codes], pa.binary()), none(pa.int64(), n)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, shas, fps = TaskContext.get().partitionId() << 24, [], [], []
+        number, ids, hashes, shas, fps = TaskContext.get().partitionId() << 24, [], [], [], []
         for batch in batches:
             ids.append(batch.column(0))
+            hashes.append(batch.column(2))
             for text in batch.column(1):
                 digest = hashlib.sha256(text.as_py().encode().lower())  # bytes.lower() knows A-Z only
                 shas.append(digest.hexdigest())
                 fps.append(int.from_bytes(digest.digest()[: FP_BITS // 8]))
             if len(fps) >= PART_ROWS:
-                yield from part(ids, shas, fps, number)
-                number, ids, shas, fps = number + 1, [], [], []
+                yield from part(ids, hashes, shas, fps, number)
+                number, ids, hashes, shas, fps = number + 1, [], [], [], []
         if fps:
-            yield from part(ids, shas, fps, number)
+            yield from part(ids, hashes, shas, fps, number)
 
     return run
 
 
-_NAMES = ["kind", "part", "owner", "pos", "doc_id", "sha", "rank", "twice", "code"]
+_NAMES = ["kind", "part", "owner", "pos", "doc_id", "sha", "rank", "twice", "code", "text_hash"]
 
 
 def _batch(columns: list) -> pa.RecordBatch:
@@ -118,23 +119,23 @@ def _answer(codes: pd.DataFrame) -> pd.DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_hash (of the text as it is).
 
     Null texts are empty texts. Of rows with equal texts the one with the largest
     id stays (null ids are smallest); if that id is repeated, one of its rows
     stays. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"), F.xxhash64(whole(text_col)).alias("text_hash"))
     id_field = T.StructField("doc_id", rows.schema["doc_id"].dataType)
     owners = max(16, -(-docs.count() // ROWS_AN_OWNER))
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("owner", T.IntegerType()), T.StructField("pos", T.IntegerType()), id_field, T.StructField("sha", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("twice", T.BooleanType()), T.StructField("code", T.BinaryType())])
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("owner", T.IntegerType()), T.StructField("pos", T.IntegerType()), id_field, T.StructField("sha", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("twice", T.BooleanType()), T.StructField("code", T.BinaryType()), T.StructField("text_hash", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_type
 
     table = written(rows.mapInArrow(_fingerprint(owners, to_arrow_type(id_field.dataType)), schema), "fingerprints", "kind")
     codes = table.where("kind = 1").select("part", "owner", "code")
     bitmaps = codes.groupBy("owner").applyInPandas(_answer, "part long, owner int, bitmap binary")
-    marked = table.where("kind = 0").select("part", "owner", "pos", "doc_id", "sha", "rank", "twice")
+    marked = table.where("kind = 0").select("part", "owner", "pos", "doc_id", "sha", "rank", "twice", "text_hash")
     bit = "shiftright(cast(conv(hex(substring(bitmap, rank div 8 + 1, 1)), 16, 10) as int), 7 - rank % 8) & 1"
     suspects = written(
         marked.join(bitmaps, ["part", "owner"], "left").where(F.col("twice") | F.coalesce(F.expr(bit) == 1, F.lit(False))).select("part", "pos", "doc_id", "sha"),
@@ -142,13 +143,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     # Byte for byte: the suspects' texts are grouped by their own bytes.
     ids = suspects.select(F.col("doc_id").alias("suspect_id")).distinct()
-    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
+    # The hint keeps the plan the same at every size: below the broadcast limit, too, the suspects' ids aren't sent to all.
+    texts = rows.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     same = texts.select(F.translate("text", upper, lower).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("same_bytes")).select(F.sha2("text", 256).alias("sha"), "same_bytes")
     classes = suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "part", "pos")).alias("keep"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1").join(same, "sha")
     classes = classes.select(
         "sha", "keep", F.when(F.col("same_bytes") == F.col("group_size"), F.col("group_size")).otherwise(F.raise_error(F.lit("texts with one SHA-256 differ in their bytes")).cast("long")).alias("group_size")
     )
+    # A table of its own, so that the join may split the rows of a large class among tasks.
+    classes = written(classes, "classes")
     alone = F.col("keep").isNull()
     return marked.join(classes, "sha", "left").select(
         "doc_id",
@@ -156,4 +160,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (alone | ((F.col("keep.part") == F.col("part")) & (F.col("keep.pos") == F.col("pos")))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "text_hash",
     )
