@@ -30,7 +30,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
