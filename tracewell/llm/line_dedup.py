@@ -25,12 +25,11 @@ def line_hash(line: Column) -> Column:
 def chunks_of(text: Column, mean_lines: int) -> Column:
     """The text as array<struct<first, n_lines, body>>; the bodies joined by line feeds give the text again."""
     lines = F.split(text, "\n")
-    hashes = F.transform(lines, line_hash)
     once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  binds a value once
     rolled = lambda hs: F.transform(hs, lambda h, i: (h + F.coalesce(F.get(hs, i - 1), F.lit(0)) * 31) % PRIME)
     ends = lambda hs: F.filter(F.sequence(F.lit(0), F.size(hs) - 1), lambda i: (F.get(hs, i) % mean_lines == 0) | (i == F.size(hs) - 1))
     cut = lambda ls, es: F.transform(es, lambda e, j: once(F.when(j == 0, F.lit(0)).otherwise(F.get(es, j - 1) + 1), lambda s: F.struct(s.alias("first"), (e - s + 1).alias("n_lines"), F.array_join(F.slice(ls, s + 1, e - s + 1), "\n").alias("body"))))
-    return once(F.struct(lines.alias("lines"), rolled(hashes).alias("rolled")), lambda t: once(ends(t["rolled"]), lambda es: cut(t["lines"], es)))
+    return once(lines, lambda ls: once(F.transform(ls, line_hash), lambda hs: once(rolled(hs), lambda rs: once(ends(rs), lambda es: cut(ls, es)))))
 
 
 def line_dedup(docs: DataFrame, mean_lines: int = 4, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,8 +45,11 @@ def line_dedup(docs: DataFrame, mean_lines: int = 4, least_lines: int = 2, id_co
     every = base.select("doc_id", "of", F.posexplode(chunks_of(F.col("text"), mean_lines)).alias("place", "chunk"))
     several = every.where(F.col("chunk.n_lines") >= least_lines).select("doc_id", "of", "place", F.col("chunk.body").alias("body"), F.xxhash64("chunk.body").alias("print"))
     again = several.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    # Tables of their own, so that the joins may split the occurrences of a frequent chunk among tasks.
+    again = written(again, "again")
     occurrences = written(several.join(again, "print", "left_semi"), "chunks")
     first = occurrences.groupBy("print", "body").agg(F.min(F.struct("doc_id", "of", "place")).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = written(first, "first")
     going = occurrences.join(first, ["print", "body"]).where(F.struct("doc_id", "of", "place") != F.col("stays")).groupBy("doc_id", "of").agg(F.collect_set("place").alias("gone"))
     going = going.withColumnsRenamed({"doc_id": "going_id", "of": "going_of"})
     marked = base.join(going, F.col("doc_id").eqNullSafe(F.col("going_id")) & (F.col("of") == F.col("going_of")), "left")
