@@ -10,7 +10,7 @@ again by their next 12 bits. A smaller budget's documents are within a larger on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +43,10 @@ def mix_targets(sources: DataFrame, weights: tuple[int, ...], share: float, most
     return one.withColumn("shared", level["level"] * F.col("weight")).select("source", "source_size", F.when(F.col("shared").isNull() | (F.col("shared") > F.col("stop")), F.col("stop")).otherwise(F.col("shared")).alias("target"))
 
 
+def mix_hash(doc_id: Column, text: Column, seed: int = 17) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 64 - HASH_BITS)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken, mix_hash.
 
@@ -58,7 +62,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - HASH_BITS).alias("mix_hash"),
+            mix_hash(F.col(id_col), F.col(text_col), seed).alias("mix_hash"),
         ),
         "sized",
     )
