@@ -2,5 +2,527 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import adapt
+from .functions import values as V
+from .functions import web
+from .operators import filters, graph, joins, reads, sequences
+from .operators.filters import Context
+from .plans import baseline, findings, rules
+from .schema import Settings
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _filtered(name: str, table: str, columns: list[str], cond: dict, sql: str) -> None:
+    """A query of one condition tree over one table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = adapt.read(spark, sf_dir, table)
+        return df.where(filters.tree(cond, Context.of(df, table))).select(*columns)
+
+    query(f"SELECT {', '.join(columns)} FROM {table} WHERE {sql}", name)(run)
+
+
+_filtered("filter_eq_ci", "customer", ["c_custkey"], {"c_mktsegment": "building"}, "coalesce(lower(c_mktsegment) = 'building', false)")
+_filtered("filter_ne_null", "orders", ["o_orderkey"], {"o_orderpriority|ne": "1-urgent"}, "NOT coalesce(lower(o_orderpriority) = '1-urgent', false)")
+_filtered("filter_in_mixed", "orders", ["o_orderkey"], {"any_of": [{"o_custkey|in": [7, "11", 130]}, {"o_orderstatus|in": "f, p"}]}, "o_custkey IN (7, 11, 130) OR lower(o_orderstatus) IN ('f', 'p')")
+_filtered("filter_nin", "orders", ["o_orderkey"], {"o_orderstatus|nin": ["F", "o"]}, "NOT coalesce(lower(o_orderstatus) IN ('f', 'o'), false)")
+_filtered("filter_contains_any", "documents", ["doc_id"], {"text|contains": ["licensed under", "token ="]}, "contains(lower(text), 'licensed under') OR contains(lower(text), 'token =')")
+_filtered("filter_contains_all", "documents", ["doc_id"], {"text|contains_all": ["THE", "and", "of"]}, "contains(lower(text), 'the') AND contains(lower(text), 'and') AND contains(lower(text), 'of')")
+_filtered("filter_not_contains", "documents", ["doc_id"], {"text|not_contains": ["the", "de"]}, "NOT coalesce(contains(lower(text), 'the') OR contains(lower(text), 'de'), false)")
+_filtered("filter_prefix_suffix", "part", ["p_partkey"], {"p_brand|startswith": "BRAND#1", "p_type|endswith": ["A", "L", "r"]}, "starts_with(lower(p_brand), 'brand#1') AND (ends_with(lower(p_type), 'a') OR ends_with(lower(p_type), 'l') OR ends_with(lower(p_type), 'r'))")
+_filtered("filter_not_prefix", "part", ["p_partkey"], {"p_brand|not_startswith": "brand#1", "p_type|not_endswith": "r"}, "NOT coalesce(starts_with(lower(p_brand), 'brand#1'), false) AND NOT coalesce(ends_with(lower(p_type), 'r'), false)")
+_filtered("filter_cs", "part", ["p_partkey"], {"any_of": [{"p_brand|startswith_cs": "Brand#2"}, {"p_brand|endswith_cs": "5"}, {"p_brand|contains_cs": "#3"}]}, "starts_with(p_brand, 'Brand#2') OR ends_with(p_brand, '5') OR contains(p_brand, '#3')")
+_filtered("filter_regex_ci", "part", ["p_partkey"], {"p_brand|re": "^brand#[1-3][45]$"}, "coalesce(regexp_matches(p_brand, '^brand#[1-3][45]$', 'i'), false)")
+_filtered("filter_regex_cs", "part", ["p_partkey"], {"p_brand|re_cs": "^B.*[24]$", "not": {"p_brand|re_cs": "^b"}}, "coalesce(regexp_matches(p_brand, '^B.*[24]$'), false)")
+_filtered("filter_not_re", "part", ["p_partkey"], {"p_brand|not_re": "[12]$"}, "NOT coalesce(regexp_matches(p_brand, '[12]$'), false)")
+_filtered("filter_numeric_cmp", "lineitem", ["l_orderkey", "l_linenumber"], {"l_quantity|gt": 45, "l_discount|lte": "0.03", "l_linenumber|gte": "0x3", "l_tax|lt": 0.05}, "l_quantity > 45 AND l_discount <= 0.03 AND l_linenumber >= 3 AND l_tax < 0.05")
+_filtered("filter_exists_empty", "events", ["event_id"], {"props|exists": True, "any_of": [{"value|empty": True}, {"event_type|exists": True}]}, "props IS NOT NULL AND props <> '' AND (value IS NULL OR (event_type IS NOT NULL AND event_type <> ''))")
+_filtered("filter_length", "documents", ["doc_id"], {"text|length": "< 500", "lang|length": 2}, "length(text) < 500 AND length(lang) = 2")
+_filtered("filter_levenshtein", "supplier", ["s_suppkey"], {"s_name|levenshtein": ["supplier#000000012", 1]}, "levenshtein(lower(s_name), 'supplier#000000012') <= 1")
+_filtered("filter_tree", "orders", ["o_orderkey"], {"any_of": [{"o_orderstatus": "F"}, {"all_of": [{"o_orderpriority|startswith": "2"}, {"not": {"o_orderstatus": "P"}}]}], "any_of_2": [{"o_totalprice|gt": 100000}, {"o_custkey|lt": 50}]}, "(o_orderstatus = 'F' OR (starts_with(o_orderpriority, '2') AND NOT o_orderstatus = 'P')) AND (o_totalprice > 100000 OR o_custkey < 50)")
+
+_MS = "epoch_us(ts) // 1000"
+_EVENTS = f"SELECT event_id AS id, {_MS} AS ts, user_id AS \"user\", event_type AS eventType, value, props AS data FROM events"
+
+
+def _events_query(name: str, sql: str):
+    def keep(f: Callable[[DataFrame, Context], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = adapt.events(spark, sf_dir)
+            return f(df, Context("events", df.schema, Settings(tz="Europe/Madrid")))
+
+        query(f"WITH e AS ({_EVENTS}) {sql}", name)(run)
+        return f
+
+    return keep
+
+
+@_events_query("filter_json_path", "SELECT id, CAST(json_extract_string(data, '$.k') AS BIGINT) AS k FROM e WHERE coalesce(TRY_CAST(json_extract_string(data, '$.k') AS DOUBLE) >= 50, false)")
+def _(df, ctx):
+    return df.where(filters.tree({"data.k|gte": 50}, ctx)).select("id", V.json_field(F.col("data"), "k").cast("long").alias("k"))
+
+
+@_events_query("filter_hour_range_tz", "SELECT id FROM e WHERE NOT (hour(timezone('Europe/Madrid', to_timestamp(ts / 1000.0))) BETWEEN 6 AND 21)")
+def _(df, ctx):
+    return df.where(filters.search_filter({"hourRange": {"from": 22, "to": 6}}, ctx)).select("id")
+
+
+@_events_query("filter_weekend", "SELECT id FROM e WHERE dayofweek(timezone('Europe/Madrid', to_timestamp(ts / 1000.0))) IN (0, 6)")
+def _(df, ctx):
+    return df.where(V.weekday(F.col("ts"), ctx.settings.tz).isin(0, 6)).select("id")
+
+
+@_events_query("search_page", "SELECT id, ts, eventType FROM e WHERE (lower(eventType) = 'error' OR value > 90) AND ts >= 1704672000000 ORDER BY ts DESC NULLS LAST, id DESC LIMIT 51 OFFSET 25")
+def _(df, ctx):
+    f = {"conditions": [{"field": "eventType", "op": "eq", "value": "ERROR"}, {"field": "value", "op": "gt", "value": 90}], "logic": "or", "timeRange": {"from": 1704672000000}}
+    return reads.search(df, ctx, f, limit=50, offset=25, columns=["id", "ts", "eventType"])
+
+
+@_events_query("keyset_page", "SELECT id, ts FROM e WHERE id > 4000 ORDER BY id LIMIT 100")
+def _(df, ctx):
+    return reads.keyset_page(df.select("id", "ts"), 4000, 100)
+
+
+@_events_query("count_filtered", "SELECT count(*) AS n FROM e WHERE contains(lower(data), '7')")
+def _(df, ctx):
+    return reads.count(df, ctx, {"text": "7"})
+
+
+@_events_query("aggregate_first_last", "SELECT eventType AS value, count(*) AS n, min(ts) AS first, max(ts) AS last FROM e GROUP BY eventType")
+def _(df, ctx):
+    return reads.aggregate(df, ctx, "eventType")
+
+
+@_events_query("aggregate_totals", "SELECT count(*) AS total, count(DISTINCT \"user\") AS distinct_values FROM e WHERE eventType IN ('error', 'view')")
+def _(df, ctx):
+    return reads.totals(df, ctx, "user", {"conditions": [{"field": "eventType", "op": "in", "value": ["error", "view"]}]})
+
+
+@_events_query("facets", "SELECT CAST(\"user\" AS VARCHAR) AS value, count(*) AS n, min(ts) AS first, max(ts) AS last FROM e GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+def _(df, ctx):
+    return reads.facets(df, ctx, "user", 20)
+
+
+@_events_query("timeline_hour", "SELECT ts // 3600000 * 3600000 AS bucket, count(*) AS n FROM e GROUP BY 1")
+def _(df, ctx):
+    return reads.timeline(df, ctx, "hour")
+
+
+@_events_query("timeline_day", "SELECT ts // 86400000 * 86400000 AS bucket, count(*) AS n FROM e WHERE lower(eventType) = 'error' GROUP BY 1")
+def _(df, ctx):
+    return reads.timeline(df, ctx, "day", {"conditions": [{"field": "eventType", "op": "eq", "value": "error"}]})
+
+
+@_events_query("pivot_counts", "SELECT unnest(['eventType', 'user', 'data']) AS field, unnest([count(*) FILTER (contains(lower(eventType), '1')), count(*) FILTER (contains(CAST(\"user\" AS VARCHAR), '1')), count(*) FILTER (contains(lower(data), '1'))]) AS n FROM e")
+def _(df, ctx):
+    return reads.pivot(df, ctx, "1", ["eventType", "user", "data"])
+
+
+@_events_query("top_events", "SELECT eventType, count(*) AS n FROM e WHERE contains(CAST(\"user\" AS VARCHAR), '3') OR contains(lower(data), '3') GROUP BY 1 ORDER BY n DESC, eventType LIMIT 3")
+def _(df, ctx):
+    return reads.top_events(df, ctx, "3", ["user", "data"], "eventType", 3)
+
+
+@_events_query("summary", "SELECT count(*) AS n, min(ts) AS first, max(ts) AS last, count(DISTINCT \"user\") AS keys FROM e")
+def _(df, ctx):
+    return reads.summary(df, ctx, "user")
+
+
+_SPREAD = "SELECT p_type AS value, count(*) AS n, count(DISTINCT o_custkey) AS hosts, min(epoch_us(o_orderdate) // 1000) AS first, max(epoch_us(o_orderdate) // 1000) AS last FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY p_type"
+
+
+def _spread(spark: SparkSession, sf_dir: str, order: str) -> DataFrame:
+    lines, orders, parts = (adapt.read(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey).select("p_type", "o_custkey", adapt.millis("o_orderdate").alias("ts"))
+    return reads.stack(rows, F.col("p_type"), F.col("o_custkey").cast("string"), F.col("ts"), order, 40, case_sensitive=True).drop("host_names")
+
+
+@query(f"{_SPREAD} ORDER BY hosts, n, value LIMIT 40")
+def stack_rare(spark, sf_dir):
+    return _spread(spark, sf_dir, "rare")
+
+
+@query(f"{_SPREAD} ORDER BY hosts DESC, n DESC, value LIMIT 40")
+def stack_common(spark, sf_dir):
+    return _spread(spark, sf_dir, "common")
+
+
+@query("SELECT t.p AS value, count(*) AS n, min(d) AS first, max(d) AS last FROM (SELECT unnest(list_distinct(list(o_orderpriority))) AS p, o_custkey, min(epoch_us(o_orderdate) // 1000) AS d FROM orders GROUP BY o_custkey) t GROUP BY 1")
+def aggregate_unnest(spark, sf_dir):
+    df = adapt.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("flags"), F.min(adapt.millis("o_orderdate")).alias("date"))
+    return reads.aggregate(df, Context("mails", df.schema, Settings()), "flags")
+
+
+def _priorities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Context]:
+    df = adapt.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("flags"))
+    return df, Context("mails", df.schema, Settings())
+
+
+_BY_CUSTOMER = "WITH c AS (SELECT o_custkey, list_distinct(list(lower(o_orderpriority))) AS flags FROM orders GROUP BY o_custkey) SELECT o_custkey FROM c WHERE "
+
+
+@query(_BY_CUSTOMER + "list_has_any(flags, ['1-urgent', '5-low']) AND len(flags) < 5")
+def filter_list_any(spark, sf_dir):
+    df, ctx = _priorities(spark, sf_dir)
+    return df.where(filters.tree({"flags|in": ["1-URGENT", "5-LOW"], "flags|length": "< 5"}, ctx)).select("o_custkey")
+
+
+@query(_BY_CUSTOMER + "list_has_all(flags, ['1-urgent', '2-high']) AND NOT list_has_any(flags, ['5-low'])")
+def filter_list_all(spark, sf_dir):
+    df, ctx = _priorities(spark, sf_dir)
+    return df.where(filters.tree({"flags|contains_all": ["1-Urgent", "2-High"], "flags|not_contains": ["5-Low"]}, ctx)).select("o_custkey")
+
+
+@query("SELECT o_orderkey AS id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_returnflag = 'R') AND o_orderstatus = 'F'")
+def child_exists(spark, sf_dir):
+    case = adapt.case(spark, sf_dir)
+    return filters.where(case["mails"], {"attachments.category": "r", "spf": "F"}, "mails", case).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_quantity > 20)")
+def child_not_exists(spark, sf_dir):
+    case = adapt.case(spark, sf_dir)
+    big = case["attachments"].where("size > 20")
+    case.tables["attachments"] = big.withColumn("size", F.lit("big"))
+    return filters.where(case["mails"], {"attachments.size|ne": "big"}, "mails", case).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders o WHERE o_orderstatus = 'P' OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_returnflag = 'N')")
+def child_in_any_of(spark, sf_dir):
+    case = adapt.case(spark, sf_dir)
+    return filters.where(case["mails"], {"any_of": [{"spf": "P"}, {"attachments.category|ne": "n"}]}, "mails", case).select("id")
+
+
+# --- indicators, links, text ---------------------------------------------------
+
+_IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
+_HEX = r"\b[0-9a-f]{40}\b"
+_IOCS = f"""SELECT 'ip' AS kind, lower(v) AS value, count(*) AS count, min(doc_id) AS "firstSeen", max(doc_id) AS "lastSeen" FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_IP}')) AS v FROM documents) GROUP BY 2
+UNION ALL SELECT 'hash', lower(v), count(*), min(doc_id), max(doc_id) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_HEX}')) AS v FROM documents) GROUP BY 2"""
+
+
+def _iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapt.read(spark, sf_dir, "documents")
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    return reads.indicators_of(docs, {"ip": found(_IP), "hash": found(_HEX)}, F.col("doc_id"), "documents")
+
+
+@query(_IOCS)
+def ioc_extract(spark, sf_dir):
+    return _iocs(spark, sf_dir).drop("sources")
+
+
+@query(f'SELECT kind, value, count, "firstSeen" AS first, "lastSeen" AS last FROM ({_IOCS}) WHERE kind = \'ip\'')
+def ioc_list(spark, sf_dir):
+    return reads.indicator_list(_iocs(spark, sf_dir), kind="ip").drop("sources")
+
+
+@query(f"""WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_IP}')) AS ip FROM documents), n AS (SELECT *, string_split(ip, '.') AS p FROM v)
+SELECT doc_id, ip FROM n WHERE (p[1]::BIGINT * 16777216 + p[2]::BIGINT * 65536 + p[3]::BIGINT * 256 + p[4]::BIGINT) BETWEEN 2147483648 AND 3221225471 OR ip = '10.0.0.1'""")
+def filter_cidr_v4(spark, sf_dir):
+    docs = adapt.read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_IP), F.lit(0))).alias("ip"))
+    return docs.where(filters.tree({"ip|in_setting": "internal_ips"}, Context("addresses", docs.schema, Settings(lists={"internal_ips": ["128.0.0.0/2", "10.0.0.1", "fe80::/10"]})))).select("doc_id", "ip")
+
+
+@query("""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, lower(regexp_extract(url, '^([a-z]+):', 1)) AS scheme, coalesce(regexp_matches(url, '%[0-9A-Fa-f]{2}'), false) AS encoded, starts_with(lower(url), 'http://') AS plain,
+CASE WHEN contains(url, '#') THEN list_last(string_split(url, '#')) END AS fragment FROM pages""")
+def url_features(spark, sf_dir):
+    pages = adapt.read(spark, sf_dir, "pages")
+    flags = web.url_flags(F.col("url"))
+    return pages.select("page_id", web.host_of(F.col("url")).alias("host"), web.scheme_of(F.col("url")).alias("scheme"), F.array_contains(flags, "encoded").alias("encoded"), F.array_contains(flags, "plain-http").alias("plain"), web.fragment_of(F.col("url")).alias("fragment"))
+
+
+@query("SELECT page_id, replace(regexp_replace(url, '^http', 'hxxp'), '.', '[.]') AS defanged, url AS again FROM pages")
+def url_defang(spark, sf_dir):
+    return adapt.read(spark, sf_dir, "pages").select("page_id", web.defang(F.col("url")).alias("defanged"), web.refang(web.defang(F.col("url"))).alias("again"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return adapt.read(spark, sf_dir, "pages").select("page_id", web.html_text(F.col("html")).alias("text"))
+
+
+# --- rules ---------------------------------------------------------------------
+
+H = 3_600_000
+_BURSTS = """
+, f AS (SELECT * FROM e WHERE {where}),
+s0 AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY "user" ORDER BY ts, id) > {w} THEN 1 ELSE 0 END AS cut FROM f),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY "user" ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS session FROM s0),
+c AS (SELECT *, {size} OVER (PARTITION BY "user", session ORDER BY ts RANGE BETWEEN {w} PRECEDING AND CURRENT ROW) AS n FROM s),
+t AS (SELECT "user", session, min(ts) AS trigger FROM c WHERE n >= {n} GROUP BY ALL),
+b AS (SELECT c."user" AS "user", c.session, min(ts) AS start, max(ts) AS "end", count(*) AS count FROM c JOIN t ON c."user" = t."user" AND c.session = t.session WHERE ts >= trigger - {w} GROUP BY ALL)
+"""
+
+
+def _found(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("key", "ts", "tsEnd", "count", "severity", *more)
+
+
+def _rule(**parts) -> dict:
+    return {"id": "r", "title": "t", "severity": "medium", "source": "events"} | parts
+
+
+def _rule_query(name: str, rule: dict, sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _found(rules.run_rule(rule, adapt.case(spark, sf_dir)).findings)
+
+    query(f"WITH e AS ({_EVENTS}) {sql}", name)(run)
+
+
+_KEY = "'r|' || CAST(\"user\" AS VARCHAR)"
+_rule_query("rule_per_row", _rule(where={"eventType": "error", "value|gt": 95}, exclude={"user|lt": 20}, collapse_after=100_000, max_findings=100_000), "SELECT 'r|' || CAST(id AS VARCHAR) AS key, ts, ts AS \"tsEnd\", 1::BIGINT AS count, 'medium' AS severity FROM e WHERE eventType = 'error' AND value > 95 AND NOT \"user\" < 20")
+_rule_query("rule_exclude", _rule(where={"eventType|in": ["error", "signup"]}, exclude={"eventType": "signup"}, group_by=["user"], threshold=">= 15"), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'error' GROUP BY \"user\" HAVING count(*) >= 15")
+_rule_query("rule_grouped", _rule(where={"eventType": "purchase"}, group_by=["user"], threshold=18), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'purchase' GROUP BY \"user\" HAVING count(*) >= 18")
+_rule_query("rule_distinct", _rule(where={"value|gt": 80}, group_by=["user"], distinct="eventType", threshold=">= 5"), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE value > 80 GROUP BY \"user\" HAVING count(DISTINCT eventType) >= 5")
+_rule_query("rule_any_in_group", _rule(where={"eventType": "click"}, group_by=["user"], threshold=12, any_in_group={"value|gt": 99}), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'click' GROUP BY \"user\" HAVING count(*) >= 12 AND bool_or(value > 99)")
+_rule_query("rule_time", _rule(where={"eventType": "error"}, time={"outside_business_hours": True, "weekend": True}, group_by=["user"], threshold=8), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'error' AND (NOT hour(timezone('UTC', to_timestamp(ts / 1000.0))) BETWEEN 8 AND 18 OR dayofweek(timezone('UTC', to_timestamp(ts / 1000.0))) IN (0, 6)) GROUP BY \"user\" HAVING count(*) >= 8")
+_rule_query("rule_collapse", _rule(where={"eventType": "error"}, entities=["user"], collapse_after=50), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'error' GROUP BY \"user\"")
+_rule_query("rule_cap_rarest", _rule(where={"eventType": "view"}, group_by=["user"], threshold="< 14", max_findings=10), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'view' GROUP BY \"user\" HAVING count(*) < 14 ORDER BY count, key LIMIT 10")
+_rule_query("rule_cap_largest", _rule(where={"eventType": "view"}, group_by=["user"], threshold=10, max_findings=10), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'view' GROUP BY \"user\" HAVING count(*) >= 10 ORDER BY count DESC, key LIMIT 10")
+_BURST_KEY = "'r|' || CAST(\"user\" AS VARCHAR) || '|' || CAST(start // 60000 AS VARCHAR)"
+_rule_query("rule_burst", _rule(where={"eventType": "error"}, group_by=["user"], window="1d", threshold=">= 3"), _BURSTS.format(where="eventType = 'error'", w=24 * H, size="count(*)", n=3) + f"SELECT {_BURST_KEY} AS key, start AS ts, \"end\" AS \"tsEnd\", count, 'medium' AS severity FROM b")
+_rule_query("rule_burst_distinct", _rule(where={"user|exists": True}, group_by=["user"], window="12h", distinct="eventType", threshold=">= 3"), _BURSTS.format(where="true", w=12 * H, size="count(DISTINCT eventType)", n=3) + f"SELECT {_BURST_KEY} AS key, start AS ts, \"end\" AS \"tsEnd\", count, 'medium' AS severity FROM b")
+
+THEN = _rule(where={"eventType": "error"}, group_by=["user"], window="1d", threshold=">= 3", then={"where": {"eventType": "purchase"}, "join": ["user"], "within": "12h", "severity": "critical", "title": "bought"})
+_rule_query(
+    "rule_then", THEN,
+    _BURSTS.format(where="eventType = 'error'", w=24 * H, size="count(*)", n=3)
+    + f", h AS (SELECT b.\"user\", session, min(e.ts) AS hit FROM b JOIN e ON e.\"user\" = b.\"user\" AND e.eventType = 'purchase' AND e.ts BETWEEN start AND \"end\" + {12 * H} GROUP BY ALL) "
+    "SELECT 'r|' || CAST(b.\"user\" AS VARCHAR) || '|' || CAST(start // 60000 AS VARCHAR) AS key, start AS ts, greatest(\"end\", coalesce(hit, \"end\")) AS \"tsEnd\", count, CASE WHEN hit IS NULL THEN 'medium' ELSE 'critical' END AS severity FROM b LEFT JOIN h ON h.\"user\" = b.\"user\" AND h.session = b.session",
+)
+
+
+@_events_query("rule_funnel", "SELECT count(*) AS rows, count(*) FILTER (eventType = 'error') AS meet_where, count(*) FILTER (eventType = 'error' AND NOT value > 50) AS not_excluded, count(*) FILTER (eventType = 'error' AND NOT value > 50 AND dayofweek(timezone('UTC', to_timestamp(ts / 1000.0))) IN (0, 6)) AS in_time FROM e")
+def _(df, ctx):
+    from .schema import Case
+
+    return rules.diagnose(_rule(where={"eventType": "error"}, exclude={"value|gt": 50}, time={"weekend": True}), Case({"events": df}))
+
+
+@_events_query("rule_groups_beside", "SELECT eventType, count(*) AS n, count(*) OVER () AS groups FROM e GROUP BY eventType")
+def _(df, ctx):
+    return rules.groups_beside(df, ["eventType"])
+
+
+# --- joins in time, sequences -----------------------------------------------------
+
+_ERR_BUY = "x AS (SELECT * FROM e WHERE eventType = 'error'), y AS (SELECT \"user\", ts, max(id) AS id FROM e WHERE eventType = 'purchase' GROUP BY ALL)"
+
+
+def _two(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    buys = df.where("eventType = 'purchase'").groupBy("user", "ts").agg(F.max("id").alias("pid"))
+    return df.where("eventType = 'error'").select("id", "user", "ts"), buys
+
+
+@_events_query("asof_backward", f", {_ERR_BUY} SELECT x.id AS id, y.ts AS r_ts, y.id AS r_pid FROM x ASOF LEFT JOIN y ON x.\"user\" = y.\"user\" AND x.ts >= y.ts")
+def _(df, ctx):
+    errors, buys = _two(df)
+    return joins.asof(errors, buys, ["user"], "ts", "ts", ["pid"]).select("id", "r_ts", "r_pid")
+
+
+@_events_query("asof_forward", f", {_ERR_BUY} SELECT x.id AS id, y.ts AS r_ts, y.id AS r_pid FROM x ASOF LEFT JOIN y ON x.\"user\" = y.\"user\" AND x.ts <= y.ts")
+def _(df, ctx):
+    errors, buys = _two(df)
+    return joins.asof(errors, buys, ["user"], "ts", "ts", ["pid"], "forward").select("id", "r_ts", "r_pid")
+
+
+@_events_query("nearest_time", f""", {_ERR_BUY}, b AS (SELECT x.id, x.ts, y.ts AS b FROM x ASOF LEFT JOIN y ON x."user" = y."user" AND x.ts >= y.ts), f AS (SELECT x.id, y.ts AS f FROM x ASOF LEFT JOIN y ON x."user" = y."user" AND x.ts <= y.ts)
+SELECT b.id AS id, CASE WHEN b IS NULL OR f - ts < ts - b THEN f ELSE b END AS n_ts FROM b JOIN f ON b.id = f.id""")
+def _(df, ctx):
+    errors, buys = _two(df)
+    return joins.nearest(errors, buys, ["user"], "ts", "ts", ["pid"]).select("id", "n_ts")
+
+
+@_events_query("band_join", f", {_ERR_BUY} SELECT x.id AS id, y.id AS r_pid FROM x JOIN y ON x.\"user\" = y.\"user\" AND y.ts BETWEEN x.ts - {H} AND x.ts + {6 * H}")
+def _(df, ctx):
+    errors, buys = _two(df)
+    return joins.band(errors, buys, ["user"], "ts", "ts", H, 6 * H).select("id", "r_pid")
+
+
+@query("SELECT c_custkey, max(o_totalprice) AS best FROM customer JOIN orders ON c_custkey = o_custkey OR c_nationkey = o_orderkey GROUP BY 1")
+def or_join_union(spark, sf_dir):
+    c, o = adapt.read(spark, sf_dir, "customer"), adapt.read(spark, sf_dir, "orders")
+    return joins.union_of_keys(c, o, [(F.col("c_custkey"), F.col("o_custkey")), (F.col("c_nationkey").cast("long"), F.col("o_orderkey"))], "c_custkey", F.col("o_totalprice"), "best")
+
+
+@_events_query("gap_sessions", f""", a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY "user" ORDER BY ts, id) > {6 * H} THEN 1 ELSE 0 END AS cut FROM e), s AS (SELECT *, sum(cut) OVER (PARTITION BY "user" ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS session FROM a)
+SELECT "user", CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first, max(ts) AS last FROM s GROUP BY "user", session""")
+def _(df, ctx):
+    return sequences.gap_sessions(df, ["user"], "ts", 6 * H).groupBy("user", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@_events_query("interval_merge", f""", i AS (SELECT "user", ts AS a, ts + {2 * H} AS b FROM e WHERE eventType = 'view'), n AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY "user" ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM i), g AS (SELECT *, sum(fresh) OVER (PARTITION BY "user" ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM n)
+SELECT "user", min(a) AS a, max(b) AS b, count(*) AS n FROM g GROUP BY "user", k""")
+def _(df, ctx):
+    rows = df.where("eventType = 'view'").select("user", F.col("ts").alias("a"), (F.col("ts") + 2 * H).alias("b"))
+    return sequences.merged_intervals(rows, ["user"], "a", "b")
+
+
+@query("SELECT o_custkey, o_orderkey AS after, nxt AS before, nxt - o_orderkey - 1 AS missing FROM (SELECT *, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders) WHERE nxt - o_orderkey > 1")
+def record_holes(spark, sf_dir):
+    return sequences.record_holes(adapt.read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey")
+
+
+@query(f"WITH e AS ({_EVENTS}), s AS (SELECT id % 4 AS log, id // 4 AS rec, ts, lag(ts) OVER w - ts AS step, id // 4 - lag(id // 4) OVER w AS apart FROM e WINDOW w AS (PARTITION BY id % 4 ORDER BY id // 4)) SELECT log, rec AS record, step FROM s WHERE step > 1000 AND apart = 1")
+def backward_steps(spark, sf_dir):
+    df = adapt.events(spark, sf_dir).select((F.col("id") % 4).alias("log"), F.expr("id div 4").alias("rec"), "ts")
+    return sequences.backward_steps(df, ["log"], "rec", "ts")
+
+
+@_events_query("accrued", f""", w AS (SELECT *, (SELECT count(DISTINCT eventType) FROM e x WHERE x."user" = e."user" AND x.ts BETWEEN e.ts - {6 * H} AND e.ts) AS n FROM e) SELECT id FROM w a WHERE EXISTS (SELECT 1 FROM w b WHERE b."user" = a."user" AND b.ts BETWEEN a.ts AND a.ts + {6 * H} AND b.n >= 3)""")
+def _(df, ctx):
+    return sequences.accrued(df, ["user"], "ts", "eventType", "eventType", 6 * H, 3, 3, 3).select("id")
+
+
+@query()
+def auth_campaign_greedy(spark, sf_dir):
+    return sequences.auth_campaigns(adapt.events(spark, sf_dir), "user", F.col("eventType") == "error", F.col("eventType") == "purchase", 24 * H, 3)
+
+
+@query()
+def story_score_dp(spark, sf_dir):
+    phase = (F.col("id") % 15).cast("int").alias("phase")
+    per = adapt.events(spark, sf_dir).groupBy("user", F.expr(f"ts div {24 * H}").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "id", phase, F.col("value").alias("weight")))).alias("s"))
+    steps = F.transform("s", lambda x: F.struct(x["phase"].alias("phase"), x["weight"].alias("weight")))
+    return per.select("user", "day", F.size("s").alias("steps"), F.round(sequences.heaviest_run(steps), 4).alias("score"))
+
+
+# --- baselines, campaigns, graph --------------------------------------------------
+
+_O = "SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS date, CAST(o_custkey AS VARCHAR) AS addr, o_orderstatus AS spf, o_orderpriority AS subject FROM orders"
+
+
+@query(f"WITH o AS ({_O}), h AS (SELECT *, row_number() OVER (PARTITION BY addr ORDER BY date, id) - 1 AS p, min(date) OVER (PARTITION BY addr) AS first_seen FROM o) SELECT id, p AS prior_count, first_seen, CASE WHEN p = 0 THEN 'new' WHEN p < 5 THEN 'rare' ELSE 'common' END AS prevalence FROM h")
+def sender_baseline(spark, sf_dir):
+    return baseline.sender_history(adapt.mails(spark, sf_dir), "fromAddr", "date").select("id", "prior_count", "first_seen", "prevalence")
+
+
+@query(f"WITH o AS ({_O}) SELECT id FROM (SELECT *, sum(CASE WHEN spf = 'O' THEN 1 ELSE 0 END) OVER (PARTITION BY addr ORDER BY date, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good FROM o) WHERE spf = 'F' AND good >= 3")
+def auth_regression(spark, sf_dir):
+    return baseline.auth_regression(adapt.mails(spark, sf_dir), "fromAddr", "date", F.col("spf") == "O", F.col("spf") == "F").where("regression").select("id")
+
+
+@query(f"""WITH o AS ({_O}), m AS (SELECT *, CAST(CAST(addr AS BIGINT) % 100 + 1 AS VARCHAR) AS rcpt FROM o), c AS (SELECT rcpt, min(date) AS t FROM m WHERE spf = 'F' GROUP BY 1), a AS (SELECT min(t) AS t FROM c)
+SELECT id, CASE WHEN a.t >= date THEN NULL ELSE coalesce(c.t < date, false) END AS solicited FROM m LEFT JOIN c ON m.addr = c.rcpt CROSS JOIN a""")
+def solicited(spark, sf_dir):
+    mails = adapt.mails(spark, sf_dir).withColumn("toList", F.array((F.col("fromAddr").cast("long") % 100 + 1).cast("string")))
+    return baseline.solicited(mails, "fromAddr", "date", "toList", F.col("spf") == "F").select("id", "solicited")
+
+
+_SKELETON = r"trim(regexp_replace(regexp_replace(lower(s), '[a-z]*[0-9][a-z0-9]*', '#', 'g'), '[^a-z#\p{L}]+', ' ', 'g'))"
+
+
+@query(f"WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS s FROM documents) SELECT substr(sha1({_SKELETON} || '||'), 1, 16) AS print, count(*) AS n, min(doc_id) AS first FROM d GROUP BY 1 HAVING count(*) >= 2")
+def campaign_fingerprint(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    docs = adapt.read(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("s"))
+    return docs.groupBy(baseline.fingerprint(F.col("s"), none, none).alias("print")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n >= 2")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def dedupe_record_key(spark, sf_dir):
+    from .sources.sinks import first_of_key
+
+    return first_of_key(adapt.read(spark, sf_dir, "documents"), F.sha2("text", 256), "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_join_existing(spark, sf_dir):
+    from .sources.sinks import not_stored
+
+    return not_stored(adapt.read(spark, sf_dir, "documents"), adapt.read(spark, sf_dir, "labels"), "doc_id").select("doc_id")
+
+
+@query("SELECT p_brand, l_returnflag, count(DISTINCT l_suppkey) AS hosts, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def rarity_prevalence(spark, sf_dir):
+    lines, parts = adapt.read(spark, sf_dir, "lineitem"), adapt.read(spark, sf_dir, "part")
+    return baseline.prevalence(lines.join(parts, lines.l_partkey == parts.p_partkey), ["p_brand", "l_returnflag"], "l_suppkey")
+
+
+@_events_query("shared_egress", ', o AS (SELECT id % 10 AS org, "user", eventType FROM e WHERE id < 2000), p AS (SELECT org, count(DISTINCT "user") AS "of" FROM o GROUP BY org), u AS (SELECT org, eventType AS address, count(DISTINCT "user") AS people FROM o GROUP BY ALL) SELECT u.org AS org, address, people, "of" FROM u JOIN p ON u.org = p.org WHERE people > 0.5 * "of"')
+def _(df, ctx):
+    rows = df.where("id < 2000").select((F.col("id") % 10).alias("org"), "user", F.col("eventType").alias("address"))
+    return baseline.shared_addresses(rows, "org", "user", "address")
+
+
+@query("""SELECT 'placed' AS relation, CAST(o_custkey AS VARCHAR) AS a, CAST(o_orderkey AS VARCHAR) AS b, count(*) AS count, min(epoch_us(o_orderdate) // 1000) AS first FROM orders GROUP BY 2, 3
+UNION ALL SELECT 'status', CAST(o_custkey AS VARCHAR), o_orderstatus, count(*), min(epoch_us(o_orderdate) // 1000) FROM orders GROUP BY 2, 3""")
+def graph_edges(spark, sf_dir):
+    o = adapt.read(spark, sf_dir, "orders")
+    return graph.edges(o, [("placed", F.col("o_custkey"), F.col("o_orderkey")), ("status", F.col("o_custkey"), F.col("o_orderstatus"))], adapt.millis("o_orderdate"), F.col("o_orderkey")).select("relation", "a", "b", "count", "first")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, x) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.x = u.a) SELECT id, min(x) AS root FROM r GROUP BY id""")
+def components(spark, sf_dir):
+    lines = adapt.read(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount = 0.1")
+    return graph.components(lines.select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey")).alias("b")))
+
+
+@query("""WITH RECURSIVE l AS (SELECT c_custkey AS k, c_custkey // 2 AS p FROM customer WHERE c_custkey > 1), r(k, ancestor, level) AS (SELECT k, p, 1 FROM l UNION ALL SELECT r.k, l.p, level + 1 FROM r JOIN l ON r.ancestor = l.k WHERE level < 6) SELECT k, ancestor, level::INTEGER AS level FROM r""")
+def ancestors(spark, sf_dir):
+    df = adapt.read(spark, sf_dir, "customer").where("c_custkey > 1").select(F.col("c_custkey").alias("k"), F.expr("c_custkey div 2").alias("p"))
+    return graph.ancestors(df, "k", "p")
+
+
+@query("SELECT doc_id % 50 AS k, CASE max(CASE WHEN toxic = 1 THEN 4 WHEN quality = 0 THEN 3 ELSE 2 END) WHEN 4 THEN 'malicious' WHEN 3 THEN 'suspicious' ELSE 'clean' END AS worst, count(*) AS n, count(*) FILTER (toxic = 1) AS malicious, count(*) FILTER (toxic = 0 AND quality = 0) AS suspicious FROM labels GROUP BY 1")
+def verdict_fold(spark, sf_dir):
+    rows = adapt.read(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("k"), F.when(F.col("toxic") == 1, "malicious").when(F.col("quality") == 0, "suspicious").otherwise("clean").alias("v"))
+    return baseline.verdicts(rows, "k", "v")
+
+
+def _as_findings(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Events as findings: type as rule, user as entity."""
+    sev = F.element_at(F.array(*[F.lit(s) for s in V.SEVERITIES]), (F.col("id") % 5 + 1).cast("int"))
+    return adapt.events(spark, sf_dir).where(where).select(F.col("eventType").alias("ruleId"), sev.alias("severity"), F.col("id").cast("string").alias("key"), "ts", F.col("ts").alias("tsEnd"), F.create_map(F.lit("targetUser"), F.col("user").cast("string"), F.lit("computer"), (F.col("user") % 7).cast("string")).alias("entities"))
+
+
+_SEV = "['info','low','medium','high','critical']"
+
+
+@query(f"""WITH e AS ({_EVENTS}), f AS (SELECT *, id % 5 AS rank FROM e), a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY "user" ORDER BY ts, CAST(id AS VARCHAR)) > {6 * H} THEN 1 ELSE 0 END AS cut FROM f), s AS (SELECT *, 1 + sum(cut) OVER (PARTITION BY "user" ORDER BY ts, CAST(id AS VARCHAR) ROWS UNBOUNDED PRECEDING) AS k FROM a)
+SELECT 'user:' || CAST("user" AS VARCHAR) AS entity, CAST(k AS BIGINT) AS incident, min(ts) AS start, max(ts) AS "end", count(*) AS n, {_SEV}[max(rank) + 1] AS severity FROM s GROUP BY "user", k""")
+def incidents(spark, sf_dir):
+    return findings.incidents(_as_findings(spark, sf_dir)).drop("lead", "keys")
+
+
+@query(f"""WITH e AS ({_EVENTS}), r AS (SELECT a.id, count(DISTINCT b.eventType) AS rules FROM e a JOIN e b ON a."user" = b."user" AND a.eventType <> b.eventType AND b.ts BETWEEN a.ts - 86400000 AND a.ts + 86400000 WHERE a.id < 1500 AND b.id < 1500 GROUP BY a.id),
+n AS (SELECT eventType, count(*) AS n FROM e WHERE id < 1500 GROUP BY 1)
+SELECT CAST(e.id AS VARCHAR) AS key, round([2.0, 10.0, 30.0, 60.0, 100.0][e.id % 5 + 1] * 0.7 / (1 + ln(n.n)) * (1 + 0.15 * least(coalesce(rules, 0), 4)), 1) AS priority FROM e JOIN n ON e.eventType = n.eventType LEFT JOIN r ON r.id = e.id WHERE e.id < 1500""")
+def priority_score(spark, sf_dir):
+    return findings.priorities(_as_findings(spark, sf_dir, "id < 1500")).select("key", "priority")
+
+
+@query(f"WITH e AS ({_EVENTS}) SELECT eventType AS \"ruleId\", CAST(\"user\" % 7 AS VARCHAR) AS host, count(*) AS n, min(ts) AS first, max(ts) AS last FROM e WHERE id % 5 < 2 GROUP BY 1, 2")
+def fold_below_level(spark, sf_dir):
+    return findings.fold_below(_as_findings(spark, sf_dir), "medium")
+
+
+@query(f"WITH e AS ({_EVENTS}), h AS (SELECT DISTINCT eventType, \"user\" % 7 AS host FROM e WHERE value > 99) SELECT eventType AS \"ruleId\", count(*) AS hosts, (SELECT count(DISTINCT host) FROM h) AS \"of\" FROM h GROUP BY 1 HAVING count(*) * 2 >= (SELECT count(DISTINCT host) FROM h) AND (SELECT count(DISTINCT host) FROM h) >= 3")
+def fold_widespread(spark, sf_dir):
+    return findings.widespread(_as_findings(spark, sf_dir, "value > 99"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC")
+def raw_sql(spark, sf_dir):
+    return reads.guarded_sql(spark, "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC", {"customer": adapt.read(spark, sf_dir, "customer")})
+
