@@ -9,43 +9,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import chosen_path, exact_dedup, kneser_ney, mixing, packing
-from tracewell.llm.common import read, whole, written
+from tracewell.llm.common import read, written
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """Rows as a struct, so that columns of any name clash with none of a stage's."""
+    return docs.select(F.struct(*docs.columns).alias("_row"))
+
+
+def _same() -> Column:
+    """Whether a held row has the id and the text of (_id, _of)."""
+    return F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("_row.text"), F.lit(""))) == F.col("_of"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kneser_ney.classify(docs, read(spark, sf_dir, "labels")).where("_keep").select(*docs.columns)
+    kept = kneser_ney.classify(_held(docs).select("_row.doc_id", "_row.text", "_row.lang", "_row"), read(spark, sf_dir, "labels"), columns=("_row",))
+    return kept.where("_keep").select("_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are matched to the operator's by id and text; of rows equal in both one stays."""
     found = exact_dedup.exact_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), "kept")
     pairs = written(found.groupBy("_id", "_of").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), "pairs")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole()) == F.col("_of"))
-    left = docs.join(pairs.where("not stays").hint("merge"), same, "left_anti")
+    left = _held(docs).join(pairs.where("not stays").hint("merge"), _same(), "left_anti")
     repeated = pairs.where("stays")
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, same, "left_anti").unionByName(once)
+    if not repeated.isEmpty():
+        once = left.join(repeated, _same(), "left_semi").withColumns({"_id": F.col("_row.doc_id"), "_text": F.col("_row.text")}).dropDuplicates(["_id", "_text"]).select("_row")
+        left = left.join(repeated, _same(), "left_anti").unionByName(once)
+    return left.select("_row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows equal in id and text, which only a table that skips the stage before has, stay or go together."""
     found = chosen_path.near_duplicates(docs)
     gone = written(found.where("not first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of")).distinct(), "gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole()) == F.col("_of")), "left_anti")
+    return _held(docs).join(gone.hint("merge"), _same(), "left_anti").select("_row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes; rows equal in id and text have the same number."""
+    """A row for each copy that the mix takes; rows equal in id, text and source have the same number."""
     table = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("mix_hash").alias("_hash"), F.struct("source").alias("_of"), "copies").distinct()
     table = written(table, "copies")
-    hashed = docs.withColumn("_key", mixing.mix_hash(F.col("doc_id"), F.col("text")))
-    taken = hashed.join(table.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")) & (F.struct(F.col("source").cast("string").alias("source")) == F.col("_of")))
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    held = _held(docs)
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (mixing.mix_hash(F.col("_row.doc_id"), F.col("_row.text")) == F.col("_hash")) & (F.struct(F.col("_row.source").cast("string").alias("source")) == F.col("_of"))
+    taken = held.join(table.hint("merge"), same)
+    return taken.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,30 +208,28 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_
     above the language's threshold. Languages (null is one) with fewer than 100
     held-out documents share a threshold over all of those. Null and empty texts have
     no perplexity and stay, as does everything where no document is trusted. Repeated
-    rows are scored alike. ``docs`` may have any other columns that don't begin with
-    an underscore.
+    rows are scored alike. ``docs`` may have any other columns but those four.
     """
     trusted = trusted_ids(labels, id_col)
-    train_on = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).join(trusted.where("_fold > 0").hint("merge"), F.col("_id") == F.col("_trusted"), "left_semi").select("_text")
+    # The row's own columns travel in a struct, where their names clash with none of ours.
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(F.col(lang_col).cast("string").alias("lang")).alias("_of"), F.col(text_col).alias("_text"), F.struct(*(columns or docs.columns)).alias("_row"))
+    train_on = rows.select("_id", whole("_text").alias("_text")).join(trusted.where("_fold > 0").hint("merge"), F.col("_id") == F.col("_trusted"), "left_semi").select("_text")
     model = train(train_on)
     if model.isEmpty():
         none = F.lit(None).cast("double")
-        return docs.select(*(columns or docs.columns)).withColumns({"_perplexity": none, "_score": none, "_threshold": none, "_keep": F.lit(True)})
-    columns = list(columns or docs.columns)
-    done = written(scored(docs, model, text_col, shard_rows).select(*dict.fromkeys([*columns, id_col, lang_col]), "_nats", "_squares", "_symbols"), "scored")
+        return rows.select("_row.*", none.alias("_perplexity"), none.alias("_score"), none.alias("_threshold"), F.lit(True).alias("_keep"))
+    done = written(scored(rows, model, "_text", shard_rows).drop("_text"), "scored")
     n, bits = F.col("_symbols"), F.col("_nats") / F.col("_symbols") / float(np.log(2))
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") / n - (F.col("_nats") / n) ** 2)) / float(np.log(2))
     done = done.withColumn("_perplexity", F.when(n > 1, F.exp(F.col("_nats") / n))).withColumn("_score", F.when(n > 1, bits - 2 * spread / F.sqrt(n)))
-    held = done.select(F.col(id_col).alias("_id"), F.struct(F.col(lang_col).cast("string").alias("lang")).alias("_of"), F.floor(F.col("_score") * STEPS).alias("_bin")).where("_bin is not null")
+    held = done.select("_id", "_of", F.floor(F.col("_score") * STEPS).alias("_bin")).where("_bin is not null")
     held = held.join(trusted.where("_fold = 0"), F.col("_id") == F.col("_trusted"), "left_semi")
     bins = held.groupBy("_of", "_bin").agg(F.count(F.lit(1)).alias("n"))
     cut = written(thresholds(bins, quantile), "thresholds")
-    overall = cut.where("every").select(F.col("upto").alias("_general"))
-    general = overall.first()
+    general = cut.where("every").select("upto").first()
     by_lang = cut.where("not every").select("_of", F.col("upto").alias("_own"))
-    of = done.withColumn("_of", F.struct(F.col(lang_col).cast("string").alias("lang")))
-    of = of.join(by_lang, "_of", "left").withColumn("_threshold", F.coalesce("_own", F.lit(general[0] if general else None).cast("double")))
-    return of.withColumn("_keep", F.coalesce(F.col("_score") <= F.col("_threshold"), F.lit(True))).select(*columns, "_perplexity", "_score", "_threshold", "_keep")
+    done = done.join(by_lang, "_of", "left").withColumn("_threshold", F.coalesce("_own", F.lit(general[0] if general else None).cast("double")))
+    return done.select("_row.*", "_perplexity", "_score", "_threshold", F.coalesce(F.col("_score") <= F.col("_threshold"), F.lit(True)).alias("_keep"))
 
 
 def thresholds(bins: DataFrame, quantile: float) -> DataFrame:
