@@ -34,7 +34,7 @@ def messy(rng=None):
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(messy(), SCHEMA).repartition(5).cache()
+    return spark.createDataFrame(messy(), SCHEMA).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -51,17 +51,12 @@ def plain(df):
     return [(r.doc_id, r.text or "", r.source) for r in df.select("doc_id", "text", "source").collect()]
 
 
-def test_empty_tables(spark, empty, labels):
-    assert token_counts.token_counts(empty, tokenizer("piece_bpe_32k.model")).count() == 0
-    assert sharding.shard(empty).count() == 0
-    assert packing.pack(empty).count() == 0
-    assert pii.personal_data(empty).count() == 0
-    assert chosen_path.near_duplicates(empty).count() == 0
-    assert exact_dedup.exact_dedup(empty).count() == 0
-    assert line_dedup.line_dedup(empty).count() == 0
-    assert kneser_ney.classify(empty, labels).count() == 0
-    assert mixing.mix(empty).count() == 0
-    assert order_minhash.fingerprints(empty).count() == 0
+@pytest.mark.parametrize("run", [
+    lambda d, _: token_counts.token_counts(d, tokenizer("piece_bpe_32k.model")), lambda d, _: sharding.shard(d), lambda d, _: packing.pack(d), lambda d, _: pii.personal_data(d), lambda d, _: chosen_path.near_duplicates(d),
+    lambda d, _: exact_dedup.exact_dedup(d), lambda d, _: line_dedup.line_dedup(d), lambda d, x: kneser_ney.classify(d, x), lambda d, _: mixing.mix(d), lambda d, _: order_minhash.fingerprints(d),
+])
+def test_empty_tables(empty, labels, run):
+    assert run(empty, labels).count() == 0
 
 
 def test_token_counts(docs):
@@ -173,19 +168,21 @@ def test_base_spans_are_those_of_the_patterns():
 
 def test_field_finds_what_the_patterns_miss():
     rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice(["the", "with", "onder", "thea", "en", "ble", "rest", "tion"]) for _ in range(n))
 
     def card():
         d = [rng.randint(0, 9) for _ in range(15)]
         return next(s for x in range(10) if pii.luhn(s := "".join(map(str, [*d, x]))))
 
-    texts = [f"{prose(rng, 5)} {card()} {prose(rng, 4)} u{i}@mail{i % 5}.example.com {prose(rng, 3)} +1 (476) 555-{rng.randint(1000, 9999)} {prose(rng, 6)} serial {rng.randint(10**15, 10**16 - 1)} {prose(rng, 3)}" for i in range(60)]
+    kinds = (card, lambda: f"u{rng.randint(0, 99)}@mail{rng.randint(0, 9)}.example.com", lambda: f"+1 (476) 555-{rng.randint(1000, 9999)}", lambda: "10.2.3.4")
+    texts = [f"{words(12)} {kinds[i % 4]()} {words(12)}" for i in range(48)]
     weights = pii.fit(texts)
     a, b = card(), card()
-    text = f"w1 {a} {b} w2"
+    text = f"{words(5)} {a} {b} {words(5)}"
     assert pii.base_spans(text) == []  # one run of 32 digits
     added = pii.added_spans(text, [], weights)
     assert {text[s:e] for k, s, e in added if k == "card"} == {a, b}
-    clean = prose(rng, 300) + " order 20240101 of 12 items, 3.5 kg"
+    clean = words(300) + " order 20240101 of 12 items, 3.5 kg"
     assert pii.added_spans(clean, pii.base_spans(clean), weights) == []
 
 

@@ -29,7 +29,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Documents whose base spans the field is fitted on, at most.
-SAMPLE = 200
+SAMPLE = 60
 #: Tokens in a segment, at most, and tokens of context on each side of a candidate.
 LONGEST, AROUND = 16, 4
 #: Log odds by which a segment must beat being outside to be added.
@@ -132,7 +132,7 @@ def windows(text: str) -> list[tuple[int, int]]:
 
 
 def lattice(text: str, a: int, b: int):
-    """The tokens of a window and the segments in it that may be a span, with their features."""
+    """The tokens of a window and the segments in it that can be of some kind, with their features."""
     tokens = [(a + m.start(), a + m.end()) for m in TOKEN.finditer(text[a:b])]
     segments = []
     for i, (s, _) in enumerate(tokens):
@@ -140,13 +140,22 @@ def lattice(text: str, a: int, b: int):
             continue
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
             e = tokens[j - 1][1]
-            if not text[e - 1].isspace() and TRIGGER.search(text, s, e):
-                segments.append((i, j, segment_features(text, tokens, i, j)))
+            if not text[e - 1].isspace() and TRIGGER.search(text, s, e) and any(possible(f := segment_features(text, tokens, i, j))):
+                segments.append((i, j, f))
     return tokens, segments
 
 
+#: A segment can be of a kind only with one of these features: an email's form, a valid address, a card's checksum, a phone's digits.
+NEEDS = {"email": (1, 2), "ip": (3,), "card": (5,), "phone": (8,)}
+
+
+def possible(features: list[int]) -> list[bool]:
+    return [any(f in features for f in NEEDS[k]) for k in KINDS]
+
+
 def segment_scores(segments, weights: np.ndarray) -> np.ndarray:
-    return np.array([weights[:, f].sum(axis=1) for _, _, f in segments]).reshape(-1, len(KINDS))
+    scores = [np.where(possible(f), weights[:, f].sum(axis=1), -np.inf) for _, _, f in segments]
+    return np.array(scores).reshape(-1, len(KINDS))
 
 
 def decode(n: int, segments, scores: np.ndarray) -> list[tuple[int, int, int]]:
@@ -212,7 +221,7 @@ def examples_of(text: str) -> Iterator[tuple[str, dict[tuple[int, int], int]]]:
             yield before + form + after, gold | {(len(before), len(before) + len(form)): k}
 
 
-def fit(texts: list[str], rounds: int = 120, rate: float = 2.0, decay: float = 1e-3) -> np.ndarray:
+def fit(texts: list[str], rounds: int = 400, rate: float = 2.0, decay: float = 1e-3) -> np.ndarray:
     """Weights by kind and feature, by gradient ascent on the likelihood of the examples."""
     spans, sizes, features, golds = [], [], [], []
     for text in texts:
@@ -229,15 +238,17 @@ def fit(texts: list[str], rounds: int = 120, rate: float = 2.0, decay: float = 1
     if not sizes:
         return weights
     on = np.zeros((len(features), WIDTH))
+    can = np.zeros((len(features), len(KINDS)))
     for x, f in enumerate(features):
         on[x, f] = 1
+        can[x] = possible(f)
     truth = np.zeros((len(features), len(KINDS)))
     hit = np.flatnonzero(np.array(golds) >= 0)
     truth[hit, np.array(golds)[hit]] = 1
     seen = on.T @ truth
     squares = np.full_like(weights, 1e-8)
     for _ in range(rounds):
-        odds = np.exp(np.clip(on @ weights.T, -30, 30))
+        odds = np.exp(np.clip(on @ weights.T, -30, 30)) * can
         total, factor, at = odds.sum(axis=1).tolist(), [], 0
         for n, own in zip(sizes, spans, strict=True):
             factor += expectations(n, own, total[at : at + len(own)])
