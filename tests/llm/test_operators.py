@@ -47,6 +47,10 @@ def labels(spark, docs):
     return docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).union(spark.createDataFrame([(None, None, None), (3, 0, 1)], "doc_id long, quality int, toxic int"))
 
 
+def words_in(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
 def plain(df):
     return [(r.doc_id, r.text or "", r.source) for r in df.select("doc_id", "text", "source").collect()]
 
