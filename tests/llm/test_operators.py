@@ -362,6 +362,9 @@ def brute_kneser_ney(texts):
     d = {}
     for k in c:
         n = [sum(v == i for v in c[k].values()) for i in (1, 2, 3, 4)]
+        if not n[0] or not n[1]:
+            d[k] = [0.5, 0.75, 0.9]
+            continue
         y = n[0] / (n[0] + 2 * n[1])
         d[k] = [min(max(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.0, 0.05), i - 0.05) for i in (1, 2, 3)]
 
@@ -398,9 +401,10 @@ def test_kneser_ney(spark):
                 if mine.any():
                     got[mine] = kneser_ney.log_p(grams[mine], kneser_ney._model_shard(model, s, shards))
             assert np.allclose(got, want), text
-    # The model sums to one over what it knows and one unknown character.
-    known = [0, 1, *map(ord, "abcd e"), 0xFFFF]
-    assert abs(sum(p((0, 0, 97, k)) for k in {g[0] for g in [(k,) for k in known]}) - 1) < 0.05
+    # The probabilities after any context sum to one over the characters known and one unknown.
+    known = {g[-1] for t in texts for g in [(1,), *[(min(ord(ch), 0xFFFF),) for ch in t]]}
+    for context in ((0, 0, 0), (97, 98, 98), (32, 101, 0xFFFF), (7, 7, 7)):
+        assert abs(sum(p((*context, w)) for w in [*known, 7777]) - 1) < 1e-9
 
 
 def test_classifier_rejects_junk_and_keeps_prose(spark, docs):

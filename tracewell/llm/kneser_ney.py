@@ -29,6 +29,8 @@ SHARD_ROWS = 2_000_000
 #: Quantile of held-out trusted documents at which a language's threshold lies, and how fine scores are binned for it.
 QUANTILE, STEPS = 0.998, 1000
 LEAST_HELD_OUT = 100
+#: Modulus and factor that deal contexts to shards; products stay within a long.
+SPREAD = (2**31 - 1, 48_271)
 FOLDS = 10
 
 
@@ -107,13 +109,13 @@ def train(texts: DataFrame) -> DataFrame:
 
 def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
     """By the two characters before the one that is predicted; all that scores a position is in its shard."""
-    return ((gram >> 16) & 0xFFFFFFFF) * 2654435761 % (1 << 31) % shards
+    return ((gram >> 16) & 0xFFFFFFFF) % SPREAD[0] * SPREAD[1] % SPREAD[0] % shards
 
 
 def _model_shard(model: DataFrame, shard: int, shards: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Sorted n-grams and log values by order; orders 1 and 2 and the weights of contexts of one character are in every shard."""
     context = F.when(F.col("ord") > 0, F.shiftrightunsigned("gram", 16)).otherwise(F.col("gram"))
-    own = (_low(context, 2) * F.lit(2654435761)) % F.lit(1 << 31) % shards == shard
+    own = _low(context, 2) % F.lit(SPREAD[0]) * F.lit(SPREAD[1]).cast("long") % F.lit(SPREAD[0]) % shards == shard
     rows = model.where(F.col("ord").isin(-2, 0, 1, 2) | own).toArrow()
     order, gram, p = (rows.column(i).to_numpy() for i in range(3))
     out = {}
