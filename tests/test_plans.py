@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.functions import mail
 from tracewell.functions import values as V
 from tracewell.operators import filters, graph, joins, sequences
 from tracewell.operators.filters import Context
@@ -186,3 +187,15 @@ def test_sigma(spark):
         with pytest.raises(rules.RuleError):
             sigma.convert({"title": "t", "detection": bad})
     assert "".join(sigma._offsets(b"http")) != ""
+
+
+def test_headers_and_lookalikes(spark):
+    headers = "Received: from relay.test (relay [8.8.4.4])\r\n by mx.corp.test; x\r\nReceived: from pc (pc [10.1.1.1]) by relay.test\r\nAuthentication-Results: mx; spf=softfail\r\n dmarc=FAIL\r\nSubject: x\r\n"
+    df = spark.createDataFrame([(headers, "paypa1.com"), (None, "paypal.com"), ("", "mail.paypal.com"), ("x", "paypal-login.net"), ("x", "other.org")], "h string, d string")
+    rows = df.select(mail.received_chain(F.col("h")).alias("c"), mail.origin_ip(F.col("h")).alias("ip"), mail.auth_result(F.col("h"), "spf").alias("spf"), mail.auth_result(F.col("h"), "dmarc").alias("dmarc"), mail.lookalike(F.col("d"), ["paypal.com"]).alias("b")).collect()
+    assert [(h["from"], h["by"], h["ip"]) for h in rows[0].c] == [("pc", "relay.test", "10.1.1.1"), ("relay.test", "mx.corp.test", "8.8.4.4")]
+    assert (rows[0].ip, rows[0].spf, rows[0].dmarc) == ("8.8.4.4", "softfail", "fail")
+    assert [r.b for r in rows] == ["paypal.com", None, None, "paypal.com", None]
+    flags = spark.createDataFrame([("fail", "fail", "corp.test", "a@corp.test", "x", "else.test")], "spf string, dmarc string, fromDomain string, fromAddr string, fromName string, replyToDomain string")
+    r = flags.select(mail.mail_flags(flags.columns, ["corp.test"], []).alias("f")).select("f", mail.risk_of(F.col("f")).alias("n")).first()
+    assert (r.f, r.n) == (["spf-fail", "dmarc-fail", "own-domain-unproven"], 33)

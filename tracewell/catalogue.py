@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapt
+from .functions import mail, web
 from .functions import values as V
-from .functions import web
 from .operators import filters, graph, joins, reads, sequences
 from .operators.filters import Context
 from .plans import baseline, findings, rules
@@ -526,3 +526,37 @@ def fold_widespread(spark, sf_dir):
 def raw_sql(spark, sf_dir):
     return reads.guarded_sql(spark, "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC", {"customer": adapt.read(spark, sf_dir, "customer")})
 
+
+
+# --- messages, evidence -------------------------------------------------------------
+
+_LEX = {k: "|".join(v) for k, v in {"asks": ("please", "could you", "can you"), "thanks": ("thank", "thanks")}.items()}
+
+
+@query("SELECT conv_id, turn, " + ", ".join(f"len(regexp_extract_all(lower(coalesce(text, '')), '{p}'))::BIGINT AS {k}" for k, p in _LEX.items()) + " FROM conversations")
+def lexicon_hits(spark, sf_dir):
+    found = mail.lexicon_hits(F.col("text"), {k: tuple(p.split("|")) for k, p in _LEX.items()})
+    return adapt.read(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("x")).select("conv_id", "turn", "x.*")
+
+
+@query("""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages), d AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS reg FROM h), l AS (SELECT *, string_split(reg, '.')[1] AS label FROM d)
+SELECT page_id, 'example.org' AS brand FROM l WHERE reg <> 'example.org' AND (contains(label, 'example') OR levenshtein(label, 'example') = 1)""")
+def lookalike_hosts(spark, sf_dir):
+    pages = adapt.read(spark, sf_dir, "pages").select("page_id", mail.lookalike(web.host_of(F.col("url")), ["example.org"]).alias("brand"))
+    return pages.where("brand is not null")
+
+
+@query("""WITH e AS (SELECT CAST(event_id % 4 AS VARCHAR) AS computer, event_type AS channel, event_id AS r, epoch_us(ts) // 1000 AS ts FROM events WHERE event_id % 3 > 0), n AS (SELECT *, lead(r) OVER (PARTITION BY computer, channel ORDER BY r) AS nr, lag(r) OVER (PARTITION BY computer, channel ORDER BY r) AS pr, lag(ts) OVER (PARTITION BY computer, channel ORDER BY r) AS pt, lead(ts) OVER (PARTITION BY computer, channel ORDER BY ts) AS nt FROM e)
+SELECT 'missing records' AS kind, computer, channel, r AS at, nr - r - 1 AS size FROM n WHERE nr - r > 1 UNION ALL SELECT 'clock set back', computer, channel, r, pt - ts FROM n WHERE pt - ts > 1000 AND r - pr = 1 UNION ALL SELECT 'silence', computer, channel, ts, nt - ts FROM n WHERE nt - ts > 43200000
+UNION ALL SELECT 'late start', computer, channel, f, f - m FROM (SELECT *, CAST(trunc(median(f) OVER ()) AS BIGINT) AS m FROM (SELECT computer, channel, min(ts) AS f FROM e GROUP BY ALL)) WHERE f - m > 43200000""")
+def evidence_gaps(spark, sf_dir):
+    df = adapt.events(spark, sf_dir).where("id % 3 > 0").select((F.col("id") % 4).cast("string").alias("computer"), F.col("eventType").alias("channel"), F.col("id").alias("recordId"), "ts")
+    return findings.evidence_gaps(df, 43_200_000)
+
+
+@query("SELECT n_name AS name, r_name AS category, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE lower(s_name) = lower(n_name)) THEN 'name' WHEN r_regionkey < 3 THEN 'category' ELSE 'missing' END AS found FROM nation JOIN region ON n_regionkey = r_regionkey")
+def expectations(spark, sf_dir):
+    nation, region, supplier = (adapt.read(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    expected = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("name"), F.col("r_name").alias("category"))
+    files = supplier.select(F.col("s_name").alias("name"), F.lit(None).cast("string").alias("category")).union(region.where("r_regionkey < 3").select(F.lit("f"), "r_name"))
+    return findings.expectations(files, expected)

@@ -103,3 +103,31 @@ def navigator(findings: DataFrame, attack: str = "attack") -> DataFrame:
     """(technique, severity, n, rules) for a technique matrix: an id by its pattern, the worst severity of its findings."""
     rows = findings.select("ruleId", V.severity_rank(F.col("severity")).alias("rank"), F.explode(attack).alias("technique")).withColumn("technique", F.regexp_extract("technique", r"(T\d{4}(?:\.\d{3})?)", 1)).where("technique <> ''")
     return rows.groupBy("technique").agg(F.element_at(F.array(*[F.lit(s) for s in V.SEVERITIES]), F.max("rank") + 1).alias("severity"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("ruleId")).alias("rules"))
+
+
+def evidence_gaps(events: DataFrame, quiet: int = DAY) -> DataFrame:
+    """(kind, channel, computer, at, size): where the evidence itself has holes.
+
+    Record numbers that skip, clocks that run back, long silences within a log, and
+    logs that begin later than most of the case.
+    """
+    from ..operators.sequences import backward_steps, record_holes
+
+    by = ["computer", "channel"]
+    rows = events.where("computer is not null and channel is not null")
+    holes = record_holes(rows.where("recordId is not null"), by, "recordId").select(F.lit("missing records").alias("kind"), *by, F.col("after").alias("at"), F.col("missing").alias("size"))
+    steps = backward_steps(rows.where("recordId is not null and ts is not null"), by, "recordId", "ts").select(F.lit("clock set back").alias("kind"), *by, F.col("record").alias("at"), F.col("step").alias("size"))
+    silence = F.lead("ts").over(W.partitionBy(*by).orderBy("ts")) - F.col("ts")
+    silent = rows.where("ts is not null").select(*by, F.col("ts").alias("at"), silence.alias("size")).where(F.col("size") > quiet).select(F.lit("silence").alias("kind"), *by, "at", "size")
+    first = rows.groupBy(*by).agg(F.min("ts").alias("at"))
+    usual = first.agg(F.median("at").cast("long").alias("usual"))  # one row
+    late = first.join(F.broadcast(usual)).where(F.col("at") - F.col("usual") > quiet).select(F.lit("late start").alias("kind"), *by, "at", (F.col("at") - F.col("usual")).alias("size"))
+    return holes.unionByName(steps).unionByName(silent).unionByName(late)
+
+
+def expectations(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """``expected`` (name, category) with found: a file of that name, else one of that category, else missing."""
+    named = files.select(F.lower("name").alias("_name")).distinct()
+    kinds = files.where("category is not null").select(F.lower("category").alias("_kind")).distinct()
+    out = expected.join(named, F.lower("name") == F.col("_name"), "left").join(kinds, F.lower("category") == F.col("_kind"), "left")
+    return out.withColumn("found", F.when(F.col("_name").isNotNull(), "name").when(F.col("_kind").isNotNull(), "category").otherwise("missing")).drop("_name", "_kind")
