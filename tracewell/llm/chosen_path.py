@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import whole, written
-from .components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS, BRANCH = 64, 2

@@ -1,13 +1,12 @@
-"""What the corpus operators share: the shared folder, tables cut from their lineage, row checks."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, written
+
 #: Words as the mixing contract counts them: runs without space or \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,40 +15,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it is computed once, and a lost executor loses no part of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    jvm = spark._jvm
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/tables/" in parent and base.removeprefix("file:").lstrip("/") in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def whole(text: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def unclashed(df: DataFrame, *needed: str) -> DataFrame:
-    """Only the columns an operator works on, so that others, whatever their names, can't clash with its own."""
-    return df.select(*needed)
+__all__ = ["WORD", "read", "shared_dir", "whole", "written"]
