@@ -301,7 +301,9 @@ def personal_data(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
     likely = rows.where(F.col("text").rlike(r"[@+]|[0-9]{6}") & (F.octet_length("text") <= 20_000)).select("text", F.xxhash64(F.lit(5), "text").alias("h"))
-    chosen = [r.text for r in likely.orderBy("h").limit(sample).select("text").collect()]
+    # Tasks send hashes only; then one text for each of the smallest comes to the driver.
+    smallest = [r.h for r in likely.select("h").distinct().orderBy("h").limit(sample).collect()]
+    chosen = [r.text for r in likely.where(F.col("h").isin(smallest)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()] if smallest else []
     weights = fit(chosen)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_run(weights), f"doc_id {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
