@@ -34,7 +34,7 @@ class Feistel:
         digest = lambda i: hashlib.sha256(f"{seed}:{i}".encode()).digest()
         self.keys = [tuple(int.from_bytes(digest(i)[j : j + 4]) % (PRIME - 1) + 1 for j in (0, 4, 8)) for i in range(ROUNDS)]
         self.walks = 0  # the most steps any cell from n on needs to come below n; there are fewer than a of them
-        for cell in range(n, self.a * self.b):
+        for cell in range(n, self.a * self.b) if n else ():
             steps = 0
             while cell >= n:
                 cell, steps = self._once(cell), steps + 1
