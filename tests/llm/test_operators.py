@@ -186,7 +186,10 @@ def test_field_finds_what_the_patterns_miss():
     assert pii.base_spans(text) == []  # one run of 32 digits
     added = pii.added_spans(text, [], weights)
     assert {text[s:e] for k, s, e in added if k == "card"} == {a, b}
-    clean = words(300) + " order 20240101 of 12 items, 3.5 kg"
+    for spelled in ("jo [dot] w9 [at] mail4 [dot] example [dot] com", "jo.w9 (at) mail4.example.com", "jo at mail4 dot example dot com"):
+        text = f"{words(5)} {spelled} {words(5)}"
+        assert [(k, text[s:e]) for k, s, e in pii.added_spans(text, pii.base_spans(text), weights)] == [("email", spelled)]
+    clean = words(300) + " order 20240101 of 12 items, 3.5 kg, looked at home . Then at example.com and (at) night"
     assert pii.added_spans(clean, pii.base_spans(clean), weights) == []
 
 

@@ -31,14 +31,19 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Documents whose base spans the field is fitted on, at most.
 SAMPLE = 60
 #: Tokens in a segment, at most, and tokens of context on each side of a candidate.
-LONGEST, AROUND = 16, 4
+LONGEST, AROUND = 32, 4
 #: Log odds by which a segment must beat being outside to be added.
 MARGIN = 2.0
 
 #: A run of letters or digits, one sign, or one stretch of white space.
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[^\w\s]|[\w]", re.UNICODE)
 #: What a candidate holds at least: an at sign, spelled out or not, or six digits with their separators.
-TRIGGER = re.compile(r"@|\(at\)|\[at\]|\sat\s[\w-]+\s(?:dot|\.)\s|[0-9](?:[\x20().+-]{0,2}[0-9]){5,}")
+TRIGGER = re.compile(r"@|\(at\)|\[at\]|\sat\s[\w-]+\sdot\s|[0-9](?:[\x20().+-]{0,2}[0-9]){5,}")
+#: A dot or the word for it, and an address with any of its signs spelled out.
+DOT = r"(?:\.|\s*\(dot\)\s*|\s*\[dot\]\s*|\sdot\s)"
+SPELLED = re.compile(rf"[\w%+-]+(?:{DOT}[\w%+-]+)*(?:@|\s*\(at\)\s*|\s*\[at\]\s*|\sat\s)[\w-]+(?:{DOT}[\w-]+)+")
+#: What stands around a segment that ends inside a longer name.
+GOES_ON, WENT_ON = re.compile(r"\.\w|-\w|\s?[(\[]dot[)\]]|\sdot\s\w"), re.compile(r"(?:\w[.%+-]|[(\[]dot[)\]]\s?|\w\sdot\s)$")
 CUES = {"email": "mail e-mail email contact write address", "ip": "ip host server address", "card": "card visa payment number account", "phone": "phone tel telephone call mobile fax"}
 CUE = {w: k for k, v in CUES.items() for w in v.split()}
 
@@ -97,7 +102,7 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 # --- the field ---------------------------------------------------------------
 
-N_SHAPES = 24
+N_SHAPES = 26
 
 
 def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[int]:
@@ -108,10 +113,10 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
     cue = next((CUE[w] for a, b in reversed(tokens[max(0, i - 2 * AROUND) : i]) if (w := text[a:b].lower()) in CUE), None)
     nd = len(digits)
     flags = (
-        True, bool(EMAIL.fullmatch(s)), bool(re.fullmatch(r"\S+\s*(?:@|\(at\)|\[at\]|\sat\s)\s*[\w-]+(?:\s*(?:\.|\(dot\)|\[dot\]|\sdot\s)\s*[\w-]+)+", s)),
+        True, bool(EMAIL.fullmatch(s)), bool(SPELLED.fullmatch(s)),
         bool(IP.fullmatch(s)) and valid("ip", s), bool(CARD.fullmatch(s)), 13 <= nd <= 19 and luhn(digits), 13 <= nd <= 19, bool(PHONE.fullmatch(s)), 9 <= nd <= 15, nd < 9, nd > 19,
         s[:1] in "+(", s[:1].isspace() or s[-1:].isspace(), s[-1:] in ".,;:-", "@" in s, any(c.isalpha() for c in s), s.count(".") == 3, "(" in s and ")" in s, marks <= set(" -") and bool(marks), bool(marks & set("\n\t")),
-        cue == "email", cue == "ip", cue == "card", cue == "phone",
+        cue == "email", cue == "ip", cue == "card", cue == "phone", bool(GOES_ON.match(text, tokens[j - 1][1])), bool(WENT_ON.search(text[max(0, tokens[i][0] - 8) : tokens[i][0]])),
     )
     return [k for k, on in enumerate(flags) if on] + [N_SHAPES + min(n, LONGEST) - 1]
 
@@ -123,7 +128,7 @@ def windows(text: str) -> list[tuple[int, int]]:
     """Stretches that may hold a span, each with some context; they don't overlap."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - 40), min(len(text), m.end() + 40)
+        a, b = max(0, m.start() - 64), min(len(text), m.end() + 64)
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -149,8 +154,12 @@ def lattice(text: str, a: int, b: int):
 NEEDS = {"email": (1, 2), "ip": (3,), "card": (5,), "phone": (8,)}
 
 
+#: ... and with none of these: part of a longer address is no address, as in the base patterns.
+BARS = {"email": (24, 25)}
+
+
 def possible(features: list[int]) -> list[bool]:
-    return [any(f in features for f in NEEDS[k]) for k in KINDS]
+    return [any(f in features for f in NEEDS[k]) and not any(f in features for f in BARS.get(k, ())) for k in KINDS]
 
 
 def segment_scores(segments, weights: np.ndarray) -> np.ndarray:
@@ -294,8 +303,8 @@ def personal_data(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
 
     The counts and the digest are of the base spans; ``spans`` has those and the
     field's. Positions are code points, ends exclusive. The field is fitted on at
-    most ``sample`` texts that hold an at sign, a plus sign or a digit, those with
-    the smallest hashes; every row is searched whole. Null and empty texts have no spans;
+    most ``sample`` texts of at most 20,000 bytes that hold an at sign, a plus sign
+    or six digits in a row, those with the smallest hashes; every row is searched whole. Null and empty texts have no spans;
     repeated rows get the same result each. An empty table gives no rows. Nothing
     but the sample leaves the tasks, and other columns are not read.
     """
