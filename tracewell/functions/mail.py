@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import values as V
 
 # Characters that pass for others, and words by what they play on.
-CONFUSABLE = ("0135$|", "oles" + "sl")
+CONFUSABLE = ("0135$|", "olessl")
 LEXICON = {
     "urgency": ("urgent", "immediately", "asap", "final notice", "expires today"),
     "credentials": ("password", "verify your account", "sign in", "log in", "confirm your identity"),
