@@ -283,13 +283,15 @@ def _rule(**parts) -> dict:
 
 def _rule_query(name: str, rule: dict, sql: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _found(rules.run_rule(rule, adapt.case(spark, sf_dir)).findings)
+        found = rules.run_rule(rule, adapt.case(spark, sf_dir))
+        # All findings, but for the rules that are there for their cap.
+        return _found(found.findings if "max_findings" in rule else found.groups)
 
     query(f"WITH e AS ({_EVENTS}) {sql}", name)(run)
 
 
 _KEY = "'r|' || CAST(\"user\" AS VARCHAR)"
-_rule_query("rule_per_row", _rule(where={"eventType": "error", "value|gt": 95}, exclude={"user|lt": 20}, collapse_after=100_000, max_findings=100_000), "SELECT 'r|' || CAST(id AS VARCHAR) AS key, ts, ts AS \"tsEnd\", 1::BIGINT AS count, 'medium' AS severity FROM e WHERE eventType = 'error' AND value > 95 AND NOT \"user\" < 20")
+_rule_query("rule_per_row", _rule(where={"eventType": "error", "value|gt": 95}, exclude={"user|lt": 20}, collapse_after=None), "SELECT 'r|' || CAST(id AS VARCHAR) AS key, ts, ts AS \"tsEnd\", 1::BIGINT AS count, 'medium' AS severity FROM e WHERE eventType = 'error' AND value > 95 AND NOT \"user\" < 20")
 _rule_query("rule_exclude", _rule(where={"eventType|in": ["error", "signup"]}, exclude={"eventType": "signup"}, group_by=["user"], threshold=">= 15"), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'error' GROUP BY \"user\" HAVING count(*) >= 15")
 _rule_query("rule_grouped", _rule(where={"eventType": "purchase"}, group_by=["user"], threshold=18), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'purchase' GROUP BY \"user\" HAVING count(*) >= 18")
 _rule_query("rule_distinct", _rule(where={"value|gt": 80}, group_by=["user"], distinct="eventType", threshold=">= 5"), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE value > 80 GROUP BY \"user\" HAVING count(DISTINCT eventType) >= 5")

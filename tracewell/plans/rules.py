@@ -143,12 +143,12 @@ def _schema() -> str:
 
 
 def _by_row(rule: dict, rows: DataFrame, ctx: filters.Context, ts: str) -> DataFrame:
-    """A finding a row; with too many, one for each combination of entities."""
+    """A finding a row; with too many, one for each combination of entities, unless ``collapse_after`` is None."""
     entities = _entities(rule, ctx)
     rows = rows.select("id", F.col(ts).alias("_ts"), *[c.alias(f"_e_{n}") for n, c in entities.items()])
     names = list(entities)
-    after = int(rule.get("collapse_after", COLLAPSE_AFTER))
-    many = rows.limit(after + 1).count() > after
+    after = rule.get("collapse_after", COLLAPSE_AFTER)
+    many = after is not None and rows.limit(int(after) + 1).count() > int(after)
     of = lambda n: F.col(f"_e_{n}")
     if not many:
         return rows.select(*_finding(rule, _key(rule, F.col("id").cast("string")), F.col("_ts"), F.col("_ts"), F.lit(1), _entity_map(names, of), F.array("id")))
