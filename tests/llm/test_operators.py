@@ -353,6 +353,32 @@ def test_line_dedup(spark, docs):
     assert sum(r.removed_lines for r in found if (r.doc_id or 0) >= 5000) > 20
 
 
+def test_passages_go_whole(spark, docs):
+    rng = random.Random(5)
+    passages = [[prose(rng, 12) for _ in range(n)] for n in (2, 3, 4, 5, 6)]
+    own = lambda n: [prose(rng, 5) for _ in range(n)]
+    texts = [(6000 + i, "\n".join(own(rng.randint(1, 4)) + passages[i % 5] + own(rng.randint(1, 4)))) for i in range(20)]
+    texts += [(6100, "\n".join(["x y"] * 3)), (6101, "\n".join(["u v"] * 7)), (6102, "\n".join(passages[0])), (6103, "one\ntwo"), (6104, "two\none\ntwo")]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(texts, "doc_id long, text string"))
+    given = sorted({(r.doc_id, r.text or "") for r in rows.collect()}, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
+    first, want = {}, set()
+    for d, (i, t) in enumerate(given):
+        lines, lost = t.split("\n"), set()
+        for at in range(len(lines) - 1):
+            was = first.setdefault(tuple(lines[at : at + 2]), (d, at))
+            if was[0] != d or at >= was[1] + 2:
+                lost |= {at, at + 1}
+        want.add((i, "\n".join(x for at, x in enumerate(lines) if at not in lost), len(lines), len(lost), sum(at - 1 not in lost for at in lost)))
+    found = line_dedup.passage_dedup(rows).collect()
+    assert len(found) == rows.count()
+    assert {(r.doc_id, r.text, r.n_lines, r.removed_lines, r.removed_passages) for r in found} == want
+    by = {r.doc_id: r for r in found}
+    # Every planted passage goes whole and its neighbours stay; the first of each stays.
+    assert all(by[6000 + i].removed_lines == (len(passages[i % 5]) if i >= 5 else 0) for i in range(20))
+    assert [by[6100 + i].text for i in range(5)] == ["x y\nx y\nx y", "u v\nu v", "", "one\ntwo", "two"]
+    assert line_dedup.passage_dedup(rows.where("false")).count() == 0
+
+
 def brute_kneser_ney(texts):
     """Probability of a 4-gram's last character, by the textbook."""
     c = {4: Counter()}

@@ -37,6 +37,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.passage_dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -59,7 +63,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_score").alias("score"), F.col("_threshold").alias("threshold"), F.col("_keep").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_packing, op4_personal_data, op5_jaccard_join, op6_exact_dedup, op7_line_dedup, op8_quality, op9_mixing, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_packing, op4_personal_data, op5_jaccard_join, op6_exact_dedup, op7_line_dedup, op7_passage_dedup, op8_quality, op9_mixing, op10_order_minhash)}
 
 ORACLES = {
     "op6_exact_dedup": """
@@ -67,4 +71,5 @@ ORACLES = {
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
     FROM d WINDOW w AS (PARTITION BY text_sha256)""",
     "op7_line_dedup": line_dedup.oracle(),
+    "op7_passage_dedup": line_dedup.passage_oracle(),
 }
