@@ -480,6 +480,12 @@ def components(spark, sf_dir):
     return graph.components(lines.select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey")).alias("b")))
 
 
+@query()
+def components_whole(spark, sf_dir):
+    """Of all line items, where components reads one in a thousand."""
+    return graph.components(adapt.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey")).alias("b")))
+
+
 @query("""WITH RECURSIVE l AS (SELECT c_custkey AS k, c_custkey // 2 AS p FROM customer WHERE c_custkey > 1), r(k, ancestor, level) AS (SELECT k, p, 1 FROM l UNION ALL SELECT r.k, l.p, level + 1 FROM r JOIN l ON r.ancestor = l.k WHERE level < 6) SELECT k, ancestor, level::INTEGER AS level FROM r""")
 def ancestors(spark, sf_dir):
     df = adapt.read(spark, sf_dir, "customer").where("c_custkey > 1").select(F.col("c_custkey").alias("k"), F.expr("c_custkey div 2").alias("p"))
