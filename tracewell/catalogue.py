@@ -454,6 +454,14 @@ def anti_join_existing(spark, sf_dir):
     return not_stored(adapt.read(spark, sf_dir, "documents"), adapt.read(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
+@query()
+def campaign_fingerprint_whole(spark, sf_dir):
+    """Of whole texts, where campaign_fingerprint reads the first line."""
+    none = F.array().cast("array<string>")
+    docs = adapt.read(spark, sf_dir, "documents")
+    return docs.groupBy(baseline.fingerprint(F.col("text"), none, none).alias("print")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n >= 2")
+
+
 @query("SELECT p_brand, l_returnflag, count(DISTINCT l_suppkey) AS hosts, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def rarity_prevalence(spark, sf_dir):
     lines, parts = adapt.read(spark, sf_dir, "lineitem"), adapt.read(spark, sf_dir, "part")
@@ -466,6 +474,12 @@ def _(df, ctx):
     return baseline.shared_addresses(rows, "org", "user", "address")
 
 
+@_events_query("shared_egress_whole", ', o AS (SELECT id % 10 AS org, "user", eventType FROM e), p AS (SELECT org, count(DISTINCT "user") AS "of" FROM o GROUP BY org), u AS (SELECT org, eventType AS address, count(DISTINCT "user") AS people FROM o GROUP BY ALL) SELECT u.org AS org, address, people, "of" FROM u JOIN p ON u.org = p.org WHERE people > 0.5 * "of"')
+def _(df, ctx):
+    """Of all events, where shared_egress reads the first 2,000."""
+    return baseline.shared_addresses(df.select((F.col("id") % 10).alias("org"), "user", F.col("eventType").alias("address")), "org", "user", "address")
+
+
 @query("""SELECT 'placed' AS relation, CAST(o_custkey AS VARCHAR) AS a, CAST(o_orderkey AS VARCHAR) AS b, count(*) AS count, min(epoch_us(o_orderdate) // 1000) AS first FROM orders GROUP BY 2, 3
 UNION ALL SELECT 'status', CAST(o_custkey AS VARCHAR), o_orderstatus, count(*), min(epoch_us(o_orderdate) // 1000) FROM orders GROUP BY 2, 3""")
 def graph_edges(spark, sf_dir):
@@ -520,6 +534,12 @@ def priority_score(spark, sf_dir):
     return findings.priorities(_as_findings(spark, sf_dir, "id < 1500")).select("key", "priority")
 
 
+@query()
+def priority_score_whole(spark, sf_dir):
+    """Of all events, where priority_score reads the first 1,500."""
+    return findings.priorities(_as_findings(spark, sf_dir)).select("key", "priority")
+
+
 @query(f"WITH e AS ({_EVENTS}) SELECT eventType AS \"ruleId\", CAST(\"user\" % 7 AS VARCHAR) AS host, count(*) AS n, min(ts) AS first, max(ts) AS last FROM e WHERE id % 5 < 2 GROUP BY 1, 2")
 def fold_below_level(spark, sf_dir):
     return findings.fold_below(_as_findings(spark, sf_dir), "medium")
@@ -562,6 +582,15 @@ def evidence_gaps(spark, sf_dir):
     return findings.evidence_gaps(df, 43_200_000)
 
 
+@query("""WITH e AS (SELECT CAST(event_id % 4 AS VARCHAR) AS computer, 'events' AS channel, event_id // 4 AS r, epoch_us(ts) // 1000 AS ts FROM events), n AS (SELECT *, lead(r) OVER (PARTITION BY computer ORDER BY r) AS nr, lag(r) OVER (PARTITION BY computer ORDER BY r) AS pr, lag(ts) OVER (PARTITION BY computer ORDER BY r) AS pt, lead(ts) OVER (PARTITION BY computer ORDER BY ts) AS nt FROM e)
+SELECT 'missing records' AS kind, computer, channel, r AS at, nr - r - 1 AS size FROM n WHERE nr - r > 1 UNION ALL SELECT 'clock set back', computer, channel, r, pt - ts FROM n WHERE pt - ts > 1000 AND r - pr = 1 UNION ALL SELECT 'silence', computer, channel, ts, nt - ts FROM n WHERE nt - ts > 43200000
+UNION ALL SELECT 'late start', computer, channel, f, f - m FROM (SELECT *, CAST(trunc(median(f) OVER ()) AS BIGINT) AS m FROM (SELECT computer, channel, min(ts) AS f FROM e GROUP BY ALL)) WHERE f - m > 43200000""")
+def evidence_gaps_whole(spark, sf_dir):
+    """Of all events in logs without a hole of our making, where evidence_gaps leaves out a third of them."""
+    df = adapt.events(spark, sf_dir).select((F.col("id") % 4).cast("string").alias("computer"), F.lit("events").alias("channel"), F.expr("id div 4").alias("recordId"), "ts")
+    return findings.evidence_gaps(df, 43_200_000)
+
+
 @query("SELECT n_name AS name, r_name AS category, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE lower(s_name) = lower(n_name)) THEN 'name' WHEN r_regionkey < 3 THEN 'category' ELSE 'missing' END AS found FROM nation JOIN region ON n_regionkey = r_regionkey")
 def expectations(spark, sf_dir):
     nation, region, supplier = (adapt.read(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
