@@ -6,9 +6,11 @@ their Jaccard similarity. A run splits all sets on two sampled tokens, and every
 bucket again on two more, so that a pair at the threshold follows some common path to
 the end with a probability of at least 15/16, however deep; runs are repeated until
 the target recall. A bucket that is small, or whose sets agree on most tokens and
-can't be split further, is compared by brute force in blocks. What agrees on 0.6 of
+can't be split further, is compared by brute force. What agrees on 0.6 of
 its tokens there is linked into groups, and within the groups every pair of sets is
-verified exactly on all shingles.
+verified exactly on all shingles. Whether a large bucket's sets agree is told from a
+sample of it, chosen by hash and of bounded size. Buckets and groups of more than a
+block are compared block by block, so their rows are copied once for each block.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import whole, written
+from .common import filtered, whole, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS, BRANCH = 64, 2
 #: Sets that a bucket may hold to be compared at once, the side of a block of a larger one, and the depth at which all is compared.
-SMALL, BLOCK, DEPTH = 128, 512, 6
+SMALL, BLOCK, DEPTH = 128, 2048, 6
+#: Shingles in a block, on average: documents may be long.
+BLOCK_SHINGLES = 500_000
 #: Share of agreeing tokens from which a bucket counts as one that can't be split, and from which a pair is verified.
 DENSE, LIKELY = 0.5, 0.6
-#: Tokens kept apart from the paths to tell how much a bucket's sets agree.
-PROBES = 4
+#: Sets of a large bucket, on average, from which it is told how much they agree.
+SAMPLE = 24
 
 
 def runs_for(recall: float, similarity: float, branch: int = BRANCH) -> int:
@@ -89,12 +93,13 @@ def _name(tokens: np.ndarray) -> bytes:
 def _embed(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, values = [], []
+            sets, values, sizes = [], [], []
             for text in batch.column(2):
                 tokens = shingles(text.as_py(), words)
                 sets.append(_name(tokens) if len(tokens) else None)
                 values.append(embed(tokens).tobytes() if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "of", "set", "tokens"])
+                sizes.append(len(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(values, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "of", "set", "tokens", "size"])
 
     return run
 
@@ -103,9 +108,20 @@ def _token(tokens: Column, at: Column) -> Column:
     return F.substring(tokens, (at * 4 + 1).cast("int"), F.lit(4))
 
 
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean share of tokens that two sets of a bucket's sample agree on."""
+    for batch in batches:
+        shares = []
+        for sample in batch.column(1):
+            values = np.frombuffer(b"".join(sample.as_py()), "<u4").reshape(-1, TOKENS)
+            n = len(values)
+            alike = sum(int((values == v).sum()) for v in values) - n * TOKENS
+            shares.append(alike / (n * (n - 1) * TOKENS) if n > 1 else 0.0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=["path", "share"])
+
+
 def leaves(sets: DataFrame, runs: int, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """(set, path, n): the buckets to compare, with their size; those of one set are left out."""
-    splits = TOKENS - PROBES
     root = F.array(*[F.xxhash64(F.lit(i), _token(F.col("tokens"), F.lit(i))) for i in range(BRANCH * runs)])
     rows = written(sets.select("set", F.explode(root).alias("path")), "paths")
     found = []
@@ -119,14 +135,13 @@ def leaves(sets: DataFrame, runs: int, small: int = SMALL, depth: int = DEPTH) -
         if level == depth:
             found.append(large)
             break
-        large = large.join(sets, "set")
-        probe = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _token(F.col("tokens"), F.lit(splits + i)).alias("v")) for i in range(PROBES)])).alias("probe")
-        alike = large.select("path", "n", probe).groupBy("path", "n", "probe").agg(F.count(F.lit(1)).alias("m"))
-        dense = written(alike.groupBy("path").agg((F.sum((F.col("m") / F.col("n")) ** 2) / PROBES >= DENSE).alias("dense")).where("dense").select("path"), "dense")
-        found.append(rows.where(F.col("n") > small).join(dense, "path", "left_semi"))
-        loose = large.join(dense, "path", "left_anti")
+        drawn = F.pmod(F.xxhash64(F.lit(8), "path", "set"), F.lit(1 << 40)) < F.lit(float(SAMPLE << 40)) / F.col("n")
+        sample = large.where(drawn).join(sets, "set").groupBy("path").agg(F.collect_list("tokens").alias("sample"))
+        dense = written(sample.mapInArrow(_agreement, "path long, share double").where(F.col("share") >= DENSE).select("path"), "dense")
+        found.append(large.join(dense, "path", "left_semi"))
+        loose = large.join(dense, "path", "left_anti").join(sets, "set")
         # Which tokens a bucket is split on follows from its path; none of the root's, and two that differ.
-        span = splits - BRANCH * runs
+        span = TOKENS - BRANCH * runs
         first = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(span))
         at = [F.lit(BRANCH * runs) + F.pmod(first + F.lit(j * (span // BRANCH)), F.lit(span)) for j in range(BRANCH)]
         rows = written(loose.select("set", F.explode(F.array(*[F.xxhash64("path", F.lit(j), _token(F.col("tokens"), a)) for j, a in enumerate(at)])).alias("path")), "paths")
@@ -136,11 +151,11 @@ def leaves(sets: DataFrame, runs: int, small: int = SMALL, depth: int = DEPTH) -
     return every
 
 
-def _blocks(rows: DataFrame, group: str, member: str, block: int) -> DataFrame:
+def _blocks(rows: DataFrame, group: str, member: str, blocks: Column) -> DataFrame:
     """Each row once for every pair of blocks of its group that its own block is in: part, own, pair of blocks."""
-    count = F.ceil(F.col("n") / block)
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64(member, F.lit(9)), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).withColumn("part", F.xxhash64(group, "lo", "hi")).drop("other", "n")
+    dealt = rows.withColumn("_of", blocks.cast("long")).withColumn("own", F.pmod(F.xxhash64(member, F.lit(9)), F.col("_of")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
+    return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).withColumn("part", F.xxhash64(group, "lo", "hi")).drop("other", "_of")
 
 
 def _by_part(work):
@@ -224,25 +239,22 @@ def _likely(part: pd.DataFrame):
     return pd.DataFrame(rows, columns=["a", "b"]) if rows else None
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many tokens each two sets share."""
-    n = len(sets)
-    if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
-    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set on the left shares with each on the right."""
+    m, n = len(left), len(right)
+    _, token, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m + n), [len(s) for s in (*left, *right)])
     shared = times[token] > 1
     row, token = row[shared], np.unique(token[shared], return_inverse=True)[1]
-    total = np.zeros((n, n), np.float32)
-    width = max(1, 16_000_000 // n)
     by = np.argsort(token, kind="stable")
     row, token = row[by], token[by]
+    total = np.zeros((m, n), np.float32)
+    width = max(1, 8_000_000 // (m + n))
     for start in range(0, int(token[-1]) + 1 if len(token) else 0, width):
         a, b = np.searchsorted(token, [start, start + width])
-        held = np.zeros((n, int(token[b - 1]) - start + 1), np.float32)
+        held = np.zeros((m + n, int(token[b - 1]) - start + 1), np.float32)
         held[row[a:b], token[a:b] - start] = 1
-        total += held @ held.T
+        total += held[:m] @ held[m:].T
     return total.astype(np.int64)
 
 
@@ -252,13 +264,24 @@ def _verify(threshold: float):
         part = part.drop_duplicates("set")
         if len(part) < 2:
             return None
-        names, weight = part["set"].tolist(), part["copies"].to_numpy()
+        names, weight, own = part["set"].tolist(), part["copies"].to_numpy(), part["own"].to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in part["shingles"]]
         size = np.array([len(s) for s in sets])
-        both = overlaps(sets)
-        agree = (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9) & _across(part)
-        links = agree @ weight
-        star = _stars(names, _spanning(agree))
+        lo, hi = part["lo"].iat[0], part["hi"].iat[0]
+        left = np.flatnonzero(own == lo)
+        right = left if lo == hi else np.flatnonzero(own == hi)
+        if not len(left) or not len(right):
+            return None
+        both = overlaps([sets[i] for i in left], [sets[i] for i in right])
+        agree = both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9
+        if lo == hi:
+            np.fill_diagonal(agree, False)
+        links = np.zeros(len(names), np.int64)
+        links[left] += agree @ weight[right]
+        if lo != hi:
+            links[right] += agree.T @ weight[left]
+        a, b = np.nonzero(agree)
+        star = _stars(names, np.column_stack([left[a], right[b]]))
         rows = [(a, int(n), star[a]) for a, n in zip(names, links, strict=True) if n]
         return pd.DataFrame(rows, columns=["set", "links", "root"]) if rows else None
 
@@ -288,23 +311,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(text_col)).alias("of"), whole(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    members = written(rows.mapInArrow(_embed(words), f"doc_id {id_type}, of long, set binary, tokens binary"), "members")
-    copies = members.where("set is not null").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "of")).alias("least"))
+    members = written(rows.mapInArrow(_embed(words), f"doc_id {id_type}, of long, set binary, tokens binary, size long"), "members")
+    copies = members.where("set is not null").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "of")).alias("least"), F.min("size").alias("size"))
     # Equal sets have equal tokens; they are taken from the least row.
     copies = written(copies, "copies")
     sets = members.where("set is not null").groupBy("set").agg(F.min("tokens").alias("tokens"))
     sets = written(sets, "sets")
 
     near = leaves(sets, runs_for(recall, threshold), small).join(sets, "set")
-    parts = _blocks(near, "path", "set", block).select("part", "own", "lo", "hi", "set", "tokens")
+    parts = _blocks(near, "path", "set", F.ceil(F.col("n") / block)).select("part", "own", "lo", "hi", "set", "tokens")
     stars = parts.repartition("part").sortWithinPartitions("part").mapInPandas(_by_part(_likely), "a binary, b binary")
     groups = components(stars)
 
-    sizes = written(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    wanted = written(groups.join(sizes, "root").withColumnRenamed("id", "set").join(copies, "set").select("set", "root", "n", "copies", F.col("least.doc_id").alias("_wanted"), F.col("least.of").alias("_of")), "wanted")
-    texts = rows.join(wanted.select("_wanted", "_of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_wanted")) & (F.col("of") == F.col("_of")), "left_semi").select("text")
+    members_of = written(groups.withColumnRenamed("id", "set").join(copies, "set"), "grouped")
+    sizes = members_of.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    wanted = written(members_of.join(written(sizes, "sizes"), "root").select("set", "root", "blocks", "copies", F.col("least.doc_id").alias("_wanted"), F.col("least.of").alias("_of")), "wanted")
+    # Only texts that may be wanted are shuffled.
+    maybe = filtered(rows, wanted.select(F.col("_of").alias("hash")), F.col("of"))
+    texts = maybe.join(wanted.select("_wanted", "_of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_wanted")) & (F.col("of") == F.col("_of")), "left_semi").select("text")
     full = written(texts.mapInArrow(_shingled(words), "set binary, shingles binary"), "shingles")
-    exact = _blocks(wanted.select("set", "root", "n", "copies").join(full.dropDuplicates(["set"]), "set"), "root", "set", block).select("part", "own", "lo", "hi", "set", "copies", "shingles")
+    exact = _blocks(wanted.select("set", "root", "blocks", "copies").join(full.dropDuplicates(["set"]), "set"), "root", "set", F.col("blocks")).select("part", "own", "lo", "hi", "set", "copies", "shingles")
     linked = written(exact.repartition("part").sortWithinPartitions("part").mapInPandas(_by_part(_verify(threshold)), "set binary, links long, root binary"), "linked")
     classes = components(linked.select(F.col("set").alias("a"), F.col("root").alias("b")))
     degrees = linked.groupBy("set").agg(F.sum("links").alias("others"))

@@ -20,4 +20,31 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-__all__ = ["WORD", "read", "shared_dir", "whole", "written"]
+#: Bits of the map that ``filtered`` sends to all tasks: for each hash 16, between 2^16 and 2^27 (a table of at most 2^21 rows).
+BITS_A_HASH, LEAST_BITS, MOST_BITS = 16, 16, 27
+
+
+def with_mark(df: DataFrame, hashes: DataFrame, of: Column, to: str = "_may") -> DataFrame:
+    """``df`` with ``to``: false only where the 64-bit hash ``of`` is surely not among ``hashes`` (hash).
+
+    A bitmap of bounded size goes to all tasks, so rows are told apart where they lie and
+    only those marked need be shuffled. Beyond 2^27 bits' worth of hashes more and more
+    rows are marked; what is decided by an exact join afterwards stays right.
+    """
+    n = hashes.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (max(n, 1) * BITS_A_HASH - 1).bit_length()))
+    cell = lambda c: F.shiftrightunsigned(c, 64 - bits)
+    word, bit = lambda c: F.shiftright(cell(c), 6), lambda c: cell(c).bitwiseAND(F.lit(63)).cast("int")
+    ones = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("hash")))
+    words = written(hashes.select(word(F.col("hash")).alias("_word"), ones.alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits")), "bitmap")
+    marked = df.withColumn("_hash", of).withColumn("_cell", word(F.col("_hash"))).join(F.broadcast(words), F.col("_cell") == F.col("_word"), "left")
+    seen = F.call_function("shiftright", F.col("_bits"), bit(F.col("_hash"))).bitwiseAND(F.lit(1)) == 1
+    return marked.withColumn(to, F.coalesce(seen, F.lit(False))).drop("_hash", "_cell", "_word", "_bits")
+
+
+def filtered(df: DataFrame, hashes: DataFrame, of: Column) -> DataFrame:
+    """The rows of ``df`` whose hash may be among ``hashes``."""
+    return with_mark(df, hashes, of, "_may").where("_may").drop("_may")
+
+
+__all__ = ["WORD", "filtered", "read", "shared_dir", "whole", "with_mark", "written"]
