@@ -9,8 +9,9 @@
    fingerprint comes once from each part, however often it occurs there, so a
    hot text costs its owner one entry a part.
 3. Rows whose bit is set, or whose part holds the fingerprint twice, are the
-   suspects. Only their texts are shuffled, grouped by the bytes themselves with
-   map-side combining; a class counts if the bytes agree with the fingerprints.
+   suspects. A bitmap of bounded size finds them where they lie and only their texts
+   are shuffled, grouped by the bytes themselves with map-side combining; a class
+   counts if the bytes agree with the fingerprints.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole, written
+from .common import filtered, whole, written
 
 FP_BITS = 48
 PART_ROWS = 100_000
@@ -138,13 +139,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = table.where("kind = 0").select("part", "owner", "pos", "doc_id", "sha", "rank", "twice", "text_hash")
     bit = "shiftright(cast(conv(hex(substring(bitmap, rank div 8 + 1, 1)), 16, 10) as int), 7 - rank % 8) & 1"
     suspects = written(
-        marked.join(bitmaps, ["part", "owner"], "left").where(F.col("twice") | F.coalesce(F.expr(bit) == 1, F.lit(False))).select("part", "pos", "doc_id", "sha"),
+        marked.join(bitmaps, ["part", "owner"], "left").where(F.col("twice") | F.coalesce(F.expr(bit) == 1, F.lit(False))).select("part", "pos", "doc_id", "sha", "text_hash"),
         "suspects",
     )
-    # Byte for byte: the suspects' texts are grouped by their own bytes.
-    ids = suspects.select(F.col("doc_id").alias("suspect_id")).distinct()
-    # The hint keeps the plan the same at every size: below the broadcast limit, too, the suspects' ids aren't sent to all.
-    texts = rows.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
+    # Byte for byte: the suspects' texts are grouped by their own bytes. A bitmap of their hashes tells them where they
+    # lie; what it lets through by chance is in no class and goes with the join below.
+    texts = filtered(rows, suspects.select(F.col("text_hash").alias("hash")), F.col("text_hash"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     same = texts.select(F.translate("text", upper, lower).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("same_bytes")).select(F.sha2("text", 256).alias("sha"), "same_bytes")
     classes = suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "part", "pos")).alias("keep"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1").join(same, "sha")
