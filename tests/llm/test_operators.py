@@ -412,6 +412,11 @@ def brute_kneser_ney(texts):
     return p
 
 
+def text_grams(text):
+    x = [0, 0, 0, *[min(ord(ch), 0xFFFF) for ch in text], 1]
+    return [tuple(x[i - 3 : i + 1]) for i in range(3, len(x))]
+
+
 def test_kneser_ney(spark):
     import numpy as np
 
@@ -419,35 +424,80 @@ def test_kneser_ney(spark):
     texts = ["".join(rng.choice("abcd e😀") for _ in range(rng.randint(0, 40))) for _ in range(30)]
     model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
     p = brute_kneser_ney(texts)
-    for shards in (1, 3):
-        for text in ("abba", "zebra x", "", "e😀 cab"):
-            x = [0, 0, 0, *[min(ord(ch), 0xFFFF) for ch in text], 1]
-            want = np.log([p(tuple(x[i - 3 : i + 1])) for i in range(3, len(x))])
-            grams = kneser_ney._grams(text)
-            got = np.zeros(len(grams))
-            for s in range(shards):
-                mine = kneser_ney.shard_of(grams, shards) == s
-                if mine.any():
-                    got[mine] = kneser_ney.log_p(grams[mine], kneser_ney._model_shard(model, s, shards))
-            assert np.allclose(got, want), text
+    asked = ["abba", "zebra x", "", "e😀 cab", None]
+    for part_bytes in (3, 1000):
+        out = kneser_ney.scored(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id int, text string"), model, part_bytes=part_bytes).collect()
+        assert len(out) == len(asked)
+        for r in out:
+            want = np.log([p(g) for g in text_grams(asked[r.doc_id] or "")])
+            assert np.allclose([-r._nats, r._squares, r._symbols], [want.sum(), (want**2).sum(), len(want)]), asked[r.doc_id]
     # The probabilities after any context sum to one over the characters known and one unknown.
     known = {g[-1] for t in texts for g in [(1,), *[(min(ord(ch), 0xFFFF),) for ch in t]]}
     for context in ((0, 0, 0), (97, 98, 98), (32, 101, 0xFFFF), (7, 7, 7)):
         assert abs(sum(p((*context, w)) for w in [*known, 7777]) - 1) < 1e-9
 
 
+def test_gram_lists_round_trip():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5000):
+        grams = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)).view(np.int64)
+        assert (kneser_ney._grams_in(kneser_ney._low_of(grams)) == grams).all()
+
+
+def test_classifier_against_brute_force(spark):
+    """Perplexity, score, threshold and decision of every row, by the textbook."""
+    import math
+
+    rng = random.Random(16)
+    rows = [(i, prose(rng, rng.randint(1, 12)), rng.choice(["en", "de", None])) for i in range(160)]
+    rows += [(500, "".join(rng.choice("#$%&*|!QXZ ") for _ in range(300)), "en"), (501, None, "en"), (502, "", None), (503, "no label at all", "fr"), (None, "no id", "en"), (3, "the same id twice", "en")]
+    marks = [(i, 1, 0) for i in range(0, 160, 2)] + [(7, 0, 0), (8, 1, 1), (None, 1, 0)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fold = {r._trusted: r._fold for r in kneser_ney.trusted_ids(labels).collect()}
+    assert set(fold) == set(range(0, 160, 2)) - {8}
+    p = brute_kneser_ney([t or "" for i, t, _ in rows if fold.get(i, 0) > 0])
+    made, held = [], defaultdict(list)
+    for i, t, lang in rows:
+        ln = [math.log(p(g)) for g in text_grams(t or "")]
+        n, mean = len(ln), -sum(ln) / len(ln)
+        score = (mean - 2 * math.sqrt(max(0.0, sum(x * x for x in ln) / n - mean * mean)) / math.sqrt(n)) / math.log(2) if n > 1 else None
+        made.append((i, t, lang, math.exp(mean) if n > 1 else None, score))
+        if score is not None and fold.get(i) == 0:
+            held[lang].append(math.floor(score * 1000))
+    limit = {}
+    for lang, bins in held.items():
+        at = lambda q, bins=sorted(bins): (next(b for x, b in enumerate(bins) if x + 1 >= q * len(bins)) + 1) / 1000
+        limit[lang] = max(at(0.998), at(0.5) + 3 * (at(0.9) - at(0.5)))
+    assert len(limit) == 3
+    key = lambda r: (str(r[0]), str(r[1]))
+    out = sorted(((r.doc_id, r.text, r.lang, r._perplexity, r._score, r._threshold, r._keep) for r in kneser_ney.classify(docs, labels, part_bytes=900).collect()), key=key)
+    assert len(out) == len(rows)
+    for got, (i, t, lang, perplexity, score) in zip(out, sorted(made, key=key), strict=True):
+        assert got[:3] == (i, t, lang)
+        assert got[3] == pytest.approx(perplexity) and got[4] == pytest.approx(score) and got[5] == pytest.approx(limit.get(lang))
+        assert got[6] == (score is None or lang not in limit or score <= limit[lang])
+    assert not next(r for r in out if r[0] == 500)[6]
+
+
+def test_classifier_refuses_columns_named_as_its_results(docs, labels):
+    with pytest.raises(ValueError, match="_keep"):
+        kneser_ney.classify(docs.withColumn("_keep", F.lit(1)), labels)
+
+
 def test_classifier_rejects_junk_and_keeps_prose(spark, docs):
     rng = random.Random(6)
     good = [(i, prose(rng, 60), "en", 1, 0) for i in range(1500)]
     junk = [(10_000 + i, "".join(rng.choice("#$%&*|!QXZ ") for _ in range(300)), "en", 0, 0) for i in range(40)]
     rows = spark.createDataFrame(good + junk, "doc_id long, text string, lang string, quality int, toxic int")
     labels = rows.where("doc_id % 3 = 0").select("doc_id", "quality", "toxic")
-    for shard_rows in (kneser_ney.SHARD_ROWS, 300):
-        out = kneser_ney.classify(rows.drop("quality", "toxic"), labels, shard_rows=shard_rows).collect()
-        assert len(out) == len(good + junk)
-        kept = {r.doc_id for r in out if r._keep}
-        assert not [j for j, *_ in junk if j in kept]
-        assert sum(i in kept for i, *_ in good) >= 0.99 * len(good)
+    out = kneser_ney.classify(rows.drop("quality", "toxic"), labels).collect()
+    assert len(out) == len(good + junk)
+    kept = {r.doc_id for r in out if r._keep}
+    assert not [j for j, *_ in junk if j in kept]
+    assert sum(i in kept for i, *_ in good) >= 0.99 * len(good)
 
 
 def test_classifier_of_messy_rows(docs, labels):
@@ -502,12 +552,32 @@ def test_mixing(spark, docs):
     assert sorted(map(key, again)) == sorted(map(key, out))
 
 
+def order_tokens(text):
+    """Runs without white space, cut from left to right one character at a time."""
+    import unicodedata
+
+    out = []
+    for run in re.split(r"[ \t\n\x0B\f\r]+", text):
+        at = 0
+        while at < len(run):
+            if unicodedata.category(run[at]) == "Lo":
+                out.append(run[at])
+                at += 1
+                continue
+            end = at
+            while end < len(run) and end - at < 12 and unicodedata.category(run[end]) != "Lo" and not (end - at >= 4 and run[end - 1] in "aeiou02468аеиоуыяαεηιουω"):
+                end += 1
+            out.append(run[at:end])
+            at = end
+    return out
+
+
 def brute_fingerprint(text, k=3):
     import xxhash
 
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    tokens = re.findall(r"[^ \t\n\x0B\f\r]{1,6}", text)
-    low = lambda h: ((h << 24) & (2**64 - 1)) >> 24
+    tokens = order_tokens(text)
+    low = lambda h: h & (2**33 - 1)
     grams = []
     for i in range(len(tokens)):
         h = 42
@@ -518,10 +588,10 @@ def brute_fingerprint(text, k=3):
     long_hash = lambda v, seed: xxhash.xxh64_intdigest((v % 2**64).to_bytes(8, "little"), seed)
     int_hash = lambda v, seed: xxhash.xxh64_intdigest(v.to_bytes(4, "little"), seed)
     for place, g in enumerate(grams):
-        whole = g - (1 << 40) if g >> 39 else g
-        rank = int_hash(seen[g], long_hash(whole, 42)) >> 24
+        whole = g - (1 << 33) if g >> 32 else g
+        rank = int_hash(seen[g], long_hash(whole, 42)) >> 31
         seen[g] += 1
-        bins[rank >> 34].append((signed(rank << 24 | place), rank, place))
+        bins[rank >> 27].append((signed(rank << 31 | place), rank, place))
     out = []
     for b in sorted(bins, key=lambda b: signed(b << 58)):
         two = [(r, p) for _, r, p in sorted(bins[b])[:2]]
@@ -534,7 +604,9 @@ def brute_fingerprint(text, k=3):
     return ",".join(f"{x:X}" for x in out)
 
 
-def test_order_minhash(docs):
+def test_order_minhash(docs, spark):
+    more = [(-5, "漢字かな混じり文ですabc漢字", None), (-6, "".join(random.Random(3).choice("bcdfghae0123") for _ in range(700)), None), (-7, "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxa", None)]
+    docs = docs.select("doc_id", "text", "source").union(spark.createDataFrame(more, "doc_id long, text string, source string"))
     rows = order_minhash.fingerprints(docs).collect()
     given = plain(docs)
     order = sorted(given, key=lambda r: (r[0] is None, -(r[0] or 0), tuple(-ord(x) for x in hashlib.md5(r[1].encode()).hexdigest())))
@@ -560,3 +632,23 @@ def test_order_minhash_falls_with_edits(spark):
     same, slight, turned, other = (r[0] for r in df.select(order_minhash.likeness(F.col("p"), F.col("q"))).collect())
     assert same == 1.0
     assert slight > 0.7 > turned > other
+
+
+def test_order_minhash_follows_an_insertion_without_spaces(spark):
+    """One character put in anywhere leaves nearly all of a fingerprint, whatever the script."""
+    rng = random.Random(12)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "".join(map(chr, range(0x4E00, 0x4F00))), "абвгдеёжзийклмнопрстуфхц"):
+        text = "".join(rng.choice(letters) for _ in range(3000))
+        df = spark.createDataFrame([(text, text[:at] + letters[1] + text[at:]) for at in (1, 100, 1500, 2900)], "a string, b string")
+        df = order_minhash.with_components(order_minhash.with_components(df, "a", "p"), "b", "q")
+        assert all(r[0] > 0.9 for r in df.select(order_minhash.likeness(F.col("p"), F.col("q"))).collect()), letters[:8]
+
+
+def test_order_minhash_takes_ids_of_any_type(spark):
+    rng = random.Random(13)
+    texts = [prose(rng, 20) for _ in range(30)]
+    for kind, ids in (("string", [f"doc/{i:03}" for i in range(30)]), ("string", [f"{i % 7}x{i}" for i in range(30)]), ("double", [i / 3 - 4 for i in range(30)])):
+        rows = order_minhash.fingerprints(spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")).collect()
+        order = sorted(zip(ids, texts, strict=True), reverse=True)
+        want = {i: hashlib.sha256((t[: len(t) - len(t) // 2] + order[(x + 1) % 30][1][: len(t) // 2]).encode()).hexdigest() for x, (i, t) in enumerate(order)}
+        assert {r.doc_id: r.edited_sha256 for r in rows} == want

@@ -3,8 +3,9 @@
 Trained on the trusted documents, all but a tenth. Tasks count the 4-grams of their
 texts and only the counts are shuffled; the lower orders, the discounts and the
 probabilities come from joins of count tables on n-grams and contexts. Every document
-gets its perplexity, and a language's threshold is a quantile over the tenth of its
-trusted documents that the model hasn't seen.
+gets its perplexity from joins of the n-grams that its part of the documents holds with
+the model, and a language's threshold comes from quantiles over the tenth of its trusted
+documents that the model hasn't seen.
 
 A 4-gram is exact in one long, 16 bits a character; characters beyond the first plane
 share one code. 0 stands before a text and 1 ends it.
@@ -16,21 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole, written
+from .common import filtered, whole, written
 
 ORDER = 4
-#: Model rows that go to the tasks at a time; a larger model is scored with shard by shard, and the shards' sums are added.
-SHARD_ROWS = 2_000_000
+#: Characters of a part of the documents, which is scored by one task.
+PART_BYTES = 32_000_000
 #: Quantile of held-out trusted documents at which a language's threshold lies, and how fine scores are binned for it.
 QUANTILE, STEPS = 0.998, 1000
-LEAST_HELD_OUT = 100
-#: Modulus and factor that deal contexts to shards; products stay within a long.
-SPREAD = (2**31 - 1, 48_271)
+#: Times the distance from the median to the 0.9 quantile that scores of clean documents reach; for a normal distribution 0.9999 of them.
+TAIL = 3.0
 FOLDS = 10
 
 
@@ -107,92 +108,141 @@ def train(texts: DataFrame) -> DataFrame:
     return written(model, "model")
 
 
-def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
-    """By the two characters before the one that is predicted; all that scores a position is in its shard."""
-    return ((gram >> 16) & 0xFFFFFFFF) % SPREAD[0] * SPREAD[1] % SPREAD[0] % shards
-
-
-def _model_shard(model: DataFrame, shard: int, shards: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Sorted n-grams and log values by order; orders 1 and 2 and the weights of contexts of one character are in every shard."""
-    context = F.when(F.col("ord") > 0, F.shiftrightunsigned("gram", 16)).otherwise(F.col("gram"))
-    own = _low(context, 2) % F.lit(SPREAD[0]) * F.lit(SPREAD[1]).cast("long") % F.lit(SPREAD[0]) % shards == shard
-    rows = model.where(F.col("ord").isin(-2, 0, 1, 2) | own).toArrow()
-    order, gram, p = (rows.column(i).to_numpy() for i in range(3))
-    out = {}
-    for k in (-4, -3, -2, 0, 1, 2, 3, 4):
-        at = order == k
-        by = np.argsort(gram[at].view(np.uint64))
-        out[k] = gram[at].view(np.uint64)[by], np.log(p[at][by])
-    return out
-
-
-def log_p(grams: np.ndarray, model: dict) -> np.ndarray:
-    """Natural log of the probability of each 4-gram's last character after the three before."""
-    result = np.zeros(len(grams))
-    open_ = np.arange(len(grams))
-    key = grams.view(np.uint64)
-    for k in range(ORDER, 0, -1):
-        keys, values = model[k]
-        own = key[open_] & np.uint64((1 << 16 * k) - 1)
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        hit = keys[at] == own
-        result[open_[hit]] += values[at[hit]]
-        open_ = open_[~hit]
-        if not len(open_):
-            return result
-        if k > 1:  # a context never seen leaves all weight to the lower order
-            keys, values = model[-k]
-            own = (key[open_] & np.uint64((1 << 16 * k) - 1)) >> np.uint64(16)
-            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            result[open_] += np.where(keys[at] == own, values[at], 0.0)
-    result[open_] += model[0][1][0]
-    return result
-
-
-def _score(model, shard: int, shards: int, text_at: int):
+def _low_of(gram: np.ndarray) -> bytes:
+    """Sorted distinct 4-grams as their number and compressed differences."""
+    steps = np.diff(gram.view(np.uint64), prepend=np.uint64(0)).tobytes()
+    return len(gram).to_bytes(8, "little") + pa.Codec("zstd").compress(steps, asbytes=True)
+
+
+def _grams_in(code: bytes) -> np.ndarray:
+    n = int.from_bytes(code[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    return np.cumsum(np.frombuffer(pa.Codec("zstd").decompress(code[8:], n * 8, asbytes=True), np.uint64)).view(np.int64)
+
+
+def _text_of(batch: pa.RecordBatch, path: tuple[str, ...]) -> pa.Array:
+    found = batch.column(batch.schema.get_field_index(path[0]))
+    for name in path[1:]:
+        found = found.field(name)
+    return found
+
+
+def _packed(path: tuple[str, ...], part_bytes: int):
+    """Parts of a task's rows, each of at most ``part_bytes`` of text and one more: number, rows, distinct 4-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.value
+        number, rows, seen, open_, size, pending = TaskContext.get().partitionId() << 24, [], [], [], 0, 0
+
+        def fold():
+            seen[:] = [np.unique(np.concatenate([*seen, *open_]).view(np.uint64)).view(np.int64)]
+            open_.clear()
+
+        def part():
+            fold()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for r in rows:
+                    out.write_batch(r)
+            made = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([_low_of(seen[0])], pa.binary())], names=["part", "body", "grams"])
+            rows.clear()
+            seen.clear()
+            return made
+
         for batch in batches:
-            sums, squares, n = [], [], []
-            for text in batch.column(text_at):
-                grams = _grams(text.as_py() or "")
-                n.append(len(grams))
-                total = square = 0.0
-                for start in range(0, len(grams), 1_000_000):
-                    part = grams[start : start + 1_000_000]
-                    if shards > 1:
-                        part = part[shard_of(part, shards) == shard]
-                    p = log_p(part, table)
-                    total, square = total - float(p.sum()), square + float(p @ p)
-                sums.append(total)
-                squares.append(square)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.float64()), pa.array(squares, pa.float64()), pa.array(n, pa.int64())], names=[*batch.schema.names, "_nats", "_squares", "_symbols"])
+            start = 0
+            for i, text in enumerate(_text_of(batch, path)):
+                own = _grams(text.as_py() or "")
+                open_.append(own)
+                size, pending = size + len(own), pending + len(own)
+                if pending > 2_000_000:
+                    fold()
+                    pending = 0
+                if size > part_bytes:
+                    rows.append(batch.slice(start, i + 1 - start))
+                    yield part()
+                    number, start, size, pending = number + 1, i + 1, 0, 0
+            if start < len(batch):
+                rows.append(batch.slice(start))
+        if rows:
+            yield part()
 
     return run
 
 
-def scored(docs: DataFrame, model: DataFrame, text_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``docs`` with _nats, _squares (sums over the text of -log p and its square) and _symbols.
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for number, code in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            grams = _grams_in(code.as_py())
+            for start in range(0, len(grams), 200_000):
+                some = grams[start : start + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(some)], names=["part", "gram"])
+
+
+def log_probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(gram, lp) for distinct 4-grams (gram): natural log of the probability of the last character after the three before.
 
-    A model of more than ``shard_rows`` rows is sent shard by shard, and the shards'
-    sums are added by all columns of the row.
+    Joins of n-grams with the model's n-grams and of contexts with its weights, lower
+    orders first; everything is dealt by n-gram or context, and nothing but the
+    probability of a character never seen comes to the driver.
     """
-    spark = docs.sparkSession
-    shards = max(1, -(-model.count() // shard_rows))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_nats", T.DoubleType()), T.StructField("_squares", T.DoubleType()), T.StructField("_symbols", T.LongType())])
-    parts = []
-    for i in range(shards):
-        sent = spark.sparkContext.broadcast(_model_shard(model, i, shards))
-        parts.append(docs.mapInArrow(_score(sent, i, shards, docs.columns.index(text_col)), schema))
-    if shards == 1:
-        return parts[0]
-    # Rows equal in all columns have equal sums, and each comes once from every shard.
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    summed = every.groupBy(*docs.columns).agg(F.sum("_nats").alias("_nats"), F.sum("_squares").alias("_squares"), F.first("_symbols").alias("_symbols"), (F.count(F.lit(1)) / shards).cast("int").alias("_times"))
-    alike = summed.withColumn("_nats", F.col("_nats") / F.col("_times")).withColumn("_squares", F.col("_squares") / F.col("_times"))
-    return alike.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_each")
+    asked = {ORDER: grams.select("gram")}
+    for k in range(ORDER - 1, 0, -1):
+        asked[k] = asked[k + 1].select(_low(F.col("gram"), k).alias("gram")).distinct()
+    least = model.where("ord = 0").first()["p"]
+    lower = None
+    for k in range(1, ORDER + 1):
+        own = model.where(F.col("ord") == k).select(F.col("gram").alias("_g"), F.col("p").alias("_p"))
+        found = asked[k].join(own, F.col("gram") == F.col("_g"), "left")
+        if k == 1:
+            lp = F.ln(F.coalesce("_p", F.lit(least)))
+        else:
+            back = model.where(F.col("ord") == -k).select(F.col("gram").alias("_c"), F.col("p").alias("_back"))
+            found = found.join(back, F.shiftrightunsigned("gram", 16) == F.col("_c"), "left").join(lower.select(F.col("gram").alias("_s"), F.col("lp").alias("_lower")), _low(F.col("gram"), k - 1) == F.col("_s"))
+            # A context never seen leaves all weight to the lower order.
+            lp = F.when(F.col("_p").isNotNull(), F.ln("_p")).otherwise(F.coalesce(F.ln("_back"), F.lit(0.0)) + F.col("_lower"))
+        lower = written(found.select("gram", lp.alias("lp")), f"asked{k}")
+    return lower
+
+
+def _score(path: tuple[str, ...], names: list[str]):
+    def run(bodies: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, values = answers.column("gram").to_numpy(), answers.column("lp").to_numpy()
+        by = np.argsort(keys)
+        keys, values = keys[by], values[by]
+        done = []
+        for body in bodies.column("body"):
+            for batch in pa.ipc.open_stream(body.as_buffer()):
+                sums, squares, n = [], [], []
+                for text in _text_of(batch, path):
+                    grams = _grams(text.as_py() or "")
+                    n.append(len(grams))
+                    total = square = 0.0
+                    for start in range(0, len(grams), 1_000_000):
+                        p = values[np.searchsorted(keys, grams[start : start + 1_000_000])]
+                        total, square = total - float(p.sum()), square + float(p @ p)
+                    sums.append(total)
+                    squares.append(square)
+                held = [batch.column(batch.schema.get_field_index(c)) for c in names]
+                done.append(pa.RecordBatch.from_arrays([*held, pa.array(sums, pa.float64()), pa.array(squares, pa.float64()), pa.array(n, pa.int64())], names=[*names, "_nats", "_squares", "_symbols"]))
+        return pa.Table.from_batches(done)
+
+    return run
+
+
+def scored(docs: DataFrame, model: DataFrame, path: tuple[str, ...] = ("text",), keep: list[str] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with _nats, _squares (sums over the text of -log p and its square) and _symbols.
+
+    The rows stay in parts as the tasks read them, compressed. A part asks for its distinct
+    4-grams, the counts are joined with the model, and each part gets its own answers
+    back: one plan at every size, and no task ever holds the model.
+    """
+    keep = keep or docs.columns
+    parts = written(docs.mapInArrow(_packed(path, part_bytes), "part long, body binary, grams binary"), "parts")
+    asked = written(parts.select("part", "grams").mapInArrow(_asked, "part long, gram long"), "asked")
+    answers = asked.join(log_probabilities(asked.select("gram").distinct(), model), "gram").select("part", "gram", "lp")
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_nats", T.DoubleType()), T.StructField("_squares", T.DoubleType()), T.StructField("_symbols", T.LongType())])
+    return parts.select("part", "body").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score(path, keep), schema)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -202,43 +252,52 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return ids.select("_trusted", F.pmod(F.xxhash64(F.lit(3), "_trusted"), F.lit(FOLDS)).alias("_fold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", shard_rows: int = SHARD_ROWS, columns: tuple[str, ...] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", columns: tuple[str, ...] | None = None, text_in: tuple[str, ...] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` (or its ``columns``) with _perplexity, _score, _threshold and _keep.
 
     The score is the mean bits a character less two standard errors of the text's own
     bits, so that short texts are not rejected by chance; ``_keep`` says that it isn't
-    above the language's threshold. Languages (null is one) with fewer than 100
-    held-out documents share a threshold over all of those. Null and empty texts have
+    above the language's threshold (null is a language), which comes from that language's held-out
+    documents alone; one without any has no threshold and keeps everything. Null and empty texts have
     no perplexity and stay, as does everything where no document is trusted. Repeated
-    rows are scored alike. ``docs`` may have any other columns but those four.
+    rows are scored alike. ``docs`` may have any other columns but those four, which are
+    refused. ``text_in`` says where in ``columns`` the text stands, so that it isn't carried twice.
     """
+    if clash := {"_perplexity", "_score", "_threshold", "_keep"} & set(columns or docs.columns):
+        raise ValueError(f"columns named as results: {sorted(clash)}")
     trusted = trusted_ids(labels, id_col)
     # The row's own columns travel in a struct, where their names clash with none of ours.
-    rows = docs.select(F.col(id_col).alias("_id"), F.struct(F.col(lang_col).cast("string").alias("lang")).alias("_of"), F.col(text_col).alias("_text"), F.struct(*(columns or docs.columns)).alias("_row"))
-    train_on = rows.select("_id", whole("_text").alias("_text")).join(trusted.where("_fold > 0").hint("merge"), F.col("_id") == F.col("_trusted"), "left_semi").select("_text")
+    carried = columns or docs.columns
+    text_in = text_in or ((text_col,) if text_col in carried else None)
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(F.col(lang_col).cast("string").alias("lang")).alias("_of"), F.struct(*carried).alias("_row"), F.col(text_col).alias("_text"))
+    named = F.xxhash64(F.col("_id").cast("string"))
+    train_on = filtered(rows.select("_id", whole("_text").alias("_text")), trusted.where("_fold > 0").select(F.xxhash64(F.col("_trusted").cast("string")).alias("hash")), named)
+    train_on = train_on.join(trusted.where("_fold > 0").hint("merge"), F.col("_id") == F.col("_trusted"), "left_semi").select("_text")
     model = train(train_on)
     if model.isEmpty():
         none = F.lit(None).cast("double")
         return rows.select("_row.*", none.alias("_perplexity"), none.alias("_score"), none.alias("_threshold"), F.lit(True).alias("_keep"))
-    done = written(scored(rows, model, "_text", shard_rows).drop("_text"), "scored")
+    own = rows.drop("_text") if text_in else rows
+    done = written(scored(own, model, ("_row", *text_in) if text_in else ("_text",), ["_id", "_of", "_row"], part_bytes), "scored")
     n, bits = F.col("_symbols"), F.col("_nats") / F.col("_symbols") / float(np.log(2))
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") / n - (F.col("_nats") / n) ** 2)) / float(np.log(2))
     done = done.withColumn("_perplexity", F.when(n > 1, F.exp(F.col("_nats") / n))).withColumn("_score", F.when(n > 1, bits - 2 * spread / F.sqrt(n)))
     held = done.select("_id", "_of", F.floor(F.col("_score") * STEPS).alias("_bin")).where("_bin is not null")
     held = held.join(trusted.where("_fold = 0"), F.col("_id") == F.col("_trusted"), "left_semi")
     bins = held.groupBy("_of", "_bin").agg(F.count(F.lit(1)).alias("n"))
-    cut = written(thresholds(bins, quantile), "thresholds")
-    general = cut.where("every").select("upto").first()
-    by_lang = cut.where("not every").select("_of", F.col("upto").alias("_own"))
-    done = done.join(by_lang, "_of", "left").withColumn("_threshold", F.coalesce("_own", F.lit(general[0] if general else None).cast("double")))
+    done = done.join(written(thresholds(bins, quantile), "thresholds"), "_of", "left")
     return done.select("_row.*", "_perplexity", "_score", "_threshold", F.coalesce(F.col("_score") <= F.col("_threshold"), F.lit(True)).alias("_keep"))
 
 
 def thresholds(bins: DataFrame, quantile: float) -> DataFrame:
-    """(_of, every, upto): where the running count of a histogram passes the quantile, by language and over all."""
-    all_bins = bins.groupBy("_bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("struct<lang:string>").alias("_of"), F.lit(True).alias("every"), "_bin", "n")
-    both = bins.select("_of", F.lit(False).alias("every"), "_bin", "n").unionByName(all_bins)
-    group = W.partitionBy("every", "_of")
-    run = both.withColumn("upto", F.sum("n").over(group.orderBy("_bin"))).withColumn("of", F.sum("n").over(group))
-    found = run.where((F.col("upto") >= quantile * F.col("of")) & (F.col("every") | (F.col("of") >= LEAST_HELD_OUT)))
-    return found.groupBy("every", "_of").agg(((F.min("_bin") + 1) / STEPS).alias("upto"))
+    """(_of, _threshold) from a histogram (_of, _bin, n) of each language's scores.
+
+    The threshold is the quantile, or, where that is higher, the median and TAIL times the distance
+    from there to the 0.9 quantile: with few held-out documents the highest quantile
+    is just the largest score, the two others still tell how far scores reach.
+    """
+    group = W.partitionBy("_of")  # at most a few ten thousand bins
+    run = bins.withColumn("upto", F.sum("n").over(group.orderBy("_bin"))).withColumn("all", F.sum("n").over(group))
+    at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("_bin"))) + 1) / STEPS
+    found = run.groupBy("_of").agg(at(0.5).alias("mid"), at(0.9).alias("high"), at(quantile).alias("top"))
+    return found.select("_of", F.greatest("top", F.col("mid") + TAIL * (F.col("high") - F.col("mid"))).alias("_threshold"))
