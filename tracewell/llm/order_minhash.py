@@ -1,14 +1,17 @@
 """Document fingerprints by Order MinHash.
 
-A text is cut into tokens of at most six characters without white space, and k
-consecutive tokens are a k-mer. Equal k-mers of a text are numbered in their order. A
+A text is cut into tokens of at most twelve characters without white space, and k
+consecutive tokens are a k-mer. Within a run without white space a token ends where
+its own characters say so, not at a place counted from the run's start, and letters of
+scripts without spaces are tokens of their own: an inserted character changes the
+tokens around it only. Equal k-mers of a text are numbered in their order. A
 hash of k-mer and number deals them into bins and ranks them within; the two smallest
 of a bin, put back into text order, are hashed together as one component. Two
 components agree only where both hold the same k-mers in the same order, so moved and
 exchanged passages lower the likeness, as edits do. All of it is array functions.
 
-One long holds a k-mer's hash (40 bits) and its place (24 bits), so that both sorts
-are sorts of plain longs.
+One long holds a k-mer's hash (33 bits) and its place (31 bits, as many as an array has),
+so that both sorts are sorts of plain longs.
 """
 
 from __future__ import annotations
@@ -16,10 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import whole
 
-PLACE_BITS = 24
+#: A letter of a script without spaces; from the fourth character on up to a vowel or an even digit; or what is left, at most twelve.
+TOKEN = r"\p{Lo}|[^\s\p{Lo}]{3,11}?[aeiou02468аеиоуыяαεηιουω]|[^\s\p{Lo}]{1,12}"
+PLACE_BITS = 31
 BIN_BITS = 6
 ROWS_A_BUCKET, MOST_BUCKETS = 2048, 20_000
 
@@ -45,7 +51,7 @@ def with_components(df: DataFrame, text: str, to: str, k: int = 3) -> DataFrame:
     s, st, c = F.col("_sorted"), F.col("_starts"), F.col("_chosen")
     at = lambda a, i: F.get(a, i)
     empty = F.array().cast("array<int>")
-    df = df.withColumn("_tokens", F.regexp_extract_all(text, F.lit(r"\S{1,6}"), F.lit(0)))
+    df = df.withColumn("_tokens", F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
     ts = F.col("_tokens")
     df = df.withColumn("_n", F.size(ts)).withColumn("_sorted", F.sort_array(F.transform(ts, lambda t, i: F.shiftleft(F.xxhash64(t, *[at(ts, i + j) for j in range(1, k)]), PLACE_BITS).bitwiseOR(_place(i.cast("long"))))))
     # Where a run of equal k-mers starts, and so which one of its equals each k-mer is.
@@ -83,21 +89,29 @@ def as_text(parts: Column) -> Column:
     return F.array_join(F.transform(parts, F.hex), ",")
 
 
-def _bucket(doc_id: Column, of: Column, bounds: list[float]) -> Column:
+def _order_key(doc_id: Column, kind: T.DataType) -> Column:
+    """A double that never falls where ids rise; of ids that aren't numbers their first six bytes."""
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return doc_id.cast("double")
+    if isinstance(kind, (T.TimestampType, T.DateType)):
+        return F.unix_micros(doc_id.cast("timestamp")).cast("double")
+    return F.conv(F.rpad(F.hex(F.substring(doc_id.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def _bucket(key: Column, of: Column, bounds: list[float]) -> Column:
     """Buckets in descending order of ids; ids that are null come last, dealt by their text's hash."""
     step = 128
     coarse, fine = F.lit(bounds[::step]).cast("array<double>"), F.lit(bounds).cast("array<double>")
-    x = doc_id.cast("double")
-    jump = F.greatest(F.size(F.filter(coarse, lambda b: b <= x)) - 1, F.lit(0)) * step
-    below = jump + F.size(F.filter(F.slice(fine, jump + 1, step), lambda b: b <= x))
-    return F.when(x.isNull(), F.lit(len(bounds) + 256) - F.conv(F.substring(of, 1, 2), 16, 10).cast("int")).otherwise(F.lit(len(bounds)) - below)
+    jump = F.greatest(F.size(F.filter(coarse, lambda b: b <= key)) - 1, F.lit(0)) * step
+    below = jump + F.size(F.filter(F.slice(fine, jump + 1, step), lambda b: b <= key))
+    return F.when(key.isNull(), F.lit(len(bounds) + 256) - F.conv(F.substring(of, 1, 2), 16, 10).cast("int")).otherwise(F.lit(len(bounds)) - below)
 
 
 def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last half replaced by the beginning of the next
-    document's, in descending order of ids (equal ids: of the texts' MD5; null ids
+    document's, in descending order of ids of any type (equal ids: of the texts' MD5; null ids
     last); after the last comes the first, and a lone document follows itself. Null
     texts are empty texts; texts without tokens have the empty fingerprint. The
     texts are shuffled once, in buckets of neighbouring ids, each with a copy of the
@@ -106,11 +120,11 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
     """
     text = whole(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.md5(text).alias("of"))
-    n = docs.count()
+    n, kind = docs.count(), docs.schema[id_col].dataType
     buckets = min(MOST_BUCKETS, -(-n // ROWS_A_BUCKET))
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(docs.select(F.col(id_col).cast("double").alias("id")).approxQuantile("id", cuts, 0.1 / buckets))) if cuts else []
-    placed = base.withColumn("bucket", _bucket(F.col("doc_id"), F.col("of"), bounds or [0.0]))
+    bounds = sorted(set(docs.select(_order_key(F.col(id_col), kind).alias("id")).approxQuantile("id", cuts, 0.1 / buckets))) if cuts else []
+    placed = base.withColumn("bucket", _bucket(_order_key(F.col("doc_id"), kind), F.col("of"), bounds or [0.0]))
     # At most MOST_BUCKETS + 256 rows: the first of each bucket, and for each bucket the first of the next one.
     heads = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", "of")).alias("head"))
     along = W.orderBy("bucket")
