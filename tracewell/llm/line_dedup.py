@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole, written
+from .common import whole, with_mark, written
 
 PRIME = 2**31 - 1
 
@@ -36,6 +36,14 @@ def chunks_of(text: Column, mean_lines: int) -> Column:
     return once(lines, lambda ls: once(F.transform(ls, line_hash), lambda hs: once(rolled(hs), lambda rs: once(ends(rs), lambda es: cut(ls, es)))))
 
 
+def _with_going(base: DataFrame, going: DataFrame) -> DataFrame:
+    """``base`` with what goes of each document, by id and text hash; only rows of which something may go are shuffled."""
+    going = written(going.withColumnsRenamed({"doc_id": "going_id", "of": "going_of"}), "going")
+    marked = with_mark(base, going.select(F.xxhash64("going_id", "going_of").alias("hash")), F.xxhash64("doc_id", "of"))
+    joined = marked.where("_may").join(going.hint("merge"), F.col("doc_id").eqNullSafe(F.col("going_id")) & (F.col("of") == F.col("going_of")), "left")
+    return joined.unionByName(marked.where("not _may"), allowMissingColumns=True)
+
+
 def line_dedup(docs: DataFrame, mean_lines: int = 4, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, text without repeated chunks, n_lines, removed_lines, removed_chunks.
 
@@ -55,8 +63,7 @@ def line_dedup(docs: DataFrame, mean_lines: int = 4, least_lines: int = 2, id_co
     first = occurrences.groupBy("print", "body").agg(F.min(F.struct("doc_id", "of", "place")).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = written(first, "first")
     going = occurrences.join(first, ["print", "body"]).where(F.struct("doc_id", "of", "place") != F.col("stays")).groupBy("doc_id", "of").agg(F.collect_set("place").alias("gone"))
-    going = going.withColumnsRenamed({"doc_id": "going_id", "of": "going_of"})
-    marked = base.join(going, F.col("doc_id").eqNullSafe(F.col("going_id")) & (F.col("of") == F.col("going_of")), "left")
+    marked = _with_going(base, going)
     out = marked.withColumn("chunks", F.when(F.col("gone").isNotNull(), chunks_of(F.col("text"), mean_lines)))
     stay = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
     lost = F.filter("chunks", lambda c, i: F.array_contains("gone", i))
@@ -90,8 +97,7 @@ def passage_dedup(docs: DataFrame, least_lines: int = 2, id_col: str = "doc_id",
     first = written(first, "first")
     elsewhere = F.struct("doc_id", "of") != F.struct("stays.doc_id", "stays.of")
     going = every.join(first, "print").where(elsewhere | (F.col("place") >= F.col("stays.place") + least_lines)).groupBy("doc_id", "of").agg(F.collect_set("place").alias("starts"))
-    going = going.withColumnsRenamed({"doc_id": "going_id", "of": "going_of"})
-    marked = base.join(going, F.col("doc_id").eqNullSafe(F.col("going_id")) & (F.col("of") == F.col("going_of")), "left")
+    marked = _with_going(base, going)
     lost = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + least_lines - 1))))
     kept = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("lost")), lambda i: F.get(ls, i))
     return marked.withColumn("lost", lost).select(
