@@ -2,16 +2,22 @@
 
 The patterns give the base spans. The field adds spans that they miss: it scores whole
 candidate segments, up to a bounded number of tokens, by features of the segment (its
-shape, digits, checksum, length, separators, the words before it), and a dynamic
-program over the tokens chooses boundaries and kinds jointly. Its weights are fitted
+shape, digits, checksum, length, marks, the words before it), and a dynamic
+program over the tokens chooses boundaries and kinds jointly. A candidate need only
+have a kind's ingredients (marks for at and dot, four small numbers, enough digits);
+which of the many that overlap is taken, and whether any is, the weights decide. They are fitted
 by maximum likelihood on the surroundings of the base spans of a bounded sample, as
 they are and with the span disguised (at and dot spelled out, other separators).
+
+All scans are linear in the text: patterns are looked for where they can start, and
+spans are compared in one sweep.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +43,15 @@ MARGIN = 2.0
 
 #: A run of letters or digits, one sign, or one stretch of white space.
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[^\w\s]|[\w]", re.UNICODE)
-#: What a candidate holds at least: an at sign, spelled out or not, or six digits with their separators.
-TRIGGER = re.compile(r"@|\(at\)|\[at\]|\sat\s[\w-]+\sdot\s|[0-9](?:[\x20().+-]{0,2}[0-9]){5,}")
-#: A dot or the word for it, and an address with any of its signs spelled out.
-DOT = r"(?:\.|\s*\(dot\)\s*|\s*\[dot\]\s*|\sdot\s)"
-SPELLED = re.compile(rf"[\w%+-]+(?:{DOT}[\w%+-]+)*(?:@|\s*\(at\)\s*|\s*\[at\]\s*|\sat\s)[\w-]+(?:{DOT}[\w-]+)+")
+#: Marks for at and dot: the sign, the sign or the word in brackets, the word between spaces.
+AT = re.compile(r"\s?@\s?|\s?[(\[{<]\s?(?:at|@)\s?[)\]}>]\s?|\sat\s", re.IGNORECASE)
+DOT = re.compile(r"\s\.\s|\.(?!\s)|\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\sdot\s", re.IGNORECASE)
+#: What a candidate holds at least: a mark for at, four small numbers between marks for dots, or six digits with their separators.
+TRIGGER = re.compile(r"@|[(\[{<]\s?at\s?[)\]}>]|\sat\s[\w-]{1,64}\s(?:dot\s|\.)|(?<![0-9])[0-9]{1,3}(?:\s?[(\[{<]?\s?(?:\.|dot)\s?[)\]}>]?\s?[0-9]{1,3}){3}|[0-9](?:[\x20().+/_-]{0,2}[0-9]){5,}", re.IGNORECASE)
+#: Characters of a segment, at most: longer addresses don't exist.
+CHARS = 254
 #: What stands around a segment that ends inside a longer name.
-GOES_ON, WENT_ON = re.compile(r"\.\w|-\w|\s?[(\[]dot[)\]]|\sdot\s\w"), re.compile(r"(?:\w[.%+-]|[(\[]dot[)\]]\s?|\w\sdot\s)$")
+GOES_ON, WENT_ON = re.compile(r"\.\w|-\w|\s?[(\[{<]\s?dot|\sdot\s\w", re.IGNORECASE), re.compile(r"(?:\w[.%+-]|dot\s?[)\]}>]\s?|\w\sdot\s)$", re.IGNORECASE)
 CUES = {"email": "mail e-mail email contact write address", "ip": "ip host server address", "card": "card visa payment number account", "phone": "phone tel telephone call mobile fax"}
 CUE = {w: k for k, v in CUES.items() for w in v.split()}
 
@@ -69,30 +77,49 @@ def valid(kind: str, s: str) -> bool:
     return kind != "phone" or 9 <= len(digits) <= 15
 
 
+#: The longest run of numbers between dots, and the part of an address after its at sign.
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost, not overlapping within a kind; what fails its check is dropped and not tried again."""
     found = []
     if "@" in text:
-        # Only around at signs: a match never leaves its run of the pattern's characters.
-        found += [("email", m.start(), m.end()) for m in _emails(text)]
-    for kind, pattern, need in (("ip", IP, "."), ("card", CARD, ""), ("phone", PHONE, "+")):
+        found += [("email", s, e) for s, e in _emails(text)]
+    if "." in text:
+        found += [("ip", s, e) for s, e in _ips(text) if valid("ip", text[s:e])]
+    for kind, pattern, need in (("card", CARD, ""), ("phone", PHONE, "+")):
         if need in text:
             found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if valid(kind, m.group())]
     return found
 
 
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+-]*(?:@[A-Za-z0-9._%+-]*)+")
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of IP: of a run of numbers between dots the first four, the next four, and so on."""
+    for m in _CHAIN.finditer(text):
+        if m.group().count(".") > 2:
+            at = m.start()
+            numbers = m.group().split(".")
+            for i in range(0, len(numbers) - 3, 4):
+                end = at + sum(map(len, numbers[i : i + 4])) + 3
+                yield at, end
+                at = end + 1
 
 
-def _emails(text: str) -> Iterator[re.Match]:
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of EMAIL: for each at sign the run of local characters before it and the domain after it."""
     at, upto = text.find("@"), 0
     while at >= 0:
         start = at
-        while start > upto and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "._%+-")):
+        while start > upto and text[start - 1] in _LOCAL:
             start -= 1
-        end = _EMAIL_RUN.match(text, start).end()
-        yield from EMAIL.finditer(text, start, end)
-        upto, at = end, text.find("@", end)
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+        upto = m.end() if m else at + 1
+        at = text.find("@", upto)
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
@@ -102,7 +129,13 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 # --- the field ---------------------------------------------------------------
 
-N_SHAPES = 26
+N_SHAPES = 38
+
+
+def _small_numbers(s: str) -> bool:
+    """Whether a segment is four numbers of at most 255 between marks for dots."""
+    parts = DOT.split(s)
+    return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
 
 
 def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[int]:
@@ -112,58 +145,92 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
     marks = set(s) - set("0123456789")
     cue = next((CUE[w] for a, b in reversed(tokens[max(0, i - 2 * AROUND) : i]) if (w := text[a:b].lower()) in CUE), None)
     nd = len(digits)
+    letters = any(c.isalpha() for c in s)
+    at = AT.search(s) if letters else None
+    local, domain = (s[: at.start()], s[at.end() :]) if at else ("", "")
+    dots = [m.group() for m in DOT.finditer(s)] if at or s.count(".") > 2 or letters else []
+    word = lambda m: m.strip(" ()[]{}<>").isalpha()
+    bracketed = lambda m: m.strip()[:1] in tuple("([{<")
+    names = [x for side in (local, domain) for x in DOT.split(side)]
+    before, after = text[tokens[i][0] - 1 : tokens[i][0]] if tokens[i][0] else "", text[tokens[j - 1][1] : tokens[j - 1][1] + 1]
     flags = (
-        True, bool(EMAIL.fullmatch(s)), bool(SPELLED.fullmatch(s)),
-        bool(IP.fullmatch(s)) and valid("ip", s), bool(CARD.fullmatch(s)), 13 <= nd <= 19 and luhn(digits), 13 <= nd <= 19, bool(PHONE.fullmatch(s)), 9 <= nd <= 15, nd < 9, nd > 19,
-        s[:1] in "+(", s[:1].isspace() or s[-1:].isspace(), s[-1:] in ".,;:-", "@" in s, any(c.isalpha() for c in s), s.count(".") == 3, "(" in s and ")" in s, marks <= set(" -") and bool(marks), bool(marks & set("\n\t")),
+        True, bool(EMAIL.fullmatch(s)), bool(at) and bool(domain) and all(re.fullmatch(r"[\w%+-]+", x) for x in names) and len(DOT.split(domain)) > 1,
+        _small_numbers(s), bool(CARD.fullmatch(s)), 13 <= nd <= 19 and luhn(digits), 13 <= nd <= 19, bool(PHONE.fullmatch(s)), 9 <= nd <= 15, nd < 9, nd > 19,
+        s[:1] in "+(", s[:1].isspace() or s[-1:].isspace(), s[-1:] in ".,;:-", "@" in s, letters, s.count(".") == 3, "(" in s and ")" in s, marks <= set(" -") and bool(marks), bool(marks & set("\n\t")),
         cue == "email", cue == "ip", cue == "card", cue == "phone", bool(GOES_ON.match(text, tokens[j - 1][1])), bool(WENT_ON.search(text[max(0, tokens[i][0] - 8) : tokens[i][0]])),
+        bool(at) and word(at.group()), bool(at) and bracketed(at.group()), any(word(d) for d in dots), any(bracketed(d) for d in dots), bool(at) and any(re.search(r"\s", x.strip()) for x in names),
+        bool(at) and not all(names), bool(at) and bool(AT.search(domain)), before.isdigit() or after.isdigit(), s[:2] == "00", len({m for m in marks if not m.isalnum() and m != " "}) > 2, bool(at) and any(x != x.strip() for x in names), before.isalnum() or after.isalnum(),
     )
-    return [k for k, on in enumerate(flags) if on] + [N_SHAPES + min(n, LONGEST) - 1]
+    return [k for k, on in enumerate(flags) if on] + [N_SHAPES + (n - 1).bit_length()]
 
 
-WIDTH = N_SHAPES + LONGEST
+#: Lengths count by powers of two.
+WIDTH = N_SHAPES + LONGEST.bit_length()
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches that may hold a span, each with some context; they don't overlap."""
-    out: list[list[int]] = []
+def windows(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Stretches that may hold a span, each with some context and what was found in it; they don't overlap."""
+    out: list[list] = []
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - 64), min(len(text), m.end() + 64)
         if out and a <= out[-1][1]:
             out[-1][1] = b
+            out[-1][2].append(m.span())
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append([a, b, [m.span()]])
+    return [(a, b, found) for a, b, found in out]
 
 
 def lattice(text: str, a: int, b: int):
     """The tokens of a window and the segments in it that can be of some kind, with their features."""
     tokens = [(a + m.start(), a + m.end()) for m in TOKEN.finditer(text[a:b])]
+    kind = ["s" if text[s].isspace() else "d" if "0" <= text[s] <= "9" else "w" if text[s].isalnum() or text[s] == "_" else "p" for s, _ in tokens]
+    digits = [0, *np.cumsum([e - s if k == "d" else 0 for k, (s, e) in zip(kind, tokens, strict=True)]).tolist()]
+    letters = [0, *np.cumsum([k == "w" for k in kind]).tolist()]
+    ats = [m.start() for m in AT.finditer(text, a, b)]
+    # White space that is no part of a mark stands in no address.
+    marked = {x for mark in (AT, DOT) for m in mark.finditer(text, a, b) for x in range(m.start(), m.end()) if text[x].isspace()}
+    apart = [0, *np.cumsum([k == "s" and not all(x in marked for x in range(s, min(e, s + CHARS))) for k, (s, e) in zip(kind, tokens, strict=True)]).tolist()]
     segments = []
     for i, (s, _) in enumerate(tokens):
-        if text[s].isspace():
+        if kind[i] == "s" or (kind[i] == "p" and text[s] not in "+("):
             continue
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-            e = tokens[j - 1][1]
-            if not text[e - 1].isspace() and TRIGGER.search(text, s, e) and any(possible(f := segment_features(text, tokens, i, j))):
-                segments.append((i, j, f))
+            e, nd, plain = tokens[j - 1][1], digits[j] - digits[i], letters[j] == letters[i]
+            if e - s > CHARS:
+                break
+            if kind[j - 1] not in "wd":
+                continue
+            # Ingredients by running sums first; what is left gets its features.
+            named = apart[j] == apart[i] and bisect_left(ats, e) - bisect_right(ats, s) == 1
+            if (named or (plain and 9 <= nd <= 19) or 4 <= nd <= 12) and any(possible(text[s:e], nd, plain, named)):
+                segments.append((i, j, segment_features(text, tokens, i, j)))
     return tokens, segments
 
 
-#: A segment can be of a kind only with one of these features: an email's form, a valid address, a card's checksum, a phone's digits.
-NEEDS = {"email": (1, 2), "ip": (3,), "card": (5,), "phone": (8,)}
+#: What numbers of cards and phones are written with.
+_NUMERIC = re.compile(r"[0-9\s().+/_-]+")
 
 
-#: ... and with none of these: part of a longer address is no address, as in the base patterns.
-BARS = {"email": (24, 25)}
+def possible(s: str, digits: int, plain: bool, named: bool) -> list[bool]:
+    """By kind, whether a segment has the ingredients: a mark for at with something around it and a mark for dot after it, four numbers, digits enough."""
+    email = False
+    if named and (m := AT.search(s)) and 0 < m.start() and m.end() < len(s):
+        d = DOT.search(s, m.end())
+        email = bool(d) and d.start() > m.end() and d.end() < len(s)
+    number = plain and digits >= 9 and bool(_NUMERIC.fullmatch(s))
+    return [email, 4 <= digits <= 12 and not named and _small_numbers(s), number and 13 <= digits <= 19, number and digits <= 15]
 
 
-def possible(features: list[int]) -> list[bool]:
-    return [any(f in features for f in NEEDS[k]) and not any(f in features for f in BARS.get(k, ())) for k in KINDS]
+def _can(features: list[int]) -> list[bool]:
+    """By kind, from the features: what ``possible`` says of the segment again."""
+    on = set(features)
+    named = bool(on & {1, 2, 14, 26, 27}) and 15 in on
+    return [named, 3 in on, 6 in on and 15 not in on, 8 in on and 15 not in on]
 
 
 def segment_scores(segments, weights: np.ndarray) -> np.ndarray:
-    scores = [np.where(possible(f), weights[:, f].sum(axis=1), -np.inf) for _, _, f in segments]
+    scores = [np.where(_can(f), weights[:, f].sum(axis=1), -np.inf) for _, _, f in segments]
     return np.array(scores).reshape(-1, len(KINDS))
 
 
@@ -212,30 +279,43 @@ def expectations(n: int, spans: list[tuple[int, int]], odds: list[float]) -> lis
 #: How a span of a kind may be disguised; the field learns these beside the plain forms.
 DISGUISES = {
     "email": (lambda s: s.replace("@", " (at) "), lambda s: s.replace("@", " [at] ").replace(".", " [dot] "), lambda s: s.replace("@", " at ").replace(".", " dot ")),
+    "ip": (lambda s: s.replace(".", "[.]"), lambda s: s.replace(".", " dot ")),
     "card": (lambda s: ".".join(re.findall("[0-9]{1,4}", _digits(s))), lambda s: "  ".join(re.findall("[0-9]{1,4}", _digits(s)))),
     "phone": (lambda s: "00" + s[1:],),
 }
 
 
+#: What looks much like a span of a kind and is none; the field learns to leave it.
+DECOYS = {
+    "email": (lambda s: s.replace("@", " at ").replace(".", " "), lambda s: "@" + s.split("@")[0]),
+    "ip": (lambda s: s.replace(".", " "), lambda s: "7" + s.replace(".", ".9")),
+    "card": (lambda s: _digits(s)[:-1] + str((int(s[-1]) + 1) % 10), lambda s: " ".join(re.findall("[0-9]{1,6}", _digits(s)[:-1] + str((int(s[-1]) + 3) % 10)))),
+    "phone": (lambda s: _digits(s), lambda s: " ".join(re.findall("[0-9]{1,5}", _digits(s) * 4))),
+}
+
+
 def examples_of(text: str) -> Iterator[tuple[str, dict[tuple[int, int], int]]]:
-    """The surroundings of each base span as they are, and once with the span disguised."""
+    """The surroundings of each base span as they are, with the span disguised in two of its kind's forms, and with a decoy."""
     for n, (kind, s, e) in enumerate(base_spans(text)):
         before, after = text[max(0, s - 60) : s], text[e : e + 60]
         plain = before + text[s:e] + after
         yield plain, {(a, b): KINDS.index(k) for k, a, b in base_spans(plain)}
-        if forms := DISGUISES.get(kind):
-            form = forms[n % len(forms)](text[s:e])
-            k = KINDS.index(kind)
+        forms = DISGUISES[kind]
+        k = KINDS.index(kind)
+        for make in dict.fromkeys((forms[n % len(forms)], forms[(n + 1) % len(forms)])):
+            form = make(text[s:e])
             gold = {(a, b): KINDS.index(x) for x, a, b in base_spans(before + form + after) if b <= len(before) or a >= len(before) + len(form)}
             yield before + form + after, gold | {(len(before), len(before) + len(form)): k}
+        form = DECOYS[kind][n % 2](text[s:e])
+        yield before + form + after, {(a, b): KINDS.index(x) for x, a, b in base_spans(before + form + after)}
 
 
-def fit(texts: list[str], rounds: int = 400, rate: float = 2.0, decay: float = 1e-3) -> np.ndarray:
+def fit(texts: list[str], rounds: int = 300, rate: float = 2.0, decay: float = 1e-3) -> np.ndarray:
     """Weights by kind and feature, by gradient ascent on the likelihood of the examples."""
     spans, sizes, features, golds = [], [], [], []
     for text in texts:
         for example, gold in examples_of(text):
-            for a, b in windows(example):
+            for a, b, _ in windows(example):
                 tokens, segments = lattice(example, a, b)
                 if segments:
                     sizes.append(len(tokens))
@@ -250,7 +330,7 @@ def fit(texts: list[str], rounds: int = 400, rate: float = 2.0, decay: float = 1
     can = np.zeros((len(features), len(KINDS)))
     for x, f in enumerate(features):
         on[x, f] = 1
-        can[x] = possible(f)
+        can[x] = _can(f)
     truth = np.zeros((len(features), len(KINDS)))
     hit = np.flatnonzero(np.array(golds) >= 0)
     truth[hit, np.array(golds)[hit]] = 1
@@ -270,14 +350,21 @@ def fit(texts: list[str], rounds: int = 400, rate: float = 2.0, decay: float = 1
 
 def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray) -> list[tuple[str, int, int]]:
     """What the field finds that touches no base span."""
-    out, taken = [], sorted((s, e) for _, s, e in base)
-    for a, b in windows(text):
-        if all(any(s < e0 and s0 < e for s, e in taken) for s0, e0 in ((m.start(), m.end()) for m in TRIGGER.finditer(text, a, b))):
+    out, starts, ends = [], [], []
+    for s, e in sorted((s, e) for _, s, e in base):  # united where they overlap
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    touched = lambda s, e: bisect_right(ends, s) < bisect_left(starts, e)
+    for a, b, found in windows(text):
+        if all(touched(s, e) for s, e in found):
             continue
         tokens, segments = lattice(text, a, b)
         for i, j, k in decode(len(tokens), segments, segment_scores(segments, weights)):
             s, e = tokens[i][0], tokens[j - 1][1]
-            if not any(s < y and x < e for x, y in taken):
+            if not touched(s, e):
                 out.append((KINDS[k], s, e))
     return out
 
