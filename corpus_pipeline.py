@@ -27,7 +27,7 @@ def _same() -> Column:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = kneser_ney.classify(_held(docs).select("_row.doc_id", "_row.text", "_row.lang", "_row"), read(spark, sf_dir, "labels"), columns=("_row",))
+    kept = kneser_ney.classify(_held(docs).select("_row.doc_id", "_row.text", "_row.lang", "_row"), read(spark, sf_dir, "labels"), columns=("_row",), text_in=("_row", "text"))
     return kept.where("_keep").select("_row.*")
 
 
