@@ -193,34 +193,102 @@ def test_field_finds_what_the_patterns_miss():
     assert pii.added_spans(clean, pii.base_spans(clean), weights) == []
 
 
-def test_segmentation_matches_enumeration():
+def every_segmentation(spans, at=0):
+    """All sets of disjoint spans, each with its positions in the list."""
+    yield ()
+    for x, (i, j) in enumerate(spans):
+        if i >= at:
+            for rest in every_segmentation(spans, j):
+                yield (x, *rest)
+
+
+def brute_lattice(text, a, b):
+    """The same candidates without running sums: every run of tokens is tried."""
+    tokens = [(a + m.start(), a + m.end()) for m in pii.TOKEN.finditer(text[a:b])]
+    marked = {x for mark in (pii.AT, pii.DOT) for m in mark.finditer(text, a, b) for x in range(*m.span())}
+    ats = [m.start() for m in pii.AT.finditer(text, a, b)]
+    out = []
+    for i in range(len(tokens)):
+        for j in range(i + 1, min(len(tokens), i + pii.LONGEST) + 1):
+            s, e = tokens[i][0], tokens[j - 1][1]
+            part = text[s:e]
+            ends = text[e - 1].isalnum() or text[e - 1] == "_"
+            if e - s > pii.CHARS or not ends or not (part[0].isalnum() or part[0] in "_+("):
+                continue
+            nd = len(re.sub("[^0-9]", "", part))
+            plain = all(t.isspace() or t.isdigit() and t.isascii() or not (t[0].isalnum() or t[0] == "_") for t in (text[x:y] for x, y in tokens[i:j]))
+            named = sum(s < x < e for x in ats) == 1 and not any(text[x].isspace() and x not in marked for x in range(s, e))
+            if any(pii.possible(part, nd, plain, named)):
+                out.append((i, j, pii.segment_features(text, tokens, i, j)))
+    return tokens, out
+
+
+SMALL_TEXTS = ["a 4111111111111111 b@c.de", "x jo at w dot com y", "on 10[.]2[.]3[.]4 or so", "7 4111 1111 1111 1111 9", "call 0049 (30) 1234567 x"]
+
+
+@pytest.mark.parametrize("text", SMALL_TEXTS)
+def test_segmentation_matches_enumeration(text):
     """Decoding and marginals of the semi-Markov field against all segmentations of a short window."""
-    import itertools
     import math
 
     import numpy as np
 
-    text = "a 4111111111111111 b@c.de"
     tokens, segments = pii.lattice(text, 0, len(text))
+    assert segments and (tokens, segments) == brute_lattice(text, 0, len(text))
     rng = np.random.default_rng(1)
-    weights = rng.normal(size=(len(pii.KINDS), pii.WIDTH))
-    scores = pii.segment_scores(segments, weights)
-    spans = [(i, j) for i, j, _ in segments]
-    total, mass, best = 1.0, np.zeros(len(spans)), (0.0, ())
-    for r in range(1, 4):
-        for chosen in itertools.combinations(range(len(spans)), r):
-            if all(spans[x][1] <= spans[y][0] or spans[y][1] <= spans[x][0] for x, y in itertools.combinations(chosen, 2)):
-                weight = math.prod(np.exp(scores[x]).sum() for x in chosen)
-                total += weight
-                mass[list(chosen)] += weight
-                worth = sum(scores[x].max() - pii.MARGIN for x in chosen)
-                best = max(best, (worth, tuple(sorted(spans[x] for x in chosen))))
-    odds = np.exp(scores).sum(axis=1)
-    found = np.array(pii.expectations(len(tokens), spans, odds.tolist())) * odds
-    if len(tokens) < 12:
+    for _ in range(5):
+        scores = pii.segment_scores(segments, rng.normal(size=(len(pii.KINDS), pii.WIDTH)))
+        spans = [(i, j) for i, j, _ in segments]
+        total, mass, best = 0.0, np.zeros(len(spans)), 0.0
+        for chosen in every_segmentation(spans):
+            weight = math.prod(np.exp(scores[x]).sum() for x in chosen)
+            total += weight
+            mass[list(chosen)] += weight
+            best = max(best, sum(scores[x].max() - pii.MARGIN for x in chosen))
+        odds = np.exp(scores).sum(axis=1)
+        found = np.array(pii.expectations(len(tokens), spans, odds.tolist())) * odds
         assert np.allclose(found, mass / total)
-    decoded = pii.decode(len(tokens), segments, scores)
-    assert math.isclose(sum(scores[spans.index((i, j))][k] - pii.MARGIN for i, j, k in decoded), best[0], abs_tol=1e-9) or len(decoded) > 3
+        decoded = pii.decode(len(tokens), segments, scores)
+        assert all(a[1] <= b[0] for a, b in zip(sorted(decoded), sorted(decoded)[1:], strict=False))
+        assert math.isclose(sum(scores[spans.index((i, j))][k] - pii.MARGIN for i, j, k in decoded), best, abs_tol=1e-9)
+
+
+def test_spans_against_brute_force(spark):
+    """The query's spans: the patterns' own matches, and the best segmentation of each window among all."""
+    texts = [*SMALL_TEXTS, None, "", "mail ab@c.de now", "x@y at 1.2.3.4.5.6.7.8 and 4111111111111111", "no 4111111111111112 here", "see u7 (at) mail3 (dot) example.com today", *["write to k9@mail2.example.com or +1 (476) 555-6291 or 4111 1111 1111 1111 from 10.2.3.4"] * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    fitted = sorted({t for t in texts if t and re.search(r"[@+]|[0-9]{6}", t)}, key=lambda t: spark.range(1).select(F.xxhash64(F.lit(5), F.lit(t))).first()[0])
+    weights = pii.fit(fitted)
+    added = 0
+    for r in pii.personal_data(docs).collect():
+        text = texts[r.doc_id] or ""
+        base = [("email", *m.span()) for m in pii.EMAIL.finditer(text)] + [(k, *m.span()) for k, p in (("ip", pii.IP), ("card", pii.CARD), ("phone", pii.PHONE)) for m in p.finditer(text) if pii.valid(k, m.group())]
+        free = lambda s, e, base=base: not any(s < y and x < e for _, x, y in base)
+        more = []
+        for a, b in pii.windows(text, lambda s, e, free=free: not free(s, e)):
+            tokens, segments = brute_lattice(text, a, b)
+            scores = pii.segment_scores(segments, weights)
+            spans = [(i, j) for i, j, _ in segments]
+            best = max(every_segmentation(spans), key=lambda c: round(sum(scores[x].max() - pii.MARGIN for x in c), 9)) if len(spans) < 40 else [spans.index((i, j)) for i, j, _ in pii.decode(len(tokens), segments, scores)]
+            more += [z for x in best if free(*(z := (pii.KINDS[int(scores[x].argmax())], tokens[spans[x][0]][0], tokens[spans[x][1] - 1][1]))[1:])]
+        assert r.spans == pii.listed(base + more), text
+        assert r.base_sha256 == hashlib.sha256(pii.listed(base).encode()).hexdigest()
+        added += len(more)
+    assert added >= 3
+
+
+def test_long_texts_take_time_in_proportion():
+    """Runs that made the patterns quadratic, at 5 million characters each."""
+    import time
+
+    weights = pii.fit(["mail a.b@c.de or 4111 1111 1111 1111 and +1 (476) 555-6291 at 10.2.3.4 x"] * 3)
+    began = time.perf_counter()
+    for unit in ("1" * 999_999 + ".", "a" * 1_000_000 + "@", "a.b@c.de ", "1.2.3.4.", "+1 (476) 555-6291 ", "the quick brown fox at home. "):
+        text = (unit * (5_000_000 // len(unit) + 1))[:5_000_000]
+        base = pii.base_spans(text)
+        assert len(base) == {"a.b@": 555_555, "1.2.": 625_000, "+1 (": 277_777}.get(unit[:4], 0)
+        assert pii.added_spans(text, base, weights) == []
+    assert time.perf_counter() - began < 90
 
 
 def test_personal_data_rows(docs):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,13 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> str:
+    """The name of a table of ``df`` in the shared folder, in buckets of ``key``: joins by it move none of its rows. The caller drops it."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(df.sparkSession)}/tables/{table}").saveAsTable(table)
+    return table
+
+
 #: Bits of the map that ``filtered`` sends to all tasks: for each hash 16, between 2^16 and 2^27 (a table of at most 2^21 rows).
 BITS_A_HASH, LEAST_BITS, MOST_BITS = 16, 16, 27
 
@@ -47,4 +56,4 @@ def filtered(df: DataFrame, hashes: DataFrame, of: Column) -> DataFrame:
     return with_mark(df, hashes, of, "_may").where("_may").drop("_may")
 
 
-__all__ = ["WORD", "filtered", "read", "shared_dir", "whole", "with_mark", "written"]
+__all__ = ["WORD", "bucketed", "filtered", "read", "shared_dir", "whole", "with_mark", "written"]

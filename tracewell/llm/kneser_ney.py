@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filtered, whole, written
+from .common import bucketed, filtered, whole, written
 
 ORDER = 4
 #: Characters of a part of the documents, which is scored by one task.
@@ -237,12 +237,16 @@ def scored(docs: DataFrame, model: DataFrame, path: tuple[str, ...] = ("text",),
     4-grams, the counts are joined with the model, and each part gets its own answers
     back: one plan at every size, and no task ever holds the model.
     """
-    keep = keep or docs.columns
-    parts = written(docs.mapInArrow(_packed(path, part_bytes), "part long, body binary, grams binary"), "parts")
+    keep, spark = keep or docs.columns, docs.sparkSession
+    # In buckets of the parts' numbers, so that the answers come to where the rows lie.
+    table = bucketed(docs.mapInArrow(_packed(path, part_bytes), "part long, body binary, grams binary"), "parts", "part", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = spark.table(table)
     asked = written(parts.select("part", "grams").mapInArrow(_asked, "part long, gram long"), "asked")
     answers = asked.join(log_probabilities(asked.select("gram").distinct(), model), "gram").select("part", "gram", "lp")
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_nats", T.DoubleType()), T.StructField("_squares", T.DoubleType()), T.StructField("_symbols", T.LongType())])
-    return parts.select("part", "body").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score(path, keep), schema)
+    found = written(parts.select("part", "body").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score(path, keep), schema), "scored")
+    spark.sql(f"DROP TABLE {table}")
+    return found
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -278,7 +282,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_
         none = F.lit(None).cast("double")
         return rows.select("_row.*", none.alias("_perplexity"), none.alias("_score"), none.alias("_threshold"), F.lit(True).alias("_keep"))
     own = rows.drop("_text") if text_in else rows
-    done = written(scored(own, model, ("_row", *text_in) if text_in else ("_text",), ["_id", "_of", "_row"], part_bytes), "scored")
+    done = scored(own, model, ("_row", *text_in) if text_in else ("_text",), ["_id", "_of", "_row"], part_bytes)
     n, bits = F.col("_symbols"), F.col("_nats") / F.col("_symbols") / float(np.log(2))
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") / n - (F.col("_nats") / n) ** 2)) / float(np.log(2))
     done = done.withColumn("_perplexity", F.when(n > 1, F.exp(F.col("_nats") / n))).withColumn("_score", F.when(n > 1, bits - 2 * spread / F.sqrt(n)))

@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -168,17 +168,18 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
 WIDTH = N_SHAPES + LONGEST.bit_length()
 
 
-def windows(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """Stretches that may hold a span, each with some context and what was found in it; they don't overlap."""
-    out: list[list] = []
+def windows(text: str, skip: Callable[[int, int], bool] = lambda s, e: False) -> list[tuple[int, int]]:
+    """Stretches around what may be part of a span and isn't skipped, each with some context; they don't overlap."""
+    out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
+        if skip(*m.span()):
+            continue
         a, b = max(0, m.start() - 64), min(len(text), m.end() + 64)
         if out and a <= out[-1][1]:
             out[-1][1] = b
-            out[-1][2].append(m.span())
         else:
-            out.append([a, b, [m.span()]])
-    return [(a, b, found) for a, b, found in out]
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def lattice(text: str, a: int, b: int):
@@ -217,7 +218,8 @@ def possible(s: str, digits: int, plain: bool, named: bool) -> list[bool]:
     email = False
     if named and (m := AT.search(s)) and 0 < m.start() and m.end() < len(s):
         d = DOT.search(s, m.end())
-        email = bool(d) and d.start() > m.end() and d.end() < len(s)
+        # "at" between words before an ordinary dot is plain prose.
+        email = bool(d) and d.start() > m.end() and d.end() < len(s) and not (m.group().strip().isalpha() and d.group().strip() == ".")
     number = plain and digits >= 9 and bool(_NUMERIC.fullmatch(s))
     return [email, 4 <= digits <= 12 and not named and _small_numbers(s), number and 13 <= digits <= 19, number and digits <= 15]
 
@@ -315,7 +317,7 @@ def fit(texts: list[str], rounds: int = 300, rate: float = 2.0, decay: float = 1
     spans, sizes, features, golds = [], [], [], []
     for text in texts:
         for example, gold in examples_of(text):
-            for a, b, _ in windows(example):
+            for a, b in windows(example):
                 tokens, segments = lattice(example, a, b)
                 if segments:
                     sizes.append(len(tokens))
@@ -358,9 +360,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray
             starts.append(s)
             ends.append(e)
     touched = lambda s, e: bisect_right(ends, s) < bisect_left(starts, e)
-    for a, b, found in windows(text):
-        if all(touched(s, e) for s, e in found):
-            continue
+    for a, b in windows(text, touched):
         tokens, segments = lattice(text, a, b)
         for i, j, k in decode(len(tokens), segments, segment_scores(segments, weights)):
             s, e = tokens[i][0], tokens[j - 1][1]
