@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -18,7 +19,8 @@ def edges(df: DataFrame, spec: list[tuple[str, Column, Column]], ts: Column, ref
     made = F.explode(F.array(*[F.struct(F.lit(r).alias("relation"), a.cast("string").alias("a"), b.cast("string").alias("b")) for r, a, b in spec])).alias("e")
     rows = df.select(ts.alias("ts"), ref.alias("ref"), made).where("e.a is not null and e.b is not null and e.a <> '' and e.b <> ''").select("e.*", "ts", "ref").distinct()
     # The first few of each edge: least of each hash slice first, so that a busy edge's list is never gathered whole.
-    sliced = rows.withColumn("_s", F.pmod(F.xxhash64("ref"), F.lit(64))).groupBy("relation", "a", "b", "_s").agg(F.count(F.lit(1)).alias("count"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.slice(F.array_sort(F.collect_set(F.struct("ts", "ref"))), 1, refs).alias("r"))
+    sliced = rows.withColumn("_s", F.pmod(F.xxhash64("ref"), F.lit(64))).withColumn("_nth", F.row_number().over(W.partitionBy("relation", "a", "b", "_s").orderBy("ts", "ref")))
+    sliced = sliced.groupBy("relation", "a", "b", "_s").agg(F.count(F.lit(1)).alias("count"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.collect_list(F.when(F.col("_nth") <= refs, F.struct("ts", "ref"))).alias("r"))
     out = sliced.groupBy("relation", "a", "b").agg(F.sum("count").alias("count"), F.min("first").alias("first"), F.max("last").alias("last"), F.slice(F.array_sort(F.flatten(F.collect_list("r"))), 1, refs).alias("r"))
     return out.select("relation", "a", "b", "count", "first", "last", F.transform("r", lambda x: x["ref"]).alias("refs"))
 
@@ -50,6 +52,7 @@ def ancestors(df: DataFrame, key: str, parent: str, depth: int = 6) -> DataFrame
     found = link.select(F.col("_k").alias(key), F.col("_p").alias("ancestor"), F.lit(1).alias("level"), F.array("_k", "_p").alias("path"))
     every, last = found, found
     for level in range(2, depth + 1):
+        last = written(last, "ancestors")  # each level is computed once
         last = last.join(link, F.col("ancestor") == F.col("_k")).where(~F.array_contains("path", F.col("_p"))).select(key, F.col("_p").alias("ancestor"), F.lit(level).alias("level"), F.array_append("path", F.col("_p")).alias("path"))
         every = every.unionByName(last)
     return every.drop("path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,31 +12,51 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 
 
-def gap_sessions(df: DataFrame, by: list[str], ts: str, gap: int, name: str = "session") -> DataFrame:
+def gap_sessions(df: DataFrame, by: list[str], ts: str, gap: int | Column, name: str = "session") -> DataFrame:
     """``df`` with the number of its session: a new one starts more than ``gap`` ms after the row before."""
     w = W.partitionBy(*by).orderBy(ts, "id") if "id" in df.columns else W.partitionBy(*by).orderBy(ts)
     cut = (F.col(ts) - F.lag(ts).over(w) > gap).cast("int")
     return df.withColumn("_cut", F.coalesce(cut, F.lit(0))).withColumn(name, F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_cut")
 
 
-def bursts(df: DataFrame, by: list[str], ts: str, window: int, comparator: str, n: int, distinct: Column | None = None, keep: list[str] | None = None, refs: int = 5000) -> DataFrame:
-    """Per group and session the rows from a window before the first row at which the trailing window meets the threshold.
+def trailing_sizes(rows: DataFrame, by: list[str], ts: str, window: Column, what: str | None) -> DataFrame:
+    """``rows`` with _size: how many rows of the group, or different values of ``what``, lie in the window that ends at the row.
 
-    A session ends where the next row is more than ``window`` away, so it has one
-    burst at most. Columns: ``by``, start, end, count, distinct_values, refs, and the first
+    A row counts from its own time until the window has passed, a value until it comes
+    again; the size is the running sum of such beginnings and ends, so its cost doesn't
+    grow with what the window holds.
+    """
+    passed = F.col(ts) + window + 1
+    if what is not None:
+        again = F.lead(ts).over(W.partitionBy(*by, what).orderBy(ts, "id"))
+        rows = rows.withColumn("_ends", F.when(F.col(what).isNotNull(), F.least(again, passed)))
+    else:
+        rows = rows.withColumn("_ends", passed)
+    marks = F.array(F.struct(F.col(ts).alias("at"), F.when(F.col("_ends").isNotNull(), 1).otherwise(0).alias("d"), F.lit(True).alias("own")), F.struct(F.col("_ends").alias("at"), F.lit(-1).alias("d"), F.lit(False).alias("own")))
+    events = rows.withColumn("_mark", F.explode(F.filter(marks, lambda m: m["at"].isNotNull())))
+    upto = W.partitionBy(*by).orderBy("_mark.at").rangeBetween(W.unboundedPreceding, 0)
+    return events.withColumn("_size", F.sum("_mark.d").over(upto)).where("_mark.own").drop("_mark", "_ends")
+
+
+def bursts(df: DataFrame, by: list[str], ts: str, window: int | Column, comparator: str, n: int, distinct: Column | None = None, keep: list[str] | None = None, refs: int = 5000, met: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Per group and session the rows from a window before the first row at which the trailing window meets the threshold (or ``met`` says so of its size).
+
+    A session ends where the next row is more than ``window`` (a number or an expression of the group) away, so it has one
+    burst at most. Columns: ``by``, start, end, count, distinct_values, refs (the first by time), and the first
     row's ``keep`` columns.
     """
-    rows = df.where(F.col(ts).isNotNull())
-    rows = rows.withColumn("_what", F.nullif(F.lower(distinct.cast("string")), F.lit(""))) if distinct is not None else rows.withColumn("_what", F.lit(None).cast("string"))
-    rows = gap_sessions(rows, by, ts, window)
-    trailing = W.partitionBy(*by, "session").orderBy(F.col(ts)).rangeBetween(-window, 0)
-    size = F.size(F.collect_set("_what").over(trailing)) if distinct is not None else F.count(F.lit(1)).over(trailing)
-    rows = rows.withColumn("_met", F.when(V.meets(size, comparator, n), F.col(ts)))
-    rows = rows.withColumn("_trigger", F.min("_met").over(W.partitionBy(*by, "session"))).where(F.col(ts) >= F.col("_trigger") - window)
+    met = met or (lambda size: V.meets(size, comparator, n))
+    rows = df.where(F.col(ts).isNotNull()).withColumn("_w", window if isinstance(window, Column) else F.lit(window))
+    rows = rows.withColumn("_what", F.nullif(F.lower(distinct.cast("string")), F.lit("")) if distinct is not None else F.lit(None).cast("string"))
+    rows = gap_sessions(rows, by, ts, F.col("_w"))
+    group = [*by, "session"]
+    rows = trailing_sizes(rows, group, ts, F.col("_w"), "_what" if distinct is not None else None)
+    rows = rows.withColumn("_trigger", F.min(F.when(met(F.col("_size")), F.col(ts))).over(W.partitionBy(*group))).where(F.col(ts) >= F.col("_trigger") - F.col("_w"))
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy(*group).orderBy(ts, "id")))
     first = [F.col(f"_first.{c}").alias(c) for c in keep or []]
-    out = rows.groupBy(*by, "session").agg(
+    out = rows.groupBy(*group).agg(
         F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("count"), F.count_distinct("_what").alias("distinct_values"),
-        F.slice(F.transform(F.array_sort(F.collect_list(F.struct(ts, "id"))), lambda r: r["id"]), 1, refs).alias("refs"), F.min(F.struct(ts, "id", *(keep or []))).alias("_first"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("_nth") <= refs, F.struct(ts, "id")))), lambda r: r["id"]).alias("refs"), F.min(F.struct(ts, "id", *(keep or []))).alias("_first"),
     )
     return out.select(*by, "start", "end", "count", "distinct_values", "refs", *first)
 
@@ -71,11 +93,15 @@ def filled_forward(df: DataFrame, by: list[str], order: list[str], value: str, n
 
 def accrued(df: DataFrame, by: list[str], ts: str, rule: str, tactic: str, window: int = 604_800_000, rules: int = 3, tactics: int = 2, rules_alone: int = 4) -> DataFrame:
     """Rows in some window that has enough different rules and tactics, or enough rules alone."""
-    back = W.partitionBy(*by).orderBy(ts).rangeBetween(-window, 0)
-    n_rules, n_tactics = F.size(F.collect_set(rule).over(back)), F.size(F.collect_set(tactic).over(back))
-    met = ((n_rules >= rules) & (n_tactics >= tactics)) | (n_rules >= rules_alone)
-    ahead = W.partitionBy(*by).orderBy(ts).rangeBetween(0, window)
-    return df.withColumn("_met", met.cast("int")).withColumn("_in", F.max("_met").over(ahead)).where("_in = 1").drop("_met", "_in")
+    wide = F.lit(window)
+    rows = df.where(F.col(ts).isNotNull()).withColumn("_rule", F.col(rule)).withColumn("_tactic", F.col(tactic))
+    rows = trailing_sizes(rows, by, ts, wide, "_rule").withColumnRenamed("_size", "_rules")
+    rows = trailing_sizes(rows, by, ts, wide, "_tactic")
+    met = ((F.col("_rules") >= rules) & (F.col("_size") >= tactics)) | (F.col("_rules") >= rules_alone)
+    # The next row that meets it, carried back from later to earlier times.
+    later = W.partitionBy(*by).orderBy(F.col(ts).desc()).rangeBetween(W.unboundedPreceding, 0)
+    ahead = F.min(F.when(met, F.col(ts))).over(later)
+    return rows.withColumn("_next", ahead).where(F.col("_next") <= F.col(ts) + window).drop("_rule", "_tactic", "_rules", "_size", "_next")
 
 
 def _campaigns(window: int, least: int):

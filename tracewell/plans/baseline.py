@@ -39,18 +39,31 @@ def solicited(mails: DataFrame, sender: str, ts: str, recipients: str, internal:
     return joined.withColumn("solicited", answer).drop("_addr", "_contact", "_anyone")
 
 
+# Marks of replies and forwards in several languages, how much of a subject counts, and the least that tells anything.
+REPLY = r"^\s*(?:(?:re|fw|fwd|tr|aw|sv|vs|wg|r|i)\s*:\s*)+"
+SUBJECT_CHARS, LEAST_CHARS, PARTS = 80, 8, 5
+
+
 def skeleton(subject: Column) -> Column:
-    """A subject without its variable parts: reply marks off, digits as #, words that hold digits as *, spaces folded."""
-    x = F.lower(F.regexp_replace(F.coalesce(subject, F.lit("")), r"(?i)^\s*((re|fw|fwd|aw|wg|tr|rv)\s*:\s*)+", ""))
-    x = F.regexp_replace(x, r"[a-z]*[0-9][a-z0-9]*", "#")
-    return F.trim(F.regexp_replace(x, r"[^a-z#\p{L}]+", " "))
+    """A subject without its variable parts: lower case, reply marks off, numbers as #, white space folded, 80 characters."""
+    x = F.regexp_replace(F.lower(F.coalesce(subject, F.lit(""))), REPLY, "")
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(x, r"[0-9]+", "#"), r"\s+", " ")), 1, SUBJECT_CHARS)
 
 
-def fingerprint(subject: Column, domains: Column, hashes: Column) -> Column:
-    """The first 16 digits of the SHA-1 of skeleton, link domains and attachment hashes; null if all are blank."""
-    parts = [skeleton(subject), F.array_join(F.array_sort(F.array_distinct(domains)), ","), F.array_join(F.array_sort(F.array_distinct(hashes)), ",")]
-    joined = F.concat_ws("|", *parts)
-    return F.when(joined != "||", F.substring(F.sha1(joined), 1, 16))
+def fingerprint(subject: Column, domains: Column, hashes: Column, reply: Column | None = None) -> Column:
+    """The first 16 digits of the SHA-1 of skeleton, five link domains and five attachment hashes.
+
+    Null where nothing tells a campaign: all blank, or no link and no attachment and a
+    subject that is short or a reply's (by its mark, or because ``reply`` says so).
+    """
+    listed = lambda c: F.slice(F.array_sort(F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower))), 1, PARTS)
+    bare = skeleton(subject)
+    links, files = listed(domains), listed(hashes)
+    alone = (F.size(links) == 0) & (F.size(files) == 0)
+    answer = F.lower(F.coalesce(subject, F.lit(""))).rlike(REPLY)
+    answer = answer | V.truth(reply) if reply is not None else answer
+    joined = F.concat(bare, F.lit("|"), F.array_join(links, ","), F.lit("|"), F.array_join(files, ","))
+    return F.when(~(alone & ((F.length(bare) < LEAST_CHARS) | answer)), F.substring(F.sha1(joined), 1, 16))
 
 
 def campaigns(mails: DataFrame, print_col: str, sender: str, recipient: str, ts: str, least: int = 3) -> DataFrame:

@@ -49,10 +49,10 @@ def corroboration(findings: DataFrame, within: int = DAY) -> DataFrame:
 
 def priorities(findings: DataFrame, precision: DataFrame | None = None) -> DataFrame:
     """``findings`` with priority: severity by confidence by the rule's precision, less the more findings the rule has, more with corroboration."""
-    n = F.count(F.lit(1)).over(W.partitionBy("ruleId"))
+    n = findings.groupBy("ruleId").agg(F.count(F.lit(1)).alias("_n"))
     points = F.coalesce(F.create_map(*[F.lit(x) for kv in POINTS.items() for x in kv])[F.col("severity")], F.lit(2.0))
     trust = F.coalesce(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])[F.col("confidence")], F.lit(0.7)) if "confidence" in findings.columns else F.lit(0.7)
-    rows = findings.withColumn("_n", n).join(corroboration(findings), "key", "left")
+    rows = findings.join(n, "ruleId").join(corroboration(findings), "key", "left")
     rows = rows.join(precision.select("ruleId", "precision"), "ruleId", "left") if precision is not None else rows.withColumn("precision", F.lit(None).cast("double"))
     score = points * trust * F.coalesce("precision", F.lit(1.0)) / (1 + F.log(F.col("_n").cast("double"))) * (1 + 0.15 * F.least(F.coalesce("rules", F.lit(0)), F.lit(4)))
     return rows.withColumn("priority", F.round(score, 1)).drop("_n", "rules", "precision")

@@ -53,12 +53,12 @@ def problem(rule: dict) -> str | None:
         return "a rule needs an id"
     if rule.get("source", "events") not in ("events", "mails"):
         return f"unknown source {rule.get('source')!r}"
-    if rule.get("window") and not rule.get("group_by"):
-        return "window needs group_by"
+    if not rule.get("group_by") and rule.get("threshold") is None and (unused := [k for k in ("then", "window", "distinct", "any_in_group") if rule.get(k)]):
+        return f"{', '.join(unused)} need group_by or threshold"
     if rule.get("then") and not rule["then"].get("where"):
         return "then needs where"
-    if rule.get("threshold") and not rule.get("group_by"):
-        return "threshold needs group_by"
+    if rule.get("then_flags") and rule.get("source", "events") != "mails":
+        return "then_flags needs mails: events carry no flags"
     if rule.get("severity", "medium") not in V.SEVERITIES:
         return f"unknown severity {rule.get('severity')!r}"
     return None
@@ -122,10 +122,14 @@ def run_rule(rule: dict, case: Case) -> Found:
     if any(not case.settings.values(s) for s in ([rule["require_setting"]] if rule.get("require_setting") else [])):
         return Found(case.tables[rule.get("source", "events")].sparkSession.createDataFrame([], _schema()), notes=[f"setting {rule['require_setting']} is empty"])
     source = rule.get("source", "events")
+    if rule.get("then_flags"):
+        from .rule_set import run_set
+
+        return Found(run_set([rule], case), run_set([rule], case, capped=False))
     ts = filters.TIME[source]
     rows = matched(rule, case)
     ctx = filters.Context.of(rows, source, case.settings)
-    if not rule.get("group_by"):
+    if not rule.get("group_by") and rule.get("threshold") is None:
         found = _by_row(rule, rows, ctx, ts)
     elif rule.get("window"):
         found = _by_burst(rule, rows, ctx, ts)
@@ -156,15 +160,13 @@ def _by_row(rule: dict, rows: DataFrame, ctx: filters.Context, ts: str) -> DataF
     return _grouped(rule, rows.select("*", *lowered), names, names)
 
 
-def _refs(order: str = "_ts") -> list[Column]:
-    """The first references by time, gathered in slices so that no group's whole list is."""
-    return [F.slice(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), "id"))), 1, MOST_REFS).alias("_r")]
-
-
 def _grouped(rule: dict, rows: DataFrame, keys: list[str], names: list[str], having: Column | None = None, extra: list[Column] | None = None, merged: list[Column] | None = None) -> DataFrame:
     groups = [f"_g_{k}" for k in keys]
+    # The first references by time: of each slice of a group only its first are gathered.
     slices = rows.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(32)))
-    part = slices.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_ts").alias("_from"), F.max("_ts").alias("_to"), F.min(F.struct(F.col("_ts").isNull(), F.col("_ts").alias("t"), "id", *[F.col(f"_e_{n}") for n in names])).alias("_first"), *_refs(), *(extra or []))
+    slices = slices.withColumn("_nth", F.row_number().over(W.partitionBy(*groups, "_slice").orderBy(F.col("_ts").asc_nulls_last(), "id")))
+    refs = F.collect_list(F.when(F.col("_nth") <= MOST_REFS, F.struct(F.col("_ts").alias("t"), "id"))).alias("_r")
+    part = slices.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_ts").alias("_from"), F.max("_ts").alias("_to"), F.min(F.struct(F.col("_ts").isNull(), F.col("_ts").alias("t"), "id", *[F.col(f"_e_{n}") for n in names])).alias("_first"), refs, *(extra or []))
     whole = part.groupBy(*groups).agg(F.sum("_n").alias("_n"), F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.min("_first").alias("_first"), F.slice(F.array_sort(F.flatten(F.collect_list("_r"))), 1, MOST_REFS).alias("_r"), *(merged or []))
     if having is not None:
         whole = whole.where(having)
@@ -173,13 +175,12 @@ def _grouped(rule: dict, rows: DataFrame, keys: list[str], names: list[str], hav
 
 
 def _keyed(rule: dict, rows: DataFrame, ctx: filters.Context, ts: str) -> tuple[DataFrame, list[str], list[str]]:
-    keys, entities = list(rule["group_by"]), _entities(rule, ctx)
+    keys, entities = list(rule.get("group_by") or []), _entities(rule, ctx)
     lowered = [F.lower(F.coalesce(filters.resolve(k, ctx)[0].cast("string"), F.lit(""))).alias(f"_g_{k}") for k in keys]
     own = [F.lower(filters.resolve(rule["distinct"], ctx)[0].cast("string")).alias("_what")] if rule.get("distinct") else []
     some = [V.truth(filters.tree(rule["any_in_group"], ctx)).alias("_some")] if rule.get("any_in_group") else []
-    flags = [F.col("flags").alias("_flags")] if rule.get("then_flags") and "flags" in ctx.schema.fieldNames() else []
-    rows = rows.select("id", F.col(ts).alias("_ts"), *lowered, *[c.alias(f"_e_{n}") for n, c in entities.items()], *own, *some, *flags)
-    return rows.where(V.any_of([F.col(f"_g_{k}") != "" for k in keys])), keys, list(entities)
+    rows = rows.select("id", F.col(ts).alias("_ts"), *lowered, *[c.alias(f"_e_{n}") for n, c in entities.items()], *own, *some)
+    return rows.where(V.any_of([F.col(f"_g_{k}") != "" for k in keys])) if keys else rows, keys, list(entities)
 
 
 def _by_group(rule: dict, rows: DataFrame, ctx: filters.Context, ts: str) -> DataFrame:
@@ -196,10 +197,10 @@ def _by_group(rule: dict, rows: DataFrame, ctx: filters.Context, ts: str) -> Dat
     if rule.get("distinct"):
         values = rows.where("_what <> ''").select(*groups, "_what").distinct().groupBy(*groups).agg(F.count(F.lit(1)).alias("_distinct"))
         met = values.where(V.meets(F.col("_distinct"), comparator, n)) if comparator in (">=", ">") and n > 0 else None
-        if met is not None:
-            return _grouped(rule, rows, keys, names, having, extra, merged).join(met, groups, "left_semi")
-        counted = _grouped(rule, rows, keys, names, having, extra, merged).join(values, groups, "left")
-        return counted.where(V.meets(F.coalesce("_distinct", F.lit(0)), comparator, n)).drop("_distinct")
+        found = _grouped(rule, rows, keys, names, having, extra, merged)
+        # The values are the point of the finding, so it counts them.
+        counted = found.join(met, groups) if met is not None else found.join(values, groups, "left")
+        return counted.withColumn("count", F.coalesce("_distinct", F.lit(0)).cast("long")).where(V.meets(F.col("count"), comparator, n)).drop("_distinct")
     return _grouped(rule, rows, keys, names, having & V.meets(size, comparator, n), extra, merged)
 
 
@@ -241,17 +242,31 @@ def _then(rule: dict, found: DataFrame, case: Case, ts: str) -> DataFrame:
     )
 
 
+def cap_of(rule: dict) -> int:
+    return int(rule.get("max_findings", MOST_FINDINGS))
+
+
+def biggest(rule: dict) -> bool:
+    """Whether a rule that finds too much is about its largest groups: one that counts up to more than one. Any other is about its rarest."""
+    if rule.get("threshold") is None:
+        return False
+    comparator, n = V.threshold(rule["threshold"])
+    return (comparator == ">=" and n > 1) or (comparator == ">" and n >= 1)
+
+
+COLUMNS = ["ruleId", "title", "severity", "key", "ts", "tsEnd", "count", "entities", "refs", "escalation", "confidence", "attack", "tags", "description"]
+
+
 def _capped(rule: dict, found: DataFrame) -> Found:
-    """At most ``max_findings``: the largest of groups that must be large, the rarest of those that must be small, else the first."""
-    groups = found
-    columns = ["ruleId", "title", "severity", "key", "ts", "tsEnd", "count", "entities", "refs", "escalation"]
-    most = int(rule.get("max_findings", MOST_FINDINGS))
-    comparator, _ = V.threshold(rule.get("threshold", 1))
-    if rule.get("group_by"):
-        order = [F.asc("count"), "key"] if comparator in ("<", "<=", "==", "=") else [F.desc("count"), "key"]
+    """At most ``max_findings``: the largest groups or the rarest, of rows the first."""
+    said = lambda k: F.lit(rule.get(k)).cast("string").alias(k)
+    listed = lambda k: F.array(*[F.lit(str(x)) for x in rule.get(k) or []]).cast("array<string>").alias(k)
+    every = found.select(*COLUMNS[:10], said("confidence"), listed("attack"), listed("tags"), said("description"))
+    if rule.get("group_by") or rule.get("threshold") is not None:
+        order = [F.desc("count") if biggest(rule) else F.asc("count"), "key"]
     else:
         order = [F.col("ts").asc_nulls_last(), "key"]
-    return Found(found.select(*columns).orderBy(*order).limit(most), groups.select(*columns))
+    return Found(every.orderBy(*order).limit(cap_of(rule)), every)
 
 
 def dropped(found: Found, rule: dict) -> DataFrame:
@@ -300,18 +315,13 @@ def applicable(rule: dict, present: set) -> bool:
 
 
 def run_rules(rules: list[dict], case: Case) -> DataFrame:
-    """The findings of all rules that can apply; event ids are looked up once, and cut, in one small list of distinct values."""
-    events = case.get("events")
-    present = {r[0] for r in events.select("eventId").distinct().collect()} if events is not None and "eventId" in events.columns else None
-    out = None
-    for rule in rules:
-        if present is not None and rule.get("source", "events") == "events" and not applicable(rule, present):
-            continue
-        found = run_rule(rule, case).findings
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else next(iter(case.tables.values())).sparkSession.createDataFrame([], _schema())
+    """The findings of all rules, found in one pass over each table."""
+    from .rule_set import run_set
+
+    return run_set(rules, case)
 
 
 def groups_beside(df: DataFrame, by: list[str]) -> DataFrame:
     """Counts by group with the number of groups beside each."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("groups", F.count(F.lit(1)).over(W.partitionBy()))
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return groups.join(F.broadcast(groups.agg(F.count(F.lit(1)).alias("groups"))))  # one row

@@ -28,7 +28,7 @@ BODIES = {"mailId": "long", "bodyText": "text", "bodyHtml": "text", "headersText
 IOCS = {"kind": "text", "value": "text", "evidenceId": "text", "count": "long", "firstSeen": "long", "lastSeen": "long", "sources": "list"}
 TABLES = {"events": EVENTS, "mails": MAILS, "attachments": ATTACHMENTS, "urls": URLS, "mail_bodies": BODIES, "iocs": IOCS}
 
-FINDING = "ruleId string, title string, severity string, key string, ts long, tsEnd long, count long, entities map<string,string>, refs array<long>, escalation string"
+FINDING = "ruleId string, title string, severity string, key string, ts long, tsEnd long, count long, entities map<string,string>, refs array<long>, escalation string, confidence string, attack array<string>, tags array<string>, description string"
 
 
 def struct(table: str) -> T.StructType:
