@@ -9,7 +9,7 @@ from tracewell.functions import mail
 from tracewell.functions import values as V
 from tracewell.operators import filters, graph, joins, sequences
 from tracewell.operators.filters import Context
-from tracewell.plans import correlate, rules, sigma
+from tracewell.plans import correlate, rule_set, rules, sigma
 from tracewell.schema import Case, Settings, conform
 
 ROWS = [(1, "Alpha.EXE", 5, "10.0.0.7", ["a", "B"]), (2, "beta", None, "fe80::1%eth0", []), (3, None, 12, "192.168.1.300", None), (4, "", 0, "172.16.5.5", ["c", None])]
@@ -199,3 +199,84 @@ def test_headers_and_lookalikes(spark):
     flags = spark.createDataFrame([("fail", "fail", "corp.test", "a@corp.test", "x", "else.test")], "spf string, dmarc string, fromDomain string, fromAddr string, fromName string, replyToDomain string")
     r = flags.select(mail.mail_flags(flags.columns, ["corp.test"], []).alias("f")).select("f", mail.risk_of(F.col("f")).alias("n")).first()
     assert (r.f, r.n) == (["spf-fail", "dmarc-fail", "own-domain-unproven"], 33)
+
+
+def test_rule_sets_find_what_single_rules_find(spark):
+    """Rules of every kind in one pass, against each rule by itself."""
+    rng = random.Random(21)
+    rows = [(i, rng.randint(0, 40) * 60_000, rng.choice(["a", "B", "b", "", None]), rng.choice(["x", "y", None]), rng.randint(0, 9), rng.choice([None, "10.0.0.1", "10.0.0.2"])) for i in range(300)] + [(900, None, "a", "x", 3, None)]
+    case = Case({"events": conform(spark.createDataFrame(rows, "id long, ts long, targetUser string, computer string, eventId int, ipAddress string"), "events"), "mails": conform(spark.createDataFrame([(1, 5, ["f"], "a@b.c")], "id long, date long, flags array<string>, fromAddr string"), "mails")}, Settings(lists={"on": ["1"]}))
+    some = [
+        {"where": {"eventId|gt": 7}}, {"where": {"eventId|lt": 5}, "entities": ["targetUser"], "collapse_after": 20}, {"where": {"eventId|gte": 0}, "group_by": ["targetUser", "computer"], "threshold": ">= 10", "max_findings": 3}, {"group_by": ["targetUser"], "threshold": "< 90", "exclude": {"eventId": 4}},
+        {"group_by": ["computer"], "distinct": "targetUser", "threshold": 2}, {"group_by": ["computer"], "distinct": "ipAddress", "threshold": "<= 1"}, {"group_by": ["targetUser"], "any_in_group": {"ipAddress": "10.0.0.2"}, "threshold": 5}, {"threshold": ">= 5", "where": {"eventId": 3}},
+        {"group_by": ["targetUser"], "window": "3m", "threshold": 6}, {"group_by": ["targetUser"], "window": "2m", "distinct": "eventId", "threshold": 4, "any_in_group": {"eventId": 9}}, {"where": {"eventId": 1}, "time": {"weekend": True}, "group_by": ["computer"]},
+        {"where": {"eventId": 2}, "group_by": ["targetUser"], "window": "5m", "threshold": 2, "then": {"where": {"eventId": 7}, "within": "2m", "severity": "critical", "title": "then"}}, {"where": {"eventId": 5}, "require_setting": "off"}, {"where": {"eventId": 5}, "require_setting": "on", "attack": ["T1"], "tags": ["g"], "confidence": "high"},
+        {"source": "mails", "where": {"fromAddr|contains": "@"}},
+    ]
+    ruled = [{"id": f"r{i}", **r} for i, r in enumerate(some)]
+
+    def plain(df):
+        cut = lambda e: None if (e or "").startswith("collapsed") else e
+        return sorted(repr((r.ruleId, r.title, r.severity, r.key, r.ts, r.tsEnd, r["count"], sorted(r.entities.items()), r.refs, cut(r.escalation), r.confidence, r.attack, r.tags)) for r in df.collect())
+
+    for capped in (True, False):
+        each = [rules.run_rule(r, case) for r in ruled]
+        want = [x for f in each for x in plain(f.findings if capped or f.groups is None else f.groups)]
+        assert plain(rule_set.run_set(ruled, case, capped)) == sorted(want)
+    assert len(want) > 100
+    for bad in ({"id": "x", "window": "5m"}, {"id": "x", "then_flags": [{"f": "high"}]}, {"id": "x", "threshold": 2, "then": {}, "severity": "odd"}):
+        with pytest.raises(rules.RuleError):
+            rule_set.run_set([bad], case)
+
+
+def test_then_flags_raise_in_their_order(spark):
+    rows = [(1, 1, ["lure"], "a"), (2, 2, ["macro", "x"], "a"), (3, 3, None, "b"), (4, 4, [], "b"), (5, 5, ["lure"], "c"), (6, 6, ["x"], "c")]
+    case = Case({"mails": conform(spark.createDataFrame(rows, "id long, date long, flags array<string>, fromAddr string"), "mails")})
+    rule = {"id": "m", "source": "mails", "severity": "medium", "group_by": ["fromAddr"], "threshold": 2, "then_flags": [{"x": "low"}, {"lure": "high"}, {"macro": "critical"}]}
+    assert {r.key: (r.severity, r.escalation, r.refs) for r in rules.run_rule(rule, case).findings.collect()} == {"m|a": ("critical", "macro", [1, 2]), "m|b": ("medium", None, [3, 4]), "m|c": ("high", "lure", [5, 6])}
+    single = {"id": "m", "source": "mails", "severity": "low", "then_flags": [{"macro": "high"}]}
+    assert {r.key: (r.severity, r.escalation) for r in rules.run_rule(single, case).findings.collect()} == {f"m|{i}": ("high", "macro") if i == 2 else ("low", None) for i in range(1, 7)}
+
+
+def test_sigma_names_categories_and_modifiers(spark):
+    rows = [(1, 4625, "Security", "root", None, "10.0.0.9"), (2, 4625, "System", "root", None, None), (3, 4688, "Security", None, "C:\\cmd.exe", "fe80::1"), (4, 1, "Microsoft-Windows-Sysmon/Operational", None, "c:\\CMD.exe", "fec0::1"), (5, 22, "Microsoft-Windows-Sysmon/Operational", None, None, "febf:1::")]
+    case = Case({"events": conform(spark.createDataFrame(rows, "id long, eventId int, channel string, targetUser string, image string, ipAddress string"), "events")})
+    hits = lambda source, **sel: {r.refs[0] for r in rules.run_rule(sigma.convert({"title": "t", "logsource": source, "detection": {"sel": sel, "condition": "sel"}}), case).findings.collect()}
+    assert hits({"product": "windows", "service": "security"}, EventID=4625, TargetUserName="ROOT") == {1}
+    assert hits({"product": "windows"}, EventID=[4625, 22]) == {1, 2, 5}
+    assert hits({"product": "windows", "category": "process_creation"}, **{"Image|endswith": "\\cmd.exe"}) == {3, 4}
+    assert hits({"category": "dns_query"}, **{"EventID|gt": 1}) == {5}
+    assert hits({}, **{"IpAddress|cidr": ["fe80::/10", "10.0.0.0/30"]}) == {3, 5}
+    assert hits({}, **{"Image|re|i": "^C:.*CMD"}) == {3, 4}
+    for bad in ("Image|bogus", "Image|contains|minute"):
+        with pytest.raises(rules.RuleError):
+            sigma.convert({"title": "t", "detection": {"sel": {bad: "x"}, "condition": "sel"}})
+
+
+def test_left_band_keeps_rows_without_partners(spark):
+    left = spark.createDataFrame([(1, "a", 10), (1, "a", 10), (2, "a", 900), (3, None, 10), (4, "b", None)], "id long, k string, t long")
+    right = spark.createDataFrame([("a", 12, 7), ("a", 30, 8), (None, 10, 9)], "k string, u long, v long")
+    got = sorted((r.id, r.r_v) for r in joins.band(left, right, ["k"], "t", "u", 5, 20, "left").collect())
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 7), (1, 8), (1, 7), (1, 8), (2, None), (3, None), (4, None)]))
+    assert joins.band(left, right, ["k"], "t", "u", 5, 20, "left").columns == ["id", "k", "t", "r_k", "r_u", "r_v"]
+
+
+def test_lists_in_text_conditions(rows):
+    ctx = Context("rows", rows.schema, Settings())
+    found = lambda cond: {r.id for r in rows.where(filters.tree(cond, ctx)).collect()}
+    assert found({"name|contains_any": []}) == set()
+    assert found({"name|contains_any": "zz, beta"}) == {2}
+    assert found({"name|contains_all": "alp,exe"}) == {1}
+    assert found({"name|contains": "a,b"}) == set()
+    assert found({"ip|cidr": ["10.0.0.0/8", "fe80::/10"]}) == {1, 2}
+
+
+def test_trailing_sizes_are_those_of_the_windows(spark):
+    rng = random.Random(31)
+    rows = [(i, rng.choice("gh"), rng.randint(0, 60), rng.choice(["x", "y", "z", None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g string, ts long, w string")
+    for what in (None, "w"):
+        got = {r.id: r._size for r in sequences.trailing_sizes(df, ["g"], "ts", F.lit(7), what).collect()}
+        for i, g, t, _ in rows:
+            near = [(j, w) for j, h, u, w in rows if h == g and t - 7 <= u <= t]
+            assert got[i] == (len(near) if what is None else len({w for _, w in near if w}))

@@ -144,3 +144,38 @@ def test_rules_over_a_small_case(spark):
     rule = {"id": "b", "title": "burst", "severity": "high", "where": {"eventId": 4625, "ipAddress|exists": True}, "group_by": ["ipAddress"], "window": "5m", "threshold": ">= 5", "then": {"where": {"eventId": 4624}, "join": ["ipAddress"], "within": "15m", "severity": "critical", "title": "in"}}
     (f,) = run_rules([rule, {**rule, "id": "none", "where": {"eventId": 1}}], case).collect()
     assert (f.key, f.severity, f.escalation, f["count"], f.tsEnd, f.refs) == ("b|1.2.3.4|0", "critical", "in", 6, 9000, [0, 1, 2, 3, 4, 5, 7])
+
+
+def test_records_without_a_key_are_all_kept(spark, tmp_path):
+    lines = ['{"Id": "k", "Operation": "a"}', '{"Id": "k", "Operation": "a"}', '{"Operation": "b"}', '{"Operation": "b"}', '{"Operation": "c"}']
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    assert sorted(r.operation for r in readers.audit_records(spark, str(tmp_path / "a.jsonl")).collect()) == ["a", "b", "b", "c"]
+    (tmp_path / "s.jsonl").write_text('{"id": null, "ipAddress": "1"}\n{"ipAddress": "2"}\n{"id": "x", "ipAddress": "3"}\n{"id": "x", "ipAddress": "3"}')
+    assert sorted(r.ipAddress for r in readers.sign_ins(spark, str(tmp_path / "s.jsonl")).collect()) == ["1", "2", "3"]
+
+
+def test_arrays_and_wrapped_records(spark, tmp_path):
+    import json
+
+    records = [{"id": str(i), "userPrincipalName": "A@b.c", "status": {"errorCode": i}, "createdDateTime": "2024-01-02T03:04:05Z"} for i in range(3)]
+    for name, body in (("array", records), ("value", {"value": records}), ("records", {"records": records})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=1))
+        rows = readers.sign_ins(spark, str(tmp_path / f"{name}.json"), lines=False).collect()
+        assert sorted((r.recordKey, r.status, r.upn, r.ts) for r in rows) == [("0", "Success", "a@b.c", 1704164645000), ("1", "Failure", "a@b.c", 1704164645000), ("2", "Failure", "a@b.c", 1704164645000)]
+    (tmp_path / "one.json").write_text('{"EventID": 7,\n "Computer": "h"}')
+    assert [(r.eventId, r.computer) for r in readers.event_json(spark, str(tmp_path / "one.json"), lines=False).collect()] == [(7, "h")]
+
+
+def test_bad_rows_of_a_csv_are_counted(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('RecordId,AuditData\n1,"{""Id"": ""a"", ""Operation"": ""o""}"\n2,not json\n3,\n')
+    assert readers.bad_rows(readers.csv_records(spark, str(tmp_path / "x.csv"), "AuditData")).first() == (3, 2)
+    assert [r.recordKey for r in readers.audit_records(spark, str(tmp_path / "x.csv")).collect()] == ["a"]
+
+
+def test_files_are_told_by_their_first_bytes(spark, tmp_path):
+    made = {"a.bin": b"PK\x03\x04xx", "b": b"\x1f\x8bzz", "c.csv": b"x,y", "d.txt": b"From a@b\n", "e": b"Received: by x", "f.dat": b"  <Event xmlns='x'>", "g.EML": b"x", "h": b"\x00" * 257 + b"ustar" + b"\x00" * 9, "i": b"what", "j": b"\xff\xfe"}
+    for name, body in made.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r.path.rsplit("/", 1)[-1]: r.kind for r in readers.inventory(spark, str(tmp_path)).collect()}
+    assert got == {"a.bin": "zip", "b": "gz", "c.csv": "csv", "d.txt": "mbox", "e": "eml", "f.dat": "event-xml", "g.EML": "eml", "h": "tar", "i": None, "j": None}
+    assert all(readers.container_of(n, b) == got[n] for n, b in made.items())

@@ -12,8 +12,8 @@ from .functions import mail, web
 from .functions import values as V
 from .operators import filters, graph, joins, reads, sequences
 from .operators.filters import Context
-from .plans import baseline, findings, rules
-from .schema import Settings
+from .plans import baseline, correlate, findings, rules
+from .schema import Case, Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,7 +294,7 @@ _KEY = "'r|' || CAST(\"user\" AS VARCHAR)"
 _rule_query("rule_per_row", _rule(where={"eventType": "error", "value|gt": 95}, exclude={"user|lt": 20}, collapse_after=None), "SELECT 'r|' || CAST(id AS VARCHAR) AS key, ts, ts AS \"tsEnd\", 1::BIGINT AS count, 'medium' AS severity FROM e WHERE eventType = 'error' AND value > 95 AND NOT \"user\" < 20")
 _rule_query("rule_exclude", _rule(where={"eventType|in": ["error", "signup"]}, exclude={"eventType": "signup"}, group_by=["user"], threshold=">= 15"), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'error' GROUP BY \"user\" HAVING count(*) >= 15")
 _rule_query("rule_grouped", _rule(where={"eventType": "purchase"}, group_by=["user"], threshold=18), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'purchase' GROUP BY \"user\" HAVING count(*) >= 18")
-_rule_query("rule_distinct", _rule(where={"value|gt": 80}, group_by=["user"], distinct="eventType", threshold=">= 5"), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE value > 80 GROUP BY \"user\" HAVING count(DISTINCT eventType) >= 5")
+_rule_query("rule_distinct", _rule(where={"value|gt": 80}, group_by=["user"], distinct="eventType", threshold=">= 5"), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(DISTINCT eventType) AS count, 'medium' AS severity FROM e WHERE value > 80 GROUP BY \"user\" HAVING count(DISTINCT eventType) >= 5")
 _rule_query("rule_any_in_group", _rule(where={"eventType": "click"}, group_by=["user"], threshold=12, any_in_group={"value|gt": 99}), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'click' GROUP BY \"user\" HAVING count(*) >= 12 AND bool_or(value > 99)")
 _rule_query("rule_time", _rule(where={"eventType": "error"}, time={"outside_business_hours": True, "weekend": True}, group_by=["user"], threshold=8), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'error' AND (NOT hour(timezone('UTC', to_timestamp(ts / 1000.0))) BETWEEN 8 AND 18 OR dayofweek(timezone('UTC', to_timestamp(ts / 1000.0))) IN (0, 6)) GROUP BY \"user\" HAVING count(*) >= 8")
 _rule_query("rule_collapse", _rule(where={"eventType": "error"}, entities=["user"], collapse_after=50), f"SELECT {_KEY} AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'error' GROUP BY \"user\"")
@@ -313,6 +313,67 @@ _rule_query(
 )
 
 
+_rule_query("rule_threshold_alone", _rule(where={"eventType": "error"}, threshold=">= 2"), "SELECT 'r|' AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e WHERE eventType = 'error' HAVING count(*) >= 2")
+
+#: Fifty rules of different types, values and thresholds.
+MANY = [_rule(id=f"m{i}", where={"eventType": ["error", "click", "view", "purchase", "signup"][i % 5], "value|gt": i}, group_by=["user"], threshold=f">= {3 + i // 10}") for i in range(50)]
+
+
+@query(f"WITH e AS ({_EVENTS}), r AS (SELECT i, ['error', 'click', 'view', 'purchase', 'signup'][i % 5 + 1] AS t, 3 + i // 10 AS n FROM range(50) x(i)) SELECT 'm' || i || '|' || CAST(\"user\" AS VARCHAR) AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e JOIN r ON eventType = t AND value > i GROUP BY i, n, \"user\" HAVING count(*) >= n")
+def rules_many(spark, sf_dir):
+    from .plans.rule_set import run_set
+
+    return _found(run_set(MANY, adapt.case(spark, sf_dir), capped=False))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS ts, CAST(o_custkey AS VARCHAR) AS c, o_orderpriority AS p FROM orders WHERE o_orderstatus = 'F')
+SELECT 'r|' || c AS key, min(ts) AS ts, max(ts) AS "tsEnd", count(*) AS count, CASE WHEN bool_or(p = '1-URGENT') THEN 'critical' WHEN bool_or(p = '2-HIGH') THEN 'high' ELSE 'low' END AS severity, CASE WHEN bool_or(p = '1-URGENT') THEN '1-URGENT' WHEN bool_or(p = '2-HIGH') THEN '2-HIGH' END AS escalation FROM o GROUP BY c HAVING count(*) >= 3""")
+def rule_then_flags(spark, sf_dir):
+    rule = _rule(source="mails", severity="low", where={"spf": "F"}, group_by=["fromAddr"], threshold=">= 3", then_flags=[{"2-HIGH": "high"}, {"1-URGENT": "critical"}])
+    return _found(rules.run_rule(rule, adapt.case(spark, sf_dir)).groups, "escalation")
+
+
+SIGMA = """
+title: failed logons of two accounts, not from scripts
+id: 7a1
+level: high
+tags: [attack.t1110.003]
+logsource: {product: windows, service: security}
+detection:
+  failed: {EventID: 4625, TargetUserName|startswith: ['1', '20']}
+  inside: {IpAddress|cidr: ['10.0.0.0/9', 'fe80::/10']}
+  known: {ProcessName|contains: script}
+  condition: failed and inside and not 1 of known*
+"""
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the shape of a host's log: errors as failed logons, every user at an address, the record's data as JSON."""
+    e = adapt.events(spark, sf_dir)
+    address = F.when(F.col("user") % 2 == 0, F.concat(F.lit("10."), F.col("user") % 256, F.lit(".0.7"))).otherwise(F.concat(F.lit("fe80::"), F.conv(F.col("user").cast("string"), 10, 16)))
+    data = F.to_json(F.struct(F.col("user").cast("string").alias("TargetUserName"), address.alias("IpAddress"), F.when(F.col("id") % 9 == 0, "a script").otherwise("shell").alias("ProcessName")))
+    return e.select("id", "ts", F.when(F.col("eventType") == "error", 4625).otherwise(4624).alias("eventId"), F.lit("Security").alias("channel"), F.concat(F.lit("host"), F.col("user") % 7, F.lit(".corp.test")).alias("computer"), data.alias("data"))
+
+
+@query(f"""WITH e AS ({_EVENTS}) SELECT 'sigma-7a1|' || CAST(id AS VARCHAR) AS key, ts, ts AS "tsEnd", 1::BIGINT AS count, 'high' AS severity FROM e
+WHERE eventType = 'error' AND (starts_with(CAST("user" AS VARCHAR), '1') OR starts_with(CAST("user" AS VARCHAR), '20')) AND ("user" % 2 = 1 OR "user" % 256 < 128) AND id % 9 <> 0""")
+def sigma_rule(spark, sf_dir):
+    import yaml
+
+    from .plans import sigma
+    from .sources.readers import flattened
+
+    case = Case({"events": flattened(_windows(spark, sf_dir))})
+    return _found(rules.run_rule(sigma.convert(yaml.safe_load(SIGMA)) | {"collapse_after": None}, case).groups)
+
+
+@query(f"""WITH e AS ({_EVENTS}) SELECT id, CAST(CASE WHEN eventType = 'error' THEN 4625 ELSE 4624 END AS INTEGER) AS "eventId", CAST("user" AS VARCHAR) AS "targetUser", CASE WHEN "user" % 2 = 0 THEN '10.' || "user" % 256 || '.0.7' ELSE 'fe80::' || upper(printf('%x', "user")) END AS "ipAddress", CASE WHEN id % 9 = 0 THEN 'a script' ELSE 'shell' END AS "processName", 'host' || "user" % 7 || '.corp.test' AS computer FROM e""")
+def flatten_records(spark, sf_dir):
+    from .sources.readers import flattened
+
+    return flattened(_windows(spark, sf_dir)).select("id", "eventId", "targetUser", "ipAddress", "processName", "computer")
+
+
 @_events_query("rule_funnel", "SELECT count(*) AS rows, count(*) FILTER (eventType = 'error') AS meet_where, count(*) FILTER (eventType = 'error' AND NOT value > 50) AS not_excluded, count(*) FILTER (eventType = 'error' AND NOT value > 50 AND dayofweek(timezone('UTC', to_timestamp(ts / 1000.0))) IN (0, 6)) AS in_time FROM e")
 def _(df, ctx):
     from .schema import Case
@@ -395,12 +456,19 @@ def _(df, ctx):
     return sequences.accrued(df, ["user"], "ts", "eventType", "eventType", 6 * H, 3, 3, 3).select("id")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS ({_EVENTS}), f AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY ts, id) AS r FROM e WHERE eventType = 'error'),
+m AS (SELECT a."user", a.r, a.ts, count(*) AS n, max(b.ts) AS last, any_value(c.ts) AS third_ts, any_value(c.id) AS third_id FROM f a JOIN f b ON a."user" = b."user" AND b.r >= a.r AND b.ts <= a.ts + {24 * H} LEFT JOIN f c ON c."user" = a."user" AND c.r = a.r + 2 GROUP BY ALL),
+w AS (SELECT "user", 1::BIGINT AS r FROM m WHERE r = 1 UNION ALL SELECT w."user", CASE WHEN m.n >= 3 THEN w.r + m.n ELSE w.r + 1 END FROM w JOIN m ON m."user" = w."user" AND m.r = w.r)
+SELECT m."user" AS "user", m.ts AS start, m.last AS "end", m.n AS failures, (SELECT min(g.ts) FROM e g WHERE g.eventType = 'purchase' AND g."user" = m."user" AND (g.ts > m.third_ts OR (g.ts = m.third_ts AND g.id > m.third_id)) AND g.ts <= m.ts + {24 * H}) AS success_ts
+FROM w JOIN m ON m."user" = w."user" AND m.r = w.r WHERE m.n >= 3""")
 def auth_campaign_greedy(spark, sf_dir):
     return sequences.auth_campaigns(adapt.events(spark, sf_dir), "user", F.col("eventType") == "error", F.col("eventType") == "purchase", 24 * H, 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS ({_EVENTS}), s AS (SELECT "user", ts // {24 * H} AS day, row_number() OVER (PARTITION BY "user", ts // {24 * H} ORDER BY ts, id) AS i, CAST(id % 15 AS INTEGER) AS phase, value AS weight FROM e),
+r AS (SELECT "user", day, 0::BIGINT AS i, list_transform(range(15), lambda x: 0.0::DOUBLE) AS best FROM s WHERE i = 1
+UNION ALL SELECT r."user", r.day, s.i, list_transform(range(15), lambda k: CASE WHEN k = s.phase THEN greatest(best[k + 1], list_max(best[1:s.phase + 1]) + s.weight) ELSE best[k + 1] END) FROM r JOIN s ON s."user" = r."user" AND s.day = r.day AND s.i = r.i + 1)
+SELECT "user", day, CAST(i AS INTEGER) AS steps, round(list_max(best), 4) AS score FROM (SELECT *, max(i) OVER (PARTITION BY "user", day) AS top FROM r) WHERE i = top""")
 def story_score_dp(spark, sf_dir):
     phase = (F.col("id") % 15).cast("int").alias("phase")
     per = adapt.events(spark, sf_dir).groupBy("user", F.expr(f"ts div {24 * H}").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "id", phase, F.col("value").alias("weight")))).alias("s"))
@@ -430,14 +498,15 @@ def solicited(spark, sf_dir):
     return baseline.solicited(mails, "fromAddr", "date", "toList", F.col("spf") == "F").select("id", "solicited")
 
 
-_SKELETON = r"trim(regexp_replace(regexp_replace(lower(s), '[a-z]*[0-9][a-z0-9]*', '#', 'g'), '[^a-z#\p{L}]+', ' ', 'g'))"
+_SKELETON = r"substr(trim(regexp_replace(regexp_replace(regexp_replace(s, '^\s*(?:(?:re|fw|fwd|tr|aw|sv|vs|wg|r|i)\s*:\s*)+', ''), '[0-9]+', '#', 'g'), '\s+', ' ', 'g')), 1, 80)"
 
 
-@query(f"WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS s FROM documents) SELECT substr(sha1({_SKELETON} || '||'), 1, 16) AS print, count(*) AS n, min(doc_id) AS first FROM d GROUP BY 1 HAVING count(*) >= 2")
+@query(f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents), k AS (SELECT doc_id, s, {_SKELETON} AS k FROM d)
+SELECT substr(sha1(k || '||'), 1, 16) AS print, count(*) AS n, min(doc_id) AS first FROM k WHERE length(k) >= 8 AND NOT regexp_matches(s, '^\\s*(?:(?:re|fw|fwd|tr|aw|sv|vs|wg|r|i)\\s*:\\s*)+') GROUP BY 1 HAVING count(*) >= 2""")
 def campaign_fingerprint(spark, sf_dir):
     none = F.array().cast("array<string>")
-    docs = adapt.read(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("s"))
-    return docs.groupBy(baseline.fingerprint(F.col("s"), none, none).alias("print")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n >= 2")
+    docs = adapt.read(spark, sf_dir, "documents")
+    return docs.groupBy(baseline.fingerprint(F.col("text"), none, none).alias("print")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n >= 2 and print is not null")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -454,29 +523,14 @@ def anti_join_existing(spark, sf_dir):
     return not_stored(adapt.read(spark, sf_dir, "documents"), adapt.read(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
-@query()
-def campaign_fingerprint_whole(spark, sf_dir):
-    """Of whole texts, where campaign_fingerprint reads the first line."""
-    none = F.array().cast("array<string>")
-    docs = adapt.read(spark, sf_dir, "documents")
-    return docs.groupBy(baseline.fingerprint(F.col("text"), none, none).alias("print")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n >= 2")
-
-
 @query("SELECT p_brand, l_returnflag, count(DISTINCT l_suppkey) AS hosts, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def rarity_prevalence(spark, sf_dir):
     lines, parts = adapt.read(spark, sf_dir, "lineitem"), adapt.read(spark, sf_dir, "part")
     return baseline.prevalence(lines.join(parts, lines.l_partkey == parts.p_partkey), ["p_brand", "l_returnflag"], "l_suppkey")
 
 
-@_events_query("shared_egress", ', o AS (SELECT id % 10 AS org, "user", eventType FROM e WHERE id < 2000), p AS (SELECT org, count(DISTINCT "user") AS "of" FROM o GROUP BY org), u AS (SELECT org, eventType AS address, count(DISTINCT "user") AS people FROM o GROUP BY ALL) SELECT u.org AS org, address, people, "of" FROM u JOIN p ON u.org = p.org WHERE people > 0.5 * "of"')
+@_events_query("shared_egress", ', o AS (SELECT id % 10 AS org, "user", eventType FROM e), p AS (SELECT org, count(DISTINCT "user") AS "of" FROM o GROUP BY org), u AS (SELECT org, eventType AS address, count(DISTINCT "user") AS people FROM o GROUP BY ALL) SELECT u.org AS org, address, people, "of" FROM u JOIN p ON u.org = p.org WHERE people > 0.5 * "of"')
 def _(df, ctx):
-    rows = df.where("id < 2000").select((F.col("id") % 10).alias("org"), "user", F.col("eventType").alias("address"))
-    return baseline.shared_addresses(rows, "org", "user", "address")
-
-
-@_events_query("shared_egress_whole", ', o AS (SELECT id % 10 AS org, "user", eventType FROM e), p AS (SELECT org, count(DISTINCT "user") AS "of" FROM o GROUP BY org), u AS (SELECT org, eventType AS address, count(DISTINCT "user") AS people FROM o GROUP BY ALL) SELECT u.org AS org, address, people, "of" FROM u JOIN p ON u.org = p.org WHERE people > 0.5 * "of"')
-def _(df, ctx):
-    """Of all events, where shared_egress reads the first 2,000."""
     return baseline.shared_addresses(df.select((F.col("id") % 10).alias("org"), "user", F.col("eventType").alias("address")), "org", "user", "address")
 
 
@@ -487,16 +541,9 @@ def graph_edges(spark, sf_dir):
     return graph.edges(o, [("placed", F.col("o_custkey"), F.col("o_orderkey")), ("status", F.col("o_custkey"), F.col("o_orderstatus"))], adapt.millis("o_orderdate"), F.col("o_orderkey")).select("relation", "a", "b", "count", "first")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(id, x) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.x = u.a) SELECT id, min(x) AS root FROM r GROUP BY id""")
-def components(spark, sf_dir):
-    lines = adapt.read(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount = 0.1")
-    return graph.components(lines.select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey")).alias("b")))
-
-
 @query()
-def components_whole(spark, sf_dir):
-    """Of all line items, where components reads one in a thousand."""
+def components(spark, sf_dir):
+    """Orders and suppliers joined by all line items."""
     return graph.components(adapt.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_suppkey")).alias("b")))
 
 
@@ -527,16 +574,8 @@ def incidents(spark, sf_dir):
     return findings.incidents(_as_findings(spark, sf_dir)).drop("lead", "keys")
 
 
-@query(f"""WITH e AS ({_EVENTS}), r AS (SELECT a.id, count(DISTINCT b.eventType) AS rules FROM e a JOIN e b ON a."user" = b."user" AND a.eventType <> b.eventType AND b.ts BETWEEN a.ts - 86400000 AND a.ts + 86400000 WHERE a.id < 1500 AND b.id < 1500 GROUP BY a.id),
-n AS (SELECT eventType, count(*) AS n FROM e WHERE id < 1500 GROUP BY 1)
-SELECT CAST(e.id AS VARCHAR) AS key, round([2.0, 10.0, 30.0, 60.0, 100.0][e.id % 5 + 1] * 0.7 / (1 + ln(n.n)) * (1 + 0.15 * least(coalesce(rules, 0), 4)), 1) AS priority FROM e JOIN n ON e.eventType = n.eventType LEFT JOIN r ON r.id = e.id WHERE e.id < 1500""")
-def priority_score(spark, sf_dir):
-    return findings.priorities(_as_findings(spark, sf_dir, "id < 1500")).select("key", "priority")
-
-
 @query()
-def priority_score_whole(spark, sf_dir):
-    """Of all events, where priority_score reads the first 1,500."""
+def priority_score(spark, sf_dir):
     return findings.priorities(_as_findings(spark, sf_dir)).select("key", "priority")
 
 
@@ -574,19 +613,10 @@ def lookalike_hosts(spark, sf_dir):
     return pages.where("brand is not null")
 
 
-@query("""WITH e AS (SELECT CAST(event_id % 4 AS VARCHAR) AS computer, event_type AS channel, event_id AS r, epoch_us(ts) // 1000 AS ts FROM events WHERE event_id % 3 > 0), n AS (SELECT *, lead(r) OVER (PARTITION BY computer, channel ORDER BY r) AS nr, lag(r) OVER (PARTITION BY computer, channel ORDER BY r) AS pr, lag(ts) OVER (PARTITION BY computer, channel ORDER BY r) AS pt, lead(ts) OVER (PARTITION BY computer, channel ORDER BY ts) AS nt FROM e)
-SELECT 'missing records' AS kind, computer, channel, r AS at, nr - r - 1 AS size FROM n WHERE nr - r > 1 UNION ALL SELECT 'clock set back', computer, channel, r, pt - ts FROM n WHERE pt - ts > 1000 AND r - pr = 1 UNION ALL SELECT 'silence', computer, channel, ts, nt - ts FROM n WHERE nt - ts > 43200000
-UNION ALL SELECT 'late start', computer, channel, f, f - m FROM (SELECT *, CAST(trunc(median(f) OVER ()) AS BIGINT) AS m FROM (SELECT computer, channel, min(ts) AS f FROM e GROUP BY ALL)) WHERE f - m > 43200000""")
-def evidence_gaps(spark, sf_dir):
-    df = adapt.events(spark, sf_dir).where("id % 3 > 0").select((F.col("id") % 4).cast("string").alias("computer"), F.col("eventType").alias("channel"), F.col("id").alias("recordId"), "ts")
-    return findings.evidence_gaps(df, 43_200_000)
-
-
 @query("""WITH e AS (SELECT CAST(event_id % 4 AS VARCHAR) AS computer, 'events' AS channel, event_id // 4 AS r, epoch_us(ts) // 1000 AS ts FROM events), n AS (SELECT *, lead(r) OVER (PARTITION BY computer ORDER BY r) AS nr, lag(r) OVER (PARTITION BY computer ORDER BY r) AS pr, lag(ts) OVER (PARTITION BY computer ORDER BY r) AS pt, lead(ts) OVER (PARTITION BY computer ORDER BY ts) AS nt FROM e)
 SELECT 'missing records' AS kind, computer, channel, r AS at, nr - r - 1 AS size FROM n WHERE nr - r > 1 UNION ALL SELECT 'clock set back', computer, channel, r, pt - ts FROM n WHERE pt - ts > 1000 AND r - pr = 1 UNION ALL SELECT 'silence', computer, channel, ts, nt - ts FROM n WHERE nt - ts > 43200000
 UNION ALL SELECT 'late start', computer, channel, f, f - m FROM (SELECT *, CAST(trunc(median(f) OVER ()) AS BIGINT) AS m FROM (SELECT computer, channel, min(ts) AS f FROM e GROUP BY ALL)) WHERE f - m > 43200000""")
-def evidence_gaps_whole(spark, sf_dir):
-    """Of all events in logs without a hole of our making, where evidence_gaps leaves out a third of them."""
+def evidence_gaps(spark, sf_dir):
     df = adapt.events(spark, sf_dir).select((F.col("id") % 4).cast("string").alias("computer"), F.lit("events").alias("channel"), F.expr("id div 4").alias("recordId"), "ts")
     return findings.evidence_gaps(df, 43_200_000)
 
@@ -597,3 +627,206 @@ def expectations(spark, sf_dir):
     expected = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("name"), F.col("r_name").alias("category"))
     files = supplier.select(F.col("s_name").alias("name"), F.lit(None).cast("string").alias("category")).union(region.where("r_regionkey < 3").select(F.lit("f"), "r_name"))
     return findings.expectations(files, expected)
+
+
+# --- hosts, accounts, chains -----------------------------------------------------------
+
+
+def _kind(df: DataFrame, kind: str, *more) -> DataFrame:
+    return df.where(F.col("eventType") == kind).select("id", "ts", *more)
+
+
+_HOST = "\"user\" % 7"
+
+
+@_events_query("session_pairing", f""", l AS (SELECT id, ts, {_HOST} AS host, "user" AS l, lead(ts) OVER (PARTITION BY {_HOST}, "user" ORDER BY ts, id) AS nxt FROM e WHERE eventType = 'signup'), o AS (SELECT l.id, min(e.ts) AS off FROM l JOIN e ON e.eventType = 'error' AND e."user" = l.l AND e.ts >= l.ts GROUP BY 1)
+SELECT l.id AS id, CASE WHEN nxt IS NULL OR off < nxt THEN off END AS "end" FROM l LEFT JOIN o ON o.id = l.id""")
+def _(df, ctx):
+    host = [(F.col("user") % 7).alias("host"), F.col("user").alias("logonId")]
+    return correlate.sessions(_kind(df, "signup", *host), _kind(df, "error", *host)).select("id", "end")
+
+
+@_events_query("row_in_session", f""", l AS (SELECT id, ts, "user" AS l, lead(ts) OVER (PARTITION BY "user" ORDER BY ts, id) AS nxt FROM e WHERE eventType = 'signup'), o AS (SELECT l.id, min(e.ts) AS off FROM l JOIN e ON e.eventType = 'error' AND e."user" = l.l AND e.ts >= l.ts GROUP BY 1),
+s AS (SELECT l.id, l.l, l.ts, CASE WHEN nxt IS NULL OR off < nxt THEN off END AS until FROM l LEFT JOIN o ON o.id = l.id), r AS (SELECT v.id, v.ts, s.id AS session, s.until, row_number() OVER (PARTITION BY v.id ORDER BY s.ts DESC, s.id DESC) AS k FROM e v JOIN s ON s.l = v."user" AND s.ts - 5000 <= v.ts WHERE v.eventType = 'view')
+SELECT e.id AS id, CASE WHEN r.until IS NULL OR r.ts <= r.until + 5000 THEN r.session END AS session FROM e LEFT JOIN r ON r.id = e.id AND r.k = 1 WHERE e.eventType = 'view'""")
+def _(df, ctx):
+    host = [(F.col("user") % 7).alias("host"), F.col("user").alias("logonId")]
+    opened = correlate.sessions(_kind(df, "signup", *host), _kind(df, "error", *host))
+    return correlate.in_session(_kind(df, "view", *host), opened).select("id", "session")
+
+
+@_events_query("parent_process", f""", p AS (SELECT id, ts, {_HOST} AS host, id % 40 AS pid, id % 23 AS ppid, id % 5 AS pname, id % 3 AS name FROM e), r AS (SELECT a.id, b.id AS parent, b.name, row_number() OVER (PARTITION BY a.id ORDER BY b.ts DESC, b.id DESC) AS k FROM p a JOIN p b ON a.host = b.host AND a.ppid = b.pid AND b.ts <= a.ts - 1 AND a.ts - 1 - b.ts <= {7 * 24 * H})
+SELECT p.id AS id, CASE WHEN p.pname = r.name THEN r.parent END AS parent FROM p LEFT JOIN r ON r.id = p.id AND r.k = 1""")
+def _(df, ctx):
+    rows = df.select("id", "ts", (F.col("user") % 7).alias("host"), (F.col("id") % 40).alias("pid"), (F.col("id") % 23).alias("parentPid"), F.concat(F.lit("c:\\x\\"), F.col("id") % 5).alias("parentName"), F.concat(F.lit("D:\\"), F.col("id") % 3).alias("name"))
+    return correlate.parents(rows).select("id", "parent")
+
+
+@_events_query("same_process", f""", a AS (SELECT *, {_HOST} AS host, id % 3 AS pid FROM e) SELECT x.id AS a_id, y.id AS b_id FROM a x JOIN a y ON x.host = y.host AND x.pid = y.pid AND abs(x.ts - y.ts) <= 600000 WHERE x.eventType = 'view' AND y.eventType = 'click'""")
+def _(df, ctx):
+    more = [(F.col("user") % 7).alias("host"), (F.col("id") % 3).alias("pid"), F.lit("n").alias("name")]
+    return correlate.same_process(_kind(df, "view", *more), _kind(df, "click", *more), 600_000)
+
+
+@_events_query("hops", f""", k AS (SELECT id, ts, eventType AS kind, "user" % 11 AS source, {_HOST} AS target, "user" AS account FROM e), c AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY kind, source, target, account ORDER BY ts, id) > {H} THEN 1 ELSE 0 END AS cut FROM k), s AS (SELECT *, sum(cut) OVER (PARTITION BY kind, source, target, account ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS k FROM c)
+SELECT kind, source, target, account, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM s GROUP BY kind, source, target, account, k""")
+def _(df, ctx):
+    return correlate.hops(df.select("id", "ts", F.col("eventType").alias("kind"), (F.col("user") % 11).alias("source"), (F.col("user") % 7).alias("target"), F.col("user").alias("account")))
+
+
+@_events_query("address_owners", """, v AS (SELECT "user" % 30 AS address, 'h' || id % 4 AS host, count(*) AS votes FROM e GROUP BY ALL) SELECT address, host, votes FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY votes DESC, host) AS k FROM v) WHERE k = 1""")
+def _(df, ctx):
+    rows = df.select((F.col("user") % 30).alias("address"), F.concat(F.lit("H"), F.col("id") % 4).alias("host"))
+    return correlate.address_owners(rows, "address", "host")
+
+
+@_events_query("clock_skew", f""", p AS (SELECT a."user" AS host, a.ts - b.ts AS d FROM e a JOIN e b ON a."user" = b."user" AND b.ts BETWEEN a.ts - {H} AND a.ts + {H} WHERE a.eventType = 'click' AND b.eventType = 'view') SELECT host, CAST(median(d) AS DOUBLE) AS skew FROM p GROUP BY host HAVING count(*) >= 2""")
+def _(df, ctx):
+    pairs = joins.band(_kind(df, "click", "user"), _kind(df, "view", "user"), ["user"], "ts", "ts", H, H)
+    return correlate.clock_skew(pairs.select(F.col("user").alias("host"), "ts", F.col("r_ts").alias("other_ts")))
+
+
+@_events_query("sole_client", f""", p AS (SELECT a.id, count(DISTINCT b.id % 5) AS n, min(b.id % 5) AS client FROM e a JOIN e b ON a."user" = b."user" AND abs(a.ts - b.ts) <= {6 * H} WHERE a.eventType = 'error' AND b.eventType = 'signup' GROUP BY 1) SELECT id, client FROM p WHERE n = 1""")
+def _(df, ctx):
+    return correlate.sole_matches(_kind(df, "error", "user"), _kind(df, "signup", "user", (F.col("id") % 5).alias("client")), ["user"], 6 * H, "client")
+
+
+@query("SELECT DISTINCT lower(host) AS host, CASE WHEN n > 1 THEN lower(host) ELSE split_part(lower(host), '.', 1) END AS name FROM (SELECT host, (SELECT count(DISTINCT lower(h2)) FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS h2 FROM pages) WHERE split_part(lower(h2), '.', 1) = split_part(lower(host), '.', 1) AND contains(h2, '.')) AS n FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM pages)) WHERE host <> ''")
+def host_names(spark, sf_dir):
+    return correlate.host_names(adapt.read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/?#:]*)", 1).alias("host")), "host")
+
+
+@query(r"WITH c AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'CORP\U' || c_custkey WHEN 1 THEN 'u' || c_custkey || '@Corp.Test' WHEN 2 THEN ' U' || c_custkey ELSE 'SYSTEM' END AS form FROM customer) SELECT id, CASE WHEN id % 4 < 3 THEN 'u' || id END AS key, CASE id % 4 WHEN 0 THEN 'corp' WHEN 1 THEN 'corp.test' END AS realm FROM c")
+def identity_forms(spark, sf_dir):
+    k = F.col("c_custkey")
+    form = F.when(k % 4 == 0, F.concat(F.lit("CORP\\U"), k)).when(k % 4 == 1, F.concat(F.lit("u"), k, F.lit("@Corp.Test"))).when(k % 4 == 2, F.concat(F.lit(" U"), k)).otherwise(F.lit("SYSTEM"))
+    return adapt.read(spark, sf_dir, "customer").select(k.alias("id"), correlate.identity_key(form).alias("key"), correlate.identity_realm(form).alias("realm"))
+
+
+_STEPS = f"""s AS (SELECT o_orderkey AS mail, epoch_us(o_orderdate) // 1000 AS at, o_custkey AS who FROM orders WHERE o_totalprice > 200000), c AS (SELECT s.mail, s.who, e.id AS step, e.ts, e.eventType AS kind, e.value AS weight FROM s JOIN e ON e."user" % 300 = s.who % 300 AND e.ts % 2000000000 BETWEEN s.at % 2000000000 - 300000 AND s.at % 2000000000 + {72 * H})"""
+
+
+def _chain_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Large orders as risky messages to a customer, events as what that account did; times are taken within one stretch, so that they meet."""
+    orders = adapt.read(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    seeds = orders.select(F.col("o_orderkey").alias("id"), (adapt.millis("o_orderdate") % 2_000_000_000).alias("date"), F.lit(60).alias("risk"), F.array((F.col("o_custkey") % 300).cast("string")).alias("toList"))
+    acts = adapt.events(spark, sf_dir).select("id", (F.col("ts") % 2_000_000_000).alias("ts"), (F.col("user") % 300).cast("string").alias("upn"), F.col("eventType").alias("kind"), F.col("value").alias("weight"))
+    return seeds, acts
+
+
+@query(f"WITH e AS ({_EVENTS}), {_STEPS} SELECT mail, CAST(who % 300 AS VARCHAR) AS identity, step, ts % 2000000000 AS ts, kind, weight FROM c")
+def chain_steps(spark, sf_dir):
+    return correlate.chain_steps(*_chain_parts(spark, sf_dir))
+
+
+@query(f"""WITH e AS ({_EVENTS}), {_STEPS}, g AS (SELECT mail, CAST(who % 300 AS VARCHAR) AS identity, kind, step, ts % 2000000000 AS ts, weight FROM c), k AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY mail, identity, kind ORDER BY ts, step) > 600000 THEN 1 ELSE 0 END AS cut FROM g), n AS (SELECT *, sum(cut) OVER (PARTITION BY mail, identity, kind ORDER BY ts, step ROWS UNBOUNDED PRECEDING) AS k FROM k)
+SELECT mail, identity, kind, min(ts) AS start, max(ts) AS "end", count(*) AS n, max(weight) AS weight FROM n GROUP BY mail, identity, kind, k""")
+def chain_folding(spark, sf_dir):
+    return correlate.folded_steps(correlate.chain_steps(*_chain_parts(spark, sf_dir)))
+
+
+# --- values, findings' states, files --------------------------------------------------
+
+
+@query("SELECT o_orderkey, CASE WHEN r >= 80 THEN 'critical' WHEN r >= 60 THEN 'high' WHEN r >= 40 THEN 'medium' WHEN r >= 20 THEN 'low' ELSE 'info' END AS band FROM (SELECT o_orderkey, o_orderkey % 101 AS r FROM orders)")
+def risk_bands(spark, sf_dir):
+    return adapt.read(spark, sf_dir, "orders").select("o_orderkey", V.risk_band(F.col("o_orderkey") % 101).alias("band"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS k FROM lineitem)
+SELECT l_orderkey, CAST(least(100, sum(CASE WHEN k = 1 THEN w WHEN k <= 8 THEN least(w, 30) // 4 ELSE 0 END)) AS BIGINT) AS score FROM l GROUP BY 1""")
+def risk_scores(spark, sf_dir):
+    points = F.collect_list(F.col("l_quantity").cast("int")).alias("points")  # the lines of one order, at most seven
+    return adapt.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(points).select("l_orderkey", V.risk_score(F.col("points")).cast("long").alias("score"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def setting_names(spark, sf_dir):
+    rows = adapt.read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.col("c_mktsegment"), F.when(F.col("c_custkey") % 3 == 0, " Mr").otherwise("")).alias("name"))
+    return rows.where(filters.tree({"name|in_setting": "vip_names"}, Context("rows", rows.schema, Settings(lists={"vip_names": ["mr building", "Mr. M\u00e1chinery"]})))).select("c_custkey")
+
+
+@query("SELECT page_id FROM pages WHERE regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '(^|\.)(example\.org|example\.com)$')")
+def setting_domains(spark, sf_dir):
+    rows = adapt.read(spark, sf_dir, "pages").select("page_id", web.host_of(F.col("url")).alias("host"))
+    return rows.where(filters.tree({"host|in_setting": "internal_domains"}, Context("rows", rows.schema, Settings(lists={"internal_domains": ["Example.org", "example.com"]})))).select("page_id")
+
+
+@query("SELECT supplier.s_suppkey AS s_suppkey FROM supplier WHERE CAST(s_suppkey % 256 AS INTEGER) BETWEEN 16 AND 31 OR s_suppkey % 7 = 0")
+def filter_cidr_list(spark, sf_dir):
+    k = F.col("s_suppkey")
+    rows = adapt.read(spark, sf_dir, "supplier").select("s_suppkey", F.when(k % 7 == 0, F.concat(F.lit("fe8"), F.hex(k % 16), F.lit("::1"))).otherwise(F.concat(F.lit("172."), k % 256, F.lit(".3.4"))).alias("ip"))
+    return rows.where(filters.tree({"ip|cidr": ["172.16.0.0/12", "fe80::/12"]}, Context("rows", rows.schema, Settings()))).select("s_suppkey")
+
+
+@query(f"""WITH e AS ({_EVENTS}), f AS (SELECT CAST(id AS VARCHAR) AS key, id % 5 AS rank, CASE eventType WHEN 'error' THEN 3 WHEN 'view' THEN 1 END AS floor FROM e) SELECT key, {_SEV}[greatest(rank, coalesce(floor, 0)) + 1] AS severity FROM f""")
+def severity_floors(spark, sf_dir):
+    floors = spark.createDataFrame([("error", "high"), ("view", "low")], "ruleId string, floor string")
+    return findings.floors(_as_findings(spark, sf_dir), floors).select("key", "severity")
+
+
+@query(f"WITH e AS ({_EVENTS}) SELECT CAST(id AS VARCHAR) AS key, CASE WHEN quality = 1 THEN 'closed' WHEN quality = 0 THEN 'seen' ELSE 'open' END AS status FROM e LEFT JOIN labels ON doc_id = id")
+def review_merge(spark, sf_dir):
+    marks = adapt.read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("key"), F.when(F.col("quality") == 1, "closed").otherwise("seen").alias("status"), F.lit("").alias("note"))
+    return findings.with_reviews(_as_findings(spark, sf_dir), marks).select("key", "status")
+
+
+@query(f"WITH e AS ({_EVENTS}) SELECT CAST(id AS VARCHAR) AS key, 'computer=' || CAST(\"user\" % 7 AS VARCHAR) || '|targetUser=' || CAST(\"user\" AS VARCHAR) AS signature FROM e")
+def decision_signatures(spark, sf_dir):
+    return _as_findings(spark, sf_dir).select("key", findings.decision_signature(F.col("entities")).alias("signature"))
+
+
+@query("SELECT lower(CAST(o_custkey AS VARCHAR)) AS sender, count(*) AS n, count(DISTINCT (epoch_us(o_orderdate) // 1000) // 86400000) AS days FROM orders GROUP BY 1 HAVING count(*) >= 5 AND max(o_totalprice / 20000) < 20 AND count(DISTINCT (epoch_us(o_orderdate) // 1000) // 86400000) > 1")
+def trusted_senders(spark, sf_dir):
+    return findings.trusted_senders(adapt.mails(spark, sf_dir).withColumn("risk", F.col("total") / 20000), "fromAddr", "risk", "date")
+
+
+@query("SELECT CASE toxic WHEN 1 THEN 'malicious' ELSE 'clean' END AS verdict, count(*) AS n, count(DISTINCT quality) AS tags FROM labels GROUP BY 1")
+def row_marks(spark, sf_dir):
+    return findings.marks_summary(adapt.read(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, "malicious").otherwise("clean").alias("verdict"), F.col("quality").alias("tag")))
+
+
+@query(f"""WITH e AS ({_EVENTS}), f AS (SELECT eventType, id % 5 AS rank, 'T1' || lpad(CAST(id % 30 AS VARCHAR), 3, '0') AS technique FROM e UNION ALL SELECT eventType, id % 5, 'T2000.00' || id % 3 FROM e) SELECT technique, {_SEV}[max(rank) + 1] AS severity, count(*) AS n, array_to_string(list_sort(list(DISTINCT eventType)), ',') AS rules FROM f GROUP BY technique""")
+def technique_layer(spark, sf_dir):
+    i = F.col("key").cast("long")
+    attack = F.array(F.concat(F.lit("attack.T1"), F.lpad((i % 30).cast("string"), 3, "0")), F.concat(F.lit("T2000.00"), i % 3), F.lit("none"))
+    return findings.navigator(_as_findings(spark, sf_dir).withColumn("attack", attack)).withColumn("rules", F.array_join("rules", ","))
+
+
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS f, epoch_us(l_shipdate) // 1000 AS m, epoch_us(l_shipdate) // 1000 + (l_linenumber % 2) * 1000 AS a, CASE WHEN l_linenumber < 4 THEN epoch_us(l_shipdate) // 1000 END AS b FROM lineitem), u AS (SELECT f, m AS ts, 'M' AS l FROM t UNION ALL SELECT f, a, 'A' FROM t UNION ALL SELECT f, b, 'B' FROM t WHERE b IS NOT NULL)
+SELECT f, ts, CASE WHEN bool_or(l = 'M') THEN 'M' ELSE '.' END || CASE WHEN bool_or(l = 'A') THEN 'A' ELSE '.' END || CASE WHEN bool_or(l = 'B') THEN 'B' ELSE '.' END AS macb FROM u GROUP BY f, ts""")
+def macb_rows(spark, sf_dir):
+    from .sources.readers import macb
+
+    t, line = adapt.millis("l_shipdate"), F.col("l_linenumber")
+    rows = adapt.read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + line).alias("f"), t.alias("m"), (t + (line % 2) * 1000).alias("a"), F.when(line < 4, t).alias("b"))
+    return macb(rows, {"M": "m", "A": "a", "B": "b"}, "f")
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, epoch_us(l_shipdate) // 1000 + (l_linenumber % 3) * 500 AS si, epoch_us(l_shipdate) // 1000 + (l_linenumber % 4) * 250 AS fn FROM lineitem) SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN si < fn THEN 'si-before-fn' END, CASE WHEN si % 1000 = 0 AND fn % 1000 <> 0 THEN 'no-fraction' END) AS hints FROM t""")
+def timestomp_hints(spark, sf_dir):
+    from .sources.readers import timestomped
+
+    t, line = adapt.millis("l_shipdate"), F.col("l_linenumber")
+    return adapt.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(timestomped(t + (line % 3) * 500, t + (line % 4) * 250), ",").alias("hints"))
+
+
+@_events_query("attack_phases", "SELECT id, CASE eventType WHEN 'view' THEN 8 WHEN 'click' THEN 3 WHEN 'purchase' THEN 12 WHEN 'signup' THEN 7 ELSE 14 END AS phase FROM e")
+def _(df, ctx):
+    names = F.create_map(*[F.lit(x) for kv in {"view": "Discovery", "click": "execution", "purchase": "Exfiltration", "signup": "credential access"}.items() for x in kv])
+    return df.select("id", correlate.phase(F.coalesce(names[F.col("eventType")], F.lit("unknown"))).alias("phase"))
+
+
+@_events_query("stories", f""", c AS (SELECT "user", id, ts, id % 15 AS phase, value AS weight, CASE WHEN ts - lag(ts) OVER (PARTITION BY "user" ORDER BY ts, id) > {48 * H} THEN 1 ELSE 0 END AS cut FROM e), s AS (SELECT *, sum(cut) OVER (PARTITION BY "user" ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS story FROM c)
+SELECT "user" AS subject, CAST(story AS BIGINT) AS story, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM s GROUP BY "user", story""")
+def _(df, ctx):
+    names = F.array(*[F.lit(p) for p in correlate.PHASES])
+    flags = df.select(F.col("user").alias("subject"), "id", "ts", F.element_at(names, (F.col("id") % 15 + 1).cast("int")).alias("tactic"), F.col("value").alias("weight"))
+    return correlate.stories(flags).drop("score")
+
+
+@_events_query("reputation_of_indicators", """, i AS (SELECT 'type' AS kind, eventType AS value, count(*) AS n FROM e GROUP BY 2 UNION ALL SELECT 'user', CAST("user" AS VARCHAR), count(*) FROM e GROUP BY 2) SELECT kind, value, n AS count, CASE WHEN TRY_CAST(value AS INTEGER) % 3 = 0 THEN 'malicious' ELSE 'suspicious' END AS verdict FROM i WHERE kind = 'user' AND TRY_CAST(value AS INTEGER) % 3 < 2""")
+def _(df, ctx):
+    iocs = reads.indicators_of(df, {"type": F.col("eventType"), "user": F.col("user").cast("string")}, F.col("ts"), "events")
+    bad = df.select(F.lit("user").alias("kind"), F.col("user").cast("string").alias("value"), F.when(F.col("user") % 3 == 0, "malicious").when(F.col("user") % 3 == 1, "suspicious").otherwise("clean").alias("verdict")).distinct()
+    return reads.indicator_list(iocs, bad, only_bad=True).select("kind", "value", "count", "verdict")

@@ -24,6 +24,7 @@ from ..schema import ATTACHMENTS, BODIES, URLS, Case, Settings
 OPERATORS = {
     "eq", "ne", "in", "nin", "contains", "not_contains", "contains_any", "contains_all", "startswith", "not_startswith", "endswith", "not_endswith", "re", "not_re", "re_cs",
     "gt", "gte", "lt", "lte", "exists", "empty", "in_setting", "nin_setting", "levenshtein", "length", "contains_cs", "startswith_cs", "endswith_cs",
+    "cidr",
 }
 NEGATIVE = {"ne": "eq", "nin": "in", "not_contains": "contains_any", "not_startswith": "startswith", "not_endswith": "endswith", "not_re": "re", "nin_setting": "in_setting", "empty": "exists"}
 MAIL_NAMES = {"auth.spf": "spf", "auth.dkim": "dkim", "auth.dmarc": "dmarc", "auth.compauth": "compauth", "reputation.worst": "reputationWorst", "reputation.originIp.verdict": "reputationOriginIp", "replyTo.addr": "replyToList", "replyTo.domain": "replyToDomain", "to.addr": "toList", "cc.addr": "ccList", "bcc.addr": "bccList", "sender.addr": "senderAddr"}
@@ -139,14 +140,15 @@ def _in_setting(c: Column, kind: str, name: str, settings: Settings) -> Column:
 def _of_text(op: str, value, c: Column, kind: str, settings: Settings) -> Column:
     t = _text(c, kind)
     low = F.lower(t)
-    items = [str(v) for v in _listed(value)] if not isinstance(value, str) else [value]
+    # A text is one value, but for the two operators whose name says list.
+    items = [str(v) for v in _listed(value)] if not isinstance(value, str) or op in ("contains_any", "contains_all") else [value]
     lows = [i.lower() for i in items]
     if op == "eq":
         return _equal(c, kind, value if isinstance(value, list) else [value])
     if op == "in":
         return _equal(c, kind, _listed(value))
     if op in ("contains", "contains_any"):
-        return V.truth(low.contains(lows[0]) if len(lows) == 1 else low.rlike(_alternatives(lows)))
+        return V.truth(low.contains(lows[0]) if len(lows) == 1 else low.rlike(_alternatives(lows)) if lows else F.lit(False))
     if op == "contains_all":
         return V.all_of([V.truth(low.contains(i)) for i in lows])
     if op == "startswith":
@@ -172,6 +174,8 @@ def _of_text(op: str, value, c: Column, kind: str, settings: Settings) -> Column
         return ~_blank(c, kind) if str(value).lower() != "false" else _blank(c, kind)
     if op == "in_setting":
         return _in_setting(c, kind, str(value), settings)
+    if op == "cidr":
+        return V.in_networks(t, items)
     if op == "levenshtein":
         needle, most = value
         return V.truth(F.levenshtein(low, F.lit(str(needle).lower())) <= int(most))

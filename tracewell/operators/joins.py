@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def asof(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, take: list[str], direction: str = "backward", within: int | None = None, prefix: str = "r_") -> DataFrame:
     """``left`` with columns of the last right row at or before its time (``forward``: the first at or after).
 
     Both sides are laid in one order by key and time, and the last known right row
     is carried along: one shuffle by key, no pairs. A right row at the same time
-    counts in both directions; ties of right rows go to the greatest ``take``.
+    counts in both directions; ties of right rows go to the greatest ``take``, forward to the least.
     """
     back = direction == "backward"
     carried = F.struct(F.col(right_ts).alias("t"), *[F.col(c).alias(c) for c in take])
-    lefts = left.select(*on, F.col(left_ts).alias("_t"), F.lit(1 if back else 0).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(carried.alias("c")).schema[0].dataType).alias("_right"))
-    rights = right.where(F.col(right_ts).isNotNull()).select(*on, F.col(right_ts).alias("_t"), F.lit(0 if back else 1).alias("_side"), F.lit(None).cast(lefts.schema["_row"].dataType).alias("_row"), carried.alias("_right"))
-    w = W.partitionBy(*on).orderBy(F.col("_t"), "_side", "_right")
-    seen = F.last("_right", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)) if back else F.first("_right", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    out = lefts.unionByName(rights).withColumn("_found", seen).where("_row is not null")
+    lefts = left.select(*on, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(carried.alias("c")).schema[0].dataType).alias("_right"))
+    rights = right.where(F.col(right_ts).isNotNull()).select(*on, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(lefts.schema["_row"].dataType).alias("_row"), carried.alias("_right"))
+    # Forward is backward in descending order. Rows with a null key find nothing and needn't meet in one place.
+    alone = F.when(reduce(operator.or_, [F.col(k).isNull() for k in on]), F.xxhash64("_t", "_row")).otherwise(F.lit(0)) if on else F.lit(0)
+    w = W.partitionBy(*on, "_alone").orderBy(F.col("_t") if back else F.col("_t").desc(), "_side", F.col("_right") if back else F.col("_right").desc())
+    seen = F.last("_right", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    out = lefts.unionByName(rights).withColumn("_alone", alone).withColumn("_found", seen).where("_row is not null")
     distance = F.abs(F.col("_found.t") - F.col("_t"))
     found = F.col("_found") if within is None else F.when(distance <= within, F.col("_found"))
     # A key or time that is null has no neighbour.
@@ -47,30 +54,34 @@ def band(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_t
     stretch its band touches and a right row into its own, so the join is on key and
     stretch and a hot key is spread over its stretches. Right columns get ``r_``.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("inner or left; use first_in_band for existence")
     width = max(1, before + after)
-    lefts = left.withColumn("_lid", F.monotonically_increasing_id()) if how == "left" else left
     low, high = F.col(left_ts) - before, F.col(left_ts) + after
     cut = lambda t: F.floor(t / width).cast("long")
-    spread = lefts.withColumn("_cut", F.explode_outer(F.when(F.col(left_ts).isNotNull(), F.sequence(cut(low), cut(high)))))
     rights = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("r__cut", cut(F.col(f"r_{right_ts}")))
     test = (F.col("_cut") == F.col("r__cut")) & F.col(f"r_{right_ts}").between(low, high)
     for k in on:
         test = test & (F.col(k) == F.col(f"r_{k}"))
-    if how in ("left_semi", "left_anti"):
-        raise ValueError("use first_in_band for existence")
-    joined = spread.join(rights, test, "inner").drop("_cut", "r__cut")
-    return joined
+    spread = left.withColumn("_cut", F.explode_outer(F.when(F.col(left_ts).isNotNull(), F.sequence(cut(low), cut(high)))))
+    if how == "inner":
+        return spread.join(rights, test).drop("_cut", "r__cut")
+    # A row is laid out once for each stretch: without any partner only its first copy stays.
+    names = [c for c in rights.columns if c != "r__cut"]
+    numbered = written(left.withColumn("_lid", F.monotonically_increasing_id()), "band")
+    pairs = numbered.withColumn("_cut", F.explode_outer(F.when(F.col(left_ts).isNotNull(), F.sequence(cut(low), cut(high))))).join(rights, test).select("_lid", F.struct(*names).alias("_pair"))
+    return numbered.join(pairs, "_lid", "left").select(*left.columns, *[F.col(f"_pair.{c}").alias(c) for c in names])
 
 
-def first_in_band(left: DataFrame, right: DataFrame, on: list[str], key: list[str], start: str, end: str, right_ts: str, take: list[str], within: int) -> DataFrame:
+def first_in_band(left: DataFrame, right: DataFrame, on: list[str], key: list[str], start: str, end: str, right_ts: str, take: list[str], within: int | Column) -> DataFrame:
     """For each left row the first right row by (time, take) from ``start`` to ``within`` ms after ``end``: key, and r_ columns.
 
     The least is aggregated over the pairs, partly before the shuffle, so no
-    ordered list of a row's partners is built.
+    ordered list of a row's partners is built. ``within`` may be an expression of the keys ``on``.
     """
-    width = max(1, within)
+    width = F.greatest(F.lit(1), within if isinstance(within, Column) else F.lit(within))
     cut = lambda t: F.floor(t / width).cast("long")
-    spread = left.select(*key, *[k for k in on if k not in key], F.col(start).alias("_from"), (F.col(end) + within).alias("_to")).withColumn("_cut", F.explode(F.sequence(cut(F.col("_from")), cut(F.col("_to")))))
+    spread = left.withColumn("_cut", F.explode(F.sequence(cut(F.col(start)), cut(F.col(end) + within)))).select(*key, *[k for k in on if k not in key], F.col(start).alias("_from"), (F.col(end) + within).alias("_to"), "_cut")
     rights = right.select(*[F.col(k).alias(f"_k_{k}") for k in on], F.col(right_ts).alias("_t"), cut(F.col(right_ts)).alias("_rcut"), *[F.col(c).alias(f"_r_{c}") for c in take])
     test = (F.col("_cut") == F.col("_rcut")) & F.col("_t").between(F.col("_from"), F.col("_to"))
     for k in on:

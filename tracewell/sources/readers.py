@@ -27,7 +27,7 @@ from ..schema import conform
 
 # First bytes of containers.
 MAGIC = {"zip": b"PK\x03\x04", "gz": b"\x1f\x8b", "bz2": b"BZh", "xz": b"\xfd7zXZ\x00", "evtx": b"ElfFile\x00", "pst": b"!BDN", "msg": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"}
-#: Names that Windows records give to fields, and the columns they go to; the first that is there counts.
+# Names that Windows records give to fields, and the columns they go to; the first that is there counts.
 WINDOWS = {
     "targetUser": ("TargetUserName",), "targetDomain": ("TargetDomainName",), "subjectUser": ("SubjectUserName", "User"), "subjectDomain": ("SubjectDomainName",), "logonType": ("LogonType",), "logonId": ("TargetLogonId", "LogonId"), "logonGuid": ("LogonGuid",),
     "ipAddress": ("IpAddress", "SourceIp"), "ipPort": ("IpPort",), "workstation": ("WorkstationName", "Workstation"), "processName": ("NewProcessName", "ProcessName"), "processId": ("NewProcessId", "ProcessId"), "parentProcessName": ("ParentProcessName",), "commandLine": ("CommandLine",),
@@ -71,9 +71,23 @@ def event_xml(spark: SparkSession, path: str) -> DataFrame:
     return flattened(rows)
 
 
+def json_records(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """(data): the text of each record of JSON lines, or of files that hold one array, one record, or records under ``value`` or ``records``.
+
+    An array's file is one row until it is taken apart, so a file must fit in a task;
+    exports of any size come as JSON lines.
+    """
+    raw = spark.read.text(path, wholetext=not lines).select(F.trim("value").alias("data")).where("data <> ''")
+    if lines:
+        return raw
+    held = F.coalesce(F.when(F.col("data").startswith("["), F.col("data")), F.get_json_object("data", "$.value"), F.get_json_object("data", "$.records"))
+    many = F.transform(F.from_json(held, "array<variant>"), lambda v: F.to_json(v))
+    return raw.select(F.explode(F.coalesce(many, F.array("data"))).alias("data"))
+
+
 def event_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """Exports of other tools as JSON: their names for computer, record and time are looked for in turn."""
-    raw = spark.read.option("wholetext", not lines).text(path).select(F.col("value").alias("data"))
+    raw = json_records(spark, path, lines)
     first = lambda *names: F.coalesce(*[F.get_json_object("data", f"$.{n}") for n in names])
     rows = raw.select(
         "data", first("EventId", "EventID", "winlog.event_id", "event_id").alias("eventId"), first("Computer", "winlog.computer_name", "host.name").alias("computer"), first("Channel", "winlog.channel").alias("channel"), first("Provider", "winlog.provider_name").alias("provider"),
@@ -82,23 +96,36 @@ def event_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     return flattened(rows)
 
 
-def audit_records(spark: SparkSession, path: str) -> DataFrame:
-    """Unified audit records, JSON lines or CSV with an AuditData column, one a record key."""
-    if path.lower().endswith(".csv"):
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).select(F.col("AuditData").alias("data"))
-    else:
-        raw = spark.read.text(path).select(F.col("value").alias("data"))
+def csv_records(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(data, bad): one column of a CSV export; a row without a JSON record in it is bad."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return raw.select(F.col(column).alias("data"), F.try_parse_json(column).isNull().alias("bad"))
+
+
+def bad_rows(records: DataFrame) -> DataFrame:
+    """(rows, bad): how many rows an export has and how many of them are none."""
+    return records.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("bad"), 1)).alias("bad"))
+
+
+def one_a_key(rows: DataFrame) -> DataFrame:
+    """Of the records of one key one; records without a key are all kept."""
+    return rows.where("recordKey is null").unionByName(rows.where("recordKey is not null").dropDuplicates(["recordKey"]))
+
+
+def audit_records(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Unified audit records, JSON or CSV with an AuditData column, one a record key."""
+    raw = csv_records(spark, path, "AuditData").where("not bad").select("data") if path.lower().endswith(".csv") else json_records(spark, path, lines)
     get = lambda k: V.json_field(F.col("data"), k)
     rows = raw.select("data", get("Operation").alias("operation"), F.coalesce(get("ResultStatus"), get("Status")).alias("status"), F.lower(F.coalesce(get("UserId"), get("UserKey"))).alias("upn"), F.regexp_replace(F.coalesce(get("ClientIP"), get("ClientIPAddress"), get("ActorIpAddress")), r"^\[?([0-9a-fA-F.:]+?)\]?(:\d+)?$", "$1").alias("ipAddress"), iso_millis(get("CreationTime")).alias("ts"), get("Id").alias("recordKey"))
-    return conform(rows, "events").dropDuplicates(["recordKey"])
+    return one_a_key(conform(rows, "events"))
 
 
-def sign_ins(spark: SparkSession, path: str) -> DataFrame:
+def sign_ins(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """Sign-in records as events; the error code says whether it failed."""
-    raw = spark.read.text(path).select(F.col("value").alias("data"))
+    raw = json_records(spark, path, lines)
     get = lambda p: F.get_json_object("data", f"$.{p}")
     rows = raw.select("data", F.lit("SignIn").alias("operation"), F.when(get("status.errorCode") == "0", "Success").when(get("status.errorCode").isNotNull(), "Failure").alias("status"), F.lower(get("userPrincipalName")).alias("upn"), get("ipAddress").alias("ipAddress"), get("userAgent").alias("userAgent"), iso_millis(get("createdDateTime")).alias("ts"), get("id").alias("recordKey"))
-    return conform(rows, "events").dropDuplicates(["recordKey"])
+    return one_a_key(conform(rows, "events"))
 
 
 def dhcp_log(spark: SparkSession, path: str) -> DataFrame:
@@ -246,9 +273,19 @@ def archive_members(spark: SparkSession, path: str, most_ratio: int = 200, most_
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modified, kind) of files, for choosing a reader; only their first bytes are looked at."""
-    kind = F.udf(lambda n, h: container_of(n, bytes(h or b"")), "string") if spark else None
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.unix_millis("modificationTime").alias("modified"), kind("path", F.substring("content", 1, 600)).alias("kind"))
+    """(path, length, modified, kind) of files, for choosing a reader: by their first bytes, else by their name.
+
+    Spark reads a file whole, so those of 2 GB and more are told by their name alone.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    head, low = F.hex(F.substring("content", 1, 512)), F.lower("path")
+    kind = F.lit(None).cast("string")
+    for name, magic in MAGIC.items():
+        kind = F.coalesce(kind, F.when(head.startswith(magic.hex().upper()), name))
+    kind = F.coalesce(kind, F.when(F.substring(head, 515, 10) == b"ustar".hex().upper(), "tar"), F.when(low.endswith(".mbox") | head.startswith(b"From ".hex().upper()), "mbox"))
+    kind = F.coalesce(kind, F.when(low.endswith(".eml") | head.startswith(b"Return-Path:".hex().upper()) | head.startswith(b"Received:".hex().upper()), "eml"), F.when(F.ltrim(F.substring("content", 1, 512).try_cast("string")).startswith("<Event"), "event-xml"))
+    kind = F.coalesce(kind, *[F.when(low.endswith("." + k), k) for k in ("csv", "json", "jsonl", "xml", "tsv", "txt", "log")])
+    return files.select("path", "length", F.unix_millis("modificationTime").alias("modified"), kind.alias("kind"))
 
 
 def import_rows(spark: SparkSession, path: str) -> dict[str, DataFrame]:
