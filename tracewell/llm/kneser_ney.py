@@ -27,7 +27,7 @@ from .common import bucketed, filtered, whole, written
 
 ORDER = 4
 #: Characters of a part of the documents, which is scored by one task.
-PART_BYTES = 32_000_000
+PART_BYTES = 8_000_000
 #: Quantile of held-out trusted documents at which a language's threshold lies, and how fine scores are binned for it.
 QUANTILE, STEPS = 0.998, 1000
 #: Times the distance from the median to the 0.9 quantile that scores of clean documents reach; for a normal distribution 0.9999 of them.
@@ -55,7 +55,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0):
             parts.append(_grams(text.as_py()))
             size += len(parts[-1])
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield counted(parts)
                 parts, size = [], 0
     if parts:
@@ -147,6 +147,7 @@ def _packed(path: tuple[str, ...], part_bytes: int):
             made = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([_low_of(seen[0])], pa.binary())], names=["part", "body", "grams"])
             rows.clear()
             seen.clear()
+            pa.default_memory_pool().release_unused()
             return made
 
         for batch in batches:
@@ -155,7 +156,7 @@ def _packed(path: tuple[str, ...], part_bytes: int):
                 own = _grams(text.as_py() or "")
                 open_.append(own)
                 size, pending = size + len(own), pending + len(own)
-                if pending > 2_000_000:
+                if pending > 1_000_000:
                     fold()
                     pending = 0
                 if size > part_bytes:
@@ -218,8 +219,8 @@ def _score(path: tuple[str, ...], names: list[str]):
                     grams = _grams(text.as_py() or "")
                     n.append(len(grams))
                     total = square = 0.0
-                    for start in range(0, len(grams), 1_000_000):
-                        p = values[np.searchsorted(keys, grams[start : start + 1_000_000])]
+                    for start in range(0, len(grams), 200_000):
+                        p = values[np.searchsorted(keys, grams[start : start + 200_000])]
                         total, square = total - float(p.sum()), square + float(p @ p)
                     sums.append(total)
                     squares.append(square)
