@@ -12,7 +12,7 @@ from .functions import mail, web
 from .functions import values as V
 from .operators import filters, graph, joins, reads, sequences
 from .operators.filters import Context
-from .plans import baseline, correlate, findings, rules
+from .plans import baseline, correlate, findings, lineage, rules
 from .schema import Case, Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -746,7 +746,7 @@ def setting_names(spark, sf_dir):
     return rows.where(filters.tree({"name|in_setting": "vip_names"}, Context("rows", rows.schema, Settings(lists={"vip_names": ["mr building", "Mr. M\u00e1chinery"]})))).select("c_custkey")
 
 
-@query("SELECT page_id FROM pages WHERE regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '(^|\.)(example\.org|example\.com)$')")
+@query(r"SELECT page_id FROM pages WHERE regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '(^|\.)(example\.org|example\.com)$')")
 def setting_domains(spark, sf_dir):
     rows = adapt.read(spark, sf_dir, "pages").select("page_id", web.host_of(F.col("url")).alias("host"))
     return rows.where(filters.tree({"host|in_setting": "internal_domains"}, Context("rows", rows.schema, Settings(lists={"internal_domains": ["Example.org", "example.com"]})))).select("page_id")
@@ -830,3 +830,201 @@ def _(df, ctx):
     iocs = reads.indicators_of(df, {"type": F.col("eventType"), "user": F.col("user").cast("string")}, F.col("ts"), "events")
     bad = df.select(F.lit("user").alias("kind"), F.col("user").cast("string").alias("value"), F.when(F.col("user") % 3 == 0, "malicious").when(F.col("user") % 3 == 1, "suspicious").otherwise("clean").alias("verdict")).distinct()
     return reads.indicator_list(iocs, bad, only_bad=True).select("kind", "value", "count", "verdict")
+
+
+# --- lineage: what belongs to what ------------------------------------------------------
+
+
+@_events_query("logon_tickets", """, l AS (SELECT id, ts, CASE WHEN id % 4 = 0 THEN id % 97 END AS guid, "user" AS a, "user" % 7 AS h FROM e WHERE eventType = 'view'), t AS (SELECT id, ts, CASE WHEN id % 3 = 0 THEN id % 97 END AS guid, "user" AS a, "user" % 7 AS h FROM e WHERE eventType = 'click'),
+s AS (SELECT l.id, t.id AS ticket, 'strong' AS confidence, row_number() OVER (PARTITION BY l.id ORDER BY t.ts, t.id) AS k FROM l JOIN t ON l.guid = t.guid), m AS (SELECT l.id, t.id AS ticket, 'medium' AS confidence, row_number() OVER (PARTITION BY l.id ORDER BY t.ts DESC, t.id DESC) AS k FROM l JOIN t ON l.a = t.a AND l.h = t.h AND t.ts BETWEEN l.ts - 7200000 AND l.ts WHERE l.id NOT IN (SELECT id FROM s))
+SELECT id, ticket, confidence FROM s WHERE k = 1 UNION ALL SELECT id, ticket, confidence FROM m WHERE k = 1""")
+def _(df, ctx):
+    of = lambda kind, n: _kind(df, kind, F.when(F.col("id") % n == 0, (F.col("id") % 97).cast("string")).alias("guid"), F.col("user").alias("account"), (F.col("user") % 7).alias("host"))
+    return lineage.authentications(of("view", 4), of("click", 3), 2 * H)
+
+
+@_events_query("service_after_share", f""", h AS (SELECT id, {_HOST} AS host, ts AS a, ts + 600000 AS b FROM e WHERE eventType = 'signup'), p AS (SELECT s.id, h.id AS hop, row_number() OVER (PARTITION BY s.id ORDER BY h.a DESC, h.id DESC) AS k FROM e s JOIN h ON s."user" % 7 = h.host AND s.ts BETWEEN h.a AND h.b + 300000 WHERE s.eventType = 'error') SELECT id, hop FROM p WHERE k = 1""")
+def _(df, ctx):
+    hops = _kind(df, "signup", (F.col("user") % 7).alias("host")).select("id", "host", F.col("ts").alias("start"), (F.col("ts") + 600_000).alias("end"))
+    return lineage.services_after_shares(_kind(df, "error", (F.col("user") % 7).alias("host")), hops)
+
+
+@_events_query("snapshot_process", """, s AS (SELECT "user" AS u, eventType AS t, min(value) AS p FROM e WHERE id % 2 = 0 GROUP BY 1, 2 HAVING count(DISTINCT value) = 1) SELECT e.id AS id, s.p AS process FROM e LEFT JOIN s ON e."user" = s.u AND e.eventType = s.t""")
+def _(df, ctx):
+    snapshot = df.where("id % 2 = 0").select("user", "eventType", F.col("value").alias("process"))
+    return lineage.sole_process(df.select("id", "user", "eventType"), snapshot, ["user", "eventType"], "process").select("id", "process")
+
+
+@_events_query("engine_findings", """, r AS (SELECT id, 'h' || "user" % 7 AS computer, eventType AS channel, id // 7 AS rec FROM e), f AS (SELECT 'k' || id % 50 AS key, computer, channel, rec FROM r WHERE id % 11 = 0 UNION ALL SELECT 'none', 'h1', 'x', 5) SELECT f.key AS key, count(DISTINCT r.id) AS n, min(r.id) AS first FROM f LEFT JOIN r ON f.computer = r.computer AND f.channel = r.channel AND f.rec = r.rec GROUP BY 1""")
+def _(df, ctx):
+    rows = df.select("id", F.concat(F.lit("h"), F.col("user") % 7).alias("computer"), F.col("eventType").alias("channel"), F.expr("id div 7").alias("recordId"))
+    found = rows.where("id % 11 = 0").select(F.concat(F.lit("k"), F.col("id") % 50).alias("key"), "computer", "channel", "recordId")
+    found = found.unionByName(df.sparkSession.createDataFrame([("none", "h1", "x", 5)], "key string, computer string, channel string, recordId long"))
+    return lineage.rows_of_findings(found, rows).select("key", F.size("refs").cast("long").alias("n"), F.get("refs", F.lit(0)).alias("first"))
+
+
+@_events_query("host_coverage", """SELECT 'h' || "user" % 7 AS host, count(*) AS n, min(ts) AS first, max(ts) AS last, count(*) FILTER (eventType = 'error') AS logons, count(*) FILTER (value > 50) AS processes FROM e GROUP BY 1""")
+def _(df, ctx):
+    return lineage.host_coverage(df.withColumn("computer", F.concat(F.lit("H"), F.col("user") % 7)), "computer", {"logons": F.col("eventType") == "error", "processes": F.col("value") > 50})
+
+
+_MAIL = "m AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS ts, CAST(o_custkey % 50 AS VARCHAR) AS a, CAST(o_orderkey % 50 AS VARCHAR) AS b, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_orderkey // 2 AS VARCHAR) END AS thread FROM orders)"
+
+
+@query(f"WITH {_MAIL} SELECT DISTINCT s.id AS seed, r.id AS reply FROM m s JOIN m r ON r.a = s.b AND r.id <> s.id AND r.ts - s.ts BETWEEN 0 AND 86400000 * 20 AND (r.b = s.a OR r.thread = CAST(s.id AS VARCHAR)) WHERE s.id % 10 = 1")
+def chain_replies(spark, sf_dir):
+    o = adapt.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), adapt.millis("o_orderdate").alias("ts"), (F.col("o_custkey") % 50).cast("string").alias("sender"), (F.col("o_orderkey") % 50).cast("string").alias("recipient"))
+    seeds = o.where("id % 10 = 1").withColumn("messageId", F.col("id").cast("string"))  # the risky messages of this case
+    mails = o.select("id", "ts", "sender", F.array("recipient").alias("toList"), F.when(F.col("id") % 6 == 0, F.expr("cast(id div 2 as string)")).alias("inReplyTo"))
+    return lineage.replies(seeds, mails, 20 * 24 * H)
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}'))) AS x FROM documents), a AS (SELECT x FROM t GROUP BY x HAVING count(*) >= 2) SELECT doc_id AS id, x AS artifact FROM t WHERE x IN (SELECT x FROM a)""".replace("\\\\", "\\"))
+def chain_artifacts(spark, sf_dir):
+    docs = adapt.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), F.lit(0)))).alias("artifact"))
+    named = found.groupBy("artifact").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return lineage.artifact_hits(docs, named)
+
+
+@_events_query("campaign_owner", f""", c AS (SELECT "user" AS i, id, value AS score, ts FROM e WHERE eventType = 'view'), k AS (SELECT "user" AS i, id, ts FROM e WHERE eventType = 'error'), p AS (SELECT k.id AS campaign, c.id AS chain, row_number() OVER (PARTITION BY k.id ORDER BY score DESC, c.id) AS r FROM k JOIN c ON k.i = c.i AND k.ts BETWEEN c.ts - 300000 AND c.ts + {72 * H}) SELECT campaign, chain FROM p WHERE r = 1""")
+def _(df, ctx):
+    campaigns = df.where("eventType = 'error'").select(F.col("user").alias("identity"), "id", F.col("ts").alias("start"))
+    return lineage.owner_chains(campaigns, df.where("eventType = 'view'").select(F.col("user").alias("identity"), "id", F.col("value").alias("score"), "ts"), 300_000, 72 * H)
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'n' || (n_nationkey * 7 + 3) % 25 AS b, CASE n_regionkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS c FROM nation), u AS (SELECT a, b, c FROM e UNION SELECT b, a, c FROM e), w(label, form, c) AS (SELECT 'n' || r_regionkey, 'n' || r_regionkey, 2 FROM region UNION SELECT label, b, least(w.c, u.c) FROM w JOIN u ON w.form = u.a)
+SELECT form, label, ['weak', 'medium', 'strong'][max(c) + 1] AS confidence FROM w GROUP BY form, label""")
+def identity_confidence(spark, sf_dir):
+    nation, region = adapt.read(spark, sf_dir, "nation"), adapt.read(spark, sf_dir, "region")
+    k, r = F.col("n_nationkey"), F.col("n_regionkey") % 3
+    edges = nation.select(F.concat(F.lit("n"), k).alias("a"), F.concat(F.lit("n"), (k * 7 + 3) % 25).alias("b"), F.when(r == 0, "strong").when(r == 1, "medium").otherwise("weak").alias("confidence"))
+    return lineage.surest(region.select(F.concat(F.lit("n"), F.col("r_regionkey")).alias("label")), edges)
+
+
+@_events_query("story_standing", """SELECT "user" AS story, CASE WHEN bool_or(id % 5 = 4) THEN 'critical' WHEN bool_or(id % 5 >= 2 AND id % 31 = 0) THEN 'measured' WHEN count(DISTINCT CASE WHEN id % 5 >= 2 AND NOT id % 3 = 0 THEN eventType END) >= 2 THEN 'phases' END AS standing FROM e GROUP BY 1""")
+def _(df, ctx):
+    sev = F.element_at(F.array(*[F.lit(x) for x in V.SEVERITIES]), (F.col("id") % 5 + 1).cast("int"))
+    return lineage.standing(df.select(F.col("user").alias("story"), sev.alias("severity"), F.col("eventType").alias("phase"), (F.col("id") % 31 == 0).alias("quiet"), (F.col("id") % 3 == 0).alias("noisy")))
+
+
+@_events_query("three_in_three", """, p AS (SELECT DISTINCT "user" AS s, id % 4 AS t, eventType AS ph FROM e) SELECT DISTINCT a.s AS story, EXISTS (SELECT 1 FROM p x JOIN p y ON y.s = x.s JOIN p z ON z.s = x.s WHERE x.s = a.s AND x.t <> y.t AND y.t <> z.t AND x.t <> z.t AND x.ph <> y.ph AND y.ph <> z.ph AND x.ph <> z.ph) AS three FROM p a""")
+def _(df, ctx):
+    return lineage.three_in_three(df.select(F.col("user").alias("story"), (F.col("id") % 4).alias("technique"), F.col("eventType").alias("phase")))
+
+
+@query("""WITH RECURSIVE l AS (SELECT s_suppkey AS a, s_suppkey + 5 AS b, CASE WHEN s_suppkey % 7 < 4 THEN 'strong' WHEN s_suppkey % 7 = 4 THEN 'weak' ELSE 'medium' END AS c FROM supplier WHERE s_suppkey + 5 <= (SELECT max(s_suppkey) FROM supplier)), u AS (SELECT a, b FROM l WHERE c <> 'weak' UNION SELECT b, a FROM l WHERE c <> 'weak'), r(id, x) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.x = u.a), g AS (SELECT id, min(x) AS root FROM r GROUP BY id)
+SELECT * FROM (SELECT s_suppkey AS story, coalesce(root, s_suppkey) AS incident, CAST(row_number() OVER (PARTITION BY coalesce(root, s_suppkey) ORDER BY s_acctbal DESC, s_suppkey) AS INTEGER) AS place FROM supplier LEFT JOIN g ON id = s_suppkey) WHERE place <= 20""")
+def story_incidents(spark, sf_dir):
+    s = adapt.read(spark, sf_dir, "supplier")
+    last = s.agg(F.max("s_suppkey").alias("last"))
+    k = F.col("s_suppkey") % 7
+    links = s.join(F.broadcast(last)).where("s_suppkey + 5 <= last").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 5).alias("b"), F.when(k < 4, "strong").when(k == 4, "weak").otherwise("medium").alias("confidence"))
+    return lineage.story_incidents(s.select(F.col("s_suppkey").alias("story"), F.col("s_acctbal").alias("score")), links)
+
+
+@query(r"""WITH c AS (SELECT DISTINCT lower(CASE c_custkey % 4 WHEN 0 THEN 'CORP\U' || c_custkey % 50 WHEN 1 THEN 'u' || c_custkey % 60 || '@corp.test' WHEN 2 THEN 'U' || c_custkey % 70 ELSE 'u' || c_custkey % 40 || '@other.org' END) AS form FROM customer), p AS (SELECT form, CASE WHEN contains(form, '\') THEN 'corp.test' WHEN contains(form, '@') THEN split_part(form, '@', 2) END AS realm, CASE WHEN contains(form, '\') THEN split_part(form, '\', 2) ELSE split_part(form, '@', 1) END AS name FROM c),
+s AS (SELECT name, count(DISTINCT realm) AS n, min(realm) AS sole, bool_or(realm = 'corp.test') AS own FROM p WHERE realm IS NOT NULL GROUP BY 1) SELECT form, p.name || coalesce('@' || coalesce(realm, CASE WHEN n = 1 THEN sole WHEN own THEN 'corp.test' END), '') AS key FROM p LEFT JOIN s ON s.name = p.name""".replace("\\\\", "\\"))
+def resolved_users(spark, sf_dir):
+    k = F.col("c_custkey")
+    form = F.when(k % 4 == 0, F.concat(F.lit("CORP\\U"), k % 50)).when(k % 4 == 1, F.concat(F.lit("u"), k % 60, F.lit("@corp.test"))).when(k % 4 == 2, F.concat(F.lit("U"), k % 70)).otherwise(F.concat(F.lit("u"), k % 40, F.lit("@other.org")))
+    return lineage.resolved_users(adapt.read(spark, sf_dir, "customer").select(form.alias("form")), ["corp.test"])
+
+
+@_events_query("claim_checks", """, f AS (SELECT 'u' || "user" AS key, id AS ref FROM e WHERE value > 50 UNION ALL SELECT 'u' || "user", -id FROM e WHERE id % 5 = 0 AND id > 0) SELECT key, count(*) AS cited, count(*) FILTER (e.id IS NULL) AS missing, count(*) FILTER (e.eventType <> 'error') AS failing FROM f LEFT JOIN e ON e.id = f.ref GROUP BY 1""")
+def _(df, ctx):
+    of = F.concat(F.lit("u"), F.col("user")).alias("key")
+    cited = df.where("value > 50").select(of, F.array("id").alias("refs")).unionByName(df.where("id % 5 = 0 and id > 0").select(of, F.array((-F.col("id"))).alias("refs")))
+    return findings.cited_rows_that_fail(cited, df, F.col("eventType") == "error")
+
+
+@_events_query("finding_anchors", """SELECT 'u' || "user" AS key, sha256(string_agg('r' || id, chr(10) ORDER BY 'r' || id)) AS anchor FROM e WHERE eventType = 'error' GROUP BY 1""")
+def _(df, ctx):
+    rows = df.withColumn("recordKey", F.concat(F.lit("r"), F.col("id")))
+    return findings.anchors(df.where("eventType = 'error'").select(F.concat(F.lit("u"), F.col("user")).alias("key"), F.array("id").alias("refs")), rows)
+
+
+@query("""WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'o' || l_orderkey AS b FROM lineitem), n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY 1), f AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_suppkey % 5 = 0) SELECT a, b, 'sold' AS relation FROM e WHERE a IN (SELECT id FROM f) AND b IN (SELECT id FROM n WHERE n <= 3)""")
+def relationship_leads(spark, sf_dir):
+    lines, suppliers = adapt.read(spark, sf_dir, "lineitem"), adapt.read(spark, sf_dir, "supplier")
+    edges = lines.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("a"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("b"), F.lit("sold").alias("relation")).distinct()
+    return findings.relationship_leads(edges, suppliers.where("s_suppkey % 5 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id")))  # what this case has flagged
+
+
+# --- small reads ---------------------------------------------------------------------------
+
+
+@_events_query("stack_field", """, r AS (SELECT 'C:\\p' || id % 40 || CASE WHEN id % 2 = 0 THEN '.EXE' ELSE '.exe' END AS v, 'h' || "user" % 7 AS h, ts FROM e), g AS (SELECT lower(v) AS k, min(v) AS value, count(*) AS n, count(DISTINCT h) AS hosts, min(ts) AS first, max(ts) AS last FROM r GROUP BY 1) SELECT value, n, hosts, first, last FROM g ORDER BY hosts, n, k LIMIT 500""")
+def _(df, ctx):
+    rows = df.select("ts", F.concat(F.lit("C:\\p"), F.col("id") % 40, F.when(F.col("id") % 2 == 0, ".EXE").otherwise(".exe")).alias("image"), F.concat(F.lit("H"), F.col("user") % 7, F.lit(".corp.test")).alias("computer"))
+    return reads.stack_field(rows, Context.of(rows, "events"), "image").drop("host_names")
+
+
+@query(f"WITH e AS ({_EVENTS}) SELECT id, ts FROM e WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def pinned_rows(spark, sf_dir):
+    ids = adapt.read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return reads.pinned(adapt.events(spark, sf_dir), ids).select("id", "ts")
+
+
+@query(r"SELECT m AS match, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[0-9]{3,}')) AS m FROM documents) GROUP BY 1 ORDER BY n DESC, match LIMIT 20")
+def regex_sample(spark, sf_dir):
+    return reads.regex_sample(adapt.read(spark, sf_dir, "documents"), F.col("text"), "[0-9]{3,}")
+
+
+@_events_query("record_selectors", """SELECT CAST(CASE WHEN eventType = 'error' THEN 4625 ELSE 4624 END AS INTEGER) AS "eventId", eventType AS channel, count(*) AS n FROM e GROUP BY 1, 2""")
+def _(df, ctx):
+    return reads.selectors(df.select(F.when(F.col("eventType") == "error", 4625).otherwise(4624).alias("eventId"), F.upper("eventType").alias("channel")))
+
+
+@_events_query("compacted_records", """SELECT "user", eventType, count(*) AS n, min(id) AS first_id FROM e GROUP BY 1, 2""")
+def _(df, ctx):
+    return reads.compacted(df, ["user", "eventType"])
+
+
+@_events_query("nearest_first", """, t AS (SELECT DISTINCT ts AS flagged FROM e WHERE eventType = 'signup' AND value > 90), d AS (SELECT id, ts, eventType, (SELECT min(abs(flagged - e.ts)) FROM t) AS away FROM e) SELECT id, away FROM d ORDER BY eventType = 'error' DESC, away, ts, id LIMIT 100""")
+def _(df, ctx):
+    times = df.where("eventType = 'signup' and value > 90").select(F.col("ts").alias("at"))
+    return reads.nearest_first(df, times, "ts", F.col("eventType") == "error", 100).select("id", "away")
+
+
+@query("WITH o AS (SELECT DISTINCT o_custkey AS k, o_orderkey AS r FROM orders), n AS (SELECT *, r - row_number() OVER (PARTITION BY k ORDER BY r) AS g FROM o) SELECT k AS o_custkey, min(r) AS \"from\", max(r) AS \"to\", count(*) AS n FROM n GROUP BY k, g")
+def record_coverage(spark, sf_dir):
+    return sequences.record_runs(adapt.read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey")
+
+
+@query(f"WITH o AS ({_O}), h AS (SELECT *, row_number() OVER (PARTITION BY addr ORDER BY date, id) - 1 AS p, id % 3 = 0 AS sol, spf = 'F' AS reg, CASE WHEN id % 2 = 0 THEN subject END AS camp FROM o), c AS (SELECT camp, count(*) AS n FROM h WHERE camp IS NOT NULL GROUP BY 1) SELECT count(*) AS mails, count(*) FILTER (p = 0) AS new_senders, count(*) FILTER (p = 0 AND NOT sol) AS unsolicited_new, count(*) FILTER (reg) AS regressions, (SELECT count(*) FROM c) AS campaigns, (SELECT max(n) FROM c) AS largest FROM h")
+def enrichment_summary(spark, sf_dir):
+    mails = baseline.sender_history(adapt.mails(spark, sf_dir), "fromAddr", "date")
+    return baseline.enrichment_summary(mails.select("id", "prevalence", (F.col("id") % 3 == 0).alias("solicited"), (F.col("spf") == "F").alias("regression"), F.when(F.col("id") % 2 == 0, F.col("subject")).alias("campaign")))
+
+
+_FLAGS = ["spf_fail", "dkim_fail", "lexicon_pay", "url_short", "hidden_text", "att_macro", "urgent", "nothing"]
+
+
+@query(f"WITH m AS (SELECT o_orderkey AS id, unnest([f FOR f, i IN {_FLAGS} IF (o_orderkey // (i + 1)) % 3 = 0]) AS f FROM orders), w AS (SELECT * FROM (VALUES ('spf_fail', 20), ('dkim_fail', 15), ('lexicon_pay', 12), ('url_short', 8), ('hidden_text', 25), ('att_macro', 60), ('urgent', 5)) v(f, n)) SELECT id, CASE WHEN starts_with(f, 'spf_') OR starts_with(f, 'dkim_') THEN 'authentication' WHEN starts_with(f, 'lexicon_') THEN 'wording' WHEN starts_with(f, 'url_') THEN 'links' WHEN f = 'hidden_text' THEN 'content' ELSE 'context' END AS family, max(n) AS points FROM m JOIN w USING (f) WHERE NOT starts_with(f, 'att_') GROUP BY 1, 2")
+def score_groups(spark, sf_dir):
+    k = F.col("o_orderkey")
+    flags = F.array_compact(F.array(*[F.when(F.floor(k / (i + 1)) % 3 == 0, F.lit(f)) for i, f in enumerate(_FLAGS, 1)]))
+    weights = spark.createDataFrame([("spf_fail", 20), ("dkim_fail", 15), ("lexicon_pay", 12), ("url_short", 8), ("hidden_text", 25), ("att_macro", 60), ("urgent", 5)], "flag string, weight int")
+    return baseline.score_groups(adapt.read(spark, sf_dir, "orders").select(k.alias("id"), flags.alias("flags")), weights)
+
+
+@query("WITH s AS (SELECT s_suppkey * 100000 AS lo, s_suppkey * 100000 + 70000 AS hi, s_name AS place FROM supplier), v AS (SELECT o_orderkey, (o_orderkey * 7919) % 12000000 AS ip FROM orders) SELECT o_orderkey, place FROM v LEFT JOIN s ON ip BETWEEN lo AND hi")
+def address_places(spark, sf_dir):
+    ranges = adapt.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 100_000).alias("lo"), (F.col("s_suppkey") * 100_000 + 70_000).alias("hi"), F.col("s_name").alias("place"))
+    rows = adapt.read(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7919) % 12_000_000).alias("ip"))
+    return joins.in_ranges(rows, "ip", ranges, "lo", "hi", ["place"]).select("o_orderkey", "place")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '%%4416 %%9 %%4417' || chr(10) || 'Read Write' WHEN 1 THEN '%%9' ELSE 'plain' END AS access FROM orders")
+def access_names(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    raw = F.when(k == 0, "%%4416 %%9 %%4417").when(k == 1, "%%9").otherwise("plain")
+    return adapt.read(spark, sf_dir, "orders").select("o_orderkey", V.named_codes(raw, {"4416": "Read", "4417": "Write"}).alias("access"))
+
+
+@query("SELECT 'a' AS list UNION ALL SELECT 'c'")
+def empty_settings(spark, sf_dir):
+    case = Case({"events": adapt.events(spark, sf_dir)}, Settings(lists={"b": ["x"]}))
+    found = rules.empty_settings({"user|in_setting": "a", "all_of": [{"user|in_setting": "b"}, {"eventType|in_setting": "c"}], "any_of": [{"user|in_setting": "d"}], "not": {"user|in_setting": "e"}}, case)
+    return spark.createDataFrame([(x,) for x in found], "list string")

@@ -164,3 +164,14 @@ def risk_score(points: Column) -> Column:
     by_size = F.sort_array(F.coalesce(points, F.array().cast("array<int>")), asc=False)
     rest = F.aggregate(F.slice(by_size, 2, 7), F.lit(0).cast("long"), lambda a, w: a + F.floor(F.least(w, F.lit(30)) / 4))
     return F.least(F.lit(100), F.coalesce(F.get(by_size, F.lit(0)), F.lit(0)) + rest)
+
+
+def named_codes(c: Column, names: dict[str, str]) -> Column:
+    """A list of codes like %%4416 with the names of those known in a line below."""
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    found = F.array_compact(F.transform(F.regexp_extract_all(c, F.lit("%%([0-9]+)"), F.lit(1)), lambda x: known[x]))
+    return F.when(_filled(found), F.concat(c, F.lit("\n"), F.array_join(found, " "))).otherwise(c)
+
+
+def _filled(c: Column) -> Column:
+    return truth(F.size(c) > 0)

@@ -111,3 +111,17 @@ def contained(sets: DataFrame, holders: DataFrame, set_key: str, holder_key: str
 
 def overlapping(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return (a_start <= b_end) & (b_start <= a_end)
+
+
+def in_ranges(df: DataFrame, value: str, ranges: DataFrame, low: str, high: str, take: list[str]) -> DataFrame:
+    """``df`` with the columns of the range that holds its value, of ranges that don't overlap.
+
+    Values and ranges are cut by their upper bits, a range once for each cut it touches, and
+    within a cut the last range that begins at or before the value is carried along.
+    """
+    bits = 16
+    cut = lambda c: F.shiftright(c.cast("long"), bits)
+    spread = ranges.select(F.explode(F.sequence(cut(F.col(low)), cut(F.col(high)))).alias("_cut"), F.col(low).cast("long").alias("_low"), F.col(high).cast("long").alias("_high"), *take)
+    found = asof(df.withColumn("_cut", cut(F.col(value))).withColumn("_v", F.col(value).cast("long")), spread, ["_cut"], "_v", "_low", ["_high", *take])
+    inside = F.col("_v") <= F.col("r__high")
+    return found.select(*df.columns, *[F.when(inside, F.col(f"r_{c}")).alias(c) for c in take])

@@ -82,6 +82,51 @@ def stack(df: DataFrame, value: Column, host: Column, ts: Column, order: str = "
     return out.orderBy(*by).limit(limit).select("value", "n", "hosts", "host_names", "first", "last")
 
 
+# Fields whose values are stacked, and those that keep their case.
+STACK_FIELDS = (
+    "image", "parentImage", "processName", "parentProcessName", "commandLine", "parentCommandLine", "path", "serviceName", "serviceFile", "taskName",
+    "objectName", "targetFilename", "imageLoaded", "subjectUser", "targetUser", "workstation", "ipAddress", "destinationIp", "query", "providerEventId",
+)
+STACK_CASED = ("commandLine", "parentCommandLine")
+
+
+def stack_field(df: DataFrame, ctx: Context, field: str, order: str = "rare", limit: int = 500) -> DataFrame:
+    """``stack`` of one of the fields meant for it, by short host name."""
+    if field not in STACK_FIELDS:
+        raise ValueError(f"{field!r} is not stacked")
+    return stack(df, resolve(field, ctx)[0].cast("string"), short_host(F.col("computer")), F.col(TIME.get(ctx.source, "ts")), order, limit, field in STACK_CASED)
+
+
+def pinned(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the given ids (id)."""
+    return df.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def regex_sample(df: DataFrame, text: Column, pattern: str, limit: int = 20) -> DataFrame:
+    """(match, n): what a pattern finds, most frequent first."""
+    return df.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("match")).groupBy("match").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "match").limit(limit)
+
+
+def selectors(df: DataFrame) -> DataFrame:
+    """(eventId, channel, n): which records a case has, for telling what rules can apply."""
+    return df.groupBy("eventId", F.lower("channel").alias("channel")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def compacted(df: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """Each combination of values once, with how often it occurs and its least id."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id"))
+
+
+def nearest_first(df: DataFrame, times: DataFrame, ts: str, weighty: Column, limit: int) -> DataFrame:
+    """At most ``limit`` rows: weighty ones first, then those nearest to any of the ``times`` (at), then by time and id."""
+    from .joins import nearest
+
+    marks = times.select(F.lit(0).alias("_k"), F.col("at").alias("_at")).distinct()
+    near = nearest(df.withColumn("_k", F.pmod(F.xxhash64("id"), F.lit(64))), marks.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("_k", F.col("_k").cast("long")), ["_k"], ts, "_at", [])
+    away = F.abs(F.col("n__at") - F.col(ts))
+    return near.withColumn("away", away).orderBy(V.truth(weighty).desc(), F.col("away").asc_nulls_last(), ts, "id").limit(limit).drop("_k", "n__at")
+
+
 def timeline(df: DataFrame, ctx: Context, bucket: str = "hour", f: dict | None = None) -> DataFrame:
     """(bucket, n): rows by the start of their stretch of time; an unknown size counts by the hour."""
     size = BUCKETS.get(bucket, BUCKETS["hour"])

@@ -79,6 +79,13 @@ def record_holes(df: DataFrame, by: list[str], record: str) -> DataFrame:
     return df.select(*by, F.col(record).alias("after"), F.lead(record).over(w).alias("before")).where(F.col("before") - F.col("after") > 1).withColumn("missing", F.col("before") - F.col("after") - 1)
 
 
+def record_runs(df: DataFrame, by: list[str], record: str) -> DataFrame:
+    """(by, from, to, n): stretches of record numbers without a gap; repeated numbers count once."""
+    w = W.partitionBy(*by).orderBy(record)
+    rows = df.where(F.col(record).isNotNull()).select(*by, record).distinct().withColumn("_run", F.col(record) - F.row_number().over(w))
+    return rows.groupBy(*by, "_run").agg(F.min(record).alias("from"), F.max(record).alias("to"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
 def backward_steps(df: DataFrame, by: list[str], record: str, ts: str, least: int = 1000) -> DataFrame:
     """Where time runs back from one record to the next: (by, record, step)."""
     w = W.partitionBy(*by).orderBy(record)

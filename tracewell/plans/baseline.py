@@ -91,3 +91,22 @@ def verdicts(df: DataFrame, key: str, verdict: str) -> DataFrame:
     ranked = df.withColumn("_rank", F.greatest(rank, F.lit(1)))
     out = ranked.groupBy(key).agg(F.max("_rank").alias("_worst"), F.count(F.lit(1)).alias("n"), F.sum((F.col("_rank") == 4).cast("long")).alias("malicious"), F.sum((F.col("_rank") == 3).cast("long")).alias("suspicious"))
     return out.select(key, F.element_at(order, F.col("_worst")).alias("worst"), "n", "malicious", "suspicious")
+
+
+def enrichment_summary(mails: DataFrame) -> DataFrame:
+    """One row: mails, new senders, unsolicited new ones, regressions, campaigns and the largest (id, prevalence, solicited, regression, campaign)."""
+    size = mails.where("campaign is not null").groupBy("campaign").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("campaigns"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    new = F.col("prevalence") == "new"
+    sums = mails.agg(F.count(F.lit(1)).alias("mails"), F.count(F.when(new, 1)).alias("new_senders"), F.count(F.when(new & (F.col("solicited") == F.lit(False)), 1)).alias("unsolicited_new"), F.count(F.when(F.col("regression"), 1)).alias("regressions"))
+    return sums.join(F.broadcast(size))  # one row each
+
+
+# Families of flags that count once, by how their names begin.
+FAMILIES = {"authentication": ("spf_", "dkim_", "dmarc_", "compauth_", "returnpath_"), "identity": ("sender_", "replyto_", "display_name_", "mixed_script_display", "internal_spoof"), "wording": ("lexicon_",), "links": ("url_",), "content": ("bec_pattern", "credential_phishing_pattern", "html_form_password", "html_form_external", "hidden_text", "bidi_override")}
+
+
+def score_groups(mails: DataFrame, weights: DataFrame) -> DataFrame:
+    """(id, family, points): the weightiest flag of each family; attachments are scored elsewhere, flags without a weight don't count."""
+    family = F.coalesce(*[F.when(V.any_of([F.col("flag").startswith(p) for p in ps]), name) for name, ps in FAMILIES.items()], F.lit("context"))
+    rows = mails.select("id", F.explode(F.array_distinct("flags")).alias("flag")).where("not startswith(flag, 'att_')").join(weights.select("flag", "weight"), "flag")
+    return rows.groupBy("id", family.alias("family")).agg(F.max("weight").alias("points"))

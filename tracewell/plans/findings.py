@@ -131,3 +131,26 @@ def expectations(files: DataFrame, expected: DataFrame) -> DataFrame:
     kinds = files.where("category is not null").select(F.lower("category").alias("_kind")).distinct()
     out = expected.join(named, F.lower("name") == F.col("_name"), "left").join(kinds, F.lower("category") == F.col("_kind"), "left")
     return out.withColumn("found", F.when(F.col("_name").isNotNull(), "name").when(F.col("_kind").isNotNull(), "category").otherwise("missing")).drop("_name", "_kind")
+
+
+def cited_rows_that_fail(findings: DataFrame, rows: DataFrame, holds: Column) -> DataFrame:
+    """(key, cited, missing, failing): of the rows that a finding cites, how many are not there and how many its condition doesn't hold for."""
+    cited = findings.select("key", F.explode_outer("refs").alias("ref")).distinct()
+    judged = rows.select(F.col("id").alias("ref"), V.truth(holds).alias("ok"))
+    return cited.join(judged, "ref", "left").groupBy("key").agg(F.count("ref").alias("cited"), F.count(F.when(F.col("ref").isNotNull() & F.col("ok").isNull(), 1)).alias("missing"), F.count(F.when(~F.col("ok"), 1)).alias("failing"))
+
+
+def anchors(findings: DataFrame, rows: DataFrame, record: str = "recordKey") -> DataFrame:
+    """(key, anchor): a hash of the record keys that a finding cites, the same after another import."""
+    cited = findings.select("key", F.explode("refs").alias("id")).join(rows.select("id", F.col(record).alias("_r")), "id").where("_r is not null")
+    return cited.groupBy("key").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("_r")), "\n"), 256).alias("anchor"))
+
+
+def relationship_leads(edges: DataFrame, flagged: DataFrame, most: int = 3) -> DataFrame:
+    """(a, b, relation): relations of a flagged node (id) with one that isn't, where that node has few relations."""
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    known = flagged.select(F.col("id").alias("_f")).distinct()
+    quiet = ends.where(F.col("n") <= most).join(known, F.col("id") == F.col("_f"), "left_anti").select("id")
+    out = edges.join(known, F.col("a") == F.col("_f"), "left_semi").join(quiet, F.col("b") == F.col("id"), "left_semi")
+    into = edges.join(known, F.col("b") == F.col("_f"), "left_semi").join(quiet, F.col("a") == F.col("id"), "left_semi")
+    return out.unionByName(into).select("a", "b", "relation").distinct()

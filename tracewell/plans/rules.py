@@ -314,6 +314,18 @@ def applicable(rule: dict, present: set) -> bool:
     return own is None or bool({str(x) for x in own} & {str(x) for x in present})
 
 
+def empty_settings(cond: dict | None, case: Case) -> list[str]:
+    """Lists that a tree can't hold without and that have nothing in them."""
+    out: list[str] = []
+    for key, value in (cond or {}).items():
+        if key.startswith("all_of"):
+            for v in value if isinstance(value, list) else [value]:
+                out += empty_settings(v, case)
+        elif key.endswith("|in_setting") and not case.settings.values(str(value)):
+            out.append(str(value))
+    return list(dict.fromkeys(out))
+
+
 def run_rules(rules: list[dict], case: Case) -> DataFrame:
     """The findings of all rules, found in one pass over each table."""
     from .rule_set import run_set
