@@ -154,7 +154,13 @@ def test_chains_and_campaigns(spark):
     mails = spark.createDataFrame([(1, 1000, 90, ["ann@corp.test"]), (2, 2000, 10, ["bob@corp.test"])], "id long, date long, risk int, toList array<string>")
     events = spark.createDataFrame([(5, "Ann@Corp.test", 5000, "rule", 3), (6, "ann@else.test", 5000, "rule", 3), (7, "bob@corp.test", 5000, "rule", 3)], "id long, upn string, ts long, kind string, weight int")
     (c,) = correlate.chains(mails, events).collect()
-    assert (c.mail, c.identity, c.steps, c.score) == (1, "ann", 1, 38)
+    assert (c.mail, c.identity, c.steps, c.score, c.severity) == (1, "ann", 1, 37, "medium")  # 27 for the message, 10 for the step
+    findings = spark.createDataFrame([([5], "high"), ([9], "critical")], "refs array<long>, severity string")
+    links = spark.createDataFrame([(1, 5, 2)], "mail long, step long, n int")
+    (c,) = correlate.chains(mails, events, findings).collect()
+    assert c.score == 45
+    (c,) = correlate.chains(mails, events.withColumn("source", F.lit("x")), findings, links, spark.createDataFrame([(1, "critical")], "mail long, severity string")).collect()
+    assert (c.score, c.severity) == (27 + 15 + 10 + 15, "high")
     arts = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "y"), ("e", "z")], "story string, artifact string")
     got = {r.story: r.campaign for r in correlate.story_campaigns(arts).collect()}
     assert got == {"a": "a", "b": "a", "c": "c", "d": "c"}

@@ -1028,3 +1028,18 @@ def empty_settings(spark, sf_dir):
     case = Case({"events": adapt.events(spark, sf_dir)}, Settings(lists={"b": ["x"]}))
     found = rules.empty_settings({"user|in_setting": "a", "all_of": [{"user|in_setting": "b"}, {"eventType|in_setting": "c"}], "any_of": [{"user|in_setting": "d"}], "not": {"user|in_setting": "e"}}, case)
     return spark.createDataFrame([(x,) for x in found], "list string")
+
+
+@query(f"""WITH e AS ({_EVENTS}), {_STEPS}, g AS (SELECT mail, CAST(who % 300 AS VARCHAR) AS identity, kind, step, ts % 2000000000 AS ts, value_ AS weight, step % 5 AS src, CASE WHEN step % 7 = 0 THEN 4 END AS found, CASE WHEN step % 4 = 0 THEN 2 ELSE 0 END AS links FROM (SELECT c.*, CAST(step % 4 AS INTEGER) AS value_ FROM c)),
+k AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY mail, identity, kind ORDER BY ts, step) > 600000 THEN 1 ELSE 0 END AS cut FROM g), n AS (SELECT *, sum(cut) OVER (PARTITION BY mail, identity, kind ORDER BY ts, step ROWS UNBOUNDED PRECEDING) AS k FROM k),
+f AS (SELECT mail, identity, kind, min(ts) AS a, max(ts) AS b, max(weight) AS w, sum(links) AS links, max(found) AS found, min(src) AS src FROM n GROUP BY mail, identity, kind, k),
+b AS (SELECT mail, identity, min(a) AS start, max(b) AS "end", count(*) AS steps, max(w) AS heaviest, count(DISTINCT src) AS sources, max(found) AS found, count(*) FILTER (links > 0) AS ls, sum(links) AS links, sum(CASE WHEN w <= 1 AND links = 0 AND found IS NULL THEN 0 ELSE least(w, 6) END) + least(count(*) FILTER (w <= 1 AND links = 0 AND found IS NULL), 3) AS weight FROM f GROUP BY mail, identity HAVING sum(w) > 0),
+z AS (SELECT b.*, s.at % 2000000000 AS mailed, CAST(least(18 + least(30, 12 * ls + 3 * greatest(0, links - ls)) + least(20, round_even(5 * log2(1 + weight), 0)) + least(15, 2 * coalesce(found, 0)) + CASE WHEN sources > 1 THEN 5 ELSE 0 END, CASE WHEN links > 0 THEN 100 WHEN found IS NOT NULL OR heaviest >= 3 THEN 79 ELSE 54 END) AS INTEGER) AS score FROM b JOIN s ON s.mail = b.mail)
+SELECT mail, identity, start, "end", steps, score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 55 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS severity FROM z x WHERE NOT EXISTS (SELECT 1 FROM z y WHERE y.identity = x.identity AND abs(y.mailed - x.mailed) <= 86400000 AND (y.score > x.score OR (y.score = x.score AND (y.mailed < x.mailed OR (y.mailed = x.mailed AND y.mail < x.mail)))))""")
+def attack_chains(spark, sf_dir):
+    """Messages, what their recipients did, findings on the steps and artifacts of the message in them."""
+    seeds, acts = _chain_parts(spark, sf_dir)
+    acts = acts.withColumn("weight", (F.col("id") % 4).cast("int")).withColumn("source", F.col("id") % 5)
+    found = acts.where("id % 7 = 0").select(F.array("id").alias("refs"), F.lit("high").alias("severity"))
+    links = correlate.chain_steps(seeds, acts).where("step % 4 = 0").select("mail", "step", F.lit(2).alias("n"))
+    return correlate.chains(seeds, acts, found, links)

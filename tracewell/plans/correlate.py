@@ -132,37 +132,60 @@ def chain_steps(mails: DataFrame, events: DataFrame, before: int = 5 * MINUTE, a
     return near.where(realm_matches(F.col("realm"), F.col("r_realm"))).select("mail", "identity", F.col("r_step").alias("step"), F.col("r_ts").alias("ts"), F.col("r_kind").alias("kind"), F.col("r_weight").alias("weight"))
 
 
-def folded_steps(steps: DataFrame, gap: int = 10 * MINUTE) -> DataFrame:
+def folded_steps(steps: DataFrame, gap: int = 10 * MINUTE, more: list[Column] | None = None) -> DataFrame:
     """Steps of one kind no more than ten minutes apart as one: (mail, identity, kind, start, end, n, weight)."""
     keys = ["mail", "identity", "kind"]
-    return sequences.gap_sessions(steps.withColumn("id", F.col("step")), keys, "ts", gap).groupBy(*keys, "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")).drop("session")
+    return sequences.gap_sessions(steps.withColumn("id", F.col("step")), keys, "ts", gap).groupBy(*keys, "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"), *(more or [])).drop("session")
 
 
-def chain_score(seed: Column, links: Column, weight: Column, found: Column, sources: Column) -> Column:
-    """0 to 100: up to 30 for the seed, 30 for links, 20 for steps, 15 for findings, 5 for sources; 79 at most without links, 54 without findings too."""
-    total = F.least(seed, F.lit(30)) + F.least(links, F.lit(30)) + F.least(5 * F.log2(1 + weight), F.lit(20)) + F.least(found, F.lit(15)) + F.least(sources, F.lit(5))
-    top = F.when((links <= 0) & (found <= 0), 54).when(links <= 0, 79).otherwise(100)
-    return F.bround(F.least(total, top), 0).cast("int")
+# Points of a finding by severity, and the parts of a chain's score.
+FINDING_POINTS = {"critical": 5, "high": 4, "medium": 2, "low": 1, "info": 0}
+SEED_MOST, LINKS_MOST, STEPS_MOST, FINDINGS_MOST, SOURCES_POINTS, UNLINKED, CONTEXT_ONLY = 30, 30, 20, 15, 5, 79, 54
 
 
-def chains(mails: DataFrame, events: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """(mail, identity, start, end, steps, score): one chain for each message and recipient with a step that weighs something.
+def chain_score(risk: Column, link_steps: Column, links: Column, weight: Column, heaviest: Column, on_seed: Column, on_steps: Column, sources: Column) -> Column:
+    """0 to 100: the message's risk, steps tied to it by an artifact, the weight of the steps, the worst findings, more sources than one.
 
-    An identity keeps, of chains that begin within a day of each other, the best.
+    Without any artifact link at most 79, and at most 54 if no step has a finding (``on_steps`` null) or weighs three.
     """
-    steps = folded_steps(chain_steps(mails, events))
-    seeds = mails.select(F.col("id").alias("mail"), F.col("date").alias("mailed"), (F.col("risk") * 0.3).alias("seed"))
-    by = steps.groupBy("mail", "identity").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("steps"), F.sum("weight").alias("weight"), F.count_distinct("kind").alias("kinds")).where("weight > 0")
-    hits = findings.select(F.explode("refs").alias("ref")).distinct() if findings is not None else None
-    if hits is not None:
-        found = chain_steps(mails, events).join(hits, F.col("step") == F.col("ref"), "left_semi").groupBy("mail", "identity").agg((F.count(F.lit(1)) * 5).alias("found"))
-        by = by.join(found, ["mail", "identity"], "left")
-    else:
-        by = by.withColumn("found", F.lit(0))
-    scored = by.join(seeds, "mail").withColumn("score", chain_score(F.col("seed"), F.lit(0), F.col("weight"), F.coalesce("found", F.lit(0)), F.col("kinds")))
+    none = F.lit(0)
+    parts = [
+        F.least(F.lit(SEED_MOST), F.bround(risk * 0.3)), F.least(F.lit(LINKS_MOST), 12 * link_steps + 3 * F.greatest(none, links - link_steps)), F.least(F.lit(STEPS_MOST), F.bround(5 * F.log2(1 + weight))),
+        F.least(F.lit(FINDINGS_MOST), 2 * F.coalesce(on_seed, none) + 2 * F.coalesce(on_steps, none)), F.when(sources > 1, SOURCES_POINTS).otherwise(0),
+    ]
+    top = F.when(links > 0, 100).when(on_steps.isNotNull() | (heaviest >= 3), UNLINKED).otherwise(CONTEXT_ONLY)
+    return F.least(sum(parts[1:], parts[0]), top).cast("int")
+
+
+def chains(mails: DataFrame, events: DataFrame, findings: DataFrame | None = None, links: DataFrame | None = None, seeds_found: DataFrame | None = None) -> DataFrame:
+    """(mail, identity, start, end, steps, score, severity): one chain for each message and recipient with a step that weighs something.
+
+    ``findings`` (refs, severity) are on the steps' rows, ``seeds_found`` (mail, severity) on the messages, ``links``
+    (mail, step, n) say how many artifacts of the message a row names; ``events`` may have a source. Steps that weigh one at most and have
+    neither are routine: together they weigh three at most. An identity keeps, of chains that begin within a day of each other, the best.
+    """
+    points = F.create_map(*[F.lit(x) for kv in FINDING_POINTS.items() for x in kv])
+    raw = chain_steps(mails, events)
+    sources = events.select(F.col("id").alias("step"), (F.col("source") if "source" in events.columns else F.lit("events")).alias("source"))
+    raw = raw.join(sources, "step", "left")
+    hits = findings.select(F.explode("refs").alias("step"), points[F.col("severity")].alias("_p")).groupBy("step").agg(F.max("_p").alias("found")) if findings is not None else None
+    raw = raw.join(hits, "step", "left") if hits is not None else raw.withColumn("found", F.lit(None).cast("int"))
+    raw = raw.join(links.select("mail", "step", F.col("n").alias("links")), ["mail", "step"], "left") if links is not None else raw.withColumn("links", F.lit(0))
+    steps = folded_steps(raw, more=[F.sum(F.coalesce("links", F.lit(0))).alias("links"), F.max("found").alias("found"), F.min("source").alias("source")])
+    routine = (F.col("weight") <= 1) & (F.col("links") == 0) & F.col("found").isNull()
+    by = steps.groupBy("mail", "identity").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("steps"), F.sum("weight").alias("_w"), F.max("weight").alias("heaviest"), F.count_distinct("source").alias("sources"), F.max("found").alias("found"),
+        F.count(F.when(F.col("links") > 0, 1)).alias("link_steps"), F.sum("links").alias("links"), (F.sum(F.when(routine, 0).otherwise(F.least("weight", F.lit(6)))) + F.least(F.count(F.when(routine, 1)), F.lit(3))).alias("weight"),
+    ).where("_w > 0")
+    seeds = mails.select(F.col("id").alias("mail"), F.col("date").alias("mailed"), "risk")
+    top = seeds_found.select("mail", points[F.col("severity")].alias("_p")).groupBy("mail").agg(F.max("_p").alias("on_seed")) if seeds_found is not None else None
+    scored = by.join(seeds, "mail")
+    scored = scored.join(top, "mail", "left") if top is not None else scored.withColumn("on_seed", F.lit(0))
+    scored = scored.withColumn("score", chain_score(F.col("risk"), F.col("link_steps"), F.col("links"), F.col("weight"), F.col("heaviest"), F.col("on_seed"), F.col("found"), F.col("sources")))
     spread = W.partitionBy("identity").orderBy("mailed").rangeBetween(-DAY, DAY)
     best = F.max(F.struct("score", -F.col("mailed"), -F.col("mail"))).over(spread)
-    return scored.withColumn("_best", best).where(F.struct("score", -F.col("mailed"), -F.col("mail")) == F.col("_best")).select("mail", "identity", "start", "end", "steps", "score")
+    severity = F.when(F.col("score") >= 80, "critical").when(F.col("score") >= 55, "high").when(F.col("score") >= 35, "medium").otherwise("low")
+    return scored.withColumn("_best", best).where(F.struct("score", -F.col("mailed"), -F.col("mail")) == F.col("_best")).select("mail", "identity", "start", "end", "steps", "score", severity.alias("severity"))
 
 
 # --- stories -------------------------------------------------------------------------

@@ -124,15 +124,18 @@ def _groups(hits: DataFrame, meta: DataFrame) -> DataFrame:
     return out.select("rule", "g", F.lit(None).cast("long").alias("minute"), "ts", "tsEnd", "count", _entities(F.map_from_entries("first.fields"), F.col("names")).alias("entities"), F.transform("r", lambda x: x["id"]).alias("refs"), "seen", F.when(F.col("top._weight").isNotNull(), F.col("top.id")).alias("shows"))
 
 
-def _bursts(hits: DataFrame) -> DataFrame:
+def _bursts(hits: DataFrame, kinds: set[bool]) -> DataFrame:
+    """Bursts of the rules that count rows, and of those that count values, as far as there are such rules."""
     having = hits.where("needs and some").select("rule", "g").distinct()
     held = hits.where("not needs").unionByName(hits.where("needs").join(having, ["rule", "g"], "left_semi"))
     parts = []
-    for own, what in ((held.where("distinct is null"), None), (held.where("distinct is not null"), F.col("fields")[F.col("distinct")])):
+    for of_values in sorted(kinds):
+        own = held.where("distinct is not null" if of_values else "distinct is null")
+        what = F.col("fields")[F.col("distinct")] if of_values else None
         rows = own.withColumn("_all", F.map_entries("fields")).drop("some", "flags")
         found = bursts(rows, ["rule", "g"], "ts", F.col("win"), "", 0, what, ["_all", "names"], R.MOST_REFS, met=_met)
         parts.append(found.select("rule", "g", F.expr("start div 60000").alias("minute"), F.col("start").alias("ts"), F.col("end").alias("tsEnd"), "count", _entities(F.map_from_entries("_all"), F.col("names")).alias("entities"), "refs", F.array().cast("array<string>").alias("seen"), F.lit(None).cast("long").alias("shows")))
-    return parts[0].unionByName(parts[1])
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _followed(found: DataFrame, chunk: list[tuple[int, dict]], meta: DataFrame, source: str, case: Case) -> DataFrame:
@@ -187,19 +190,33 @@ def run_set(rules: list[dict], case: Case, capped: bool = True) -> DataFrame:
 def _pass(chunk: list[tuple[int, dict]], source: str, case: Case, capped: bool) -> DataFrame:
     spark = case[source].sparkSession
     ctx = filters.Context.of(case[source], source, case.settings)
-    meta = spark.createDataFrame([_row_of(i, r, ctx) for i, r in chunk], _META)  # a row a rule, at most CHUNK
+    own = [_row_of(i, r, ctx) for i, r in chunk]
+    meta = spark.createDataFrame(own, _META)  # a row a rule, at most CHUNK
+    kinds, folds = {o[1] for o in own}, any(o[1] == "row" and o[8] is not None for o in own)
     use = F.broadcast(meta.select("rule", "kind", "keys", "names", "distinct", F.col("some").alias("needs"), "cmp", "least", "after", "win", "flags_"))
-    hits = written(_hits(chunk, source, case), "hits").join(use, "rule")
-    n = hits.where("kind = 'row' and after is not null").groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))  # a row a rule
-    hits = hits.join(F.broadcast(n), "rule", "left").withColumn("many", V.truth(F.col("rows") > F.col("after")))
-    single = hits.where("kind = 'row' and not many")
-    shown = F.filter("flags_", lambda x: V.truth(F.array_contains("flags", x["flag"])))
-    by_row = single.select("rule", F.array(F.col("id").cast("string")).alias("g"), F.lit(None).cast("long").alias("minute"), "ts", F.col("ts").alias("tsEnd"), F.lit(1).cast("long").alias("count"), _entities(F.col("fields"), F.col("names")).alias("entities"), F.array("id").alias("refs"), F.transform(shown, lambda x: x["flag"]).alias("seen"), F.lit(None).cast("long").alias("shows"), F.lit(None).cast("long").alias("rows"))
-    grouped = hits.where("kind = 'group' or many").withColumn("g", F.when(F.col("many"), _values("names")).otherwise(_values("keys")))
-    named = F.col("many") | (F.size("keys") == 0) | F.exists("g", lambda v: v != "")
-    groups = _groups(grouped.where(named), meta).join(F.broadcast(n), "rule", "left")
-    rapid = _bursts(hits.where("kind = 'burst'").withColumn("g", _values("keys")).where(named)).withColumn("rows", F.lit(None).cast("long"))
-    found = by_row.unionByName(groups.withColumn("rows", F.col("rows").cast("long"))).unionByName(rapid)
+    hits = _hits(chunk, source, case)
+    hits = (written(hits, "hits") if len(kinds) > 1 or folds else hits).join(use, "rule")
+    number = lambda x: F.lit(x).cast("long")
+    parts, many = [], F.lit(False)
+    if "row" in kinds:
+        if folds:
+            n = hits.where("kind = 'row' and after is not null").groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))  # a row a rule
+            n = F.broadcast(written(n, "rows"))
+            hits = hits.join(n, "rule", "left")
+            many = V.truth(F.col("rows") > F.col("after"))
+        shown = F.filter("flags_", lambda x: V.truth(F.array_contains("flags", x["flag"])))
+        single = hits.where((F.col("kind") == "row") & ~many)
+        parts.append(single.select("rule", F.array(F.col("id").cast("string")).alias("g"), number(None).alias("minute"), "ts", F.col("ts").alias("tsEnd"), number(1).alias("count"), _entities(F.col("fields"), F.col("names")).alias("entities"), F.array("id").alias("refs"), F.transform(shown, lambda x: x["flag"]).alias("seen"), number(None).alias("shows"), number(None).alias("rows")))
+    if "group" in kinds or folds:
+        grouped = hits.withColumn("many", many).where("kind = 'group' or many").withColumn("g", F.when(F.col("many"), _values("names")).otherwise(_values("keys")))
+        groups = _groups(grouped.where(F.col("many") | (F.size("keys") == 0) | F.exists("g", lambda v: v != "")), meta)
+        parts.append(groups.join(n, "rule", "left").withColumn("rows", F.col("rows").cast("long")) if folds else groups.withColumn("rows", number(None)))
+    if "burst" in kinds:
+        rapid = hits.where("kind = 'burst'").drop("rows").withColumn("g", _values("keys")).where((F.size("keys") == 0) | F.exists("g", lambda v: v != ""))
+        parts.append(_bursts(rapid, {o[4] is not None for o in own if o[1] == "burst"}).withColumn("rows", number(None)))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
     found = found.join(F.broadcast(meta.select("rule", "id_", "severity_", "flags_", "kind", "biggest", "cap")), "rule")
     found = found.withColumn("key", F.concat_ws("|", "id_", F.array_join("g", R.SEPARATOR), F.col("minute").cast("string")))
     # Flags raise the severity in the order in which the rule names them.
