@@ -179,3 +179,18 @@ def test_files_are_told_by_their_first_bytes(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[-1]: r.kind for r in readers.inventory(spark, str(tmp_path)).collect()}
     assert got == {"a.bin": "zip", "b": "gz", "c.csv": "csv", "d.txt": "mbox", "e": "eml", "f.dat": "event-xml", "g.EML": "eml", "h": "tar", "i": None, "j": None}
     assert all(readers.container_of(n, b) == got[n] for n, b in made.items())
+
+
+def test_mailboxes_are_split(spark, tmp_path):
+    """More messages than a split holds, raw bytes and quoted lines among them."""
+    body = b"Subject: =?utf-8?q?n=C3=A4?= %d\r\nFrom: a%d@b.c\r\nContent-Type: text/plain; charset=latin-1\r\n\r\n>From here on \xe9t\xe9\r\n" + b"x" * 300 + b"\r\n"
+    (tmp_path / "big.mbox").write_bytes(b"".join(b"From a Mon Jan  1\r\n" + body % (i, i) + b"\r\n" for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = readers.mails(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 4
+        rows = df.select("fromAddr", "subject", "bodyText").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.fromAddr for r in rows) == sorted(f"a{i}@b.c" for i in range(400))
+    assert all(r.subject.startswith("n\u00e4 ") and r.bodyText.startswith("From here on \u00e9t\u00e9") for r in rows)

@@ -223,21 +223,37 @@ def _messages(name: str, raw: bytes) -> Iterator[bytes]:
 
 
 def mails(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of .eml and .mbox files, parsed in the tasks: file and the columns of MAIL."""
+    """Messages of .eml and mbox files, parsed in the tasks: file and the columns of MAIL.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, raw in zip(frame["path"], frame["content"], strict=True):
+    Files whose names end in x (.mbox, inbox) are mailboxes of any size: Spark splits them
+    and a record ends where a line begins with "From ". Other files are read whole, by
+    their first bytes a message or a mailbox.
+    """
+
+    def parsed(found: Iterator[tuple[str, bytes]]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for name, message in found:
+            rows.append({"file": name, **_message(message)})
+            if len(rows) == 500:
+                yield pd.DataFrame(rows)
                 rows = []
-                for message in _messages(name, raw):
-                    rows.append({"file": name, **_message(message)})
-                    if len(rows) == 500:
-                        yield pd.DataFrame(rows)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"file string, {MAIL}")
+        if rows:
+            yield pd.DataFrame(rows)
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from parsed((name, m) for frame in frames for name, raw in zip(frame["path"], frame["content"], strict=True) for m in _messages(name, raw))
+
+    def record(raw: bytes) -> bytes:
+        """A record of a mailbox without the rest of the line that begins it; quoted lines get their own form back."""
+        return raw.partition(b"\n")[2].replace(b"\n>From ", b"\nFrom ")
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from parsed((name, record(raw)) for frame in frames for name, raw in zip(frame["path"], frame["content"], strict=True))
+
+    out = f"file string, {MAIL}"
+    boxes = spark.read.option("pathGlobFilter", "*[xX]").text(path, lineSep="\nFrom ").select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("content")).where(F.octet_length("content") > 0)
+    others = spark.read.format("binaryFile").option("pathGlobFilter", "*[!xX]").load(path).select("path", "content")
+    return others.mapInPandas(whole, out).unionByName(boxes.mapInPandas(split, out))
 
 
 def archive_members(spark: SparkSession, path: str, most_ratio: int = 200, most_bytes: int = 1 << 30) -> DataFrame:
