@@ -720,3 +720,33 @@ def test_order_minhash_takes_ids_of_any_type(spark):
         order = sorted(zip(ids, texts, strict=True), reverse=True)
         want = {i: hashlib.sha256((t[: len(t) - len(t) // 2] + order[(x + 1) % 30][1][: len(t) // 2]).encode()).hexdigest() for x, (i, t) in enumerate(order)}
         assert {r.doc_id: r.edited_sha256 for r in rows} == want
+
+
+def test_packing_is_the_tightest_compatible_of_every_bin(docs):
+    """The whole result against a packing that looks at every open bin."""
+    capacity = 64
+    rows = packing.pack(docs, capacity=capacity, rows_a_group=20).collect()
+    groups = defaultdict(lambda: defaultdict(list))
+    for r in rows:
+        groups[r.grp][r.row].append(r)
+    assert len({r.row for r in rows}) == docs.count() and len(groups) > 2
+    for items in groups.values():
+        bins = []  # left, sources, clusters
+        for pieces in sorted(items.values(), key=lambda ps: (-sum(p.words for p in ps), ps[0].row)):
+            length, source, cluster = sum(p.words for p in pieces), pieces[0].source, pieces[0].cluster
+            want = []
+            for _ in range(length // capacity):
+                want.append((len(bins), 0, capacity))
+                bins.append([0, {source}, {cluster}])
+            rest = length % capacity
+            if rest or not want:
+                fits = [(b[0], x) for x, b in enumerate(bins) if b[0] >= rest and b[0] > 0 and source not in b[1] - {None} and cluster not in b[2]]
+                if not fits:
+                    bins.append([capacity, set(), set()])
+                    fits = [(capacity, len(bins) - 1)]
+                _, x = min(fits)
+                want.append((x, capacity - bins[x][0], rest))
+                bins[x][0] -= rest
+                bins[x][1].add(source)
+                bins[x][2].add(cluster)
+            assert [(p.bin, p.offset, p.words) for p in sorted(pieces, key=lambda p: p.piece)] == want

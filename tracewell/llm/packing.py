@@ -71,13 +71,14 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
 
 
 def _pack(capacity: int):
-    columns = ["row", "doc_id", "grp", "piece", "bin", "offset", "words"]
+    columns = ["row", "doc_id", "source", "cluster", "grp", "piece", "bin", "offset", "words"]
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["words", "row"], ascending=[False, True], kind="stable")
         value = lambda c: [None if pd.isna(x) else x for x in group[c]]
-        found = best_fit(group["words"].tolist(), value("source"), value("cluster"), capacity)
-        rows = [(r, d, g, i, b, o, n) for r, d, g, pieces in zip(group["row"], group["doc_id"], group["grp"], found, strict=True) for i, (b, o, n) in enumerate(pieces)]
+        sources, clusters = value("source"), value("cluster")
+        found = best_fit(group["words"].tolist(), sources, clusters, capacity)
+        rows = [(r, d, s, c, g, i, b, o, n) for r, d, s, c, g, pieces in zip(group["row"], group["doc_id"], sources, clusters, group["grp"], found, strict=True) for i, (b, o, n) in enumerate(pieces)]
         return pd.DataFrame(rows, columns=columns)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,17 +99,17 @@ def _pack(capacity: int):
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, rows_a_group: int = ROWS_A_GROUP, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, words, grp, bin, offset.
+    """One row for each piece: doc_id, piece, start, words, grp, bin, offset, source, cluster, row (a number that no other row has).
 
     A document's piece ``piece`` is its words from ``start`` on, put into the bin
     (``grp``, ``bin``) at ``offset``. No bin holds more than ``capacity`` words, two
     pieces of one source, or two of one duplicate cluster: the column
-    ``cluster_col``, or else equal texts. A null source
+    ``cluster_col``, or else texts equal but for the case of A-Z. A null source
     conflicts with nothing; null and empty texts and texts without words give one
     piece of no words. Repeated rows are rows of their own, in conflict with each
     other. An empty table gives no rows; other columns are not read.
     """
-    cluster = F.col(cluster_col).cast("string") if cluster_col else F.md5(whole(text_col))
+    cluster = F.col(cluster_col).cast("string") if cluster_col else F.md5(F.translate(whole(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("words"), F.monotonically_increasing_id().alias("row"),
@@ -120,5 +121,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, rows_a_group: int = ROWS_A_G
     grouped = sized.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "cluster", "row"), F.lit(groups)))
     id_type = sized.schema["doc_id"].dataType.simpleString()
     dealt = grouped.repartition("grp").sortWithinPartitions("grp")
-    placed = dealt.select("row", "doc_id", "grp", "source", "cluster", "words").mapInPandas(_pack(capacity), f"row long, doc_id {id_type}, grp long, piece int, bin int, offset long, words long")
-    return placed.select("doc_id", "piece", (F.col("piece") * F.lit(capacity)).cast("long").alias("start"), "words", "grp", "bin", "offset")
+    placed = dealt.select("row", "doc_id", "grp", "source", "cluster", "words").mapInPandas(_pack(capacity), f"row long, doc_id {id_type}, source string, cluster string, grp long, piece int, bin int, offset long, words long")
+    return placed.select("doc_id", "piece", (F.col("piece") * F.lit(capacity)).cast("long").alias("start"), "words", "grp", "bin", "offset", "source", "cluster", "row")
