@@ -849,16 +849,16 @@ def _(df, ctx):
     return lineage.services_after_shares(_kind(df, "error", (F.col("user") % 7).alias("host")), hops)
 
 
-@_events_query("snapshot_process", """, s AS (SELECT "user" AS u, eventType AS t, min(value) AS p FROM e WHERE id % 2 = 0 GROUP BY 1, 2 HAVING count(DISTINCT value) = 1) SELECT e.id AS id, s.p AS process FROM e LEFT JOIN s ON e."user" = s.u AND e.eventType = s.t""")
+@_events_query("snapshot_process", """, s AS (SELECT "user" AS u, eventType AS t, min(value) AS p FROM e WHERE value > 50 GROUP BY 1, 2 HAVING count(DISTINCT value) = 1) SELECT e.id AS id, s.p AS process FROM e LEFT JOIN s ON e."user" = s.u AND e.eventType = s.t""")
 def _(df, ctx):
-    snapshot = df.where("id % 2 = 0").select("user", "eventType", F.col("value").alias("process"))
+    snapshot = df.where("value > 50").select("user", "eventType", F.col("value").alias("process"))
     return lineage.sole_process(df.select("id", "user", "eventType"), snapshot, ["user", "eventType"], "process").select("id", "process")
 
 
-@_events_query("engine_findings", """, r AS (SELECT id, 'h' || "user" % 7 AS computer, eventType AS channel, id // 7 AS rec FROM e), f AS (SELECT 'k' || id % 50 AS key, computer, channel, rec FROM r WHERE id % 11 = 0 UNION ALL SELECT 'none', 'h1', 'x', 5) SELECT f.key AS key, count(DISTINCT r.id) AS n, min(r.id) AS first FROM f LEFT JOIN r ON f.computer = r.computer AND f.channel = r.channel AND f.rec = r.rec GROUP BY 1""")
+@_events_query("engine_findings", """, r AS (SELECT id, 'h' || "user" % 7 AS computer, eventType AS channel, id // 7 AS rec FROM e), f AS (SELECT 'k' || id % 50 AS key, computer, channel, rec FROM r WHERE channel = 'error' UNION ALL SELECT 'none', 'h1', 'x', 5) SELECT f.key AS key, count(DISTINCT r.id) AS n, min(r.id) AS first FROM f LEFT JOIN r ON f.computer = r.computer AND f.channel = r.channel AND f.rec = r.rec GROUP BY 1""")
 def _(df, ctx):
     rows = df.select("id", F.concat(F.lit("h"), F.col("user") % 7).alias("computer"), F.col("eventType").alias("channel"), F.expr("id div 7").alias("recordId"))
-    found = rows.where("id % 11 = 0").select(F.concat(F.lit("k"), F.col("id") % 50).alias("key"), "computer", "channel", "recordId")
+    found = rows.where("channel = 'error'").select(F.concat(F.lit("k"), F.col("id") % 50).alias("key"), "computer", "channel", "recordId")
     found = found.unionByName(df.sparkSession.createDataFrame([("none", "h1", "x", 5)], "key string, computer string, channel string, recordId long"))
     return lineage.rows_of_findings(found, rows).select("key", F.size("refs").cast("long").alias("n"), F.get("refs", F.lit(0)).alias("first"))
 
@@ -868,13 +868,13 @@ def _(df, ctx):
     return lineage.host_coverage(df.withColumn("computer", F.concat(F.lit("H"), F.col("user") % 7)), "computer", {"logons": F.col("eventType") == "error", "processes": F.col("value") > 50})
 
 
-_MAIL = "m AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS ts, CAST(o_custkey % 50 AS VARCHAR) AS a, CAST(o_orderkey % 50 AS VARCHAR) AS b, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_orderkey // 2 AS VARCHAR) END AS thread FROM orders)"
+_MAIL = "m AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS ts, CAST(o_custkey % 700 AS VARCHAR) AS a, CAST(o_orderkey % 700 AS VARCHAR) AS b, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_orderkey // 2 AS VARCHAR) END AS thread FROM orders)"
 
 
-@query(f"WITH {_MAIL} SELECT DISTINCT s.id AS seed, r.id AS reply FROM m s JOIN m r ON r.a = s.b AND r.id <> s.id AND r.ts - s.ts BETWEEN 0 AND 86400000 * 20 AND (r.b = s.a OR r.thread = CAST(s.id AS VARCHAR)) WHERE s.id % 10 = 1")
+@query(f"WITH {_MAIL} SELECT DISTINCT s.id AS seed, r.id AS reply FROM m s JOIN m r ON r.a = s.b AND r.id <> s.id AND r.ts - s.ts BETWEEN 0 AND 86400000 * 20 AND (r.b = s.a OR r.thread = CAST(s.id AS VARCHAR))")
 def chain_replies(spark, sf_dir):
-    o = adapt.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), adapt.millis("o_orderdate").alias("ts"), (F.col("o_custkey") % 50).cast("string").alias("sender"), (F.col("o_orderkey") % 50).cast("string").alias("recipient"))
-    seeds = o.where("id % 10 = 1").withColumn("messageId", F.col("id").cast("string"))  # the risky messages of this case
+    o = adapt.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), adapt.millis("o_orderdate").alias("ts"), (F.col("o_custkey") % 700).cast("string").alias("sender"), (F.col("o_orderkey") % 700).cast("string").alias("recipient"))
+    seeds = o.withColumn("messageId", F.col("id").cast("string"))
     mails = o.select("id", "ts", "sender", F.array("recipient").alias("toList"), F.when(F.col("id") % 6 == 0, F.expr("cast(id div 2 as string)")).alias("inReplyTo"))
     return lineage.replies(seeds, mails, 20 * 24 * H)
 
@@ -931,10 +931,10 @@ def resolved_users(spark, sf_dir):
     return lineage.resolved_users(adapt.read(spark, sf_dir, "customer").select(form.alias("form")), ["corp.test"])
 
 
-@_events_query("claim_checks", """, f AS (SELECT 'u' || "user" AS key, id AS ref FROM e WHERE value > 50 UNION ALL SELECT 'u' || "user", -id FROM e WHERE id % 5 = 0 AND id > 0) SELECT key, count(*) AS cited, count(*) FILTER (e.id IS NULL) AS missing, count(*) FILTER (e.eventType <> 'error') AS failing FROM f LEFT JOIN e ON e.id = f.ref GROUP BY 1""")
+@_events_query("claim_checks", """, f AS (SELECT 'u' || "user" AS key, id AS ref FROM e WHERE value > 50 UNION ALL SELECT 'u' || "user", -id - 1 FROM e WHERE eventType = 'signup') SELECT key, count(*) AS cited, count(*) FILTER (e.id IS NULL) AS missing, count(*) FILTER (e.eventType <> 'error') AS failing FROM f LEFT JOIN e ON e.id = f.ref GROUP BY 1""")
 def _(df, ctx):
     of = F.concat(F.lit("u"), F.col("user")).alias("key")
-    cited = df.where("value > 50").select(of, F.array("id").alias("refs")).unionByName(df.where("id % 5 = 0 and id > 0").select(of, F.array((-F.col("id"))).alias("refs")))
+    cited = df.where("value > 50").select(of, F.array("id").alias("refs")).unionByName(df.where("eventType = 'signup'").select(of, F.array(-F.col("id") - 1).alias("refs")))
     return findings.cited_rows_that_fail(cited, df, F.col("eventType") == "error")
 
 
@@ -944,11 +944,11 @@ def _(df, ctx):
     return findings.anchors(df.where("eventType = 'error'").select(F.concat(F.lit("u"), F.col("user")).alias("key"), F.array("id").alias("refs")), rows)
 
 
-@query("""WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'o' || l_orderkey AS b FROM lineitem), n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY 1), f AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_suppkey % 5 = 0) SELECT a, b, 'sold' AS relation FROM e WHERE a IN (SELECT id FROM f) AND b IN (SELECT id FROM n WHERE n <= 3)""")
+@query("""WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'o' || l_orderkey AS b FROM lineitem), n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY 1), f AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_acctbal < 1000) SELECT a, b, 'sold' AS relation FROM e WHERE a IN (SELECT id FROM f) AND b IN (SELECT id FROM n WHERE n <= 3)""")
 def relationship_leads(spark, sf_dir):
     lines, suppliers = adapt.read(spark, sf_dir, "lineitem"), adapt.read(spark, sf_dir, "supplier")
     edges = lines.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("a"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("b"), F.lit("sold").alias("relation")).distinct()
-    return findings.relationship_leads(edges, suppliers.where("s_suppkey % 5 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id")))  # what this case has flagged
+    return findings.relationship_leads(edges, suppliers.where("s_acctbal < 1000").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id")))  # what this case has flagged
 
 
 # --- small reads ---------------------------------------------------------------------------
@@ -1030,7 +1030,7 @@ def empty_settings(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in found], "list string")
 
 
-@query(f"""WITH e AS ({_EVENTS}), {_STEPS}, g AS (SELECT mail, CAST(who % 300 AS VARCHAR) AS identity, kind, step, ts % 2000000000 AS ts, value_ AS weight, step % 5 AS src, CASE WHEN step % 7 = 0 THEN 4 END AS found, CASE WHEN step % 4 = 0 THEN 2 ELSE 0 END AS links FROM (SELECT c.*, CAST(step % 4 AS INTEGER) AS value_ FROM c)),
+@query(f"""WITH e AS ({_EVENTS}), {_STEPS}, g AS (SELECT mail, CAST(who % 300 AS VARCHAR) AS identity, kind, step, ts % 2000000000 AS ts, CAST(step % 4 AS INTEGER) AS weight, step % 5 AS src, CASE WHEN c.weight > 85 THEN 4 END AS found, CASE WHEN c.weight < 25 THEN 2 ELSE 0 END AS links FROM c),
 k AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY mail, identity, kind ORDER BY ts, step) > 600000 THEN 1 ELSE 0 END AS cut FROM g), n AS (SELECT *, sum(cut) OVER (PARTITION BY mail, identity, kind ORDER BY ts, step ROWS UNBOUNDED PRECEDING) AS k FROM k),
 f AS (SELECT mail, identity, kind, min(ts) AS a, max(ts) AS b, max(weight) AS w, sum(links) AS links, max(found) AS found, min(src) AS src FROM n GROUP BY mail, identity, kind, k),
 b AS (SELECT mail, identity, min(a) AS start, max(b) AS "end", count(*) AS steps, max(w) AS heaviest, count(DISTINCT src) AS sources, max(found) AS found, count(*) FILTER (links > 0) AS ls, sum(links) AS links, sum(CASE WHEN w <= 1 AND links = 0 AND found IS NULL THEN 0 ELSE least(w, 6) END) + least(count(*) FILTER (w <= 1 AND links = 0 AND found IS NULL), 3) AS weight FROM f GROUP BY mail, identity HAVING sum(w) > 0),
@@ -1039,7 +1039,7 @@ SELECT mail, identity, start, "end", steps, score, CASE WHEN score >= 80 THEN 'c
 def attack_chains(spark, sf_dir):
     """Messages, what their recipients did, findings on the steps and artifacts of the message in them."""
     seeds, acts = _chain_parts(spark, sf_dir)
+    found = acts.where("weight > 85").select(F.array("id").alias("refs"), F.lit("high").alias("severity"))
+    links = correlate.chain_steps(seeds, acts).where("weight < 25").select("mail", "step", F.lit(2).alias("n"))
     acts = acts.withColumn("weight", (F.col("id") % 4).cast("int")).withColumn("source", F.col("id") % 5)
-    found = acts.where("id % 7 = 0").select(F.array("id").alias("refs"), F.lit("high").alias("severity"))
-    links = correlate.chain_steps(seeds, acts).where("step % 4 = 0").select("mail", "step", F.lit(2).alias("n"))
     return correlate.chains(seeds, acts, found, links)
