@@ -84,7 +84,7 @@ def _hits(chunk: list[tuple[int, dict]], source: str, case: Case) -> DataFrame:
         met.append(F.when(cond, F.lit(i)))
         if rule.get("any_in_group"):
             some.append(F.when(V.truth(filters.tree(rule["any_in_group"], ctx)), F.lit(i)))
-        names += [*(rule.get("group_by") or []), *(rule.get("entities") or R.ENTITIES[source]), *([rule["distinct"]] if rule.get("distinct") else [])]
+        names += [*(rule.get("group_by") or []), *(rule.get("entities") or rule.get("group_by") or R.ENTITIES[source]), *([rule["distinct"]] if rule.get("distinct") else [])]
     fields = _fields(names, ctx)
     every = F.map_from_arrays(F.array(*[F.lit(n) for n in fields]), F.array(*fields.values()))
     flags = F.col("flags").cast("array<string>") if "flags" in table.columns else F.lit(None).cast("array<string>")
