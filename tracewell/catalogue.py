@@ -255,7 +255,15 @@ def url_defang(spark, sf_dir):
     return adapt.read(spark, sf_dir, "pages").select("page_id", web.defang(F.col("url")).alias("defanged"), web.refang(web.defang(F.col("url"))).alias("again"))
 
 
-@query()
+_HTML = "html"
+for _tag in ("script", "style", "noscript"):
+    _HTML = f"regexp_replace({_HTML}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'g')"
+_HTML = f"regexp_replace(regexp_replace(regexp_replace({_HTML}, '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(br|/p|/div|/li|/tr|/h[1-6])\\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace(regexp_replace({_HTML}, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g')) AS text FROM pages")
 def html_text(spark, sf_dir):
     return adapt.read(spark, sf_dir, "pages").select("page_id", web.html_text(F.col("html")).alias("text"))
 
