@@ -275,8 +275,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_
     carried = columns or docs.columns
     text_in = text_in or ((text_col,) if text_col in carried else None)
     rows = docs.select(F.col(id_col).alias("_id"), F.struct(F.col(lang_col).cast("string").alias("lang")).alias("_of"), F.struct(*carried).alias("_row"), F.col(text_col).alias("_text"))
-    named = F.xxhash64(F.col("_id").cast("string"))
-    train_on = filtered(rows.select("_id", whole("_text").alias("_text")), trusted.where("_fold > 0").select(F.xxhash64(F.col("_trusted").cast("string")).alias("hash")), named)
+    kind = docs.schema[id_col].dataType
+    train_on = filtered(rows.select("_id", whole("_text").alias("_text")), trusted.where("_fold > 0").select(F.xxhash64(F.col("_trusted").try_cast(kind)).alias("hash")), F.xxhash64("_id"))
     train_on = train_on.join(trusted.where("_fold > 0").hint("merge"), F.col("_id") == F.col("_trusted"), "left_semi").select("_text")
     model = train(train_on)
     if model.isEmpty():
