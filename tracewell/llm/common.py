@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,18 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Python in tasks gets rows in smaller batches, as texts may be long; for jobs that run within the block."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> str:
     """The name of a table of ``df`` in the shared folder, in buckets of ``key``: joins by it move none of its rows. The caller drops it."""
     table = f"{name}_{uuid.uuid4().hex}"
@@ -56,4 +70,4 @@ def filtered(df: DataFrame, hashes: DataFrame, of: Column) -> DataFrame:
     return with_mark(df, hashes, of, "_may").where("_may").drop("_may")
 
 
-__all__ = ["WORD", "bucketed", "filtered", "read", "shared_dir", "whole", "with_mark", "written"]
+__all__ = ["WORD", "bucketed", "filtered", "read", "shared_dir", "small_batches", "whole", "with_mark", "written"]

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, filtered, whole, written
+from .common import bucketed, filtered, small_batches, whole, written
 
 ORDER = 4
 #: Characters of a part of the documents, which is scored by one task.
@@ -240,12 +240,14 @@ def scored(docs: DataFrame, model: DataFrame, path: tuple[str, ...] = ("text",),
     """
     keep, spark = keep or docs.columns, docs.sparkSession
     # In buckets of the parts' numbers, so that the answers come to where the rows lie.
-    table = bucketed(docs.mapInArrow(_packed(path, part_bytes), "part long, body binary, grams binary"), "parts", "part", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with small_batches(spark):
+        table = bucketed(docs.mapInArrow(_packed(path, part_bytes), "part long, body binary, grams binary"), "parts", "part", int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = spark.table(table)
     asked = written(parts.select("part", "grams").mapInArrow(_asked, "part long, gram long"), "asked")
     answers = asked.join(log_probabilities(asked.select("gram").distinct(), model), "gram").select("part", "gram", "lp")
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_nats", T.DoubleType()), T.StructField("_squares", T.DoubleType()), T.StructField("_symbols", T.LongType())])
-    found = written(parts.select("part", "body").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score(path, keep), schema), "scored")
+    with small_batches(spark):
+        found = written(parts.select("part", "body").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score(path, keep), schema), "scored")
     spark.sql(f"DROP TABLE {table}")
     return found
 
