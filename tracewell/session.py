@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it is computed once, and a lost executor loses no part of it."""
+    """``df`` as a Parquet table in the shared folder: it is computed once, and a lost executor loses no part of it. ``discard`` takes it away again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder below the shared one, in whatever file system that is."""
+    if not path.startswith(f"{shared_dir(spark)}/tables/"):
+        raise ValueError(f"{path} is not a table of the shared folder")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` made, once nothing reads them any more; other tables are left alone."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            delete(table.sparkSession, path)
