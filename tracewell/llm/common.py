@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, written
+from ..session import delete, discard, shared_dir, written
 
 #: Words as the mixing contract counts them: runs without space or \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +43,12 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> str:
     return table
 
 
+def unbucketed(spark: SparkSession, table: str) -> None:
+    """Drops a table of ``bucketed``, files included."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    delete(spark, f"{shared_dir(spark)}/tables/{table}")
+
+
 #: Bits of the map that ``filtered`` sends to all tasks: for each hash 16, between 2^16 and 2^27 (a table of at most 2^21 rows).
 BITS_A_HASH, LEAST_BITS, MOST_BITS = 16, 16, 27
 
@@ -70,4 +76,4 @@ def filtered(df: DataFrame, hashes: DataFrame, of: Column) -> DataFrame:
     return with_mark(df, hashes, of, "_may").where("_may").drop("_may")
 
 
-__all__ = ["WORD", "bucketed", "filtered", "read", "shared_dir", "small_batches", "whole", "with_mark", "written"]
+__all__ = ["WORD", "bucketed", "discard", "filtered", "read", "shared_dir", "small_batches", "unbucketed", "whole", "with_mark", "written"]

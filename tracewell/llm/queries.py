@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, exact_dedup, kneser_ney, line_dedup, mixing, order_minhash, packing, pii, sharding, token_counts
+from . import centroids, chosen_path, exact_dedup, kneser_ney, line_dedup, mixing, order_minhash, packing, periodic_runs, pii, sharding, token_counts
 from .common import read
 
 
@@ -63,7 +63,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_score").alias("score"), F.col("_threshold").alias("threshold"), F.col("_keep").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_packing, op4_personal_data, op5_jaccard_join, op6_exact_dedup, op7_line_dedup, op7_passage_dedup, op8_quality, op9_mixing, op10_order_minhash)}
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), change=periodic_runs.planted)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_packing, op4_personal_data, op5_jaccard_join, op6_exact_dedup, op7_line_dedup, op7_passage_dedup, op8_quality, op9_mixing, op10_order_minhash, op11_exponion, op13_periodic_runs)}
 
 ORACLES = {
     "op6_exact_dedup": """
@@ -72,4 +80,5 @@ ORACLES = {
     FROM d WINDOW w AS (PARTITION BY text_sha256)""",
     "op7_line_dedup": line_dedup.oracle(),
     "op7_passage_dedup": line_dedup.passage_oracle(),
+    "op11_exponion": centroids.oracle(),
 }
