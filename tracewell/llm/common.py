@@ -36,10 +36,11 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> str:
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, *partition_by: str, compression: str = "snappy") -> str:
     """The name of a table of ``df`` in the shared folder, in buckets of ``key``: joins by it move none of its rows. The caller drops it."""
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(df.sparkSession)}/tables/{table}").saveAsTable(table)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.bucketBy(buckets, key).option("compression", compression).option("path", f"{shared_dir(df.sparkSession)}/tables/{table}").saveAsTable(table)
     return table
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chosen_path, exact_dedup, kneser_ney, line_dedup, mixing, order_minhash, packing, periodic_runs, pii, sharding, token_counts
+from . import centroids, chosen_path, exact_dedup, kneser_ney, line_dedup, mixing, order_minhash, packing, periodic_runs, pii, recompression, sharding, token_counts
 from .common import read
 
 
@@ -67,11 +67,16 @@ def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(read(spark, sf_dir, "embeddings"))
 
 
+def op12_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = recompression.substring_dedup(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), change=periodic_runs.planted)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_packing, op4_personal_data, op5_jaccard_join, op6_exact_dedup, op7_line_dedup, op7_passage_dedup, op8_quality, op9_mixing, op10_order_minhash, op11_exponion, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_packing, op4_personal_data, op5_jaccard_join, op6_exact_dedup, op7_line_dedup, op7_passage_dedup, op8_quality, op9_mixing, op10_order_minhash, op11_exponion, op12_recompression, op13_periodic_runs)}
 
 ORACLES = {
     "op6_exact_dedup": """
@@ -81,4 +86,5 @@ ORACLES = {
     "op7_line_dedup": line_dedup.oracle(),
     "op7_passage_dedup": line_dedup.passage_oracle(),
     "op11_exponion": centroids.oracle(),
+    "op12_recompression": recompression.oracle(),
 }
