@@ -490,14 +490,16 @@ def test_kneser_ney(spark):
 
     rng = random.Random(9)
     texts = ["".join(rng.choice("abcd e😀") for _ in range(rng.randint(0, 40))) for _ in range(30)]
-    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    p = brute_kneser_ney(texts)
+    other = ["nothing of these", "zz"]
+    model = kneser_ney.train(spark.createDataFrame([(0, t) for t in texts] + [(1, t) for t in other], "half int, text string"))
+    models = [brute_kneser_ney(texts), brute_kneser_ney(other)]
+    p = models[0]
     asked = ["abba", "zebra x", "", "e😀 cab", None]
     for part_bytes in (3, 1000):
-        out = kneser_ney.scored(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id int, text string"), model, part_bytes=part_bytes).collect()
-        assert len(out) == len(asked)
+        out = kneser_ney.scored(spark.createDataFrame([(i, h, t) for i, t in enumerate(asked) for h in (0, 1)], "doc_id int, _half int, text string").withColumn("half", F.col("_half")), model, part_bytes=part_bytes).collect()
+        assert len(out) == 2 * len(asked)
         for r in out:
-            want = np.log([p(g) for g in text_grams(asked[r.doc_id] or "")])
+            want = np.log([models[r.half](g) for g in text_grams(asked[r.doc_id] or "")])
             assert np.allclose([-r._nats, r._squares, r._symbols], [want.sum(), (want**2).sum(), len(want)]), asked[r.doc_id]
     # The probabilities after any context sum to one over the characters known and one unknown.
     known = {g[-1] for t in texts for g in [(1,), *[(min(ord(ch), 0xFFFF),) for ch in t]]}
@@ -519,33 +521,36 @@ def test_classifier_against_brute_force(spark):
     import math
 
     rng = random.Random(16)
-    rows = [(i, prose(rng, rng.randint(1, 12)), rng.choice(["en", "de", None])) for i in range(160)]
+    rows = [(i, prose(rng, rng.randint(1, 12)), "few" if i % 36 == 0 else rng.choice(["en", "de", None])) for i in range(160)]
     rows += [(500, "".join(rng.choice("#$%&*|!QXZ ") for _ in range(300)), "en"), (501, None, "en"), (502, "", None), (503, "no label at all", "fr"), (None, "no id", "en"), (3, "the same id twice", "en")]
     marks = [(i, 1, 0) for i in range(0, 160, 2)] + [(7, 0, 0), (8, 1, 1), (None, 1, 0)]
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    fold = {r._trusted: r._fold for r in kneser_ney.trusted_ids(labels).collect()}
-    assert set(fold) == set(range(0, 160, 2)) - {8}
-    p = brute_kneser_ney([t or "" for i, t, _ in rows if fold.get(i, 0) > 0])
+    trusted = {r._trusted for r in kneser_ney.trusted_ids(labels).collect()}
+    assert trusted == set(range(0, 160, 2)) - {8}
+    half = {r.text: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("text"), kneser_ney.half_of(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    models = [brute_kneser_ney([t or "" for i, t, _ in rows if i in trusted and half[t or ""] == h]) for h in (0, 1)]
     made, held = [], defaultdict(list)
     for i, t, lang in rows:
-        ln = [math.log(p(g)) for g in text_grams(t or "")]
+        ln = [math.log(models[1 - half[t or ""]](g)) for g in text_grams(t or "")]
         n, mean = len(ln), -sum(ln) / len(ln)
         score = (mean - 2 * math.sqrt(max(0.0, sum(x * x for x in ln) / n - mean * mean)) / math.sqrt(n)) / math.log(2) if n > 1 else None
         made.append((i, t, lang, math.exp(mean) if n > 1 else None, score))
-        if score is not None and fold.get(i) == 0:
+        if score is not None and i in trusted:
             held[lang].append(math.floor(score * 1000))
     limit = {}
     for lang, bins in held.items():
         at = lambda q, bins=sorted(bins): (next(b for x, b in enumerate(bins) if x + 1 >= q * len(bins)) + 1) / 1000
         limit[lang] = max(at(0.998), at(0.5) + 3 * (at(0.9) - at(0.5)))
-    assert len(limit) == 3
+    limit = {lang: x for lang, x in limit.items() if len(held[lang]) >= 10}
+    assert set(limit) == {"en", "de", None} and 0 < len(held["few"]) < 10
     key = lambda r: (str(r[0]), str(r[1]))
-    out = sorted(((r.doc_id, r.text, r.lang, r._perplexity, r._score, r._threshold, r._keep) for r in kneser_ney.classify(docs, labels, part_bytes=900).collect()), key=key)
+    out = sorted(((r.doc_id, r.text, r.lang, r._perplexity, r._score, r._threshold, r._keep, r._trusted_texts) for r in kneser_ney.classify(docs, labels, least=10, part_bytes=900).collect()), key=key)
     assert len(out) == len(rows)
     for got, (i, t, lang, perplexity, score) in zip(out, sorted(made, key=key), strict=True):
         assert got[:3] == (i, t, lang)
         assert got[3] == pytest.approx(perplexity) and got[4] == pytest.approx(score) and got[5] == pytest.approx(limit.get(lang))
+        assert got[7] == len(held[lang])
         assert got[6] == (score is None or lang not in limit or score <= limit[lang])
     assert not next(r for r in out if r[0] == 500)[6]
 

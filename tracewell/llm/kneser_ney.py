@@ -1,11 +1,14 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters.
 
-Trained on the trusted documents, all but a tenth. Tasks count the 4-grams of their
-texts and only the counts are shuffled; the lower orders, the discounts and the
-probabilities come from joins of count tables on n-grams and contexts. Every document
-gets its perplexity from joins of the n-grams that its part of the documents holds with
-the model, and a language's threshold comes from quantiles over the tenth of its trusted
-documents that the model hasn't seen.
+Cross-fitted: a hash of the text deals all documents into two halves, the trusted ones
+of each half train a model, and each document is scored by the other half's model. So
+no document, nor a copy of it, is scored by a model that was trained on it, and all of a
+language's trusted documents tell by their quantiles how high such scores reach.
+
+Tasks count the 4-grams of their texts and only the counts are shuffled; the lower
+orders, the discounts and the probabilities come from joins of count tables on n-grams
+and contexts, both models at once. Every document gets its perplexity from joins of the
+n-grams that its part of the documents holds with the model.
 
 A 4-gram is exact in one long, 16 bits a character; characters beyond the first plane
 share one code. 0 stands before a text and 1 ends it.
@@ -23,16 +26,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, filtered, small_batches, whole, written
+from .common import bucketed, discard, filtered, small_batches, unbucketed, whole, written
 
 ORDER = 4
 #: Characters of a part of the documents, which is scored by one task.
 PART_BYTES = 8_000_000
-#: Quantile of held-out trusted documents at which a language's threshold lies, and how fine scores are binned for it.
+#: Quantile of trusted documents at which a language's threshold lies, and how fine scores are binned for it.
 QUANTILE, STEPS = 0.998, 1000
 #: Times the distance from the median to the 0.9 quantile that scores of clean documents reach; for a normal distribution 0.9999 of them.
 TAIL = 3.0
-FOLDS = 10
+#: Trusted documents below which a language has no threshold: all of it is kept, and says so.
+LEAST = 20
+HALVES = 2
 
 
 def _codes(text: str) -> np.ndarray:
@@ -46,66 +51,72 @@ def _grams(text: str) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def counted(parts):
-        grams, times = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(times.astype(np.int64))], names=["gram", "n"])
+    def counted(half):
+        grams, times = np.unique(np.concatenate(parts[half]), return_counts=True)
+        parts[half], size[half] = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), half, np.int32)), pa.array(grams), pa.array(times.astype(np.int64))], names=["half", "gram", "n"])
 
-    parts, size = [], 0
+    parts, size = [[] for _ in range(HALVES)], [0] * HALVES
     for batch in batches:
-        for text in batch.column(0):
-            parts.append(_grams(text.as_py()))
-            size += len(parts[-1])
-            if size > 1_000_000:
-                yield counted(parts)
-                parts, size = [], 0
-    if parts:
-        yield counted(parts)
+        for half, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            parts[half].append(_grams(text.as_py()))
+            size[half] += len(parts[half][-1])
+            if size[half] > 1_000_000:
+                yield counted(half)
+    for half in range(HALVES):
+        if parts[half]:
+            yield counted(half)
 
 
 def _low(x: Column, chars: int) -> Column:
     return x.bitwiseAND(F.lit((1 << 16 * chars) - 1))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """The discounts of counts of 1, 2 and more, from how many n-grams occur one to four times."""
-    r = counts.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    n = [r[f"n{i}"] for i in (1, 2, 3, 4)]
-    if not n[0] or not n[1]:
-        return [0.5, 0.75, 0.9]  # too few n-grams to estimate from
-    y = n[0] / (n[0] + 2 * n[1])
-    raw = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.0 for i in (1, 2, 3)]
-    return [min(max(d, 0.05), i - 0.05) for i, d in zip((1, 2, 3), raw, strict=True)]
+def _discounts(counts: DataFrame) -> Column:
+    """The discount of an n-gram's count (one, two, more), from how many n-grams of its half occur one to four times."""
+    table = {r.half: r for r in counts.groupBy("half").agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()}
+    found = F.lit(None).cast("double")
+    for half in range(HALVES):
+        n = [table[half][f"n{i}"] for i in (1, 2, 3, 4)] if half in table else [0] * 4
+        d = [0.5, 0.75, 0.9]  # of too few n-grams nothing can be estimated
+        if n[0] and n[1]:
+            y = n[0] / (n[0] + 2 * n[1])
+            raw = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.0 for i in (1, 2, 3)]
+            d = [min(max(d, 0.05), i - 0.05) for i, d in zip((1, 2, 3), raw, strict=True)]
+        found = F.when(F.col("half") == half, F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(found)
+    return found
 
 
 def train(texts: DataFrame) -> DataFrame:
-    """Rows (ord, gram, p, back): an n-gram's probability, and of contexts the weight of the next lower order."""
-    count = written(texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    """From (half, text) rows (half, ord, gram, p): an n-gram's probability, and of contexts (ord < 0) the weight of the next lower order."""
+    count = written(texts.mapInArrow(_count, "half int, gram long, n long").groupBy("half", "gram").agg(F.sum("n").alias("n")), "grams")
     orders = {ORDER: count}
     for k in range(ORDER - 1, 0, -1):  # below the highest order an n-gram counts the different characters before it
-        orders[k] = written(orders[k + 1].groupBy(_low(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams{k}")
-    tables, lower = [], None
+        orders[k] = written(orders[k + 1].groupBy("half", _low(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams{k}")
+    tables, lower, models = [], None, []
     for k in range(1, ORDER + 1):
         counts = orders[k]
-        d = _discounts(counts)
-        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         context = F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long")
-        of = counts.withColumn("context", context).withColumn("cut", discount)
-        sums = of.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"), F.count(F.lit(1)).alias("types"))
-        of = of.join(sums, "context").withColumn("own", (F.col("n") - F.col("cut")) / F.col("total")).withColumn("left", F.col("cuts") / F.col("total"))
+        of = counts.withColumn("context", context).withColumn("cut", _discounts(counts))
+        sums = of.groupBy("half", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"), F.count(F.lit(1)).alias("types"))
+        of = of.join(sums, ["half", "context"]).withColumn("own", (F.col("n") - F.col("cut")) / F.col("total")).withColumn("left", F.col("cuts") / F.col("total"))
         if lower is None:
             types = F.col("types") + 1  # and one for every character never seen
-            now = of.select("gram", (F.col("own") + F.col("left") / types).alias("p"))
-            tables.append(sums.select(F.lit(0).alias("ord"), F.lit(0).cast("long").alias("gram"), (F.col("cuts") / F.col("total") / (F.col("types") + 1)).alias("p")))
+            now = of.select("half", "gram", (F.col("own") + F.col("left") / types).alias("p"))
+            tables.append(sums.select("half", F.lit(0).alias("ord"), F.lit(0).cast("long").alias("gram"), (F.col("cuts") / F.col("total") / (F.col("types") + 1)).alias("p")))
         else:
-            suffix = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            now = of.withColumn("suffix", _low(F.col("gram"), k - 1)).join(suffix, "suffix").select("gram", (F.col("own") + F.col("left") * F.col("q")).alias("p"))
-            tables.append(sums.select(F.lit(-k).alias("ord"), F.col("context").alias("gram"), (F.col("cuts") / F.col("total")).alias("p")))
+            suffix = lower.select("half", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+            now = of.withColumn("suffix", _low(F.col("gram"), k - 1)).join(suffix, ["half", "suffix"]).select("half", "gram", (F.col("own") + F.col("left") * F.col("q")).alias("p"))
+            tables.append(sums.select("half", F.lit(-k).alias("ord"), F.col("context").alias("gram"), (F.col("cuts") / F.col("total")).alias("p")))
         lower = written(now, f"model{k}")
-        tables.append(lower.select(F.lit(k).alias("ord"), "gram", "p"))
+        models.append(lower)
+        tables.append(lower.select("half", F.lit(k).alias("ord"), "gram", "p"))
     model = tables[0]
     for t in tables[1:]:
         model = model.unionByName(t)
-    return written(model, "model")
+    model = written(model, "model")
+    discard(*orders.values(), *models)
+    return model
 
 
 def _low_of(gram: np.ndarray) -> bytes:
@@ -128,81 +139,98 @@ def _text_of(batch: pa.RecordBatch, path: tuple[str, ...]) -> pa.Array:
     return found
 
 
+class _Open:
+    """Rows of one half that make up a task's next part."""
+
+    def __init__(self) -> None:
+        self.rows, self.seen, self.fresh, self.size, self.pending = [], [], [], 0, 0
+
+    def fold(self) -> None:
+        self.seen = [np.unique(np.concatenate([*self.seen, *self.fresh]).view(np.uint64)).view(np.int64)]
+        self.fresh, self.pending = [], 0
+
+    def take(self, grams: np.ndarray) -> None:
+        self.fresh.append(grams)
+        self.size, self.pending = self.size + len(grams), self.pending + len(grams)
+        if self.pending > 1_000_000:
+            self.fold()
+
+    def part(self, number: int, half: int) -> pa.RecordBatch:
+        self.fold()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for r in self.rows:
+                out.write_batch(r)
+        made = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([half], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([_low_of(self.seen[0])], pa.binary())], names=["part", "half", "body", "grams"])
+        self.__init__()
+        pa.default_memory_pool().release_unused()
+        return made
+
+
 def _packed(path: tuple[str, ...], part_bytes: int):
-    """Parts of a task's rows, each of at most ``part_bytes`` of text and one more: number, rows, distinct 4-grams."""
+    """Parts of a task's rows, of one half each, of at most ``part_bytes`` of text and one more: number, half, rows, distinct 4-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, seen, open_, size, pending = TaskContext.get().partitionId() << 24, [], [], [], 0, 0
-
-        def fold():
-            seen[:] = [np.unique(np.concatenate([*seen, *open_]).view(np.uint64)).view(np.int64)]
-            open_.clear()
-
-        def part():
-            fold()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for r in rows:
-                    out.write_batch(r)
-            made = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([_low_of(seen[0])], pa.binary())], names=["part", "body", "grams"])
-            rows.clear()
-            seen.clear()
-            pa.default_memory_pool().release_unused()
-            return made
-
+        number, open_ = TaskContext.get().partitionId() << 24, [_Open() for _ in range(HALVES)]
         for batch in batches:
-            start = 0
-            for i, text in enumerate(_text_of(batch, path)):
-                own = _grams(text.as_py() or "")
-                open_.append(own)
-                size, pending = size + len(own), pending + len(own)
-                if pending > 1_000_000:
-                    fold()
-                    pending = 0
-                if size > part_bytes:
-                    rows.append(batch.slice(start, i + 1 - start))
-                    yield part()
-                    number, start, size, pending = number + 1, i + 1, 0, 0
-            if start < len(batch):
-                rows.append(batch.slice(start))
-        if rows:
-            yield part()
+            halves = batch.column(batch.schema.get_field_index("_half")).to_numpy()
+            for half, part in enumerate(open_):
+                own, start = batch.filter(pa.array(halves == half)), 0
+                for i, text in enumerate(_text_of(own, path)):
+                    part.take(_grams(text.as_py() or ""))
+                    if part.size > part_bytes:
+                        part.rows.append(own.slice(start, i + 1 - start))
+                        yield part.part(number, half)
+                        number, start = number + 1, i + 1
+                if start < len(own):
+                    part.rows.append(own.slice(start))
+        for half, part in enumerate(open_):
+            if part.rows:
+                yield part.part(number + half, half)
 
     return run
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for number, code in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for number, half, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             grams = _grams_in(code.as_py())
             for start in range(0, len(grams), 200_000):
                 some = grams[start : start + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(some)], names=["part", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(np.full(len(some), half, np.int32)), pa.array(some)], names=["part", "half", "gram"])
 
 
 def log_probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
-    """(gram, lp) for distinct 4-grams (gram): natural log of the probability of the last character after the three before.
+    """(half, gram, lp) for distinct 4-grams (half, gram): natural log of the probability of the last character after the three before, by the half's model.
 
     Joins of n-grams with the model's n-grams and of contexts with its weights, lower
     orders first; everything is dealt by n-gram or context, and nothing but the
-    probability of a character never seen comes to the driver.
+    probability of a character never seen comes to the driver. A half without a model
+    gives no rows.
     """
-    asked = {ORDER: grams.select("gram")}
+    asked = {ORDER: grams.select("half", "gram")}
     for k in range(ORDER - 1, 0, -1):
-        asked[k] = asked[k + 1].select(_low(F.col("gram"), k).alias("gram")).distinct()
-    least = model.where("ord = 0").first()["p"]
-    lower = None
+        asked[k] = asked[k + 1].select("half", _low(F.col("gram"), k).alias("gram")).distinct()
+    least = {r.half: r.p for r in model.where("ord = 0").collect()}
+    never = F.lit(None).cast("double")
+    for half, p in least.items():
+        never = F.when(F.col("half") == half, p).otherwise(never)
+    lower, made = None, []
     for k in range(1, ORDER + 1):
-        own = model.where(F.col("ord") == k).select(F.col("gram").alias("_g"), F.col("p").alias("_p"))
-        found = asked[k].join(own, F.col("gram") == F.col("_g"), "left")
+        own = model.where(F.col("ord") == k).select("half", "gram", F.col("p").alias("_p"))
+        found = asked[k].join(own, ["half", "gram"], "left")
         if k == 1:
-            lp = F.ln(F.coalesce("_p", F.lit(least)))
+            lp = F.ln(F.coalesce("_p", never))
+            found = found.where(F.col("half").isin(*least)) if least else found.limit(0)
         else:
-            back = model.where(F.col("ord") == -k).select(F.col("gram").alias("_c"), F.col("p").alias("_back"))
-            found = found.join(back, F.shiftrightunsigned("gram", 16) == F.col("_c"), "left").join(lower.select(F.col("gram").alias("_s"), F.col("lp").alias("_lower")), _low(F.col("gram"), k - 1) == F.col("_s"))
+            back = model.where(F.col("ord") == -k).select("half", F.col("gram").alias("_c"), F.col("p").alias("_back"))
+            found = found.withColumn("_c", F.shiftrightunsigned("gram", 16)).join(back, ["half", "_c"], "left")
+            found = found.withColumn("_s", _low(F.col("gram"), k - 1)).join(lower.select("half", F.col("gram").alias("_s"), F.col("lp").alias("_lower")), ["half", "_s"])
             # A context never seen leaves all weight to the lower order.
             lp = F.when(F.col("_p").isNotNull(), F.ln("_p")).otherwise(F.coalesce(F.ln("_back"), F.lit(0.0)) + F.col("_lower"))
-        lower = written(found.select("gram", lp.alias("lp")), f"asked{k}")
+        lower = written(found.select("half", "gram", lp.alias("lp")), f"asked{k}")
+        made.append(lower)
+    discard(*made[:-1])
     return lower
 
 
@@ -217,9 +245,9 @@ def _score(path: tuple[str, ...], names: list[str]):
                 sums, squares, n = [], [], []
                 for text in _text_of(batch, path):
                     grams = _grams(text.as_py() or "")
-                    n.append(len(grams))
+                    n.append(len(grams) if len(keys) else None)
                     total = square = 0.0
-                    for start in range(0, len(grams), 200_000):
+                    for start in range(0, len(grams) if len(keys) else 0, 200_000):
                         p = values[np.searchsorted(keys, grams[start : start + 200_000])]
                         total, square = total - float(p.sum()), square + float(p @ p)
                     sums.append(total)
@@ -232,45 +260,51 @@ def _score(path: tuple[str, ...], names: list[str]):
 
 
 def scored(docs: DataFrame, model: DataFrame, path: tuple[str, ...] = ("text",), keep: list[str] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with _nats, _squares (sums over the text of -log p and its square) and _symbols.
+    """``docs`` (or its columns ``keep``) with _nats, _squares (sums over the text of -log p and its square) and _symbols, by the model of the row's _half.
 
     The rows stay in parts as the tasks read them, compressed. A part asks for its distinct
     4-grams, the counts are joined with the model, and each part gets its own answers
-    back: one plan at every size, and no task ever holds the model.
+    back: one plan at every size, and no task ever holds the model. Without a model of
+    its half a row has null _symbols.
     """
-    keep, spark = keep or docs.columns, docs.sparkSession
+    keep, spark = keep or [c for c in docs.columns if c != "_half"], docs.sparkSession
     # In buckets of the parts' numbers, so that the answers come to where the rows lie.
     with small_batches(spark):
-        table = bucketed(docs.mapInArrow(_packed(path, part_bytes), "part long, body binary, grams binary"), "parts", "part", int(spark.conf.get("spark.sql.shuffle.partitions")))
+        table = bucketed(docs.mapInArrow(_packed(path, part_bytes), "part long, half int, body binary, grams binary"), "parts", "part", int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = spark.table(table)
-    asked = written(parts.select("part", "grams").mapInArrow(_asked, "part long, gram long"), "asked")
-    answers = asked.join(log_probabilities(asked.select("gram").distinct(), model), "gram").select("part", "gram", "lp")
+    asked = written(parts.select("part", "half", "grams").mapInArrow(_asked, "part long, half int, gram long"), "asked")
+    probabilities = log_probabilities(asked.select("half", "gram").distinct(), model)
+    answers = asked.join(probabilities, ["half", "gram"]).select("part", "gram", "lp")
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_nats", T.DoubleType()), T.StructField("_squares", T.DoubleType()), T.StructField("_symbols", T.LongType())])
     with small_batches(spark):
         found = written(parts.select("part", "body").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score(path, keep), schema), "scored")
-    spark.sql(f"DROP TABLE {table}")
+    unbucketed(spark, table)
+    discard(asked, probabilities)
     return found
 
 
+def half_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), text), F.lit(HALVES)).cast("int")
+
+
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Ids that every label calls good and not toxic, with the fold that is held out (0) or trained on."""
+    """Ids (_trusted) that every label calls good and not toxic."""
     good = F.coalesce((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), F.lit(False))
-    ids = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_trusted")).agg(F.min(good.cast("int")).alias("good")).where("good = 1")
-    return ids.select("_trusted", F.pmod(F.xxhash64(F.lit(3), "_trusted"), F.lit(FOLDS)).alias("_fold"))
+    return labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_trusted")).agg(F.min(good.cast("int")).alias("good")).where("good = 1").select("_trusted")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", columns: tuple[str, ...] | None = None, text_in: tuple[str, ...] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` (or its ``columns``) with _perplexity, _score, _threshold and _keep.
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", columns: tuple[str, ...] | None = None, text_in: tuple[str, ...] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``docs`` (or its ``columns``) with _perplexity, _score, _threshold, _trusted_texts and _keep.
 
-    The score is the mean bits a character less two standard errors of the text's own
-    bits, so that short texts are not rejected by chance; ``_keep`` says that it isn't
-    above the language's threshold (null is a language), which comes from that language's held-out
-    documents alone; one without any has no threshold and keeps everything. Null and empty texts have
-    no perplexity and stay, as does everything where no document is trusted. Repeated
-    rows are scored alike. ``docs`` may have any other columns but those four, which are
+    The perplexity is by the model of the half that the text isn't in. The score is the mean bits a character less
+    two standard errors of the text's own bits, so that short texts are not rejected by chance; ``_keep`` says that it
+    isn't above the language's threshold (null is a language), which comes from the scores of all of that language's trusted
+    documents, ``_trusted_texts`` of them. A language with fewer than ``least`` has no threshold: all of it is kept. Null and empty texts have
+    no perplexity and stay, as does everything where a half has no trusted document. Repeated
+    rows are scored alike. ``docs`` may have any other columns but those five, which are
     refused. ``text_in`` says where in ``columns`` the text stands, so that it isn't carried twice.
     """
-    if clash := {"_perplexity", "_score", "_threshold", "_keep"} & set(columns or docs.columns):
+    if clash := {"_perplexity", "_score", "_threshold", "_trusted_texts", "_keep"} & set(columns or docs.columns):
         raise ValueError(f"columns named as results: {sorted(clash)}")
     trusted = trusted_ids(labels, id_col)
     # The row's own columns travel in a struct, where their names clash with none of ours.
@@ -278,33 +312,33 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_
     text_in = text_in or ((text_col,) if text_col in carried else None)
     rows = docs.select(F.col(id_col).alias("_id"), F.struct(F.col(lang_col).cast("string").alias("lang")).alias("_of"), F.struct(*carried).alias("_row"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType
-    train_on = filtered(rows.select("_id", whole("_text").alias("_text")), trusted.where("_fold > 0").select(F.xxhash64(F.col("_trusted").try_cast(kind)).alias("hash")), F.xxhash64("_id"))
-    train_on = train_on.join(trusted.where("_fold > 0").hint("merge"), F.col("_id") == F.col("_trusted"), "left_semi").select("_text")
-    model = train(train_on)
-    if model.isEmpty():
-        none = F.lit(None).cast("double")
-        return rows.select("_row.*", none.alias("_perplexity"), none.alias("_score"), none.alias("_threshold"), F.lit(True).alias("_keep"))
-    own = rows.drop("_text") if text_in else rows
-    done = scored(own, model, ("_row", *text_in) if text_in else ("_text",), ["_id", "_of", "_row"], part_bytes)
+    train_on = filtered(rows.select("_id", whole("_text").alias("_text")), trusted.select(F.xxhash64(F.col("_trusted").try_cast(kind)).alias("hash")), F.xxhash64("_id"))
+    train_on = train_on.join(trusted.hint("merge"), F.col("_id") == F.col("_trusted"), "left_semi")
+    model = train(train_on.select(half_of(F.col("_text")).alias("half"), "_text"))
+    # Rows are scored by the other half's model.
+    own = rows.withColumn("_half", HALVES - 1 - half_of(whole("_text")))
+    done = scored(own.drop("_text") if text_in else own, model, ("_row", *text_in) if text_in else ("_text",), ["_id", "_of", "_row"], part_bytes)
+    discard(model)
     n, bits = F.col("_symbols"), F.col("_nats") / F.col("_symbols") / float(np.log(2))
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") / n - (F.col("_nats") / n) ** 2)) / float(np.log(2))
     done = done.withColumn("_perplexity", F.when(n > 1, F.exp(F.col("_nats") / n))).withColumn("_score", F.when(n > 1, bits - 2 * spread / F.sqrt(n)))
     held = done.select("_id", "_of", F.floor(F.col("_score") * STEPS).alias("_bin")).where("_bin is not null")
-    held = held.join(trusted.where("_fold = 0"), F.col("_id") == F.col("_trusted"), "left_semi")
+    held = held.join(trusted, F.col("_id") == F.col("_trusted"), "left_semi")
     bins = held.groupBy("_of", "_bin").agg(F.count(F.lit(1)).alias("n"))
-    done = done.join(written(thresholds(bins, quantile), "thresholds"), "_of", "left")
-    return done.select("_row.*", "_perplexity", "_score", "_threshold", F.coalesce(F.col("_score") <= F.col("_threshold"), F.lit(True)).alias("_keep"))
+    done = done.join(written(thresholds(bins, quantile, least), "thresholds"), "_of", "left")
+    return done.select("_row.*", "_perplexity", "_score", "_threshold", F.coalesce("_trusted_texts", F.lit(0).cast("long")).alias("_trusted_texts"), F.coalesce(F.col("_score") <= F.col("_threshold"), F.lit(True)).alias("_keep"))
 
 
-def thresholds(bins: DataFrame, quantile: float) -> DataFrame:
-    """(_of, _threshold) from a histogram (_of, _bin, n) of each language's scores.
+def thresholds(bins: DataFrame, quantile: float, least: int = LEAST) -> DataFrame:
+    """(_of, _threshold, _trusted_texts) from a histogram (_of, _bin, n) of each language's scores.
 
     The threshold is the quantile, or, where that is higher, the median and TAIL times the distance
-    from there to the 0.9 quantile: with few held-out documents the highest quantile
-    is just the largest score, the two others still tell how far scores reach.
+    from there to the 0.9 quantile: with few documents the highest quantile
+    is just the largest score, the two others still tell how far scores reach. It is null below ``least`` documents.
     """
     group = W.partitionBy("_of")  # at most a few ten thousand bins
     run = bins.withColumn("upto", F.sum("n").over(group.orderBy("_bin"))).withColumn("all", F.sum("n").over(group))
     at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("_bin"))) + 1) / STEPS
-    found = run.groupBy("_of").agg(at(0.5).alias("mid"), at(0.9).alias("high"), at(quantile).alias("top"))
-    return found.select("_of", F.greatest("top", F.col("mid") + TAIL * (F.col("high") - F.col("mid"))).alias("_threshold"))
+    found = run.groupBy("_of").agg(at(0.5).alias("mid"), at(0.9).alias("high"), at(quantile).alias("top"), F.max("all").alias("_trusted_texts"))
+    limit = F.greatest("top", F.col("mid") + TAIL * (F.col("high") - F.col("mid")))
+    return found.select("_of", F.when(F.col("_trusted_texts") >= least, limit).alias("_threshold"), "_trusted_texts")

@@ -60,7 +60,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     rows = kneser_ney.classify(docs, read(spark, sf_dir, "labels"), columns=("doc_id", "lang"))
-    return rows.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_score").alias("score"), F.col("_threshold").alias("threshold"), F.col("_keep").alias("kept"))
+    return rows.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_score").alias("score"), F.col("_threshold").alias("threshold"), F.col("_trusted_texts").alias("trusted_texts"), F.col("_keep").alias("kept"))
 
 
 def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
