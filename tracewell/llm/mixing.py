@@ -35,7 +35,7 @@ def mix_targets(sources: DataFrame, weights: tuple[int, ...], share: float, most
     one = (
         one.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(every))
         .withColumn("stopped", F.coalesce(F.sum("stop").over(by_stop.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("sharing", F.sum("weight").over(by_stop.rowsBetween(0, W.unboundedFollowing)))
+        .withColumn("sharing", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(by_stop.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("level", (F.col("budget") - F.col("stopped")) / F.col("sharing"))
     )
     # The first source, in order of its stop, that the level doesn't reach.
@@ -47,6 +47,11 @@ def mix_hash(doc_id: Column, text: Column, seed: int = 17) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 64 - HASH_BITS)
 
 
+def drawn(whole: Column, rest: Column, cut: Column, mix_hash: Column) -> Column:
+    """How often a row is taken, from its source's row of ``mix_table`` and its hash."""
+    return whole + F.when((rest > 0) & (mix_hash < cut), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken, mix_hash.
 
@@ -57,6 +62,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     one document (or of one run of rows with equal hashes). An empty table gives no
     rows; other columns are not read.
     """
+    rows, table = mix_table(docs, weights, share, most, seed, id_col, text_col, source_col)
+    taken = rows.withColumn("of", F.struct("source")).join(table, "of")
+    return taken.withColumn("copies", drawn(F.col("whole"), F.col("rest"), F.col("cut"), F.col("mix_hash"))).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "mix_hash"
+    )
+
+
+def mix_table(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The sized rows, and for each source (of) its size, target, how often all of it is taken (whole) and up to which hash (cut) once more."""
     rows = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -93,8 +107,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         bounds = written(step, "bounds")
     # At a width of one hash: its rows are taken too if that comes nearer.
     cut = bounds.select("of", (F.col("low") + F.when(F.col("left") > F.col("next") / 2, 1).otherwise(0)).alias("cut"))
-    table = targets.join(cut, "of")
-    taken = rows.withColumn("of", F.struct("source")).join(table, "of")
-    return taken.withColumn("copies", F.col("whole") + F.when((F.col("rest") > 0) & (F.col("mix_hash") < F.col("cut")), 1).otherwise(0)).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "mix_hash"
-    )
+    return rows, written(targets.join(cut, "of"), "mix")
