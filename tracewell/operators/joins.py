@@ -10,14 +10,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import written
+from . import scans
 
 
-def asof(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, take: list[str], direction: str = "backward", within: int | None = None, prefix: str = "r_") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, take: list[str], direction: str = "backward", within: int | None = None, prefix: str = "r_", most: int | None = None) -> DataFrame:
     """``left`` with columns of the last right row at or before its time (``forward``: the first at or after).
 
     Both sides are laid in one order by key and time, and the last known right row
     is carried along: one shuffle by key, no pairs. A right row at the same time
     counts in both directions; ties of right rows go to the greatest ``take``, forward to the least.
+    A key of more than ``most`` rows (``scans.MOST``) is laid out in stretches of time, and the last
+    right row of a stretch is carried into the next ones.
     """
     back = direction == "backward"
     carried = F.struct(F.col(right_ts).alias("t"), *[F.col(c).alias(c) for c in take])
@@ -25,9 +28,12 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_t
     rights = right.where(F.col(right_ts).isNotNull()).select(*on, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(lefts.schema["_row"].dataType).alias("_row"), carried.alias("_right"))
     # Forward is backward in descending order. Rows with a null key find nothing and needn't meet in one place.
     alone = F.when(reduce(operator.or_, [F.col(k).isNull() for k in on]), F.xxhash64("_t", "_row")).otherwise(F.lit(0)) if on else F.lit(0)
-    w = W.partitionBy(*on, "_alone").orderBy(F.col("_t") if back else F.col("_t").desc(), "_side", F.col("_right") if back else F.col("_right").desc())
+    every, by = lefts.unionByName(rights).withColumn("_alone", alone), [*on, "_alone"]
+    cut = scans.cuts(every, by, "_t", most)
+    every = scans.with_carry(scans.with_stretch(every, by, "_t", cut), by, F.col("_right"), F.max if back else F.min, "_carried", cut, later=not back)
+    w = W.partitionBy(*by, "_stretch").orderBy(F.col("_t") if back else F.col("_t").desc(), "_side", F.col("_right") if back else F.col("_right").desc())
     seen = F.last("_right", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    out = lefts.unionByName(rights).withColumn("_alone", alone).withColumn("_found", seen).where("_row is not null")
+    out = every.withColumn("_found", F.coalesce(seen, F.col("_carried"))).where("_row is not null")
     distance = F.abs(F.col("_found.t") - F.col("_t"))
     found = F.col("_found") if within is None else F.when(distance <= within, F.col("_found"))
     # A key or time that is null has no neighbour.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,21 +12,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..session import written
+from . import scans
 
 
-def gap_sessions(df: DataFrame, by: list[str], ts: str, gap: int | Column, name: str = "session") -> DataFrame:
-    """``df`` with the number of its session: a new one starts more than ``gap`` ms after the row before."""
-    w = W.partitionBy(*by).orderBy(ts, "id") if "id" in df.columns else W.partitionBy(*by).orderBy(ts)
-    cut = (F.col(ts) - F.lag(ts).over(w) > gap).cast("int")
-    return df.withColumn("_cut", F.coalesce(cut, F.lit(0))).withColumn(name, F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_cut")
+def gap_sessions(df: DataFrame, by: list[str], ts: str, gap: int | Column, name: str = "session", most: int | None = None) -> DataFrame:
+    """``df`` with the number of its session: a new one starts more than ``gap`` ms after the row before.
 
+    A key of more than ``most`` rows (``scans.MOST``) is numbered in stretches.
+    """
+    found = scans.cuts(df, by, ts, most)
+    rows = scans.with_stretch(df, by, ts, found)
+    return _sessions(rows, by, ts, gap, name, found).drop("_stretch")
+
+
+def _sessions(rows: DataFrame, by: list[str], ts: str, gap: int | Column, name: str, found: DataFrame | None) -> DataFrame:
+    """The same for rows with _stretch."""
+    order = [ts, "id"] if "id" in rows.columns else [ts]
+    w = W.partitionBy(*by, "_stretch").orderBy(*order)
+    rows = scans.with_carry(rows, by, F.col(ts), F.max, "_before", found)
+    cut = (F.col(ts) - F.coalesce(F.lag(ts).over(w), F.col("_before")) > gap).cast("int")
+    rows = rows.withColumn("_cut", F.coalesce(cut, F.lit(0)))
+    rows = scans.with_carry(rows, by, F.col("_cut"), F.sum, "_cuts_before", found)
+    return rows.withColumn(name, F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce("_cuts_before", F.lit(0))).drop("_cut", "_before", "_cuts_before")
 
-def trailing_sizes(rows: DataFrame, by: list[str], ts: str, window: Column, what: str | None) -> DataFrame:
+
+def trailing_sizes(rows: DataFrame, by: list[str], ts: str, window: Column, what: str | None, most: int | None = None) -> DataFrame:
     """``rows`` with _size: how many rows of the group, or different values of ``what``, lie in the window that ends at the row.
 
     A row counts from its own time until the window has passed, a value until it comes
     again; the size is the running sum of such beginnings and ends, so its cost doesn't
-    grow with what the window holds.
+    grow with what the window holds. A group of more than ``most`` rows is summed in stretches.
     """
     passed = F.col(ts) + window + 1
     if what is not None:
@@ -32,27 +50,41 @@ def trailing_sizes(rows: DataFrame, by: list[str], ts: str, window: Column, what
         rows = rows.withColumn("_ends", F.when(F.col(what).isNotNull(), F.least(again, passed)))
     else:
         rows = rows.withColumn("_ends", passed)
+    found = scans.cuts(rows, by, ts, most)
     marks = F.array(F.struct(F.col(ts).alias("at"), F.when(F.col("_ends").isNotNull(), 1).otherwise(0).alias("d"), F.lit(True).alias("own")), F.struct(F.col("_ends").alias("at"), F.lit(-1).alias("d"), F.lit(False).alias("own")))
-    events = rows.withColumn("_mark", F.explode(F.filter(marks, lambda m: m["at"].isNotNull())))
-    upto = W.partitionBy(*by).orderBy("_mark.at").rangeBetween(W.unboundedPreceding, 0)
-    return events.withColumn("_size", F.sum("_mark.d").over(upto)).where("_mark.own").drop("_mark", "_ends")
+    events = rows.withColumn("_mark", F.explode(F.filter(marks, lambda m: m["at"].isNotNull()))).withColumn("_at", F.col("_mark.at"))
+    events = scans.with_stretch(events, by, "_at", found)
+    events = scans.with_carry(events, by, F.col("_mark.d"), F.sum, "_sum_before", found)
+    upto = W.partitionBy(*by, "_stretch").orderBy("_mark.at").rangeBetween(W.unboundedPreceding, 0)
+    return events.withColumn("_size", F.sum("_mark.d").over(upto) + F.coalesce("_sum_before", F.lit(0))).where("_mark.own").drop("_mark", "_ends", "_at", "_stretch", "_sum_before")
 
 
-def bursts(df: DataFrame, by: list[str], ts: str, window: int | Column, comparator: str, n: int, distinct: Column | None = None, keep: list[str] | None = None, refs: int = 5000, met: Callable[[Column], Column] | None = None) -> DataFrame:
+def bursts(df: DataFrame, by: list[str], ts: str, window: int | Column, comparator: str, n: int, distinct: Column | None = None, keep: list[str] | None = None, refs: int = 5000, met: Callable[[Column], Column] | None = None, most: int | None = None) -> DataFrame:
     """Per group and session the rows from a window before the first row at which the trailing window meets the threshold (or ``met`` says so of its size).
 
     A session ends where the next row is more than ``window`` (a number or an expression of the group) away, so it has one
     burst at most. Columns: ``by``, start, end, count, distinct_values, refs (the first by time), and the first
-    row's ``keep`` columns.
+    row's ``keep`` columns. A group of more than ``most`` rows (``scans.MOST``) is worked in stretches, with the same result.
     """
     met = met or (lambda size: V.meets(size, comparator, n))
     rows = df.where(F.col(ts).isNotNull()).withColumn("_w", window if isinstance(window, Column) else F.lit(window))
     rows = rows.withColumn("_what", F.nullif(F.lower(distinct.cast("string")), F.lit("")) if distinct is not None else F.lit(None).cast("string"))
-    rows = gap_sessions(rows, by, ts, F.col("_w"))
+    found = scans.cuts(rows, by, ts, most)
+    rows = scans.with_stretch(rows, by, ts, found)
+    rows = _sessions(rows, by, ts, F.col("_w"), "session", found)
     group = [*by, "session"]
-    rows = trailing_sizes(rows, group, ts, F.col("_w"), "_what" if distinct is not None else None)
-    rows = rows.withColumn("_trigger", F.min(F.when(met(F.col("_size")), F.col(ts))).over(W.partitionBy(*group))).where(F.col(ts) >= F.col("_trigger") - F.col("_w"))
-    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy(*group).orderBy(ts, "id")))
+    if found is None:
+        rows = trailing_sizes(rows.drop("_stretch"), group, ts, F.col("_w"), "_what" if distinct is not None else None, 2**62)
+        rows = rows.withColumn("_trigger", F.min(F.when(met(F.col("_size")), F.col(ts))).over(W.partitionBy(*group))).where(F.col(ts) >= F.col("_trigger") - F.col("_w"))
+        rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy(*group).orderBy(ts, "id")))
+    else:
+        # Tables, so that joins may split a group among tasks and windows are computed once.
+        rows = written(trailing_sizes(written(rows.withColumnRenamed("_stretch", "_piece"), "sessions"), group, ts, F.col("_w"), "_what" if distinct is not None else None, most), "sizes").withColumnRenamed("_piece", "_stretch")
+        triggers = written(rows.where(met(F.col("_size"))).groupBy(*group).agg(F.min(ts).alias("_trigger")).select(*[F.col(k).alias(f"_g_{k}") for k in group], "_trigger"), "triggers")
+        same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in group])
+        rows = rows.join(triggers, same).drop(*[f"_g_{k}" for k in group]).where(F.col(ts) >= F.col("_trigger") - F.col("_w"))
+        rows = scans.with_carry(rows, group, F.lit(1), lambda c: F.sum(c), "_rows_before", found)
+        rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy(*group, "_stretch").orderBy(ts, "id")) + F.coalesce("_rows_before", F.lit(0)))
     first = [F.col(f"_first.{c}").alias(c) for c in keep or []]
     out = rows.groupBy(*group).agg(
         F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("count"), F.count_distinct("_what").alias("distinct_values"),
@@ -73,10 +105,18 @@ def merged_intervals(df: DataFrame, by: list[str], start: str, end: str, most: i
     return out.drop("_n")
 
 
-def record_holes(df: DataFrame, by: list[str], record: str) -> DataFrame:
-    """Where record numbers skip: (by, after, before, missing)."""
-    w = W.partitionBy(*by).orderBy(record)
-    return df.select(*by, F.col(record).alias("after"), F.lead(record).over(w).alias("before")).where(F.col("before") - F.col("after") > 1).withColumn("missing", F.col("before") - F.col("after") - 1)
+def _with_next(df: DataFrame, by: list[str], record: str, name: str, most: int | None) -> DataFrame:
+    """``df`` with the next greater or equal record number of its key."""
+    found = scans.cuts(df, by, record, most)
+    rows = scans.with_carry(scans.with_stretch(df, by, record, found), by, F.col(record), F.min, "_later", found, later=True)
+    following = F.lead(record).over(W.partitionBy(*by, "_stretch").orderBy(record))
+    return rows.withColumn(name, F.coalesce(following, F.col("_later"))).drop("_later", "_stretch")
+
+
+def record_holes(df: DataFrame, by: list[str], record: str, most: int | None = None) -> DataFrame:
+    """Where record numbers skip: (by, after, before, missing). A key of more than ``most`` rows is read in stretches."""
+    rows = _with_next(df.where(F.col(record).isNotNull()).select(*by, record), by, record, "before", most)
+    return rows.select(*by, F.col(record).alias("after"), "before").where(F.col("before") - F.col("after") > 1).withColumn("missing", F.col("before") - F.col("after") - 1)
 
 
 def record_runs(df: DataFrame, by: list[str], record: str) -> DataFrame:
@@ -86,16 +126,24 @@ def record_runs(df: DataFrame, by: list[str], record: str) -> DataFrame:
     return rows.groupBy(*by, "_run").agg(F.min(record).alias("from"), F.max(record).alias("to"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
-def backward_steps(df: DataFrame, by: list[str], record: str, ts: str, least: int = 1000) -> DataFrame:
-    """Where time runs back from one record to the next: (by, record, step)."""
-    w = W.partitionBy(*by).orderBy(record)
-    step = F.lag(ts).over(w) - F.col(ts)
-    return df.select(*by, F.col(record).alias("record"), step.alias("step"), (F.col(record) - F.lag(record).over(w)).alias("_apart")).where((F.col("step") > least) & (F.col("_apart") == 1)).drop("_apart")
-
-
-def filled_forward(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the last value known so far."""
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+def backward_steps(df: DataFrame, by: list[str], record: str, ts: str, least: int = 1000, most: int | None = None) -> DataFrame:
+    """Where time runs back from one record to the next: (by, record, step). A key of more than ``most`` rows is read in stretches."""
+    rows = df.where(F.col(record).isNotNull()).select(*by, F.col(record).alias("record"), F.col(ts).alias("_t"))
+    found = scans.cuts(rows, by, "record", most)
+    here = F.struct("record", F.col("_t").alias("t"))
+    rows = scans.with_carry(scans.with_stretch(rows, by, "record", found), by, here, F.max, "_before", found)
+    before = F.coalesce(F.lag(here).over(W.partitionBy(*by, "_stretch").orderBy("record")), F.col("_before"))
+    rows = rows.withColumn("_b", before).withColumn("step", F.col("_b.t") - F.col("_t"))
+    return rows.where((F.col("step") > least) & (F.col("record") - F.col("_b.record") == 1)).select(*by, "record", "step")
+
+
+def filled_forward(df: DataFrame, by: list[str], order: list[str], value: str, name: str, most: int | None = None) -> DataFrame:
+    """``df`` with the last value known so far. A key of more than ``most`` rows is filled in stretches of ``order``'s first column."""
+    found = scans.cuts(df, by, order[0], most)
+    known = F.when(F.col(value).isNotNull(), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).alias("v")))
+    rows = scans.with_carry(scans.with_stretch(df, by, order[0], found), by, known, F.max, "_known", found)
+    last = F.last(value, ignorenulls=True).over(W.partitionBy(*by, "_stretch").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn(name, F.coalesce(last, F.col("_known.v"))).drop("_known", "_stretch")
 
 
 def accrued(df: DataFrame, by: list[str], ts: str, rule: str, tactic: str, window: int = 604_800_000, rules: int = 3, tactics: int = 2, rules_alone: int = 4) -> DataFrame:
