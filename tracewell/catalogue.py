@@ -334,6 +334,17 @@ def rules_many(spark, sf_dir):
     return _found(run_set(MANY, adapt.case(spark, sf_dir), capped=False))
 
 
+#: Five hundred rules, of which a row's user and type route it to a few.
+MANY_MORE = [_rule(id=f"h{i}", where={"user": [i, i + 500], "any_of": [{"eventType": "error"}, {"value|gt": 40 + i % 20}]}, group_by=["user"], threshold=f">= {1 + i % 3}") for i in range(500)]
+
+
+@query(f"WITH e AS ({_EVENTS}), r AS (SELECT i, 40 + i % 20 AS v, 1 + i % 3 AS n FROM range(500) x(i)) SELECT 'h' || i || '|' || CAST(\"user\" AS VARCHAR) AS key, min(ts) AS ts, max(ts) AS \"tsEnd\", count(*) AS count, 'medium' AS severity FROM e JOIN r ON \"user\" IN (i, i + 500) AND (eventType = 'error' OR value > v) GROUP BY i, n, \"user\" HAVING count(*) >= n")
+def rules_500(spark, sf_dir):
+    from .plans.rule_set import run_set
+
+    return _found(run_set(MANY_MORE, adapt.case(spark, sf_dir), capped=False))
+
+
 @query("""WITH o AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS ts, CAST(o_custkey AS VARCHAR) AS c, o_orderpriority AS p FROM orders WHERE o_orderstatus = 'F')
 SELECT 'r|' || c AS key, min(ts) AS ts, max(ts) AS "tsEnd", count(*) AS count, CASE WHEN bool_or(p = '1-URGENT') THEN 'critical' WHEN bool_or(p = '2-HIGH') THEN 'high' ELSE 'low' END AS severity, CASE WHEN bool_or(p = '1-URGENT') THEN '1-URGENT' WHEN bool_or(p = '2-HIGH') THEN '2-HIGH' END AS escalation FROM o GROUP BY c HAVING count(*) >= 3""")
 def rule_then_flags(spark, sf_dir):

@@ -9,7 +9,7 @@ anti join and not an expression.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,6 +44,7 @@ class Context:
     source: str
     schema: T.StructType
     settings: Settings
+    known: dict = field(default_factory=dict, compare=False)  # conditions made so far, as many rules share some
 
     @classmethod
     def of(cls, df: DataFrame, source: str, settings: Settings | None = None) -> Context:
@@ -203,14 +204,18 @@ def _of_list(op: str, value, c: Column, settings: Settings) -> Column:
     raise FilterError(f"operator {op!r} doesn't apply to a list")
 
 
-def condition(field: str, op: str, value, ctx: Context) -> Column:
+def condition(name: str, op: str, value, ctx: Context) -> Column:
     """One condition on a field of the row itself."""
     if op not in OPERATORS:
         raise FilterError(f"unknown operator {op!r}")
-    c, kind = resolve(field, ctx)
-    if op in NEGATIVE:
-        return ~condition(field, NEGATIVE[op], True if op == "empty" else value, ctx)
-    return _of_list(op, value, c, ctx.settings) if kind == "list" else _of_text(op, value, c, kind, ctx.settings)
+    key = (name, op, repr(value))
+    if key not in ctx.known:
+        c, kind = resolve(name, ctx)
+        if op in NEGATIVE:
+            ctx.known[key] = ~condition(name, NEGATIVE[op], True if op == "empty" else value, ctx)
+        else:
+            ctx.known[key] = _of_list(op, value, c, ctx.settings) if kind == "list" else _of_text(op, value, c, kind, ctx.settings)
+    return ctx.known[key]
 
 
 def _split(key: str, value) -> tuple[str, str]:

@@ -4,7 +4,8 @@ Every row gets the numbers of the rules it meets, rows that meet none are gone a
 the rest is laid out once for each rule met. From there on a rule is a value in a column:
 groups, bursts, thresholds, follow-ups and caps of all rules are the same few
 aggregations, so a set of a thousand rules has no more stages than one of ten. Rules are
-taken CHUNK at a time, which bounds the expressions of a pass.
+taken CHUNK at a time, which bounds the expressions of a pass. What a rule's field has to be equal to
+routes it: a row is put only to the rules that its own value of that field may meet.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..operators import filters
@@ -23,7 +25,7 @@ from ..schema import Case
 from ..session import written
 from . import rules as R
 
-CHUNK = 200
+CHUNK = 500
 _META = (
     "rule int, kind string, keys array<string>, names array<string>, distinct string, some boolean, cmp string, least long, after long, cap long, biggest boolean, win long, id_ string, title_ string, severity_ string, "
     "confidence_ string, attack_ array<string>, tags_ array<string>, description_ string, flags_ array<struct<flag:string,rank:int>>, joins array<string>, then_severity string, then_title string, within long"
@@ -69,26 +71,90 @@ def _row_of(i: int, rule: dict, ctx: filters.Context) -> tuple:
     )
 
 
+def _routable(cond: dict | None, name: str, ctx: filters.Context) -> set[str] | None:
+    """The texts of a field outside which a tree can't hold; None if that can't be told by comparing texts."""
+    values = R.pinned(cond, name)
+    if values is None or not all(isinstance(v, (str, int)) and not isinstance(v, bool) and v != "" for v in values):
+        return None
+    if name not in ctx.schema.fieldNames():
+        return None
+    kind = ctx.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return {v.lower() for v in values} if all(isinstance(v, str) for v in values) else None
+    if isinstance(kind, T.IntegralType):
+        numbers = [filters._number(v) for v in values]
+        return {str(int(n)) for n in numbers if n is not None and n == int(n)}
+    return None
+
+
+def _heads(cond: dict | None) -> set[str]:
+    out = set()
+    for key, value in (cond or {}).items():
+        if re.match(r"(any|all)_of", key):
+            for v in value if isinstance(value, list) else [value]:
+                out |= _heads(v)
+        else:
+            out.add(key.partition("|")[0])
+    return out
+
+
+def routes(chunk: list[tuple[int, dict]], ctx: filters.Context) -> tuple[str | None, dict[tuple[int, ...], list[str]]]:
+    """The field that tells most rules apart, and which of its values lead to which rules; rules that it doesn't pin are in none."""
+    best, found = None, {}
+    for name in sorted(set().union(*[_heads(r.get("where")) for _, r in chunk])):
+        to: dict[str, list[int]] = {}
+        own = {i: p for i, r in chunk if (p := _routable(r.get("where"), name, ctx)) is not None}
+        for i, values in own.items():
+            for v in values:
+                to.setdefault(v, []).append(i)
+        # What an average row is spared: rules that values other than its own lead to.
+        spared = len(own) - sum(map(len, to.values())) / max(1, len(to))
+        if spared > (best[0] if best else 0):
+            groups: dict[tuple[int, ...], list[str]] = {}
+            for v, rules in sorted(to.items()):
+                groups.setdefault(tuple(rules), []).append(v)
+            best, found = (spared, name, set(own)), groups
+    return (best[1], found) if best else (None, {})
+
+
+def _met_rules(conds: dict[int, Column], name: str | None, groups: dict[tuple[int, ...], list[str]]) -> Column:
+    """The numbers of the rules that a row meets: those of its value's route, and those without a route."""
+    these = lambda rules: F.array_compact(F.array(*[F.when(conds[i], F.lit(i)) for i in rules]).cast("array<int>"))
+    routed = set().union(*groups) if groups else set()
+    rest = these([i for i in conds if i not in routed])
+    if not groups:
+        return rest
+    text = F.lower(F.col(f"`{name}`").cast("string"))
+    found = None
+    for rules, values in groups.items():
+        found = F.when(text.isin(values), these(rules)) if found is None else found.when(text.isin(values), these(rules))
+    return F.concat(found.otherwise(F.array().cast("array<int>")), rest)
+
+
 def _hits(chunk: list[tuple[int, dict]], source: str, case: Case) -> DataFrame:
     """(rule, id, ts, fields, some, flags): a row of the table once for each rule it meets."""
     table = case[source]
     ctx = filters.Context.of(table, source, case.settings)
     ts = filters.TIME[source]
-    met, some, names = [], [], []
+    met, some, names = {}, [], []
+    by, groups = routes(chunk, ctx)
+    routed = set().union(*groups) if groups else set()
     for i, rule in chunk:
-        cond = V.truth(filters.tree(rule.get("where"), ctx))
+        # What the route says already needn't be asked again.
+        where = {k: v for k, v in (rule.get("where") or {}).items() if i not in routed or k not in (by, f"{by}|eq", f"{by}|in")}
+        cond = V.truth(filters.tree(where, ctx))
         if rule.get("exclude"):
             cond = cond & ~V.truth(filters.tree(rule["exclude"], ctx))
         if (late := R.out_of_hours(rule, case, ts)) is not None:
             cond = cond & V.truth(late)
-        met.append(F.when(cond, F.lit(i)))
+        met[i] = cond
         if rule.get("any_in_group"):
             some.append(F.when(V.truth(filters.tree(rule["any_in_group"], ctx)), F.lit(i)))
         names += [*(rule.get("group_by") or []), *(rule.get("entities") or rule.get("group_by") or R.ENTITIES[source]), *([rule["distinct"]] if rule.get("distinct") else [])]
     fields = _fields(names, ctx)
     every = F.map_from_arrays(F.array(*[F.lit(n) for n in fields]), F.array(*fields.values()))
     flags = F.col("flags").cast("array<string>") if "flags" in table.columns else F.lit(None).cast("array<string>")
-    chosen = table.select("id", F.col(ts).alias("ts"), F.array_compact(F.array(*met)).alias("met"), F.array_compact(F.array(*some, F.lit(None).cast("int"))).alias("holds"), every.alias("fields"), flags.alias("flags")).where(F.size("met") > 0)
+    chosen = table.select("id", F.col(ts).alias("ts"), _met_rules(met, by, groups).alias("met"), F.array_compact(F.array(*some, F.lit(None).cast("int"))).alias("holds"), every.alias("fields"), flags.alias("flags")).where(F.size("met") > 0)
     return chosen.withColumn("rule", F.explode("met")).withColumn("some", F.array_contains("holds", F.col("rule"))).drop("met", "holds")
 
 
@@ -102,25 +168,31 @@ def _entities(fields: Column, names: Column) -> Column:
 
 
 def _groups(hits: DataFrame, meta: DataFrame) -> DataFrame:
-    """Groups that meet their rule's threshold: rule, g, ts, tsEnd, count, entities, refs, seen flags and the row that shows the weightiest."""
-    sliced = hits.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(32)))
-    sliced = sliced.withColumn("_nth", F.row_number().over(W.partitionBy("rule", "g", "_slice").orderBy(F.col("ts").asc_nulls_last(), "id")))
-    shown = F.filter("flags_", lambda x: V.truth(F.array_contains("flags", x["flag"])))
-    weight = F.array_max(F.transform(shown, lambda x: x["rank"]))
-    sliced = sliced.withColumn("_shown", F.transform(shown, lambda x: x["flag"])).withColumn("_weight", weight)
-    first = F.min(F.struct(F.col("ts").isNull().alias("n"), F.col("ts").alias("t"), "id", F.map_entries("fields").alias("fields")))
-    part = sliced.groupBy("rule", "g", "_slice").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts"), F.max("ts").alias("tsEnd"), F.bool_or("some").alias("some"), first.alias("first"), F.collect_list(F.when(F.col("_nth") <= R.MOST_REFS, F.struct("ts", "id"))).alias("r"),
-        F.array_distinct(F.flatten(F.collect_set("_shown"))).alias("seen"), F.max(F.struct("_weight", F.col("id"))).alias("top"),
-    )
-    whole = part.groupBy("rule", "g").agg(
-        F.sum("n").alias("n"), F.min("ts").alias("ts"), F.max("tsEnd").alias("tsEnd"), F.bool_or("some").alias("any"), F.min("first").alias("first"), F.slice(F.array_sort(F.flatten(F.collect_list("r"))), 1, R.MOST_REFS).alias("r"),
-        F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.max("top").alias("top"),
-    )
+    """Groups that meet their rule's threshold: rule, g, ts, tsEnd, count, entities, refs, seen flags and the row that shows the weightiest.
+
+    Groups are counted first, partly before the shuffle; only the rows of those that meet their threshold are looked at
+    again. A group with no more rows than it may refer to gathers them, a larger one in slices.
+    """
+    sizes = hits.groupBy("rule", "g").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts"), F.max("ts").alias("tsEnd"), F.bool_or("some").alias("any"))
     different = hits.where("distinct is not null").select("rule", "g", F.lower(F.col("fields")[F.col("distinct")]).alias("v")).where("v <> ''").distinct().groupBy("rule", "g").agg(F.count(F.lit(1)).alias("d"))
-    out = whole.join(different, ["rule", "g"], "left").join(F.broadcast(meta), "rule")
+    told = sizes.join(different, ["rule", "g"], "left").join(F.broadcast(meta.select("rule", "kind", "distinct", "cmp", "least", "some", "names")), "rule")
     count = F.when(F.col("distinct").isNotNull(), F.coalesce("d", F.lit(0))).otherwise(F.col("n"))
-    out = out.withColumn("count", count).where((F.col("kind") == "row") | (_met(F.col("count")) & (~F.col("some") | F.col("any"))))
+    told = told.withColumn("count", count).where((F.col("kind") == "row") | (_met(F.col("count")) & (~F.col("some") | F.col("any"))))
+    told = written(told.select("rule", "g", "n", "ts", "tsEnd", "count", "names"), "groups")
+
+    shown = F.filter("flags_", lambda x: V.truth(F.array_contains("flags", x["flag"])))
+    rows = hits.select("rule", "g", "ts", "id", "fields", F.transform(shown, lambda x: x["flag"]).alias("_shown"), F.array_max(F.transform(shown, lambda x: x["rank"])).alias("_weight"))
+    first = F.min(F.struct(F.col("ts").isNull().alias("n"), F.col("ts").alias("t"), "id", F.map_entries("fields").alias("fields"))).alias("first")
+    ref = F.struct("ts", "id")
+    more = [first, F.array_distinct(F.flatten(F.collect_set("_shown"))).alias("seen"), F.max(F.struct("_weight", F.col("id"))).alias("top")]
+    small = rows.join(told.where(F.col("n") <= R.MOST_REFS).select("rule", "g"), ["rule", "g"]).groupBy("rule", "g").agg(F.array_sort(F.collect_list(ref)).alias("r"), *more)
+    if not told.where(F.col("n") > R.MOST_REFS).isEmpty():
+        sliced = rows.join(told.where(F.col("n") > R.MOST_REFS).select("rule", "g"), ["rule", "g"]).withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(32)))
+        sliced = sliced.withColumn("_nth", F.row_number().over(W.partitionBy("rule", "g", "_slice").orderBy(F.col("ts").asc_nulls_last(), "id")))
+        part = sliced.groupBy("rule", "g", "_slice").agg(F.collect_list(F.when(F.col("_nth") <= R.MOST_REFS, ref)).alias("r"), *more)
+        large = part.groupBy("rule", "g").agg(F.slice(F.array_sort(F.flatten(F.collect_list("r"))), 1, R.MOST_REFS).alias("r"), F.min("first").alias("first"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.max("top").alias("top"))
+        small = small.unionByName(large)
+    out = told.join(small, ["rule", "g"])
     return out.select("rule", "g", F.lit(None).cast("long").alias("minute"), "ts", "tsEnd", "count", _entities(F.map_from_entries("first.fields"), F.col("names")).alias("entities"), F.transform("r", lambda x: x["id"]).alias("refs"), "seen", F.when(F.col("top._weight").isNotNull(), F.col("top.id")).alias("shows"))
 
 
@@ -195,7 +267,7 @@ def _pass(chunk: list[tuple[int, dict]], source: str, case: Case, capped: bool)
     kinds, folds = {o[1] for o in own}, any(o[1] == "row" and o[8] is not None for o in own)
     use = F.broadcast(meta.select("rule", "kind", "keys", "names", "distinct", F.col("some").alias("needs"), "cmp", "least", "after", "win", "flags_"))
     hits = _hits(chunk, source, case)
-    hits = (written(hits, "hits") if len(kinds) > 1 or folds else hits).join(use, "rule")
+    hits = written(hits, "hits").join(use, "rule")
     number = lambda x: F.lit(x).cast("long")
     parts, many = [], F.lit(False)
     if "row" in kinds:
@@ -234,7 +306,10 @@ def _pass(chunk: list[tuple[int, dict]], source: str, case: Case, capped: bool)
         found = found.withColumn("title", F.lit(None).cast("string"))
     if capped:
         order = F.when(F.col("kind") == "row", F.coalesce(F.when(F.col("rows").isNull(), F.col("ts")), F.col("count"))).when(F.col("biggest"), -F.col("count")).otherwise(F.col("count"))
-        found = found.withColumn("_place", F.row_number().over(W.partitionBy("rule").orderBy(order.asc_nulls_last(), "key"))).where(F.col("_place") <= F.col("cap"))
+        # The first of each slice first, so that no rule's findings are all sorted in one task.
+        for by in (["rule", "_slice"], ["rule"]):
+            sliced = found.withColumn("_slice", F.pmod(F.xxhash64("key"), F.lit(32)))
+            found = sliced.withColumn("_place", F.row_number().over(W.partitionBy(*by).orderBy(order.asc_nulls_last(), "key"))).where(F.col("_place") <= F.col("cap")).drop("_slice")
     said = F.broadcast(meta.select("rule", "title_", "confidence_", "attack_", "tags_", "description_"))
     return found.join(said, "rule").select(
         F.col("id_").alias("ruleId"), F.coalesce("title", "title_").alias("title"), "severity", "key", "ts", "tsEnd", F.col("count").cast("long").alias("count"), "entities", "refs", "escalation",

@@ -302,7 +302,7 @@ def pinned(cond: dict | None, name: str = "eventId") -> set | None:
                 if (p := pinned(v, name)) is not None:
                     own = p if own is None else own & p
         elif head == name and op in ("", "eq", "in"):
-            own = set(value if isinstance(value, list) else [value])
+            own = set(filters._listed(value) if op == "in" else value if isinstance(value, list) else [value])
         if own is not None:
             found = own if found is None else found & own
     return found
