@@ -12,7 +12,7 @@ from .functions import mail, web
 from .functions import values as V
 from .operators import filters, graph, joins, reads, sequences
 from .operators.filters import Context
-from .plans import baseline, correlate, findings, lineage, rules
+from .plans import baseline, correlate, findings, lineage, rules, selection
 from .schema import Case, Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,7 +486,7 @@ def auth_campaign_greedy(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE e AS ({_EVENTS}), s AS (SELECT "user", ts // {24 * H} AS day, row_number() OVER (PARTITION BY "user", ts // {24 * H} ORDER BY ts, id) AS i, CAST(id % 15 AS INTEGER) AS phase, value AS weight FROM e),
 r AS (SELECT "user", day, 0::BIGINT AS i, list_transform(range(15), lambda x: 0.0::DOUBLE) AS best FROM s WHERE i = 1
-UNION ALL SELECT r."user", r.day, s.i, list_transform(range(15), lambda k: CASE WHEN k = s.phase THEN greatest(best[k + 1], list_max(best[1:s.phase + 1]) + s.weight) ELSE best[k + 1] END) FROM r JOIN s ON s."user" = r."user" AND s.day = r.day AND s.i = r.i + 1)
+UNION ALL SELECT r."user", r.day, s.i, list_transform(range(15), lambda k: CASE WHEN k = s.phase THEN greatest(best[k + 1], coalesce(list_max(best[1:s.phase]), 0) + s.weight) ELSE best[k + 1] END) FROM r JOIN s ON s."user" = r."user" AND s.day = r.day AND s.i = r.i + 1)
 SELECT "user", day, CAST(i AS INTEGER) AS steps, round(list_max(best), 4) AS score FROM (SELECT *, max(i) OVER (PARTITION BY "user", day) AS top FROM r) WHERE i = top""")
 def story_score_dp(spark, sf_dir):
     phase = (F.col("id") % 15).cast("int").alias("phase")
@@ -830,18 +830,62 @@ def timestomp_hints(spark, sf_dir):
     return adapt.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(timestomped(t + (line % 3) * 500, t + (line % 4) * 250), ",").alias("hints"))
 
 
-@_events_query("attack_phases", "SELECT id, CASE eventType WHEN 'view' THEN 8 WHEN 'click' THEN 3 WHEN 'purchase' THEN 12 WHEN 'signup' THEN 7 ELSE 14 END AS phase FROM e")
+@_events_query("attack_phases", "SELECT id, CASE eventType WHEN 'view' THEN 9 WHEN 'click' THEN 3 WHEN 'purchase' THEN 13 WHEN 'signup' THEN 8 WHEN 'error' THEN 6 END AS phase FROM e")
 def _(df, ctx):
-    names = F.create_map(*[F.lit(x) for kv in {"view": "Discovery", "click": "execution", "purchase": "Exfiltration", "signup": "credential access"}.items() for x in kv])
+    names = F.create_map(*[F.lit(x) for kv in {"view": "Discovery", "click": "execution", "purchase": "Exfiltration", "signup": "credential access", "error": "evasion"}.items() for x in kv])
     return df.select("id", correlate.phase(F.coalesce(names[F.col("eventType")], F.lit("unknown"))).alias("phase"))
 
 
-@_events_query("stories", f""", c AS (SELECT "user", id, ts, id % 15 AS phase, value AS weight, CASE WHEN ts - lag(ts) OVER (PARTITION BY "user" ORDER BY ts, id) > {48 * H} THEN 1 ELSE 0 END AS cut FROM e), s AS (SELECT *, sum(cut) OVER (PARTITION BY "user" ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS story FROM c)
-SELECT "user" AS subject, CAST(story AS BIGINT) AS story, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM s GROUP BY "user", story""")
-def _(df, ctx):
+@query(f"""WITH RECURSIVE e AS ({_EVENTS}), c AS (SELECT "user", id, ts, CAST(id % 15 AS INTEGER) AS phase, value AS weight, CASE WHEN ts - lag(ts) OVER (PARTITION BY "user" ORDER BY ts, id) > {48 * H} THEN 1 ELSE 0 END AS cut FROM e), s AS (SELECT *, sum(cut) OVER (PARTITION BY "user" ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS story FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY "user", story ORDER BY ts, phase, id) AS i FROM s),
+r AS (SELECT "user", story, 0::BIGINT AS i, list_transform(range(15), lambda x: 0.0::DOUBLE) AS best FROM o WHERE i = 1
+UNION ALL SELECT r."user", r.story, o.i, list_transform(range(15), lambda k: CASE WHEN k = o.phase THEN greatest(best[k + 1], coalesce(list_max(best[1:o.phase]), 0) + o.weight) ELSE best[k + 1] END) FROM r JOIN o ON o."user" = r."user" AND o.story = r.story AND o.i = r.i + 1),
+t AS (SELECT "user" AS subject, CAST(story AS BIGINT) AS story, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM s GROUP BY "user", s.story)
+SELECT t.*, round(list_max(best), 3) AS score FROM t JOIN r ON r."user" = subject AND r.story = t.story AND r.i = t.n""")
+def stories(spark, sf_dir):
     names = F.array(*[F.lit(p) for p in correlate.PHASES])
-    flags = df.select(F.col("user").alias("subject"), "id", "ts", F.element_at(names, (F.col("id") % 15 + 1).cast("int")).alias("tactic"), F.col("value").alias("weight"))
-    return correlate.stories(flags).drop("score")
+    flags = adapt.events(spark, sf_dir).select(F.col("user").alias("subject"), "id", "ts", F.element_at(names, (F.col("id") % 15 + 1).cast("int")).alias("tactic"), F.col("value").alias("weight"))
+    return correlate.stories(flags)
+
+
+_FLAGS = f"e AS ({_EVENTS}), f AS (SELECT * FROM e WHERE eventType = 'error' AND value > 90)"
+_SPANS = f"""w AS (SELECT ts - {2 * H} AS a, ts + {4 * H} AS b FROM f), x AS (SELECT *, CASE WHEN a > max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM w),
+y AS (SELECT *, sum(new) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM x), spans AS (SELECT min(a) AS start, max(b) AS "end" FROM y GROUP BY k)"""
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = adapt.events(spark, sf_dir)
+    return e, e.where("eventType = 'error' and value > 90")
+
+
+def _forms(df: DataFrame) -> dict:
+    return {"names": F.array(F.concat(F.lit("u"), F.col("user"))), "hosts": F.array(F.concat(F.lit("h"), F.col("user") % 97), F.concat(F.lit("h"), F.col("user") % 89))}
+
+
+_KEYS = """p AS (SELECT 'names' AS kind, 'u' || "user" AS key FROM f UNION ALL SELECT 'hosts', 'h' || "user" % 97 FROM f UNION ALL SELECT 'hosts', 'h' || "user" % 89 FROM f),
+n AS (SELECT kind, key, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, key) AS i FROM p GROUP BY 1, 2), keys AS (SELECT kind, key FROM n WHERE i <= CASE kind WHEN 'names' THEN 200 ELSE 20 END)"""
+
+
+@query(f"WITH {_FLAGS}, {_SPANS} SELECT * FROM spans")
+def selection_windows(spark, sf_dir):
+    return selection.windows(_flagged(spark, sf_dir)[1], before=2 * H, after=4 * H, most=None)
+
+
+@query(f"WITH {_FLAGS}, {_KEYS} SELECT kind, key, (SELECT count(DISTINCT q.key) FROM p q WHERE q.kind = keys.kind) > CASE kind WHEN 'names' THEN 200 ELSE 20 END AS cut FROM keys")
+def selection_keys(spark, sf_dir):
+    _, flags = _flagged(spark, sf_dir)
+    chosen, cut = selection.keys(flags, _forms(flags), {"names": 200, "hosts": 20})
+    return chosen.join(cut, "kind")
+
+
+@query(f"""WITH {_FLAGS}, {_SPANS}, {_KEYS}, i AS (SELECT e.* FROM e JOIN spans ON e.ts BETWEEN start AND "end"),
+h AS (SELECT DISTINCT id, ts, value > 80 AS weighty, kind FROM (SELECT i.*, 'names' AS kind, 'u' || "user" AS key FROM i UNION ALL SELECT i.*, 'hosts', 'h' || "user" % 97 FROM i UNION ALL SELECT i.*, 'hosts', 'h' || "user" % 89 FROM i) SEMI JOIN keys USING (kind, key)),
+d AS (SELECT DISTINCT ts FROM f), b AS (SELECT h.*, d.ts AS before FROM h ASOF LEFT JOIN d ON h.ts >= d.ts), g AS (SELECT b.*, d.ts AS after FROM b ASOF LEFT JOIN d ON b.ts <= d.ts), z AS (SELECT *, least(coalesce(ts - before, 9e15), coalesce(after - ts, 9e15))::BIGINT AS away FROM g)
+SELECT id, kind, away FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY weighty DESC, away, ts, id) AS place FROM z) WHERE place <= 700""")
+def selected_rows(spark, sf_dir):
+    e, flags = _flagged(spark, sf_dir)
+    chosen, _ = selection.keys(flags, _forms(flags), {"names": 200, "hosts": 20})
+    return selection.selected(e, flags, chosen, _forms(e), F.col("value") > 80, 700, before=2 * H, after=4 * H)
 
 
 @_events_query("reputation_of_indicators", """, i AS (SELECT 'type' AS kind, eventType AS value, count(*) AS n FROM e GROUP BY 2 UNION ALL SELECT 'user', CAST("user" AS VARCHAR), count(*) FROM e GROUP BY 2) SELECT kind, value, n AS count, CASE WHEN TRY_CAST(value AS INTEGER) % 3 = 0 THEN 'malicious' ELSE 'suspicious' END AS verdict FROM i WHERE kind = 'user' AND TRY_CAST(value AS INTEGER) % 3 < 2""")

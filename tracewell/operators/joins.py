@@ -53,6 +53,24 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, righ
     return both.select(*left.columns, *[F.when(use_f, F.col(f"f_{c}")).otherwise(F.col(f"b_{c}")).alias(f"n_{c}") for c in [right_ts, *take]])
 
 
+def nearest_distance(df: DataFrame, times: DataFrame, ts: str, name: str, width: int = 86_400_000) -> DataFrame:
+    """``df`` with ``name``: how far the nearest of ``times`` (at) is; null if there is none.
+
+    Time is cut into stretches, and each has its own times, the last one before it and the first
+    one after it, so rows and times meet by stretch however far a row's nearest time is.
+    The stretches themselves, a row for each that has rows or times, are laid in one order.
+    """
+    cut = lambda t: F.floor(t / width).cast("long")
+    marks = times.where("at is not null").select("at").distinct().withColumn("_cut", cut(F.col("at")))
+    rows = df.withColumn("_cut", cut(F.col(ts)))
+    ends = marks.groupBy("_cut").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    every = rows.where("_cut is not null").select("_cut").distinct().join(ends, "_cut", "full")
+    w = W.orderBy("_cut")
+    beside = every.select("_cut", F.array_compact(F.array(F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1)), F.min("a").over(W.orderBy(F.desc("_cut")).rowsBetween(W.unboundedPreceding, -1)))).alias("ats"))
+    near = nearest(rows, marks.select("at", "_cut").unionByName(beside.select(F.explode("ats").alias("at"), "_cut")), ["_cut"], ts, "at", [])
+    return near.withColumn(name, F.abs(F.col("n_at") - F.col(ts))).drop("_cut", "n_at")
+
+
 def band(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, before: int, after: int, how: str = "inner") -> DataFrame:
     """Pairs with equal keys and the right time from ``before`` ms before the left one to ``after`` ms after.
 

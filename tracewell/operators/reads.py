@@ -119,12 +119,10 @@ def compacted(df: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
 
 def nearest_first(df: DataFrame, times: DataFrame, ts: str, weighty: Column, limit: int) -> DataFrame:
     """At most ``limit`` rows: weighty ones first, then those nearest to any of the ``times`` (at), then by time and id."""
-    from .joins import nearest
+    from .joins import nearest_distance
 
-    marks = times.select(F.lit(0).alias("_k"), F.col("at").alias("_at")).distinct()
-    near = nearest(df.withColumn("_k", F.pmod(F.xxhash64("id"), F.lit(64))), marks.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("_k", F.col("_k").cast("long")), ["_k"], ts, "_at", [])
-    away = F.abs(F.col("n__at") - F.col(ts))
-    return near.withColumn("away", away).orderBy(V.truth(weighty).desc(), F.col("away").asc_nulls_last(), ts, "id").limit(limit).drop("_k", "n__at")
+    near = nearest_distance(df, times, ts, "away")
+    return near.orderBy(V.truth(weighty).desc(), F.col("away").asc_nulls_last(), ts, "id").limit(limit)
 
 
 def timeline(df: DataFrame, ctx: Context, bucket: str = "hour", f: dict | None = None) -> DataFrame:

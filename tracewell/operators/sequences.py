@@ -198,14 +198,15 @@ def auth_campaigns(df: DataFrame, by: str, failed: Column, succeeded: Column, wi
 
 
 def heaviest_run(steps: Column) -> Column:
-    """The greatest weight of steps in phases that don't fall back: steps is array<struct<phase, weight>> in time order, 15 phases.
+    """The greatest weight of steps whose phases rise, one of each phase: steps is array<struct<phase, weight>> in time order, 15 phases.
 
-    A fold over the array keeps the best total that ends in each phase.
+    A fold over the array keeps the best total that ends in each phase. Steps without a phase are passed over.
     """
     start = F.array_repeat(F.lit(0.0), 15)
+    steps = F.filter(steps, lambda s: s["phase"].isNotNull() & s["weight"].isNotNull())
 
     def take(best: Column, s: Column) -> Column:
-        upto = F.array_max(F.slice(best, F.lit(1), s["phase"] + 1)) + s["weight"]
+        upto = F.coalesce(F.array_max(F.slice(best, F.lit(1), s["phase"])), F.lit(0.0)) + s["weight"]
         return F.transform(best, lambda b, i: F.when(i == s["phase"], F.greatest(b, upto)).otherwise(b))
 
     return F.array_max(F.aggregate(steps, start, take))

@@ -190,22 +190,26 @@ def chains(mails: DataFrame, events: DataFrame, findings: DataFrame | None = Non
 
 # --- stories -------------------------------------------------------------------------
 
-# Phases of an attack in order.
-PHASES = ("reconnaissance", "resource-development", "initial-access", "execution", "persistence", "privilege-escalation", "defense-evasion", "credential-access", "discovery", "lateral-movement", "collection", "command-and-control", "exfiltration", "impact", "other")
+# Phases of an attack in order, and other names of some.
+PHASES = ("reconnaissance", "resource-development", "initial-access", "execution", "persistence", "privilege-escalation", "stealth", "defense-impairment", "credential-access", "discovery", "lateral-movement", "collection", "command-and-control", "exfiltration", "impact")
+PHASE_TAGS = {"brute-force": "credential-access", "defense-evasion": "stealth", "evasion": "stealth", "forwarding": "collection", "log-tampering": "defense-impairment", "mailbox": "collection", "phishing": "initial-access"}
 
 
 def phase(tactic: Column) -> Column:
-    names = F.array(*[F.lit(p) for p in PHASES])
-    at = F.array_position(names, F.lower(F.regexp_replace(tactic, "[ _]", "-"))).cast("int")
-    return F.when(at > 0, at - 1).otherwise(len(PHASES) - 1)
+    """The place of a tactic's phase in the order of phases; null if it is none."""
+    number = {p: i for i, p in enumerate(PHASES)}
+    number |= {tag: number[p] for tag, p in PHASE_TAGS.items()}
+    return F.create_map(*[F.lit(x) for kv in number.items() for x in kv])[F.lower(F.regexp_replace(tactic, "[ _]", "-"))]
 
 
 def stories(flags: DataFrame, gap: int = 48 * HOUR) -> DataFrame:
-    """(subject, story, start, end, n, score): flags (subject, id, ts, tactic, weight) of a subject with no gap of more than two days, scored by their heaviest ordered run."""
+    """(subject, story, start, end, n, score): flags (subject, id, ts, tactic, weight) of a subject with no gap of more than two days, scored by their heaviest run of rising phases as time goes (of one time, in the phases' order)."""
     parts = sequences.gap_sessions(flags.withColumn("phase", phase(F.col("tactic"))), ["subject"], "ts", gap, "story")
-    # Within a story one row a phase and hour is enough for the run, which bounds what is gathered.
-    few = parts.groupBy("subject", "story", "phase", F.expr(f"ts div {HOUR}").alias("h")).agg(F.max("weight").cast("double").alias("weight"), F.min("ts").alias("from"), F.max("ts").alias("to"), F.count(F.lit(1)).alias("n"))
-    out = few.groupBy("subject", "story").agg(F.min("from").alias("start"), F.max("to").alias("end"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("h", "phase", "weight"))).alias("s"))
+    # Flags of one phase one after another are one step of the run, the heaviest: a story gathers as many steps as its phases change.
+    w = W.partitionBy("subject", "story").orderBy("ts", "phase", "id")
+    parts = parts.withColumn("_new", F.when(F.lag("phase").over(w).eqNullSafe(F.col("phase")), 0).otherwise(1)).withColumn("_step", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    few = parts.groupBy("subject", "story", "_step").agg(F.first("phase").alias("phase"), F.max("weight").cast("double").alias("weight"), F.min("ts").alias("from"), F.max("ts").alias("to"), F.count(F.lit(1)).alias("n"))
+    out = few.groupBy("subject", "story").agg(F.min("from").alias("start"), F.max("to").alias("end"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("_step", "phase", "weight"))).alias("s"))
     steps = F.transform("s", lambda x: F.struct(x["phase"].alias("phase"), x["weight"].alias("weight")))
     return out.select("subject", "story", "start", "end", "n", F.round(sequences.heaviest_run(steps), 3).alias("score"))
 

@@ -27,8 +27,12 @@ def authentications(logons: DataFrame, tickets: DataFrame, before: int = TICKET_
 
 def services_after_shares(services: DataFrame, hops: DataFrame, after: int = SERVICE_AFTER) -> DataFrame:
     """(id, hop): the latest way into the host (id, host, start, end) that begins before the service and ends at most five minutes before it."""
-    width = F.lit(after)
-    near = services.select(F.col("id"), "host", "ts").join(hops.select(F.col("id").alias("hop"), "host", "start", "end"), "host").where((F.col("ts") >= F.col("start")) & (F.col("ts") <= F.greatest(F.col("end"), F.col("start")) + width))
+    # A way in lies in each stretch of time that it and what it may lead to touch, a service in its own: a busy host is many stretches.
+    cut = lambda t: F.floor(t / (12 * after)).cast("long")
+    until = F.greatest(F.col("end"), F.col("start")) + after
+    ways = hops.select(F.col("id").alias("hop"), F.col("host").alias("_host"), "start", until.alias("_until")).where("start is not null and _until is not null")
+    ways = ways.withColumn("_cut", F.explode(F.sequence(cut(F.col("start")), cut(F.col("_until")))))
+    near = services.select("id", "host", "ts", cut(F.col("ts")).alias("_at")).join(ways, (F.col("host") == F.col("_host")) & (F.col("_at") == F.col("_cut")) & F.col("ts").between(F.col("start"), F.col("_until")))
     return near.groupBy("id").agg(F.max(F.struct("start", "hop"))["hop"].alias("hop"))
 
 
@@ -56,9 +60,13 @@ def replies(seeds: DataFrame, mails: DataFrame, within: int) -> DataFrame:
     ``seeds`` have id, ts, recipient, sender and messageId; ``mails`` id, ts, sender, toList and inReplyTo.
     """
     to = mails.select(F.col("id").alias("reply"), F.col("ts").alias("at"), F.lower("sender").alias("who"), F.explode_outer("toList").alias("to"), F.trim("inReplyTo").alias("thread"))
-    near = seeds.select(F.col("id").alias("seed"), "ts", F.lower("recipient").alias("who"), F.lower("sender").alias("from"), F.trim("messageId").alias("mid")).join(to, "who")
-    met = near.where((F.col("seed") != F.col("reply")) & (F.col("at") - F.col("ts")).between(0, within) & (V.truth(F.lower("to") == F.col("from")) | V.truth((F.col("thread") == F.col("mid")) & (F.col("mid") != ""))))
-    return met.select("seed", "reply").distinct()
+    first = seeds.select(F.col("id").alias("seed"), "ts", F.lower("recipient").alias("who"), F.lower("sender").alias("from"), F.trim("messageId").alias("mid"))
+    # By who wrote to whom within the band, and by who wrote in which thread: two equi-joins, neither pairs all of a recipient.
+    answers = to.where("to is not null").select(F.col("reply"), F.col("at"), F.col("who"), F.lower("to").alias("from"))
+    by_sender = joins.band(first.where("`from` is not null"), answers, ["who", "from"], "ts", "at", 0, within).select("seed", F.col("r_reply").alias("reply"))
+    threads = to.where("thread <> ''").select("reply", "at", F.col("who").alias("_who"), "thread").distinct()
+    by_thread = first.join(threads, (F.col("who") == F.col("_who")) & (F.col("mid") == F.col("thread"))).where((F.col("at") - F.col("ts")).between(0, within)).select("seed", "reply")
+    return by_sender.unionByName(by_thread).where("seed <> reply").distinct()
 
 
 #: What artifacts look like in a text: addresses, host names, hashes.
