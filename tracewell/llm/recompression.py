@@ -18,18 +18,19 @@ symbols.
    least document, and are answered like high symbols. A window that a smaller
    document has goes.
 
-Texts are written once, in buckets of their part, and read there in each step: only
+A part notes down what it will need of its names, so they are made once. Texts are written once, in buckets of their part, and read there in each step: only
 names and bits are shuffled, once for each part that has them, however often it does.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ WINDOW = 13
 #: Words from which a symbol pairs no more, and rounds of naming.
 LONG, ROUNDS = 64, 16
 #: Words and rows of a part, and rows for each owner of names.
-PART_WORDS, PART_ROWS, ROWS_AN_OWNER = 1_200_000, 50_000, 2_000
-TEXTS, SYMBOLS, WINDOWS, SURE = 0, 1, 2, 3
+PART_WORDS, PART_ROWS, ROWS_AN_OWNER = 500_000, 50_000, 2_000
+TEXTS, SYMBOLS, WINDOWS, SURE, HIGH, OPEN = 0, 1, 2, 3, 4, 5
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240712)
@@ -56,6 +57,11 @@ _TIMES = _odd(256), _odd(256)
 _RUN, _PAIR, _SIDE = _odd(2), _odd(2), _odd(64)
 
 
+def sorted_distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _A
     x = (x ^ (x >> np.uint64(27))) * _B
@@ -67,15 +73,17 @@ def named(first: np.ndarray, second: np.ndarray, lane: int) -> np.ndarray:
 
 
 class Symbols:
-    """Symbols of many texts one after another: two lanes of names, the text, the first word and the length of each."""
+    """Symbols of many texts one after another: two lanes of names, the text and the length of each."""
 
     def __init__(self, lanes: list[np.ndarray], text: np.ndarray) -> None:
         self.lanes, self.text = lanes, text
-        self.first = np.arange(len(text))
         self.length = np.ones(len(text), np.int64)
 
     def _only(self, keep: np.ndarray) -> None:
-        self.lanes, self.text, self.first = [x[keep] for x in self.lanes], self.text[keep], self.first[keep]
+        self.lanes, self.text = [x[keep] for x in self.lanes], self.text[keep]
+
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.length) - self.length
 
     def name_runs(self) -> None:
         same = (self.text[1:] == self.text[:-1]) & (self.lanes[0][1:] == self.lanes[0][:-1]) & (self.lanes[1][1:] == self.lanes[1][:-1])
@@ -90,7 +98,7 @@ class Symbols:
             names[many] = mixed(names[many] * _RUN[lane] + times[many] * _C)
 
     def name_pairs(self, turn: int, long: int) -> None:
-        left = (mixed(self.lanes[0] + _SIDE[turn % 64]) & np.uint64(1)) == 0
+        left = (self.lanes[0] * _SIDE[turn % 64]).view(np.int64) >= 0  # by the top bit
         short = self.length < long
         at = np.flatnonzero(left[:-1] & ~left[1:] & short[:-1] & short[1:] & (self.text[1:] == self.text[:-1]))
         for lane, names in enumerate(self.lanes):
@@ -112,27 +120,15 @@ def recompressed(lanes: list[np.ndarray], text: np.ndarray, long: int = LONG, ro
     return symbols
 
 
-class _Names(dict):
-    """Names of words, kept while a task goes on."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=16).digest(), "little")
-        return found
-
-
 class Part:
     """The names of a part's texts; a text without an id has no say in others and is left as it is."""
 
-    def __init__(self, ids: list, texts: list, window: int) -> None:
-        names, self.words = _Names(), [t.encode().split() for t in texts]  # of bytes: at space and \x09-\x0D only
-        used = [w if i is not None else [] for i, w in zip(ids, self.words, strict=True)]
+    def __init__(self, ids: list, words: list[list[bytes]], window: int) -> None:
+        used = [w if i is not None else [] for i, w in zip(ids, words, strict=True)]
         self.sizes = np.array([len(w) for w in used], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.ids = np.array([i or 0 for i in ids], np.int64)
-        raw = np.frombuffer(b"".join(names[w].to_bytes(16, "little") for ws in used for w in ws), "<u8").reshape(-1, 2)
-        self.lanes = [np.ascontiguousarray(raw[:, 0]), np.ascontiguousarray(raw[:, 1])]
+        names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(used))), "<u8").reshape(-1, 2)
+        self.lanes = [np.ascontiguousarray(names[:, 0]), np.ascontiguousarray(names[:, 1])]
         self.text = np.repeat(np.arange(len(used), dtype=np.int32), self.sizes)
         self.window = window
 
@@ -145,7 +141,7 @@ class Part:
         tops = [mixed(np.add.reduceat(mixed(x ^ mixed(own * _RUN[i] + _C)), heads) * _PAIR[i]) if len(heads) else x for i, x in enumerate(s.lanes)]
         names = np.concatenate([np.stack(s.lanes, 1), np.stack(tops, 1)])
         text = np.concatenate([s.text, s.text[heads]])
-        first, length = np.concatenate([s.first, s.first[heads]]), np.concatenate([s.length, self.sizes[s.text[heads]]])
+        first, length = np.concatenate([s.first(), s.first()[heads]]), np.concatenate([s.length, self.sizes[s.text[heads]]])
         fit = length >= self.window
         return names[fit], text[fit], first[fit], length[fit]
 
@@ -197,12 +193,24 @@ def _prints(names: np.ndarray) -> np.ndarray:
     return (names >> np.uint64(64 - FP_BITS)).astype(np.int64)
 
 
-_TOLD = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("owner", pa.int32()), ("body", pa.binary())])
+_TOLD = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("owner", pa.int32()), ("body", pa.binary())])
+
+
+def _noted(*arrays: np.ndarray) -> bytes:
+    sizes = np.array([len(x) for x in arrays], "<i8").tobytes()
+    return len(arrays).to_bytes(8, "little") + sizes + pa.Codec("zstd").compress(b"".join(x.astype("<i8").tobytes() for x in arrays), asbytes=True)
+
+
+def _notes(body: bytes) -> list[np.ndarray]:
+    n = int.from_bytes(body[:8], "little")
+    sizes = np.frombuffer(body, "<i8", n, 8)
+    values = np.frombuffer(pa.Codec("zstd").decompress(body[8 + 8 * n :], int(sizes.sum()) * 8, asbytes=True), "<i8")
+    return np.split(values, np.cumsum(sizes)[:-1])
 
 
 def _told(kind: int, part: int, sent: list[tuple[int, bytes]]) -> pa.RecordBatch:
     n = len(sent)
-    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([o for o, _ in sent], pa.int32()), pa.array([b for _, b in sent], pa.binary())], schema=_TOLD)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([o for o, _ in sent], pa.int32()), pa.array([b for _, b in sent], pa.binary())], schema=_TOLD)
 
 
 def _first(owners: int, window: int, part_words: int):
@@ -210,12 +218,15 @@ def _first(owners: int, window: int, part_words: int):
 
     def part(number: int, ids: list, texts: list) -> Iterator[pa.RecordBatch]:
         n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array([TEXTS] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_TOLD)
-        own = Part(ids, texts, window)
-        names, text, _, _ = own.high()
+        yield pa.RecordBatch.from_arrays([pa.array([TEXTS] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_TOLD)
+        own = Part(ids, [t.encode().split() for t in texts], window)  # of bytes: at space and \x09-\x0D only
+        names, text, first, length = own.high()
         if len(names):
-            yield _told(SYMBOLS, number, _sent(*distinct(names, own.ids[text])[:2], starts))
-        prints = np.unique(_prints(own.windows()[1]))
+            keys, least, where = distinct(names, own.ids[text])
+            yield _told(SYMBOLS, number, _sent(keys, least, starts))
+            noted = np.stack([first, length, where, own.ids[text] > least[where]])
+            yield _told(HIGH, number, [(0, _noted(_prints(keys[:, 0]), noted.ravel()))])
+        prints = sorted_distinct(_prints(own.windows()[1]))
         cuts = np.searchsorted(prints, starts)
         codes = [(o, rice_encode(prints[a:b], int(starts[o]), int(starts[o + 1] - starts[o]))) for o, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
         if codes:
@@ -267,63 +278,78 @@ def _elsewhere(codes: pd.DataFrame) -> pd.DataFrame:
 _ANSWER = "kind int, part long, owner int, bits binary"
 
 
-class _Judged:
-    """What the answers so far say of a part: words that surely go, and windows that are still to be judged."""
+def _answers(table: pa.Table) -> dict[int, dict[int, bytes]]:
+    bits: dict[int, dict[int, bytes]] = {kind: {} for kind in (SYMBOLS, WINDOWS, SURE, HIGH, OPEN)}
+    for kind, owner, body in zip(table["kind"].to_pylist(), table["owner"].to_pylist(), table["bits"].to_pylist(), strict=True):
+        bits[kind][owner] = body
+    return bits
 
-    def __init__(self, docs: pa.Table, answers: pa.Table, owners: int, window: int) -> None:
-        starts = owner_starts(owners)
-        bits: dict[int, dict[int, bytes]] = {SYMBOLS: {}, WINDOWS: {}, SURE: {}}
-        for kind, owner, body in zip(answers["kind"].to_pylist(), answers["owner"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            bits[kind][owner] = body
-        self.ids, texts = docs["doc_id"].to_pylist(), docs["text"].to_pylist()
-        own = self.part = Part(self.ids, texts, window)
-        self.gone = np.zeros(len(own.text) + 1, np.int64)  # where stretches that go begin, less where they end
-        inside = np.zeros(len(own.text) + 1, np.int64)
-        names, text, first, length = own.high()
-        if len(names):
-            keys, least, where = distinct(names, own.ids[text])
-            goes = _bits(_prints(keys[:, 0]), starts, bits[SYMBOLS])[where] | (own.ids[text] > least[where])
-            for marks, upto in ((self.gone, length), (inside, length - window + 1)):
+
+def _in_order(docs: pa.Table) -> tuple[list, list[list[bytes]]]:
+    """Ids and words of a part's rows, in the order in which they were numbered."""
+    order = np.argsort(docs["pos"].to_numpy()).tolist()
+    ids, texts = docs["doc_id"].to_pylist(), docs["text"].combine_chunks()
+    return [ids[i] for i in order], [texts[i].as_py().encode().split() for i in order]
+
+
+def _second(owners: int, window: int):
+    """A part's windows outside what surely goes, and, for ``_third``, what goes and which windows are open."""
+    starts = owner_starts(owners)
+
+    def run(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        bits = _answers(told)
+        own = Part(*_in_order(docs), window)
+        gone, inside = np.zeros(len(own.text) + 1, np.int64), np.zeros(len(own.text) + 1, np.int64)
+        for body in bits[HIGH].values():
+            prints, noted = _notes(body)
+            first, length, where, over = noted.reshape(4, -1)
+            goes = _bits(prints, starts, bits[SYMBOLS])[where] | (over > 0)
+            for marks, upto in ((gone, length), (inside, length - window + 1)):
                 np.add.at(marks, first[goes], 1)
                 np.add.at(marks, (first + upto)[goes], -1)
         at, names = own.windows()
+        outside = np.cumsum(inside)[at] == 0
         prints = _prints(names)
-        distinct_prints, where = np.unique(prints, return_inverse=True)
-        low, high = np.full(len(distinct_prints), np.iinfo(np.int64).max), np.full(len(distinct_prints), np.iinfo(np.int64).min)
-        ids = own.ids[own.text[at]]
+        every = sorted_distinct(prints)
+        low, high = np.full(len(every), np.iinfo(np.int64).max), np.full(len(every), np.iinfo(np.int64).min)
+        where, ids = np.searchsorted(every, prints), own.ids[own.text[at]]
         np.minimum.at(low, where, ids)
         np.maximum.at(high, where, ids)
-        again = (low < high) | _bits(distinct_prints, starts, bits[WINDOWS])
-        open_ = again[where] & (np.cumsum(inside)[at] == 0)
-        self.at, ids = at[open_], ids[open_]
-        self.keys, self.least, where = distinct(np.stack([names[open_], own.second_lane(self.at)], 1), ids)
-        if bits[SURE]:
-            goes = _bits(_prints(self.keys[:, 0]), starts, bits[SURE])[where] | (ids > self.least[where])
-        else:
-            goes = ids > self.least[where]
-        np.add.at(self.gone, self.at[goes], 1)
-        np.add.at(self.gone, self.at[goes] + window, -1)
-
-
-def _second(owners: int, window: int):
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        judged = _Judged(docs, answers, owners, window)
-        return pa.Table.from_batches([_told(SURE, key[0].as_py(), _sent(judged.keys, judged.least, owner_starts(owners)))]).select(["kind", "part", "owner", "body"])
+        again = ((low < high) | _bits(every, starts, bits[WINDOWS]))[where] & outside
+        at, ids, names = at[again], ids[again], names[again]
+        keys, least, where = distinct(np.stack([names, own.second_lane(at)], 1), ids)
+        goes = ids > least[where]
+        np.add.at(gone, at[goes], 1)
+        np.add.at(gone, at[goes] + window, -1)
+        begins = np.flatnonzero(gone)
+        noted = _noted(_prints(keys[:, 0]), begins, gone[begins], at[~goes], where[~goes])
+        return pa.Table.from_batches([_told(SURE, key[0].as_py(), _sent(keys, least, starts)), _told(OPEN, key[0].as_py(), [(0, noted)])]).select(["kind", "part", "owner", "body"])
 
     return run
 
 
 def _third(owners: int, window: int):
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        judged = _Judged(docs, answers, owners, window)
-        gone, part = np.cumsum(judged.gone)[:-1] > 0, judged.part
-        lost = np.add.reduceat(np.append(gone, False).astype(np.int64), np.minimum(part.starts[:-1], len(gone))) * (part.sizes > 0) if len(part.sizes) else np.zeros(0, np.int64)
-        kept = []
-        for i, words in enumerate(part.words):
-            if lost[i]:
-                words = [w for w, g in zip(words, gone[part.starts[i] : part.starts[i + 1]].tolist(), strict=True) if not g]
-            kept.append(b" ".join(words).decode())
-        return pa.table({"doc_id": pa.array(judged.ids, pa.int64()), "n_words": pa.array([len(w) for w in part.words], pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept": pa.array(kept, pa.string())})
+    starts = owner_starts(owners)
+
+    def run(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        bits = _answers(told)
+        ids, words = _in_order(docs)
+        sizes = [len(w) if i is not None else 0 for i, w in zip(ids, words, strict=True)]
+        gone = np.zeros(sum(sizes) + 1, np.int64)
+        for body in bits[OPEN].values():
+            prints, begins, by, at, where = _notes(body)
+            gone[begins] += by
+            at = at[_bits(prints, starts, bits[SURE])[where]]
+            np.add.at(gone, at, 1)
+            np.add.at(gone, at + window, -1)
+        gone = np.cumsum(gone)[:-1] > 0
+        kept, lost, start = [], [], 0
+        for own, n in zip(words, sizes, strict=True):
+            here = gone[start : start + n]
+            start += n
+            lost.append(int(here.sum()))
+            kept.append(b" ".join([w for w, g in zip(own, here.tolist(), strict=True) if not g] if lost[-1] else own).decode())
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     return run
 
@@ -342,14 +368,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, part_words: int = PAR
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     owners = max(16, -(-docs.count() // ROWS_AN_OWNER))
     with small_batches(spark):
-        told = bucketed(rows.mapInArrow(_first(owners, window, part_words), "kind int, part long, doc_id long, text string, owner int, body binary"), "parts", "part", int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", compression="zstd")
+        told = bucketed(rows.mapInArrow(_first(owners, window, part_words), "kind int, part long, pos int, doc_id long, text string, owner int, body binary"), "parts", "part", int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", compression="zstd")
         table = spark.table(told)
-        texts = table.where(F.col("kind") == TEXTS).select("part", "doc_id", "text").groupBy("part")
+        texts = table.where(F.col("kind") == TEXTS).select("part", "pos", "doc_id", "text").groupBy("part")
         sent = lambda kind: table.where(F.col("kind") == kind).select("kind", "part", "owner", "body").groupBy("owner")
         answers = written(sent(SYMBOLS).applyInPandas(_least_first, _ANSWER).unionByName(sent(WINDOWS).applyInPandas(_elsewhere, _ANSWER)), "answers")
-        asked = written(texts.cogroup(answers.groupBy("part")).applyInArrow(_second(owners, window), "kind int, part long, owner int, body binary"), "windows")
-        sure = written(asked.groupBy("owner").applyInPandas(_least_first, _ANSWER), "sure")
-        kept = written(texts.cogroup(answers.unionByName(sure).groupBy("part")).applyInArrow(_third(owners, window), "doc_id long, n_words long, n_removed long, kept string"), "kept")
+        noted = lambda df, kind: df.where(F.col("kind") == kind).select("kind", "part", "owner", F.col("body").alias("bits"))
+        asked = written(texts.cogroup(answers.unionByName(noted(table, HIGH)).groupBy("part")).applyInArrow(_second(owners, window), "kind int, part long, owner int, body binary"), "windows")
+        sure = written(asked.where(F.col("kind") == SURE).groupBy("owner").applyInPandas(_least_first, _ANSWER), "sure")
+        kept = written(texts.cogroup(sure.unionByName(noted(asked, OPEN)).groupBy("part")).applyInArrow(_third(owners, window), "doc_id long, n_words long, n_removed long, kept string"), "kept")
     unbucketed(spark, told)
     discard(answers, asked, sure)
     return kept
