@@ -123,3 +123,28 @@ def test_components_of_a_long_path_take_few_rounds_and_leave_one_table(spark, mo
     assert rounds["picks"] <= 14
     assert len(files.listStatus(folder)) - before == 1
     assert found.where("root <> 0").count() == 0 and found.count() == n
+
+
+def test_trees_of_all_shapes(spark, monkeypatch):
+    rng = random.Random(6)
+    deep = [(i, i - 1 if i else None) for i in range(3000)]
+    forest = [(i, rng.randrange(i) if i and rng.random() < 0.9 else None) for i in range(500)]
+    odd = [(1, 99), (2, 1), (3, 3), (4, 5), (5, 6), (6, 4), (7, 4), (None, 1), (8, 2)]
+    for rows in (deep, forest, odd, [(1, None)], []):
+        up, want = {i: p for i, p in rows if i is not None}, {}
+        for i in up:
+            seen, at = [i], i
+            while up[at] in up and up[at] != at and len(seen) <= len(up):
+                at = up[at]
+                seen.append(at)
+            want[i] = (None, None) if len(seen) > len(up) else (at, len(seen) - 1)
+        got = {r.k: (r.root, r.depth) for r in graph.trees(spark.createDataFrame(rows, "k long, p long"), "k", "p").collect()}
+        assert got == want
+
+
+def test_nearest_distances(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(10_000) if i % 9 else None) for i in range(400)]
+    for times in ([rng.randrange(3000, 5000) for _ in range(20)] + [9000], [7], []):
+        df = joins.nearest_distance(spark.createDataFrame(rows, "id long, ts long"), spark.createDataFrame([(t,) for t in times], "at long"), "ts", "away", 300)
+        assert {r.id: r.away for r in df.collect()} == {i: None if t is None or not times else min(abs(t - a) for a in times) for i, t in rows}

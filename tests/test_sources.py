@@ -194,3 +194,40 @@ def test_mailboxes_are_split(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(r.fromAddr for r in rows) == sorted(f"a{i}@b.c" for i in range(400))
     assert all(r.subject.startswith("n\u00e4 ") and r.bodyText.startswith("From here on \u00e9t\u00e9") for r in rows)
+
+
+def _values(rng, depth=0):
+    if depth < 3 and rng.random() < 0.3:
+        return {rng.choice(["a", 'b"', "c\\", "{", "é"]): _values(rng, depth + 1) for _ in range(rng.randint(0, 3))}
+    if depth < 3 and rng.random() < 0.3:
+        return [_values(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+    return rng.choice([1, None, True, "x", "}{", '"', "\\", '\\"}', "[", "line\nfeed", "ü" * 5])
+
+
+def test_arrays_are_read_in_blocks(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    records = [{"i": i, "v": _values(rng), "s": "q" * rng.choice([0, 3, 900])} for i in range(120)]
+    texts = {
+        "one": (json.dumps(records), 1), "pretty": (json.dumps(records, indent=2, ensure_ascii=False), 1), "two": (json.dumps(records[:50]) + "\n" + json.dumps(records[50:]), 1),
+        "mixed": ("[" + ", ".join(json.dumps(r) + rng.choice(["", ", 5", ', "}{"', ', [1,"]"]']) for r in records) + "]", 1), "empty": ("[]", 1), "none": ("", 1), "cut": (json.dumps(records)[:-1000], 1),
+        "wrapped": (json.dumps({"@c": "x{", "m": {"n": 1}, "value": records, "z": "}"}), 2), "pages": ("\n".join(json.dumps({"value": records[i : i + 50], "next": str(i)}) for i in range(0, 120, 50)), 2),
+    }
+    keys = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        for name, (text, depth) in texts.items():
+            (tmp_path / name).mkdir()
+            (tmp_path / name / "f.json").write_text(text)
+            rows = readers.array_records(spark, str(tmp_path / name), depth)
+            got = [json.loads(r.data) for r in rows.orderBy("place").collect()]
+            assert got == (records if name not in ("empty", "none", "cut") else records[: len(got)]), name
+            assert len(got) >= (0 if name in ("empty", "none") else 110), name
+        assert readers.array_records(spark, str(tmp_path / "one")).select("file").distinct().count() == 1
+        assert readers.audit_records(spark, str(tmp_path / "one"), depth=1).count() == 120
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

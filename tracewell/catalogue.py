@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapt
-from .functions import mail, web
+from .functions import mail, powershell, web
 from .functions import values as V
 from .operators import filters, graph, joins, reads, sequences
 from .operators.filters import Context
@@ -681,6 +681,26 @@ def _(df, ctx):
     return correlate.parents(rows).select("id", "parent")
 
 
+@query(f"""WITH RECURSIVE e AS ({_EVENTS}), p AS (SELECT id, ts, {_HOST} AS host, id % 40 AS pid, id % 40 AS ppid FROM e),
+r AS (SELECT a.id, b.id AS parent, row_number() OVER (PARTITION BY a.id ORDER BY b.ts DESC, b.id DESC) AS k FROM p a LEFT JOIN p b ON a.host = b.host AND a.ppid = b.pid AND b.ts <= a.ts - 1), u AS (SELECT id, parent FROM r WHERE k = 1),
+t AS (SELECT id, id AS root, 0::BIGINT AS depth FROM u WHERE parent IS NULL UNION ALL SELECT u.id, t.root, t.depth + 1 FROM u JOIN t ON u.parent = t.id) SELECT id, root, depth FROM t""")
+def process_trees(spark, sf_dir):
+    rows = adapt.events(spark, sf_dir).select("id", "ts", (F.col("user") % 7).alias("host"), (F.col("id") % 40).alias("pid"), (F.col("id") % 40).alias("parentPid"), F.lit(None).cast("string").alias("parentName"), F.lit("n").alias("name"))
+    return graph.trees(correlate.parents(rows, 2**60).select("id", "parent"), "id", "parent")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'Get-Item -Path ''' || o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || 'it''''s line two' ELSE '' END || '''' || CASE WHEN o_orderkey % 5 < 2 THEN ' | Where-Object ''' || o_custkey || ''' -Force' ELSE '' END END AS command FROM orders""")
+def powershell_pipelines(spark, sf_dir):
+    """Orders as payloads: a path of one or two lines, in a quarter a command of the host's, in two fifths a second command after an error; a seventh name no command."""
+    k, binding = F.col("o_orderkey"), lambda of, name, value: F.concat(F.lit(f'ParameterBinding({of}): name="{name}"; value="'), value, F.lit('"'))
+    path = F.concat("o_orderpriority", F.when(k % 3 == 0, "\r\nit's line two").otherwise(""))
+    host = F.when(k % 4 == 0, F.concat(F.lit('CommandInvocation(Out-Default): "Out-Default"\n'), binding("Out-Default", "InputObject", F.lit("x")), F.lit("\n"))).otherwise("")
+    second = F.concat(F.lit('CommandInvocation(Where-Object): "Where-Object"\nNonTerminatingError(Where-Object): "no"\n'), binding("Where-Object", "", F.col("o_custkey").cast("string")), F.lit("\n"), binding("Where-Object", "Force", F.lit("True")))
+    named = F.concat(F.lit('CommandInvocation(Get-Item): "Get-Item"\n'), binding("Get-Item", "Path", path), F.lit("\n"), host, F.when(k % 5 < 2, second).otherwise("Context:"))
+    payload = F.when(k % 7 == 0, binding("x", "a", F.lit("b"))).otherwise(named)
+    return adapt.read(spark, sf_dir, "orders").select("o_orderkey", powershell.pipeline(payload).alias("command"))
+
+
 @_events_query("same_process", f""", a AS (SELECT *, {_HOST} AS host, id % 3 AS pid FROM e) SELECT x.id AS a_id, y.id AS b_id FROM a x JOIN a y ON x.host = y.host AND x.pid = y.pid AND abs(x.ts - y.ts) <= 600000 WHERE x.eventType = 'view' AND y.eventType = 'click'""")
 def _(df, ctx):
     more = [(F.col("user") % 7).alias("host"), (F.col("id") % 3).alias("pid"), F.lit("n").alias("name")]

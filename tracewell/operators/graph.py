@@ -74,3 +74,26 @@ def ancestors(df: DataFrame, key: str, parent: str, depth: int = 6) -> DataFrame
         last = last.join(link, F.col("ancestor") == F.col("_k")).where(~F.array_contains("path", F.col("_p"))).select(key, F.col("_p").alias("ancestor"), F.lit(level).alias("level"), F.array_append("path", F.col("_p")).alias("path"))
         every = every.unionByName(last)
     return every.drop("path")
+
+
+def trees(df: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, root, depth) of every row of a forest: the ancestor without a parent among the keys, and how many steps it is away.
+
+    Pointers are doubled: each round a row that hasn't reached its root takes over where its
+    pointer points to, so a tree of depth d takes about log2(d) rounds. What lies on or below a
+    circle never reaches a root: it has neither root nor depth. Keys are distinct; a row whose parent is itself is a root.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(parent).alias("p")).where("id is not null")
+    known = rows.select(F.col("id").alias("_id"))
+    start = rows.join(known, F.col("p") == F.col("_id"), "left").select("id", F.when(F.col("_id") == F.col("id"), None).otherwise(F.col("_id")).alias("up"))
+    # up is null once the row stands for itself: at first the roots. done says that ``at`` is a root.
+    state = written(start.select("id", F.coalesce("up", "id").alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("up").isNull().alias("done")), "trees")
+    left = most = state.where("not done").count()
+    reach = 1
+    while left and reach <= 2 * most:  # a row that is open after so many rounds is below a circle, as every path is shorter
+        of = state.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        moved = state.where("not done").join(of, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        last, state = state, written(state.where("done").unionByName(moved), "trees")
+        discard(last)
+        left, reach = state.where("not done").count(), reach * 2
+    return state.select(F.col("id").alias(key), F.when(F.col("done"), F.col("at")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))

@@ -24,6 +24,7 @@ from ..functions import values as V
 from ..operators.filters import context_lines
 from ..operators.sequences import filled_forward
 from ..schema import conform
+from .json_arrays import array_records
 
 # First bytes of containers.
 MAGIC = {"zip": b"PK\x03\x04", "gz": b"\x1f\x8b", "bz2": b"BZh", "xz": b"\xfd7zXZ\x00", "evtx": b"ElfFile\x00", "pst": b"!BDN", "msg": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"}
@@ -71,12 +72,14 @@ def event_xml(spark: SparkSession, path: str) -> DataFrame:
     return flattened(rows)
 
 
-def json_records(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+def json_records(spark: SparkSession, path: str, lines: bool = True, depth: int | None = None) -> DataFrame:
     """(data): the text of each record of JSON lines, or of files that hold one array, one record, or records under ``value`` or ``records``.
 
-    An array's file is one row until it is taken apart, so a file must fit in a task;
-    exports of any size come as JSON lines.
+    An array's file is one row until it is taken apart, so a file must fit in a task, unless ``depth`` says how deep its records
+    lie (1: in an array, 2: in an array of an object); then files of any size are read in parallel.
     """
+    if depth is not None:
+        return array_records(spark, path, depth).select("data")
     raw = spark.read.text(path, wholetext=not lines).select(F.trim("value").alias("data")).where("data <> ''")
     if lines:
         return raw
@@ -85,9 +88,9 @@ def json_records(spark: SparkSession, path: str, lines: bool = True) -> DataFram
     return raw.select(F.explode(F.coalesce(many, F.array("data"))).alias("data"))
 
 
-def event_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+def event_json(spark: SparkSession, path: str, lines: bool = True, depth: int | None = None) -> DataFrame:
     """Exports of other tools as JSON: their names for computer, record and time are looked for in turn."""
-    raw = json_records(spark, path, lines)
+    raw = json_records(spark, path, lines, depth)
     first = lambda *names: F.coalesce(*[F.get_json_object("data", f"$.{n}") for n in names])
     rows = raw.select(
         "data", first("EventId", "EventID", "winlog.event_id", "event_id").alias("eventId"), first("Computer", "winlog.computer_name", "host.name").alias("computer"), first("Channel", "winlog.channel").alias("channel"), first("Provider", "winlog.provider_name").alias("provider"),
@@ -112,17 +115,17 @@ def one_a_key(rows: DataFrame) -> DataFrame:
     return rows.where("recordKey is null").unionByName(rows.where("recordKey is not null").dropDuplicates(["recordKey"]))
 
 
-def audit_records(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+def audit_records(spark: SparkSession, path: str, lines: bool = True, depth: int | None = None) -> DataFrame:
     """Unified audit records, JSON or CSV with an AuditData column, one a record key."""
-    raw = csv_records(spark, path, "AuditData").where("not bad").select("data") if path.lower().endswith(".csv") else json_records(spark, path, lines)
+    raw = csv_records(spark, path, "AuditData").where("not bad").select("data") if path.lower().endswith(".csv") else json_records(spark, path, lines, depth)
     get = lambda k: V.json_field(F.col("data"), k)
     rows = raw.select("data", get("Operation").alias("operation"), F.coalesce(get("ResultStatus"), get("Status")).alias("status"), F.lower(F.coalesce(get("UserId"), get("UserKey"))).alias("upn"), F.regexp_replace(F.coalesce(get("ClientIP"), get("ClientIPAddress"), get("ActorIpAddress")), r"^\[?([0-9a-fA-F.:]+?)\]?(:\d+)?$", "$1").alias("ipAddress"), iso_millis(get("CreationTime")).alias("ts"), get("Id").alias("recordKey"))
     return one_a_key(conform(rows, "events"))
 
 
-def sign_ins(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+def sign_ins(spark: SparkSession, path: str, lines: bool = True, depth: int | None = None) -> DataFrame:
     """Sign-in records as events; the error code says whether it failed."""
-    raw = json_records(spark, path, lines)
+    raw = json_records(spark, path, lines, depth)
     get = lambda p: F.get_json_object("data", f"$.{p}")
     rows = raw.select("data", F.lit("SignIn").alias("operation"), F.when(get("status.errorCode") == "0", "Success").when(get("status.errorCode").isNotNull(), "Failure").alias("status"), F.lower(get("userPrincipalName")).alias("upn"), get("ipAddress").alias("ipAddress"), get("userAgent").alias("userAgent"), iso_millis(get("createdDateTime")).alias("ts"), get("id").alias("recordKey"))
     return one_a_key(conform(rows, "events"))
