@@ -12,7 +12,7 @@ from .functions import mail, powershell, web
 from .functions import values as V
 from .operators import filters, graph, joins, reads, sequences
 from .operators.filters import Context
-from .plans import baseline, correlate, findings, lineage, rules, selection
+from .plans import baseline, correlate, decisions, findings, lineage, rules, selection
 from .schema import Case, Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -603,9 +603,11 @@ def fold_below_level(spark, sf_dir):
     return findings.fold_below(_as_findings(spark, sf_dir), "medium")
 
 
-@query(f"WITH e AS ({_EVENTS}), h AS (SELECT DISTINCT eventType, \"user\" % 7 AS host FROM e WHERE value > 99) SELECT eventType AS \"ruleId\", count(*) AS hosts, (SELECT count(DISTINCT host) FROM h) AS \"of\" FROM h GROUP BY 1 HAVING count(*) * 2 >= (SELECT count(DISTINCT host) FROM h) AND (SELECT count(DISTINCT host) FROM h) >= 3")
+@query(f"WITH e AS ({_EVENTS}), h AS (SELECT DISTINCT eventType || CASE WHEN \"user\" % 10 = 0 THEN '0' ELSE CAST(\"user\" AS VARCHAR) END AS eventType, \"user\" % 13 AS host FROM e) SELECT eventType AS \"ruleId\", count(*) AS hosts, (SELECT count(DISTINCT host) FROM h) AS \"of\" FROM h GROUP BY 1 HAVING count(*) * 2 >= (SELECT count(DISTINCT host) FROM h) AND (SELECT count(DISTINCT host) FROM h) >= 3")
 def fold_widespread(spark, sf_dir):
-    return findings.widespread(_as_findings(spark, sf_dir, "value > 99"))
+    rule = F.concat("ruleId", F.when(F.col("entities.targetUser").cast("long") % 10 == 0, "0").otherwise(F.col("entities.targetUser")))
+    host = F.create_map(F.lit("computer"), (F.col("entities.targetUser").cast("long") % 13).cast("string"))
+    return findings.widespread(_as_findings(spark, sf_dir).select(rule.alias("ruleId"), host.alias("entities")))
 
 
 @query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC")
@@ -868,6 +870,26 @@ def stories(spark, sf_dir):
     return correlate.stories(flags)
 
 
+_DECIDED = """s AS (SELECT "user" % 200 AS story, id AS step, ts FROM e), a AS (SELECT DISTINCT "user" % 200 AS story, 'a' || "user" AS anchor FROM e),
+g AS (SELECT s_suppkey AS n, s_suppkey * 7919 % 1000 AS decided, CASE s_suppkey % 3 WHEN 0 THEN 'out' WHEN 1 THEN 'merge' ELSE 'split' END AS kind, 'a' || s_suppkey * 13 % 1000 AS anchor, 'a' || s_suppkey * 29 % 1000 AS into_, (s_suppkey * 31) AS ref FROM supplier),
+d AS (SELECT g.*, story FROM g JOIN a USING (anchor)), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY story, kind ORDER BY decided DESC, n DESC) AS k FROM d WHERE kind <> 'out') WHERE k = 1),
+l AS (SELECT * FROM s WHERE (story, step) NOT IN (SELECT story, x FROM d, LATERAL (SELECT unnest([ref, ref + 200, ref + 1000]) AS x) WHERE kind = 'out')),
+m AS (SELECT c.story, a.story AS target FROM c JOIN a ON a.anchor = c.into_ WHERE c.kind = 'merge' AND a.story <> c.story),
+r AS (SELECT story, story AS cur, [story] AS seen, false AS round FROM (SELECT DISTINCT story FROM s) UNION ALL SELECT r.story, m.target, list_append(seen, m.target), list_contains(seen, m.target) FROM r JOIN m ON m.story = r.cur WHERE NOT round),
+o AS (SELECT story, CASE WHEN bool_or(round) THEN story ELSE arg_max(cur, len(seen)) END AS root FROM r GROUP BY story),
+t AS (SELECT root AS story, step, ts FROM l JOIN o USING (story)), f AS (SELECT story, min((ts, step)) AS begins FROM t GROUP BY story), p AS (SELECT t.story, min((ts, step)) AS place FROM t JOIN c ON c.story = t.story AND c.kind = 'split' AND c.ref = t.step GROUP BY t.story)"""
+
+
+@query(f"WITH RECURSIVE e AS ({_EVENTS}), {_DECIDED} SELECT t.story, CAST(coalesce(place > begins AND (ts, step) >= place, false) AS INTEGER) AS part, step, ts FROM t JOIN f USING (story) LEFT JOIN p USING (story)")
+def story_decisions(spark, sf_dir):
+    e, k = adapt.events(spark, sf_dir), F.col("s_suppkey")
+    steps = e.select((F.col("user") % 200).alias("story"), F.col("id").alias("step"), "ts", F.array("id").alias("refs"))
+    anchors = e.select((F.col("user") % 200).alias("story"), F.concat(F.lit("a"), "user").alias("anchor")).distinct()
+    named = lambda times: F.array(F.concat(F.lit("a"), k * times % 1000))
+    log = adapt.read(spark, sf_dir, "supplier").select(k.alias("n"), (k * 7919 % 1000).alias("at"), F.element_at(F.array(F.lit("out"), F.lit("merge"), F.lit("split")), (k % 3 + 1).cast("int")).alias("kind"), named(13).alias("anchor"), named(29).alias("into"), F.array(k * 31, k * 31 + 200, k * 31 + 1000).alias("refs"), (k * 31).alias("ref"))
+    return decisions.replayed(steps, anchors, log).select("story", "part", "step", "ts")
+
+
 _FLAGS = f"e AS ({_EVENTS}), f AS (SELECT * FROM e WHERE eventType = 'error' AND value > 90)"
 _SPANS = f"""w AS (SELECT ts - {2 * H} AS a, ts + {4 * H} AS b FROM f), x AS (SELECT *, CASE WHEN a > max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM w),
 y AS (SELECT *, sum(new) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM x), spans AS (SELECT min(a) AS start, max(b) AS "end" FROM y GROUP BY k)"""
@@ -1106,11 +1128,12 @@ def access_names(spark, sf_dir):
     return adapt.read(spark, sf_dir, "orders").select("o_orderkey", V.named_codes(raw, {"4416": "Read", "4417": "Write"}).alias("access"))
 
 
-@query("SELECT 'a' AS list UNION ALL SELECT 'c'")
+@query("SELECT p_partkey, p_brand AS list FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12') UNION ALL SELECT p_partkey, p_type FROM part WHERE p_partkey % 2 = 0 AND p_type <> p_brand")
 def empty_settings(spark, sf_dir):
-    case = Case({"events": adapt.events(spark, sf_dir)}, Settings(lists={"b": ["x"]}))
-    found = rules.empty_settings({"user|in_setting": "a", "all_of": [{"user|in_setting": "b"}, {"eventType|in_setting": "c"}], "any_of": [{"user|in_setting": "d"}], "not": {"user|in_setting": "e"}}, case)
-    return spark.createDataFrame([(x,) for x in found], "list string")
+    """Parts as rules: the brand's list in AND position, the type's too for even keys, another in OR position, which may be empty."""
+    in_setting = lambda c: F.to_json(F.struct(F.col(c).alias("x|in_setting")))
+    rows = adapt.read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('{"y|in_setting":'), F.to_json(F.struct(F.col("p_brand").alias("v"))).substr(F.lit(6), F.length("p_brand") + 2), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(',"all_of":['), in_setting("p_type"), F.lit("]"))).otherwise(""), F.lit(',"any_of":[{"z|in_setting":"nothing"}]}')).alias("cond"))
+    return rules.empty_settings_of(rows, "p_partkey", "cond", Settings(lists={"Brand#11": ["x"], "Brand#12": ["y"]}))
 
 
 @query(f"""WITH e AS ({_EVENTS}), {_STEPS}, g AS (SELECT mail, CAST(who % 300 AS VARCHAR) AS identity, kind, step, ts % 2000000000 AS ts, CAST(step % 4 AS INTEGER) AS weight, step % 5 AS src, CASE WHEN c.weight > 85 THEN 4 END AS found, CASE WHEN c.weight < 25 THEN 2 ELSE 0 END AS links FROM c),

@@ -7,8 +7,10 @@ sliding window, and may look for a follow-up (``then``) that escalates the findi
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
+import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,7 +20,7 @@ from ..functions import values as V
 from ..operators import filters
 from ..operators.joins import first_in_band
 from ..operators.sequences import bursts
-from ..schema import Case
+from ..schema import Case, Settings
 
 # Limits on findings and on the rows that one finding names.
 MOST_FINDINGS, MOST_REFS, COLLAPSE_AFTER = 2000, 5000, 200
@@ -326,6 +328,18 @@ def empty_settings(cond: dict | None, case: Case) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def empty_settings_of(df: DataFrame, key: str, cond: str, settings: Settings) -> DataFrame:
+    """(key, list) for a table of rules whose conditions are JSON: the lists that each can't hold without and that have nothing in them."""
+    case = Case({}, settings)
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, name) for k, text in zip(batch[key], batch[cond], strict=True) for name in empty_settings(json.loads(text) if text else None, case)]
+            yield pd.DataFrame(rows, columns=[key, "list"])
+
+    return df.select(key, cond).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, list string")
+
+
 def run_rules(rules: list[dict], case: Case) -> DataFrame:
     """The findings of all rules, found in one pass over each table."""
     from .rule_set import run_set
