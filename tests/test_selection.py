@@ -65,3 +65,30 @@ def test_powershell_pipelines(spark):
     df = spark.createDataFrame([(p, w) for p, w in PAYLOADS.items()] + [(None, None)], "payload string, want string")
     for r in df.select("*", powershell.pipeline(F.col("payload")).alias("got")).collect():
         assert r.got == r.want, r.payload
+
+
+def test_unchanged_mails_are_not_scored_again(spark, tmp_path):
+    from tracewell.plans import rescore
+
+    marks = {"spf_fail": 20, "dkim_fail": 25, "hidden_text": 40, "other": 7}
+    rows = [(i, [f for k, f in enumerate([*marks, "unknown", "att_x"]) if i >> k & 1] if i else None, i % 2 == 0, i % 3 == 0, None, False, i % 100) for i in range(64)]
+    schema = "id long, flags array<string>, authenticated boolean, bulk boolean, internal boolean, trusted boolean, attachmentRisk int"
+    seen, store = [], str(tmp_path / "scores")
+
+    def score(mails):
+        seen.append(mails.count())
+        return rescore.mail_scores(mails, marks, ["hidden_text"])
+
+    def run(given, version="1"):
+        return rescore.update(spark.createDataFrame(given, schema), "id", ["flags", "authenticated", "bulk", "internal", "trusted", "attachmentRisk"], score, store, version)
+
+    assert rescore.current(spark, store) is None
+    assert run(rows) == 64 and run(rows) == 0
+    changed = [(9, [], *rows[9][2:]), *rows[:9], *rows[10:50]]
+    assert run(changed) == 1
+    assert seen == [64, 0, 1]
+    last = {r.key: r for r in rescore.current(spark, store).collect()}
+    assert {k for k, r in last.items() if r.gone} == set(range(50, 64))
+    assert last[9].generation == 2 and last[9].risk == 8 and last[8].generation == 1
+    assert run(rows) == 15 and run(rows, "2") == 64
+    assert rescore.current(spark, store).where("gone").count() == 0

@@ -12,8 +12,9 @@ from .functions import mail, powershell, web
 from .functions import values as V
 from .operators import filters, graph, joins, reads, sequences
 from .operators.filters import Context
-from .plans import baseline, correlate, decisions, findings, lineage, rules, selection
+from .plans import baseline, correlate, decisions, findings, lineage, rescore, rules, selection
 from .schema import Case, Settings
+from .session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -890,6 +891,29 @@ def story_decisions(spark, sf_dir):
     return decisions.replayed(steps, anchors, log).select("story", "part", "step", "ts")
 
 
+_MARKS = {"spf_fail": 20, "dkim_fail": 25, "replyto_other": 30, "url_many": 12, "hidden_text": 40, "odd_hour": 8}
+
+
+@query("""WITH m AS (SELECT o_orderkey AS id, o_orderkey % 10 = 0 AS changed, list_filter(['spf_fail', 'dkim_fail', 'replyto_other', 'url_many', 'hidden_text', 'odd_hour'], lambda f, i: (o_orderkey // (i + 1)) % 3 = 0 OR (o_orderkey % 10 = 0 AND f = 'url_many')) AS f, o_custkey % 4 = 0 AS auth, o_custkey % 3 = 0 AS bulk, o_custkey % 90 AS att FROM orders),
+g AS (SELECT *, list_filter([CASE WHEN list_contains(f, 'dkim_fail') THEN 25 WHEN list_contains(f, 'spf_fail') THEN 20 END, CASE WHEN list_contains(f, 'replyto_other') THEN 30 END, CASE WHEN list_contains(f, 'url_many') THEN 12 END, CASE WHEN list_contains(f, 'hidden_text') THEN 40 END, CASE WHEN list_contains(f, 'odd_hour') THEN 8 END], lambda x: x IS NOT NULL) AS p FROM m),
+r AS (SELECT *, CASE WHEN len(p) = 0 THEN 0 ELSE list_max(p) + coalesce(list_sum([least(x, 30) // 4 FOR x IN list_reverse_sort(p)[2:]]), 0) END AS raw FROM g)
+SELECT id, CASE WHEN changed AND (id // 5) % 3 <> 0 THEN 2 ELSE 1 END AS generation, CAST(least(100, greatest(CASE WHEN list_contains(f, 'hidden_text') AND NOT bulk THEN raw ELSE least(raw, CASE WHEN auth AND bulk THEN 20 WHEN auth THEN 35 ELSE 45 END) END, floor(att * 0.9))) AS INTEGER) AS risk FROM r""")
+def mail_rescoring(spark, sf_dir):
+    """Orders as messages, scored once, then again after a tenth has got a flag: generation 2 is of those that hadn't had it."""
+    import uuid
+
+    o = adapt.read(spark, sf_dir, "orders")
+    store = f"{shared_dir(spark)}/tables/scores-{uuid.uuid4().hex}"
+
+    def mails(more):
+        marks = [F.when(F.expr(f"(o_orderkey div {i + 1}) % 3 = 0") | (F.lit(f == "url_many") & more), f) for i, f in enumerate(_MARKS, 1)]
+        return o.select(F.col("o_orderkey").alias("id"), F.array_compact(F.array(*marks)).alias("flags"), (F.col("o_custkey") % 4 == 0).alias("authenticated"), (F.col("o_custkey") % 3 == 0).alias("bulk"), F.lit(False).alias("internal"), F.lit(None).cast("boolean").alias("trusted"), (F.col("o_custkey") % 90).cast("int").alias("attachmentRisk"))
+
+    for more in (F.lit(False), F.col("o_orderkey") % 10 == 0):
+        rescore.update(mails(more), "id", ["flags", "authenticated", "bulk", "internal", "trusted", "attachmentRisk"], lambda m: rescore.mail_scores(m, _MARKS, ["hidden_text"]), store, "1")
+    return rescore.current(spark, store).select(F.col("key").alias("id"), "generation", "risk")
+
+
 _FLAGS = f"e AS ({_EVENTS}), f AS (SELECT * FROM e WHERE eventType = 'error' AND value > 90)"
 _SPANS = f"""w AS (SELECT ts - {2 * H} AS a, ts + {4 * H} AS b FROM f), x AS (SELECT *, CASE WHEN a > max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM w),
 y AS (SELECT *, sum(new) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM x), spans AS (SELECT min(a) AS start, max(b) AS "end" FROM y GROUP BY k)"""
