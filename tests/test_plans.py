@@ -93,7 +93,7 @@ def test_heaviest_run(spark):
         best = 0.0
         for mask in range(1 << len(steps)):
             chosen = [s for i, s in enumerate(steps) if mask >> i & 1]
-            if all(a[0] <= b[0] for a, b in zip(chosen, chosen[1:], strict=False)):
+            if all(a[0] < b[0] for a, b in zip(chosen, chosen[1:], strict=False)):
                 best = max(best, sum(w for _, w in chosen))
         rows.append((k, steps))
         want.append((k, best))
