@@ -77,4 +77,4 @@ def filtered(df: DataFrame, hashes: DataFrame, of: Column) -> DataFrame:
     return with_mark(df, hashes, of, "_may").where("_may").drop("_may")
 
 
-__all__ = ["WORD", "bucketed", "discard", "filtered", "read", "shared_dir", "small_batches", "unbucketed", "whole", "with_mark", "written"]
+__all__ = ["WORD", "bucketed", "delete", "discard", "filtered", "read", "shared_dir", "small_batches", "unbucketed", "whole", "with_mark", "written"]

@@ -24,7 +24,9 @@ names and bits are shuffled, once for each part that has them, however often it
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from itertools import chain
 
 import numpy as np
@@ -35,14 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, discard, small_batches, unbucketed, whole, written
+from .common import bucketed, delete, discard, shared_dir, small_batches, unbucketed, whole, written
 from .exact_dedup import FP_BITS, owner_starts, rice_decode, rice_encode
 
 WINDOW = 13
 #: Words from which a symbol pairs no more, and rounds of naming.
 LONG, ROUNDS = 64, 16
 #: Words and rows of a part, and rows for each owner of names.
-PART_WORDS, PART_ROWS, ROWS_AN_OWNER = 500_000, 50_000, 2_000
+PART_WORDS, PART_ROWS, ROWS_AN_OWNER = 250_000, 50_000, 2_000
 TEXTS, SYMBOLS, WINDOWS, SURE, HIGH, OPEN = 0, 1, 2, 3, 4, 5
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -177,7 +179,7 @@ def distinct(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _sent(names: np.ndarray, least: np.ndarray, starts: np.ndarray) -> list[tuple[int, bytes]]:
     """(owner, names and least ids) of sorted distinct names."""
     cuts = np.searchsorted((names[:, 0] >> np.uint64(64 - FP_BITS)).astype(np.int64), starts)
-    return [(o, names[a:b].tobytes() + least[a:b].tobytes()) for o, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+    return [(o, names[a:b].tobytes() + pa.Codec("zstd").compress(least[a:b].astype("<i8").tobytes(), asbytes=True) + (b - a).astype("<i8").tobytes()) for o, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
 
 def _bits(prints: np.ndarray, starts: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
@@ -213,6 +215,13 @@ def _told(kind: int, part: int, sent: list[tuple[int, bytes]]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([o for o, _ in sent], pa.int32()), pa.array([b for _, b in sent], pa.binary())], schema=_TOLD)
 
 
+def _give_back() -> None:
+    """What a part's arrays took goes back to the system, as workers live on idle beside each other."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)  # of the C library, where it has it
+
+
 def _first(owners: int, window: int, part_words: int):
     starts = owner_starts(owners)
 
@@ -231,6 +240,8 @@ def _first(owners: int, window: int, part_words: int):
         codes = [(o, rice_encode(prints[a:b], int(starts[o]), int(starts[o + 1] - starts[o]))) for o, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
         if codes:
             yield _told(WINDOWS, number, codes)
+        del own, names, text, first, length, prints, codes
+        _give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, words = TaskContext.get().partitionId() << 24, [], [], 0
@@ -256,9 +267,9 @@ def _least_first(sent: pd.DataFrame) -> pd.DataFrame:
     """For one owner and each part: whether another part has the name with a smaller id."""
     names, ids = [], []
     for body in sent["body"]:
-        n = len(body) // 24
+        n = int.from_bytes(body[-8:], "little")
         names.append(np.frombuffer(body, "<u8", 2 * n).reshape(-1, 2))
-        ids.append(np.frombuffer(body, "<i8", n, 16 * n))
+        ids.append(np.frombuffer(pa.Codec("zstd").decompress(body[16 * n : -8], 8 * n, asbytes=True), "<i8"))
     _, least, where = distinct(np.concatenate(names), np.concatenate(ids))
     less = least[where] < np.concatenate(ids)
     ends = np.cumsum([len(i) for i in ids])
@@ -323,6 +334,7 @@ def _second(owners: int, window: int):
         np.add.at(gone, at[goes] + window, -1)
         begins = np.flatnonzero(gone)
         noted = _noted(_prints(keys[:, 0]), begins, gone[begins], at[~goes], where[~goes])
+        _give_back()
         return pa.Table.from_batches([_told(SURE, key[0].as_py(), _sent(keys, least, starts)), _told(OPEN, key[0].as_py(), [(0, noted)])]).select(["kind", "part", "owner", "body"])
 
     return run
@@ -373,6 +385,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, part_words: int = PAR
         texts = table.where(F.col("kind") == TEXTS).select("part", "pos", "doc_id", "text").groupBy("part")
         sent = lambda kind: table.where(F.col("kind") == kind).select("kind", "part", "owner", "body").groupBy("owner")
         answers = written(sent(SYMBOLS).applyInPandas(_least_first, _ANSWER).unionByName(sent(WINDOWS).applyInPandas(_elsewhere, _ANSWER)), "answers")
+        # The codes have been answered; only texts and notes are read from now on.
+        for kind in (SYMBOLS, WINDOWS):
+            delete(spark, f"{shared_dir(spark)}/tables/{told}/kind={kind}")
         noted = lambda df, kind: df.where(F.col("kind") == kind).select("kind", "part", "owner", F.col("body").alias("bits"))
         asked = written(texts.cogroup(answers.unionByName(noted(table, HIGH)).groupBy("part")).applyInArrow(_second(owners, window), "kind int, part long, owner int, body binary"), "windows")
         sure = written(asked.where(F.col("kind") == SURE).groupBy("owner").applyInPandas(_least_first, _ANSWER), "sure")
