@@ -286,3 +286,12 @@ def test_trailing_sizes_are_those_of_the_windows(spark):
         for i, g, t, _ in rows:
             near = [(j, w) for j, h, u, w in rows if h == g and t - 7 <= u <= t]
             assert got[i] == (len(near) if what is None else len({w for _, w in near if w}))
+
+
+def test_a_process_creations_logon_is_its_subjects(spark):
+    from tracewell.sources.readers import flattened
+
+    rows = spark.createDataFrame([(1, 4688, "Security", '{"SubjectLogonId": "0x3e7", "TargetLogonId": "0x5"}'), (2, 4688, "Security", '{"SubjectLogonId": "0x5", "TargetLogonId": "0x3e7"}')], "id long, eventId int, channel string, data string")
+    document = {"title": "t", "id": "x", "logsource": {"product": "windows", "category": "process_creation"}, "detection": {"own": {"LogonId": "0x3E7"}, "condition": "own"}}
+    found = rules.run_rule(sigma.convert(document), Case({"events": flattened(rows.withColumn("ts", F.lit(5).cast("long")))})).findings
+    assert [r.refs for r in found.collect()] == [[1]]

@@ -12,7 +12,7 @@ _TYPES = {"text": T.StringType(), "int": T.IntegerType(), "long": T.LongType(),
 
 EVENTS = {
     "id": "long", "ts": "long", "time": "text", "recordId": "long", "eventId": "int", "provider": "text", "channel": "text", "computer": "text", "level": "text",
-    "targetUser": "text", "targetDomain": "text", "subjectUser": "text", "subjectDomain": "text", "logonType": "int", "logonId": "text", "logonGuid": "text", "ipAddress": "text", "ipPort": "int", "workstation": "text",
+    "targetUser": "text", "targetDomain": "text", "subjectUser": "text", "subjectDomain": "text", "logonType": "int", "logonId": "text", "subjectLogonId": "text", "logonGuid": "text", "ipAddress": "text", "ipPort": "int", "workstation": "text",
     "processName": "text", "processId": "text", "parentProcessName": "text", "parentProcessId": "text", "commandLine": "text", "image": "text", "parentImage": "text", "hashes": "text",
     "serviceName": "text", "taskName": "text", "targetFilename": "text", "targetObject": "text", "destinationIp": "text", "destinationHostname": "text", "queryName": "text", "scriptBlockText": "text",
     "operation": "text", "status": "text", "upn": "text", "userAgent": "text", "recordKey": "text", "evidenceId": "text", "data": "text", "raw": "text",

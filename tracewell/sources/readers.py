@@ -30,7 +30,7 @@ from .json_arrays import array_records
 MAGIC = {"zip": b"PK\x03\x04", "gz": b"\x1f\x8b", "bz2": b"BZh", "xz": b"\xfd7zXZ\x00", "evtx": b"ElfFile\x00", "pst": b"!BDN", "msg": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"}
 # Names that Windows records give to fields, and the columns they go to; the first that is there counts.
 WINDOWS = {
-    "targetUser": ("TargetUserName",), "targetDomain": ("TargetDomainName",), "subjectUser": ("SubjectUserName", "User"), "subjectDomain": ("SubjectDomainName",), "logonType": ("LogonType",), "logonId": ("TargetLogonId", "LogonId"), "logonGuid": ("LogonGuid",),
+    "targetUser": ("TargetUserName",), "targetDomain": ("TargetDomainName",), "subjectUser": ("SubjectUserName", "User"), "subjectDomain": ("SubjectDomainName",), "logonType": ("LogonType",), "logonId": ("TargetLogonId", "LogonId"), "subjectLogonId": ("SubjectLogonId", "LogonId"), "logonGuid": ("LogonGuid",),
     "ipAddress": ("IpAddress", "SourceIp"), "ipPort": ("IpPort",), "workstation": ("WorkstationName", "Workstation"), "processName": ("NewProcessName", "ProcessName"), "processId": ("NewProcessId", "ProcessId"), "parentProcessName": ("ParentProcessName",), "commandLine": ("CommandLine",),
     "image": ("Image",), "parentImage": ("ParentImage",), "hashes": ("Hashes",), "serviceName": ("ServiceName",), "taskName": ("TaskName",), "targetFilename": ("TargetFilename",), "targetObject": ("TargetObject",), "destinationIp": ("DestinationIp",), "destinationHostname": ("DestinationHostname",), "queryName": ("QueryName",), "scriptBlockText": ("ScriptBlockText",),
 }
