@@ -1,13 +1,17 @@
 """The pipeline's stages against brute force, on rows with nulls, repeats and clashing columns."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import SCHEMA, brute_targets, messy, prose, shingle_sets, words_in
+from tracewell.llm import chosen_path
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +107,47 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mixed, corpus_pipeline.packed):
         assert stage(spark, empty, "").count() == 0
+
+
+def test_near_stage_tasks_hold_little(spark, monkeypatch):
+    """Texts come in small batches, and a worker keeps no words once its task ends."""
+    embed = chosen_path._embed
+
+    def watched(words):
+        inner = embed(words)
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    assert b.num_rows <= 1000
+                    yield b
+
+            yield from inner(seen())
+            assert not chosen_path._known
+
+        return run
+
+    monkeypatch.setattr(chosen_path, "_embed", watched)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), *[F.col("id") + i for i in range(5)]).alias("text"))
+    assert corpus_pipeline.near(spark, docs, "").count() == 3000
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_a_block_of_near_copies_is_verified_in_strips(blocks):
+    """A full block's links are those by brute force, in a fraction of what its table of pairs took as floats and longs."""
+    rng, n = np.random.default_rng(5), 2000
+    held = (rng.random((n, 24)) < 0.85).astype(np.float32)
+    sets = [np.flatnonzero(h).astype(np.uint64) for h in held]
+    copies, own = rng.integers(1, 4, n), np.arange(n) % blocks
+    part = pd.DataFrame({"part": 1, "own": own, "lo": 0, "hi": blocks - 1, "set": [i.to_bytes(16, "big") for i in range(n)], "copies": copies, "shingles": [s.tobytes() for s in sets]})
+    both = held @ held.T
+    size = held.sum(axis=1)
+    agree = both >= 0.8 * (size[:, None] + size - both) - 1e-6
+    agree &= own[:, None] != own if blocks == 2 else ~np.eye(n, dtype=bool)
+    want = {i: int(x) for i, x in enumerate(agree @ copies) if x}
+    tracemalloc.start()
+    found = chosen_path._verify(0.8)(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {int.from_bytes(s, "big"): x for s, x in zip(found["set"], found["links"], strict=True)} == want
+    assert peak < 80e6

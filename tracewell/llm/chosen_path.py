@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import filtered, whole, written
+from .common import filtered, give_back, small_batches, whole, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS, BRANCH = 64, 2
@@ -39,6 +39,10 @@ BLOCK_SHINGLES = 500_000
 DENSE, LIKELY = 0.5, 0.6
 #: Sets of a large bucket, on average, from which it is told how much they agree.
 SAMPLE = 24
+#: Words whose hashes a task keeps, and numbers in a table of shared shingles.
+KNOWN, CELLS = 100_000, 4_000_000
+#: Rows of a block that are told apart at once.
+STRIP = 256
 
 
 def runs_for(recall: float, similarity: float, branch: int = BRANCH) -> int:
@@ -61,7 +65,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     found = text.lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    if len(_known) > 500_000:
+    if len(_known) > KNOWN:
         _known.clear()
     codes = np.empty(len(found), np.uint64)
     for i, w in enumerate(found):
@@ -90,6 +94,12 @@ def _name(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _forget() -> None:
+    """At a task's end: workers live on beside each other and Spark's executor, in whose memory theirs counts."""
+    _known.clear()
+    give_back()
+
+
 def _embed(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,6 +110,7 @@ def _embed(words: int):
                 values.append(embed(tokens).tobytes() if len(tokens) else None)
                 sizes.append(len(tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(values, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "of", "set", "tokens", "size"])
+        _forget()
 
     return run
 
@@ -178,6 +189,8 @@ def _by_part(work):
                 yield pd.concat(done)
         if held and (last := work(pd.concat(held) if len(held) > 1 else held[0])) is not None:
             yield last
+        held.clear()
+        give_back()
 
     return run
 
@@ -249,13 +262,13 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     by = np.argsort(token, kind="stable")
     row, token = row[by], token[by]
     total = np.zeros((m, n), np.float32)
-    width = max(1, 8_000_000 // (m + n))
+    width = max(1, CELLS // (m + n))
     for start in range(0, int(token[-1]) + 1 if len(token) else 0, width):
         a, b = np.searchsorted(token, [start, start + width])
         held = np.zeros((m + n, int(token[b - 1]) - start + 1), np.float32)
         held[row[a:b], token[a:b] - start] = 1
         total += held[:m] @ held[m:].T
-    return total.astype(np.int64)
+    return total.astype(np.int32)
 
 
 def _verify(threshold: float):
@@ -273,13 +286,17 @@ def _verify(threshold: float):
         if not len(left) or not len(right):
             return None
         both = overlaps([sets[i] for i in left], [sets[i] for i in right])
-        agree = both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9
+        agree, links = np.zeros(both.shape, bool), np.zeros(len(names), np.int64)
+        for i in range(0, len(left), STRIP):
+            some = slice(i, i + STRIP)
+            agree[some] = both[some] >= threshold * (size[left[some]][:, None] + size[right][None, :] - both[some]) - 1e-9
         if lo == hi:
             np.fill_diagonal(agree, False)
-        links = np.zeros(len(names), np.int64)
-        links[left] += agree @ weight[right]
-        if lo != hi:
-            links[right] += agree.T @ weight[left]
+        for i in range(0, len(left), STRIP):
+            some = slice(i, i + STRIP)
+            links[left[some]] += agree[some] @ weight[right]
+            if lo != hi:
+                links[right] += agree[some].T @ weight[left[some]]
         a, b = np.nonzero(agree)
         star = _stars(names, np.column_stack([left[a], right[b]]))
         rows = [(a, int(n), star[a]) for a, n in zip(names, links, strict=True) if n]
@@ -293,6 +310,7 @@ def _shingled(words: int):
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set", "shingles"])
+        _forget()
 
     return run
 
@@ -311,7 +329,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(text_col)).alias("of"), whole(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    members = written(rows.mapInArrow(_embed(words), f"doc_id {id_type}, of long, set binary, tokens binary, size long"), "members")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        members = written(rows.mapInArrow(_embed(words), f"doc_id {id_type}, of long, set binary, tokens binary, size long"), "members")
     copies = members.where("set is not null").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "of")).alias("least"), F.min("size").alias("size"))
     # Equal sets have equal tokens; they are taken from the least row.
     copies = written(copies, "copies")
@@ -321,7 +341,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     near = leaves(sets, runs_for(recall, threshold), small).join(sets, "set")
     parts = _blocks(near, "path", "set", F.ceil(F.col("n") / block)).select("part", "own", "lo", "hi", "set", "tokens")
     stars = parts.repartition("part").sortWithinPartitions("part").mapInPandas(_by_part(_likely), "a binary, b binary")
-    groups = components(stars)
+    with small_batches(spark):
+        groups = components(stars)
 
     members_of = written(groups.withColumnRenamed("id", "set").join(copies, "set"), "grouped")
     sizes = members_of.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
@@ -329,9 +350,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     # Only texts that may be wanted are shuffled.
     maybe = filtered(rows, wanted.select(F.col("_of").alias("hash")), F.col("of"))
     texts = maybe.join(wanted.select("_wanted", "_of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_wanted")) & (F.col("of") == F.col("_of")), "left_semi").select("text")
-    full = written(texts.mapInArrow(_shingled(words), "set binary, shingles binary"), "shingles")
+    with small_batches(spark):
+        full = written(texts.mapInArrow(_shingled(words), "set binary, shingles binary"), "shingles")
     exact = _blocks(wanted.select("set", "root", "blocks", "copies").join(full.dropDuplicates(["set"]), "set"), "root", "set", F.col("blocks")).select("part", "own", "lo", "hi", "set", "copies", "shingles")
-    linked = written(exact.repartition("part").sortWithinPartitions("part").mapInPandas(_by_part(_verify(threshold)), "set binary, links long, root binary"), "linked")
+    with small_batches(spark):
+        linked = written(exact.repartition("part").sortWithinPartitions("part").mapInPandas(_by_part(_verify(threshold)), "set binary, links long, root binary"), "linked")
     classes = components(linked.select(F.col("set").alias("a"), F.col("root").alias("b")))
     degrees = linked.groupBy("set").agg(F.sum("links").alias("others"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,13 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """What a task's arrays took goes back to the system, as workers live on idle beside each other."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)  # of the C library, where it has it
+
+
 def bucketed(df: DataFrame, name: str, key: str, buckets: int, *partition_by: str, compression: str = "snappy") -> str:
     """The name of a table of ``df`` in the shared folder, in buckets of ``key``: joins by it move none of its rows. The caller drops it."""
     table = f"{name}_{uuid.uuid4().hex}"
@@ -77,4 +86,4 @@ def filtered(df: DataFrame, hashes: DataFrame, of: Column) -> DataFrame:
     return with_mark(df, hashes, of, "_may").where("_may").drop("_may")
 
 
-__all__ = ["WORD", "bucketed", "delete", "discard", "filtered", "read", "shared_dir", "small_batches", "unbucketed", "whole", "with_mark", "written"]
+__all__ = ["WORD", "bucketed", "delete", "discard", "filtered", "give_back", "read", "shared_dir", "small_batches", "unbucketed", "whole", "with_mark", "written"]

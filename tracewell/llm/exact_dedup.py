@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filtered, whole, written
+from .common import filtered, give_back, small_batches, whole, written
 
 FP_BITS = 48
 PART_ROWS = 100_000
@@ -88,8 +88,9 @@ def _fingerprint(owners: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, hashes, shas, fps = TaskContext.get().partitionId() << 24, [], [], [], []
         for batch in batches:
-            ids.append(batch.column(0))
-            hashes.append(batch.column(2))
+            every = np.arange(batch.num_rows)  # copies, as columns hold their batch's texts too
+            ids.append(batch.column(0).take(every))
+            hashes.append(batch.column(2).take(every))
             for text in batch.column(1):
                 digest = hashlib.sha256(text.as_py().encode().lower())  # bytes.lower() knows A-Z only
                 shas.append(digest.hexdigest())
@@ -99,6 +100,7 @@ def _fingerprint(owners: int, id_type: pa.DataType):
                 number, ids, hashes, shas, fps = number + 1, [], [], [], []
         if fps:
             yield from part(ids, hashes, shas, fps, number)
+        give_back()
 
     return run
 
@@ -133,7 +135,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("owner", T.IntegerType()), T.StructField("pos", T.IntegerType()), id_field, T.StructField("sha", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("twice", T.BooleanType()), T.StructField("code", T.BinaryType()), T.StructField("text_hash", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_type
 
-    table = written(rows.mapInArrow(_fingerprint(owners, to_arrow_type(id_field.dataType)), schema), "fingerprints", "kind")
+    with small_batches(spark):
+        table = written(rows.mapInArrow(_fingerprint(owners, to_arrow_type(id_field.dataType)), schema), "fingerprints", "kind")
     codes = table.where("kind = 1").select("part", "owner", "code")
     bitmaps = codes.groupBy("owner").applyInPandas(_answer, "part long, owner int, bitmap binary")
     marked = table.where("kind = 0").select("part", "owner", "pos", "doc_id", "sha", "rank", "twice", "text_hash")

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, discard, filtered, small_batches, unbucketed, whole, written
+from .common import bucketed, discard, filtered, give_back, small_batches, unbucketed, whole, written
 
 ORDER = 4
 #: Characters of a part of the documents, which is scored by one task.
@@ -66,6 +66,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for half in range(HALVES):
         if parts[half]:
             yield counted(half)
+    give_back()
 
 
 def _low(x: Column, chars: int) -> Column:
@@ -89,7 +90,8 @@ def _discounts(counts: DataFrame) -> Column:
 
 def train(texts: DataFrame) -> DataFrame:
     """From (half, text) rows (half, ord, gram, p): an n-gram's probability, and of contexts (ord < 0) the weight of the next lower order."""
-    count = written(texts.mapInArrow(_count, "half int, gram long, n long").groupBy("half", "gram").agg(F.sum("n").alias("n")), "grams")
+    with small_batches(texts.sparkSession):
+        count = written(texts.mapInArrow(_count, "half int, gram long, n long").groupBy("half", "gram").agg(F.sum("n").alias("n")), "grams")
     orders = {ORDER: count}
     for k in range(ORDER - 1, 0, -1):  # below the highest order an n-gram counts the different characters before it
         orders[k] = written(orders[k + 1].groupBy("half", _low(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams{k}")
@@ -187,6 +189,7 @@ def _packed(path: tuple[str, ...], part_bytes: int):
         for half, part in enumerate(open_):
             if part.rows:
                 yield part.part(number + half, half)
+        give_back()
 
     return run
 
@@ -239,6 +242,7 @@ def _score(path: tuple[str, ...], names: list[str]):
         keys, values = answers.column("gram").to_numpy(), answers.column("lp").to_numpy()
         by = np.argsort(keys)
         keys, values = keys[by], values[by]
+        give_back()
         done = []
         for body in bodies.column("body"):
             for batch in pa.ipc.open_stream(body.as_buffer()):

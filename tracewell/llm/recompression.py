@@ -24,9 +24,7 @@ names and bits are shuffled, once for each part that has them, however often it
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
-from contextlib import suppress
 from itertools import chain
 
 import numpy as np
@@ -37,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, delete, discard, shared_dir, small_batches, unbucketed, whole, written
+from .common import bucketed, delete, discard, give_back, shared_dir, small_batches, unbucketed, whole, written
 from .exact_dedup import FP_BITS, owner_starts, rice_decode, rice_encode
 
 WINDOW = 13
@@ -215,13 +213,6 @@ def _told(kind: int, part: int, sent: list[tuple[int, bytes]]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([o for o, _ in sent], pa.int32()), pa.array([b for _, b in sent], pa.binary())], schema=_TOLD)
 
 
-def _give_back() -> None:
-    """What a part's arrays took goes back to the system, as workers live on idle beside each other."""
-    pa.default_memory_pool().release_unused()
-    with suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)  # of the C library, where it has it
-
-
 def _first(owners: int, window: int, part_words: int):
     starts = owner_starts(owners)
 
@@ -241,7 +232,7 @@ def _first(owners: int, window: int, part_words: int):
         if codes:
             yield _told(WINDOWS, number, codes)
         del own, names, text, first, length, prints, codes
-        _give_back()
+        give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, words = TaskContext.get().partitionId() << 24, [], [], 0
@@ -334,7 +325,7 @@ def _second(owners: int, window: int):
         np.add.at(gone, at[goes] + window, -1)
         begins = np.flatnonzero(gone)
         noted = _noted(_prints(keys[:, 0]), begins, gone[begins], at[~goes], where[~goes])
-        _give_back()
+        give_back()
         return pa.Table.from_batches([_told(SURE, key[0].as_py(), _sent(keys, least, starts)), _told(OPEN, key[0].as_py(), [(0, noted)])]).select(["kind", "part", "owner", "body"])
 
     return run
